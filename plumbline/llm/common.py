@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches sent to Python hold at most this many bytes, so that very long texts do not add up.
@@ -48,7 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = 0
         for i, n in enumerate(lengths):
             if size and size + n > limit:
