@@ -17,11 +17,14 @@ left out unless named in ``keep``.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 SHARDS = 8
 REPLICAS = 64
 SLOTS = 1 << 12
@@ -100,35 +103,27 @@ def assign(df: DataFrame, key: str, keep: dict[str, Column], ties: list[str], sh
     """
     arcs, shard_of = ring(shards, replicas)
     slot = F.pmod(F.xxhash64(key), F.lit(len(arcs))).cast("int")
-    arc = F.element_at(F.lit(arcs), slot + 1)
+    arc = F.element_at(F.split(F.lit(",".join(map(str, arcs))), ",").cast("array<int>"), slot + 1)
     order = F.xxhash64(F.lit("order"), key, *ties)
     rows = df.select(F.col(key), *[c.alias(n) for n, c in keep.items()])
     rows = rows.select("*", arc.alias("_arc"), order.alias("_order"), F.pmod(order, F.lit(CELLS)).cast("int").alias("_cell"))
-    cells = rows.groupBy("_arc", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    held = {(r["_arc"], r["_cell"]): r["_n"] for r in cells.collect()}  # at most arcs x cells
+    cells = written(rows.groupBy("_arc", "_cell").agg(F.count(F.lit(1)).alias("_n")), "ring-cells")  # at most arcs x CELLS rows
+    before = F.sum("_n").over(Window.partitionBy("_arc").orderBy("_cell")) - F.col("_n")
+    offsets = cells.select("_arc", "_cell", before.alias("_before"))
     counts = [0] * len(shard_of)
-    before: list[list[int]] = [[0] * CELLS for _ in shard_of]
-    for a in range(len(shard_of)):
-        for c in range(CELLS):
-            before[a][c] = counts[a]
-            counts[a] += held.get((a, c), 0)
-    parts: list[list[tuple[int, int, int, int]]] = [[] for _ in counts]
-    for a, first, end, s, at in flow(counts, shard_of, quotas(sum(counts), shards, slack)):
-        parts[a].append((first, end, s, at))
-    offset = F.element_at(F.lit([n for b in before for n in b]), F.col("_arc") * CELLS + F.col("_cell") + 1)
+    for r in cells.groupBy("_arc").agg(F.sum("_n").alias("n")).collect():
+        counts[r["_arc"]] = r["n"]
+    parts = flow(counts, shard_of, quotas(sum(counts), shards, slack))
+    schema = "array<struct<_arc:int,_first:bigint,_end:bigint,shard:int,_at:bigint>>"
+    names = ("_arc", "_first", "_end", "shard", "_at")
+    listed = F.from_json(F.lit(json.dumps([dict(zip(names, p, strict=True)) for p in parts])), schema)
+    segments = df.sparkSession.range(1).select(F.inline(listed))  # at most two segments an arc and one more for each shard
     within = F.row_number().over(Window.partitionBy("_arc", "_cell").orderBy("_order", key, *ties))
-    ranked = rows.select("*", (offset + within - 1).cast("long").alias("_rank"))
-    ends = F.element_at(F.lit([[p[1] for p in x] or [0] for x in parts]), F.col("_arc") + 1)
-    shard = F.element_at(F.lit([[p[2] for p in x] or [0] for x in parts]), F.col("_arc") + 1)
-    shift = F.element_at(F.lit([[p[3] - p[0] for p in x] or [0] for x in parts]), F.col("_arc") + 1)
-    part = F.size(F.filter(ends, lambda e: e <= F.col("_rank"))) + 1
-    out = ranked.withColumn("_part", part)
-    return out.select(
-        key,
-        *keep,
-        F.element_at(shard, F.col("_part")).cast("int").alias("shard"),
-        (F.col("_rank") + F.element_at(shift, F.col("_part"))).cast("long").alias("slot"),
-    )
+    ranked = rows.select("*", within.alias("_within")).join(F.broadcast(offsets), ["_arc", "_cell"])
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_within") - 1)
+    inside = (ranked["_rank"] >= F.col("_first")) & (ranked["_rank"] < F.col("_end"))
+    placed = ranked.join(F.broadcast(segments), (ranked["_arc"] == segments["_arc"]) & inside)
+    return placed.select(key, *keep, "shard", (F.col("_rank") - F.col("_first") + F.col("_at")).cast("long").alias("slot"))
 
 
 def op4(docs: DataFrame) -> DataFrame:
