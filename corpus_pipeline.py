@@ -5,19 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate
+from plumbline.llm import bpe, decontaminate, pii, quality, simhash
 from plumbline.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the scorers take for junk or toxic."""
+    return quality.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate component."""
+    return simhash.dedupe(docs)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold benchmark passages to the extent of the contamination rule."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES: list[tuple[str, Stage]] = [("benchmark", benchmark)]
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Generalise personal data and terms that disclose it."""
+    return pii.sanitise(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add token ids and their number."""
+    import public_tokenizers
+
+    out = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.withColumn("n_tokens", F.size("ids").cast("long")).drop("decoded")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good),
+    ("near_duplicates", deduped),
+    ("benchmark", benchmark),
+    ("personal_data", private),
+    ("encoding", encoded),
+]
 
 #: The stages are not expressible in SQL (XXH64, a trained scorer, subword merges).
 ORACLE_SQL = None
