@@ -18,12 +18,14 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import tempfile
 import unicodedata
 import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, slices, work_dir
+from .common import prepare, slices, work_dir, written
 
 #: Words that the lexicon holds.
 LEXICON_WORDS = 20_000
@@ -42,6 +44,8 @@ REMEMBERED = 1 << 19
 #: Words longer than this many bytes are merged with a heap.
 SHORT = 48
 SLICE_BYTES = 4 << 20
+#: Texts with no character beyond this one are split by a plain character list.
+LATIN = 0x24F
 
 
 def byte_letters() -> list[str]:
@@ -75,43 +79,42 @@ class Merges:
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.end] for c in letters]
-        self.ranks: dict[int, tuple[int, int]] = {}
-        for rank, m in enumerate(model["merges"]):
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
+        for m in model["merges"]:
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.ranks.setdefault(vocab[a] << 20 | vocab[b], (rank, vocab[a + b]))
+            self.ranks.setdefault(vocab[a] << 20 | vocab[b], len(self.made))
+            self.made.append(vocab[a + b])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = split["pattern"]["Regex"]
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: the pair of lowest rank goes first, of equal ranks the leftmost."""
-        ids = [self.inner[b] for b in word[:-1]]
-        ids.append(self.last[word[-1]])
+        ids = list(map(self.inner.__getitem__, word))
+        ids[-1] = self.last[word[-1]]
         if len(ids) > SHORT:
             return self.merge_long(ids)
-        get = self.ranks.get
-        pairs = [get(a << 20 | b) for a, b in zip(ids, ids[1:], strict=False)]
-        while True:
-            best = None
-            for i, p in enumerate(pairs):
-                if p is not None and (best is None or p[0] < best[0]):
-                    best, at = p, i
-            if best is None:
-                return tuple(ids)
-            new = best[1]
-            ids[at : at + 2] = [new]
-            del pairs[at]
+        get, made, none = self.ranks.get, self.made, len(self.made)
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        ranks.append(none)
+        while (best := min(ranks)) < none:
+            at, new = ranks.index(best), made[best]
+            ids[at] = new
+            del ids[at + 1], ranks[at]
             if at:
-                pairs[at - 1] = get(ids[at - 1] << 20 | new)
-            if at < len(pairs):
-                pairs[at] = get(new << 20 | ids[at + 1])
+                ranks[at - 1] = get(ids[at - 1] << 20 | new, none)
+            if at + 1 < len(ids):
+                ranks[at] = get(new << 20 | ids[at + 1], none)
+        return tuple(ids)
 
     def merge_long(self, ids: list[int]) -> tuple[int, ...]:
         n, get = len(ids), self.ranks.get
         after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(p[0], i, ids[i], ids[i + 1], p[1]) for i in range(n - 1) if (p := get(ids[i] << 20 | ids[i + 1]))]
+        heap = [(p, i, ids[i], ids[i + 1]) for i in range(n - 1) if (p := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
+            new = self.made[rank]
             j = after[i] if ids[i] >= 0 else n
             if j >= n or ids[i] != a or ids[j] != b:
                 continue
@@ -119,25 +122,34 @@ class Merges:
             after[i] = after[j]
             if after[j] < n:
                 prior[after[j]] = i
-                if p := get(new << 20 | ids[after[j]]):
-                    heapq.heappush(heap, (p[0], i, new, ids[after[j]], p[1]))
-            if (k := prior[i]) >= 0 and (p := get(ids[k] << 20 | new)):
-                heapq.heappush(heap, (p[0], k, ids[k], new, p[1]))
+                if (p := get(new << 20 | ids[after[j]])) is not None:
+                    heapq.heappush(heap, (p, i, new, ids[after[j]]))
+            if (k := prior[i]) >= 0 and (p := get(ids[k] << 20 | new)) is not None:
+                heapq.heappush(heap, (p, k, ids[k], new))
         return tuple(i for i in ids if i >= 0)
 
 
+def explicit(pattern: str) -> str:
+    """A pattern in which the classes for letters, numbers and white space list their characters up to ``LATIN``."""
+    for name, of in ((r"\p{L}", regex.compile(r"\p{L}")), (r"\p{N}", regex.compile(r"\p{N}")), (r"\s", regex.compile(r"\s"))):
+        pattern = pattern.replace(name, "".join(re.escape(chr(c)) for c in range(LATIN + 1) if of.match(chr(c))))
+    return pattern
+
+
 class Splitter:
     """Raw text to words and special tokens."""
 
     def __init__(self, merges: Merges):
         self.word = regex.compile(merges.pattern)
+        self.latin_word, self.beyond = re.compile(explicit(merges.pattern)), re.compile(f"[^\x00-{chr(LATIN)}]")
         self.special = merges.special
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(merges.special, key=len, reverse=True)) or r"(?!)")
 
     def plain(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.word.findall(text.lower())
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            return (self.word if self.beyond.search(text) else self.latin_word).findall(text)
+        return self.latin_word.findall(text.lower())
 
     def parts(self, text: str) -> Iterator[tuple[list[str], int | None]]:
         """Stretches of words, each with the id of the special token behind it."""
@@ -231,35 +243,39 @@ class Lexicon:
         return tuple(self.ids[self.starts[number] : self.starts[number + 1]])
 
 
-class Encoder:
-    """Ids of texts through the lexicon, with exact merges for the rest."""
+class Known(dict):
+    """Ids of words met before; a new word is looked up in the lexicon, else merged."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
-        self.merges, self.lexicon, self.split = merges, lexicon, Splitter(merges)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.merges, self.lexicon = merges, lexicon
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         raw = word.encode()
         ids = self.lexicon.find(raw) if self.lexicon else None
         if ids is None:
             ids = self.merges.merge(raw)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        if len(self) >= REMEMBERED:
+            self.clear()
         if len(raw) <= 256:
-            self.known[word] = ids
+            self[word] = ids
         return ids
 
-    def encode(self, text: str | None) -> array:
-        out = array("i")
+
+class Encoder:
+    """Ids of texts through the lexicon, with exact merges for the rest."""
+
+    def __init__(self, merges: Merges, lexicon: Lexicon | None):
+        self.merges, self.split, self.known = merges, Splitter(merges), Known(merges, lexicon)
+
+    def encode(self, text: str | None) -> list[int]:
+        out: list[int] = []
         for words, special in self.split.parts(text or ""):
-            get, new = self.known.get, self.word
-            for w in words:
-                out.extend(get(w) or new(w))
+            out.extend(chain.from_iterable(map(self.known.__getitem__, words)))
             if special is not None:
                 out.append(special)
         return out
 
-    def decode(self, ids: array) -> str:
+    def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.merges.tokens.__getitem__, ids))
 
 
@@ -267,7 +283,7 @@ OPEN: dict[str, Encoder] = {}
 
 
 def frequent_words(docs: DataFrame, merges: Merges, text: str, n: int) -> list[str]:
-    """The most frequent words of all documents; of equally frequent ones the first in order."""
+    """The most frequent words of all documents, ``n`` at most: those above a frequency level that fits."""
     shared = docs.sparkSession.sparkContext.broadcast(merges)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +303,17 @@ def frequent_words(docs: DataFrame, merges: Merges, text: str, n: int) -> list[s
             yield out()
 
     counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where((F.col("n") > 1) & (F.length("word") <= 256)).orderBy(F.desc("n"), "word").limit(n)
-    return [r.word for r in top.collect()]
+    counts = written(counts.where((F.col("n") > 1) & (F.length("word") <= 256)), "word-counts")
+    level = F.floor(F.log2("n") * 16).cast("int").alias("level")  # at most a thousand levels
+    held, least = 0, None
+    for r in counts.groupBy(level).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("level")).collect():
+        held += r.k
+        if held > n:
+            break
+        least = r.level
+    if least is None:
+        return []
+    return [r.word for r in counts.where(F.floor(F.log2("n") * 16) >= least).select("word").collect()]  # n words at most
 
 
 def published(spark: SparkSession, block: bytes, name: str) -> None:
@@ -329,7 +354,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon_words: i
             flat, ends, decoded = array("i"), [0], []
             for t in part.column(text).to_pylist():
                 ids = encoder.encode(t)
-                flat.extend(ids)
+                flat.extend(array("i", ids))
                 ends.append(len(flat))
                 decoded.append(encoder.decode(ids))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
