@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, shards, simhash
+from . import bpe, decontaminate, mixing, pii, quality, shards, simhash
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
+    "op8_context_mixing": op8_context_mixing,
     "op9_decontaminate": op9_decontaminate,
 }
 
