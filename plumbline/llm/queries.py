@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, mixing, pii, quality, shards, simhash
+from . import bpe, decontaminate, mixing, pii, quality, shards, simhash, substrings
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.op4(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_ring_shards": op4_ring_shards,
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_context_mixing": op8_context_mixing,
     "op9_decontaminate": op9_decontaminate,
+    "op10_suffix_ranks": op10_suffix_ranks,
 }
 
 ORACLE_SQL: dict[str, str] = {}
