@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, mixing, pii, quality, shards, simhash, substrings
+from . import bpe, decontaminate, htmltext, mixing, pii, quality, shards, simhash, substrings
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op2(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.op3(table(spark, sf_dir, "pages"))
+
+
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.op4(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_blocks": op3_blocks,
     "op4_ring_shards": op4_ring_shards,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
