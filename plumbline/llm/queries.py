@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, htmltext, mixing, pii, quality, shards, simhash, substrings
+from . import bpe, decontaminate, htmltext, mixing, neargraph, pii, quality, shards, simhash, substrings
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_near_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neargraph.op1(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +53,7 @@ def op10_suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_graph": op1_near_graph,
     "op2_bpe": op2_bpe,
     "op3_blocks": op3_blocks,
     "op4_ring_shards": op4_ring_shards,
