@@ -1,10 +1,6 @@
-"""All registered queries of the library and their SQL twins, gathered from one module a topic."""
+"""All registered queries of the library and their SQL twins, one module a topic."""
 
-from __future__ import annotations
+from . import checks, events, scans, shapes  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
