@@ -38,7 +38,7 @@ LABELLED = 8000
 #: Words and word beginnings in the lexicon at most.
 LEXICON = 2000
 #: Documents that the scorers are trained on.
-TRAIN = 12_000
+TRAIN = 6000
 BUCKETS = 1 << 22
 SLICE_BYTES = 4 << 20
 #: Tokens that a worker remembers before it starts anew.
@@ -242,6 +242,11 @@ def trained(tokens: list[np.ndarray], whole: list[np.ndarray], labels: np.ndarra
     return Scorer({int(b): float(x) for b, x in zip(used, w, strict=False)}, float(w[-1]))
 
 
+def features(read: tuple) -> tuple[int, int, bytes, bytes]:
+    """Flags and buckets as they travel to the driver."""
+    return read[0], read[1], *(np.array(b, np.int32).tobytes() for b in read[2:4])
+
+
 def mapped(df: DataFrame, text: str, columns: list[T.StructField], reader, row) -> DataFrame:
     """Run ``row(reader, text)`` over all texts; its values are appended as ``columns``."""
     shared = df.sparkSession.sparkContext.broadcast(reader)
@@ -253,7 +258,7 @@ def mapped(df: DataFrame, text: str, columns: list[T.StructField], reader, row)
             values = [row(own, t) for t in part.column(text).to_pylist()]
             cols = [part.column(c) for c in keep]
             for k, f in enumerate(columns):
-                kind = {"long": pa.int64(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}[f.dataType.simpleString().replace("bigint", "long")]
+                kind = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[f.dataType.simpleString().replace("bigint", "long")]
                 cols.append(pa.array([v[k] for v in values], kind))
             yield from pa.table(cols, names=[*keep, *(f.name for f in columns)]).to_batches()
 
@@ -306,10 +311,10 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text") -> Reader:
     total = sum(junk_counts.values())
     share = min(1.0, 1.1 * TRAIN / max(1, total))
     drawn = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(TRAIN)
-    columns = [*long, *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("tokens", "whole"))]
-    rows = mapped(drawn, text, columns, Reader(lexicon, features=True), lambda r, t: r.read(t)[:4]).drop(text)
+    columns = [*long, *(T.StructField(n, T.BinaryType()) for n in ("tokens", "whole"))]
+    rows = mapped(drawn, text, columns, Reader(lexicon, features=True), lambda r, t: features(r.read(t))).drop(text)
     rows = rows.orderBy(F.xxhash64("tokens"), "junk_flags", "toxic_flags").collect()
-    tokens, whole = ([np.array(r[c], np.int64) for r in rows] for c in ("tokens", "whole"))
+    tokens, whole = ([np.frombuffer(r[c], np.int32) for r in rows] for c in ("tokens", "whole"))
     scorers = [trained(tokens, whole, np.array([post.get(r[c], 0.0) for r in rows])) for post, c in ((junk, "junk_flags"), (toxic, "toxic_flags"))]
     return Reader(lexicon, *scorers)
 
