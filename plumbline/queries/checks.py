@@ -255,7 +255,7 @@ def j12(t: Tables) -> DataFrame:
     return Q.freshness(own, "event_type", "at", F.lit("2024-01-31").cast("timestamp"), 24.5).withColumn("newest", F.col("newest").cast("timestamp_ntz"))
 
 
-@query("j13_expectations", "SELECT 'row_count_min' AS expectation, CAST(count(*) AS DOUBLE) AS measured, 'PASS' AS status FROM orders UNION ALL SELECT 'null_rate_max:p', round(count(*) FILTER (o_orderkey % 17 = 0) / count(*), 9), 'WARN' FROM orders UNION ALL SELECT 'null_rate_max:o_orderkey', 0.0, 'PASS' FROM orders")
+@query("j13_expectations", "SELECT 'row_count_min' AS expectation, CAST(count(*) AS DOUBLE) AS measured, 'PASS' AS status FROM orders UNION ALL SELECT 'null_rate_max:p', round(count(*) FILTER (o_orderkey % 17 = 0) / count(*), 9), 'WARN' FROM orders UNION ALL SELECT 'null_rate_max:o_orderkey', 0.0, 'PASS'")
 def j13(t: Tables) -> DataFrame:
     own = t.orders.withColumn("p", F.when(F.col("o_orderkey") % 17 != 0, F.col("o_totalprice")))
     return Q.expectations(own, 100, {"p": 0.1, "o_orderkey": 0.1})

@@ -82,7 +82,7 @@ def m5(t: Tables) -> DataFrame:
     return M.matrix(t.events, "user_id", "event_type", ["click", "view", "error"])
 
 
-@query("m6_hierarchy", "WITH RECURSIVE known AS (SELECT p_partkey AS id, CASE WHEN p_partkey // 10 IN (SELECT p_partkey FROM part) THEN p_partkey // 10 END AS parent FROM part), tree AS (SELECT id, id AS root, 1 AS depth FROM known WHERE parent IS NULL UNION ALL SELECT k.id, tree.root, tree.depth + 1 FROM known k JOIN tree ON k.parent = tree.id) SELECT id, root, depth FROM tree")
+@query("m6_hierarchy", "WITH RECURSIVE known AS (SELECT p_partkey AS id, CASE WHEN p_partkey // 10 IN (SELECT p_partkey FROM part) AND p_partkey // 10 <> p_partkey THEN p_partkey // 10 END AS parent FROM part), tree AS (SELECT id, id AS root, 1 AS depth FROM known WHERE parent IS NULL UNION ALL SELECT k.id, tree.root, tree.depth + 1 FROM known k JOIN tree ON k.parent = tree.id) SELECT id, root, depth FROM tree")
 def m6(t: Tables) -> DataFrame:
     return M.hierarchy(t.part.select("p_partkey", F.expr("p_partkey div 10").alias("up")), "p_partkey", "up", 6)
 
