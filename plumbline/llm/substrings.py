@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, slices, written
@@ -33,7 +33,7 @@ LENGTH = 100
 #: Starts that one anchor can have: places 0 to 63 before it.
 PLACES = 64
 GRAM = LENGTH - PLACES + 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Bytes of a long text that are hashed at once, and the bits of a position within them.
 PIECE = 1 << 19
 AT = np.uint64((1 << 20) - 1)
@@ -76,40 +76,53 @@ def runs(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         yield h[anchor[first]].view(np.int64), anchor[first] + begin, first + begin, end + begin
 
 
-def row_hash(gram: np.ndarray, anchor: np.ndarray, text_hash: int) -> np.ndarray:
-    x = gram.view(np.uint64) ^ (anchor.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(text_hash & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+def marks(gram: np.ndarray, s: np.ndarray, doc: int, p: np.ndarray) -> np.ndarray:
+    """The bit that stands for a run; ``mark_of`` is its twin over columns."""
+    return (gram ^ s ^ (p << 3) ^ np.int64((doc & 0xFFFFFFFF) << 9)) & (BITS - 1)
 
 
-RUN = "key binary, s long, doc long, t long, p long, a long, n int, mark long, content binary"
+def mark_of() -> Column:
+    gram = F.conv(F.hex("key"), 16, -10).cast("long")
+    doc = F.shiftleft(F.col("doc").bitwiseAND(F.lit(0xFFFFFFFF)), 9)
+    return gram.bitwiseXOR(F.col("s")).bitwiseXOR(F.shiftleft(F.col("p").cast("long"), 3)).bitwiseXOR(doc).bitwiseAND(F.lit(BITS - 1))
 
 
-def run_rows(docs: DataFrame, bits=None, rows: bool = False) -> DataFrame:
-    """Rows of runs. ``bits``: only runs whose gram (with ``rows``: whose own mark) has its bit set. With ``rows`` each
-    carries its bytes."""
+#: A run: its key, the hash of all its bytes, its document, its first start, how far the anchor is from there, how many
+#: starts it has, whether an equal run of the same slice comes before it, and its bytes where they are needed.
+RUN = "key binary, s long, doc long, t long, p int, back int, n int, later boolean, content binary"
+NAMES = ("key", "s", "doc", "t", "p", "back", "n", "later", "content")
+KINDS = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows without their flag; of equal runs all but the first are marked as later."""
+    first: dict[tuple, tuple] = {}
+    for r in rows:
+        own, at = r[:2], (r[2], r[3], r[4])
+        if first.setdefault(own, at) > at:
+            first[own] = at
+    cols = list(zip(*((*r[:7], first[r[:2]] < (r[2], r[3], r[4]), r[7]) for r in rows), strict=True)) or [()] * len(NAMES)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)], list(NAMES))
+
+
+def run_rows(docs: DataFrame, bits, rows: bool = False) -> DataFrame:
+    """Runs whose gram (with ``rows``: whose own mark) has its bit set; with ``rows`` each carries its bytes."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            out: list[list] = [[] for _ in range(9)]
+            out: list[tuple] = []
             for doc, t, raw in zip(*(part.column(c).to_pylist() for c in ("doc", "t", "text")), strict=True):
                 for gram, anchor, first, end in runs(raw or b""):
-                    mark = row_hash(gram, anchor, t)
-                    if bits is not None:
-                        keep = bits.value[(mark if rows else gram) & (BITS - 1)]
-                        gram, anchor, first, end, mark = (x[keep] for x in (gram, anchor, first, end, mark))
-                    spans = list(zip(first.tolist(), end.tolist(), strict=True))
-                    out[0] += [g.tobytes() for g in gram]
-                    out[1] += [xxhash.xxh3_64_intdigest(raw[a : b + LENGTH - 1], b - a) - (1 << 63) for a, b in spans]
-                    out[2] += [doc] * len(spans)
-                    out[3] += [t] * len(spans)
-                    out[4] += first.tolist()
-                    out[5] += anchor.tolist()
-                    out[6] += (end - first).tolist()
-                    out[7] += mark.tolist()
-                    out[8] += [raw[a : b + LENGTH - 1] if rows else None for a, b in spans]
-            kinds = (pa.binary(), *(pa.int64() for _ in range(5)), pa.int32(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["key", "s", "doc", "t", "p", "a", "n", "mark", "content"])
+                    if not rows:
+                        keep = is_set(bits.value, gram)
+                        gram, anchor, first, end = (x[keep] for x in (gram, anchor, first, end))
+                    s = np.array([xxhash.xxh3_64_intdigest(raw[a : b + LENGTH - 1], c - a) for a, b, c in zip(first.tolist(), end.tolist(), anchor.tolist(), strict=True)], np.uint64).view(np.int64)
+                    if rows and len(s):
+                        keep = is_set(bits.value, marks(gram, s, doc, first))
+                        gram, anchor, first, end, s = (x[keep] for x in (gram, anchor, first, end, s))
+                    for g, h, a, b, c in zip(gram.tolist(), s.tolist(), first.tolist(), end.tolist(), anchor.tolist(), strict=True):
+                        out.append((g.to_bytes(8, "big", signed=True), h, doc, t, a, c - a, b - a, raw[a : b + LENGTH - 1] if rows else None))
+            yield batch_of(out)
 
     return docs.mapInArrow(step, RUN)
 
@@ -126,76 +139,72 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(step, "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
 
 
-def bit_field(df: DataFrame, column: str) -> np.ndarray:
+def bit_field(df: DataFrame, column: Column) -> np.ndarray:
     """Which of ``BITS`` bits the values of a column set; made in Spark, of a fixed size."""
-    at = F.col(column).bitwiseAND(F.lit(BITS - 1))
+    at = column.bitwiseAND(F.lit(BITS - 1))
     per = df.groupBy(F.bitmap_bucket_number(at + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("bits"))
-    out = np.zeros(BITS, bool)
+    out = np.zeros(BITS // 8, np.uint8)
     for r in per.toLocalIterator():
-        own = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").astype(bool)
-        begin = (r.bucket - 1) * len(own)
-        out[begin : begin + len(own)] = own
+        begin = (r.bucket - 1) * len(r.bits)
+        out[begin : begin + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def is_set(field: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at & (BITS - 1)
+    return (field[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def halves(df: DataFrame, size: int) -> DataFrame:
     """Cut runs at multiples of ``size`` places before their anchor; the key is what all starts of such a block share."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for doc, t, p, a, n, content in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "p", "a", "n", "content")), strict=True):
-                high, low = a - p, a - p - n + 1
-                for block in range(low // size, high // size + 1):
-                    top, bottom = min(high, block * size + size - 1), max(low, block * size)
-                    core = content[high - block * size : high + LENGTH - block * size - size + 1]
-                    hull = content[high - top : high - bottom + LENGTH]
-                    own = (xxhash.xxh3_128_digest(core, block), xxhash.xxh3_64_intdigest(hull, top) - (1 << 63), doc, t, a - top, a, top - bottom + 1, 0, hull)
-                    for x, v in zip(out, own, strict=True):
-                        x.append(v)
-            kinds = (pa.binary(), *(pa.int64() for _ in range(5)), pa.int32(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["key", "s", "doc", "t", "p", "a", "n", "mark", "content"])
-
-    return df.select("doc", "t", "p", "a", "n", "content").mapInArrow(step, RUN)
-
-
-def ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Starts that come earlier elsewhere, as (doc, t, p, n), and the first runs of keys that agree in part."""
-    place = F.struct("doc", "p", "t")
-    per = rows.groupBy("key", "s").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k"))
-    per = written(per, "substring-ranks")
-    later = rows.join(per.where("k > 1").select("key", "s", "first"), ["key", "s"]).where(place > F.col("first"))
-    split = per.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
-    heads = per.join(split, "key", "left_semi").select("key", "s", "first")
-    firsts = rows.join(heads, ["key", "s"]).where(place == F.col("first")).select(*rows.columns)
-    return later.select("doc", "t", "p", "n"), firsts.dropDuplicates(["key", "s"])
+            out: list[tuple] = []
+            for doc, t, p, back, n, content in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "p", "back", "n", "content")), strict=True):
+                low = back - n + 1
+                for block in range(low // size, back // size + 1):
+                    top, bottom = min(back, block * size + size - 1), max(low, block * size)
+                    core = content[back - block * size : back + LENGTH - block * size - size + 1]
+                    hull = content[back - top : back - bottom + LENGTH]
+                    key = xxhash.xxh3_128_digest(core, block)
+                    h = xxhash.xxh3_64_intdigest(hull, top)
+                    out.append((key, h - (1 << 64) if h >> 63 else h, doc, t, p + back - top, top, top - bottom + 1, hull))
+            yield batch_of(out)
+
+    return df.select("doc", "t", "p", "back", "n", "content").mapInArrow(step, RUN)
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """Runs with ``later``: an equal run comes before it, so all its starts are repeats; or with ``split``: it is the first
+    of its kind, but its key has other kinds. All others leave. A key's rows are one a slice and kind at most."""
+    place = F.struct("doc", "t", "p")
+    one = Window.partitionBy("key", "s")
+    key = Window.partitionBy("key")
+    own = rows.where(~F.col("later"))
+    own = own.withColumn("first", F.min(place).over(one)).withColumn("low", F.min("s").over(key)).withColumn("high", F.max("s").over(key))
+    own = own.withColumn("later", place > F.col("first")).withColumn("split", (place == F.col("first")) & (F.col("low") < F.col("high")))
+    own = own.drop("first", "low", "high").where("later or split")
+    return written(own.unionByName(rows.where("later").withColumn("split", F.lit(False))), "substring-ranks")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """Runs of starts (``doc``, ``t``, ``p``, ``n``) whose string of ``LENGTH`` bytes also starts earlier."""
     spark = docs.sparkSession
     grams = written(gram_counts(docs), "substring-grams")
-    bits = spark.sparkContext.broadcast(bit_field(grams, "g"))
-    rows = written(run_rows(docs, bits), "substring-runs")
-    later, firsts = ranked(rows)
-    found = [written(later, "substring-later")]
-    firsts = written(firsts.select("doc", "t", "a", "p", "mark"), "substring-split")
-    bits = spark.sparkContext.broadcast(bit_field(firsts, "mark"))
-    whole = run_rows(docs, bits, rows=True)
-    current = whole.join(firsts.select("doc", "t", "a", "p"), ["doc", "t", "a", "p"]).select("doc", "t", "p", "a", "n", "content")
+    bits = spark.sparkContext.broadcast(bit_field(grams, F.col("g")))
+    level = ranked(run_rows(docs, bits))
+    out = level.where("later").select("doc", "t", "p", "n")
+    parts = level.where("split")
+    bits = spark.sparkContext.broadcast(bit_field(parts, mark_of()))
+    whole = run_rows(docs, bits, rows=True).drop("later", "key", "s", "n", "back")
+    current = written(parts.select("doc", "t", "p", "back", "n").join(whole, ["doc", "t", "p"]), "substring-parts")
     size = PLACES // 2
-    while size:
-        rows = written(halves(current, size), "substring-halves")
-        later, current = ranked(rows)
-        found.append(written(later, "substring-later"))
-        if size > 1:
-            current = written(current, "substring-split")
-            if current.isEmpty():
-                break
+    while size and not current.isEmpty():
+        level = ranked(halves(current, size))
+        out = out.unionByName(level.where("later").select("doc", "t", "p", "n"))
+        current = level.where("split")
         size //= 2
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
     return out
 
 
@@ -204,7 +213,8 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     prepare(docs.sparkSession)
     raw = F.col(text).cast("binary")
     own = docs.select(F.col(id).alias("id"), F.coalesce(F.col(id).cast("long"), F.lit(NONE)).alias("doc"), raw.alias("text"))
-    own = own.withColumn("t", F.xxhash64("text"))
+    again = own.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = own.withColumn("t", F.lit(0).cast("long") if again.isEmpty() else F.xxhash64("text"))  # only tells rows of one id apart
     starts = repeated(own.select("doc", "t", "text")).distinct()
     per = starts.groupBy("doc", "t").agg(F.collect_list(F.struct("p", "n")).alias("starts"))  # a document's own runs
 
