@@ -12,7 +12,8 @@ from ..operators import windows as W
 from .registry import Tables, query
 from .shapes import SECOND, second
 
-N = F.count(F.lit(1))
+def rows():
+    return F.count(F.lit(1))
 
 
 @query("h1_excluded", "SELECT o_orderkey, 'o_totalprice > 100000' AS predicate FROM orders WHERE NOT o_totalprice > 100000")
@@ -21,7 +22,7 @@ def h1(t: Tables) -> DataFrame:
 
 
 def reverse(t: Tables) -> DataFrame:
-    return L.aggregate_traced(t.orders, ["o_custkey"], {"n": N}, "o_orderkey")[1]
+    return L.aggregate_traced(t.orders, ["o_custkey"], {"n": rows()}, "o_orderkey")[1]
 
 
 @query("h2_reverse_table", "SELECT o_custkey, o_orderkey AS source_key FROM orders")
@@ -53,7 +54,7 @@ def h6(t: Tables) -> DataFrame:
 @query("h7_reconcile", "SELECT o_orderkey AS source_key FROM orders WHERE o_orderstatus = 'P'")
 def h7(t: Tables) -> DataFrame:
     kept = t.orders.where("o_orderstatus <> 'P'")
-    return L.reconcile(t.orders, L.aggregate_traced(kept, ["o_custkey"], {"n": N}, "o_orderkey")[1], "o_orderkey")
+    return L.reconcile(t.orders, L.aggregate_traced(kept, ["o_custkey"], {"n": rows()}, "o_orderkey")[1], "o_orderkey")
 
 
 @query("h8_reconstruct", "SELECT o_orderkey FROM orders")
@@ -137,7 +138,7 @@ def i5(t: Tables) -> DataFrame:
 
 @query("i6_threshold", "SELECT count(*) FILTER (c_acctbal <= 0) AS errors, count(*) AS total, count(*) FILTER (c_acctbal <= 0) > 0.05 * count(*) AS halt FROM customer")
 def i6(t: Tables) -> DataFrame:
-    counts = t.customer.agg(F.count_if(F.col("c_acctbal") <= 0).alias("errors"), N.alias("total"))
+    counts = t.customer.agg(F.count_if(F.col("c_acctbal") <= 0).alias("errors"), rows().alias("total"))
     return counts.withColumn("halt", E.threshold(F.col("errors"), F.col("total"), share=0.05))
 
 
@@ -154,7 +155,7 @@ def i10(t: Tables) -> DataFrame:
 
 @query("i11_account_reverse", "SELECT o_orderkey AS key, 'MISSING' AS issue FROM orders WHERE o_orderstatus = 'P'")
 def i11(t: Tables) -> DataFrame:
-    rev = L.aggregate_traced(t.orders.where("o_orderstatus <> 'P'"), ["o_custkey"], {"n": N}, "o_orderkey")[1]
+    rev = L.aggregate_traced(t.orders.where("o_orderstatus <> 'P'"), ["o_custkey"], {"n": rows()}, "o_orderkey")[1]
     return E.account_keys(t.orders, {"aggregated": rev.select(F.col("source_key").alias("o_orderkey"))}, "o_orderkey")
 
 
@@ -373,7 +374,7 @@ def k11(t: Tables) -> DataFrame:
 
 @query("k12_chain", "SELECT event_type AS contract, count(*) AS n, count(*) FILTER (p IS NOT NULL AND p <> q) AS broken, 0 AS gaps, max(day) AS last_day FROM (SELECT *, lag(h) OVER (PARTITION BY event_type ORDER BY day) AS p, CASE WHEN day = DATE '2024-01-10' THEN 'broken' ELSE lag(h) OVER (PARTITION BY event_type ORDER BY day) END AS q FROM (SELECT event_type, CAST(ts AS DATE) AS day, sha256(event_type || CAST(count(*) AS VARCHAR)) AS h FROM events GROUP BY 1, 2)) GROUP BY 1")
 def k12(t: Tables) -> DataFrame:
-    per = t.events.groupBy(F.col("event_type").alias("contract"), F.to_date("ts").alias("day")).agg(N.alias("n"))
+    per = t.events.groupBy(F.col("event_type").alias("contract"), F.to_date("ts").alias("day")).agg(rows().alias("n"))
     certs = W.shift(per.withColumn("hash", F.sha2(F.concat("contract", F.col("n").cast("string")), 256)), ["contract"], ["day"], "hash", 1, None, "previous")
     broken = certs.withColumn("previous", F.when(F.col("day") == "2024-01-10", "broken").otherwise(F.col("previous")))
     return K.verify_chain(broken)

@@ -89,9 +89,9 @@ def b1(t: Tables) -> DataFrame:
     return S.project(t.customer, {"id": "c_custkey", "label": "c_name"})
 
 
-@query("b2_derive", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem")
+@query("b2_derive", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS net FROM lineitem")
 def b2(t: Tables) -> DataFrame:
-    return S.derive(t.lineitem, "net", "round(l_extendedprice * (1 - l_discount), 2)").select("l_orderkey", "l_linenumber", "l_partkey", "net")
+    return S.derive(t.lineitem, "net", "cast(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2))) as double)").select("l_orderkey", "l_linenumber", "l_partkey", "net")
 
 
 @query("b3_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 'large' ELSE 'small' END AS size FROM orders")
