@@ -53,7 +53,7 @@ def rollup_levels(df: DataFrame, date: str, dims: Sequence[str], value: str, lev
     out = None
     for level in levels:
         current = current.withColumn("period", F.date_trunc(level, "period")).groupBy(*dims, "period").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        part = current.select(*dims, F.lit(level).alias("level"), F.col("period").cast("date").alias("period"), F.col("s").cast("double").alias("total"), F.col("n").alias("n"), F.when(F.col("n") > 0, F.round(F.col("s").cast("double") / F.col("n"), 4)).alias("average"))
+        part = current.select(*dims, F.lit(level).alias("level"), F.col("period").cast("date").alias("period"), F.col("s").cast("double").alias("total"), F.col("n").alias("n"), F.when(F.col("n") > 0, F.col("s").cast("double") / F.col("n")).alias("average"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -182,7 +182,7 @@ def d6(t: Tables) -> DataFrame:
 
 
 def _levels() -> str:
-    part = "SELECT o_orderstatus, '{0}' AS level, CAST(date_trunc('{0}', o_orderdate) AS DATE) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS average FROM orders GROUP BY ALL"
+    part = "SELECT o_orderstatus, '{0}' AS level, CAST(date_trunc('{0}', o_orderdate) AS DATE) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average FROM orders GROUP BY ALL"
     return " UNION ALL ".join(part.format(x) for x in G.LEVELS)
 
 
@@ -191,7 +191,7 @@ def d7(t: Tables) -> DataFrame:
     return G.rollup_levels(t.orders, "o_orderdate", ["o_orderstatus"], "o_totalprice")
 
 
-@query("d8_average", "SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS average FROM orders GROUP BY ALL")
+@query("d8_average", "SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average FROM orders GROUP BY ALL")
 def d8(t: Tables) -> DataFrame:
     return G.rollup_levels(t.orders, "o_orderdate", ["o_orderpriority"], "o_totalprice", ["day", "month"]).where("level = 'month'").select("o_orderpriority", "period", "average")
 
