@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, slices
+from .common import prepare, slices, written
 
 #: Labelled rows that the toxic lexicon is read from.
 LABELLED = 8000
 #: Words and word beginnings in the lexicon at most.
 LEXICON = 2000
+#: Share of the toxic sample that a word or beginning must be in, copies counted once; eight documents at least.
+LEAST = 0.02
 #: Documents that the scorers are trained on.
 TRAIN = 6000
 BUCKETS = 1 << 22
@@ -271,6 +273,11 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text") -> fro
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     rows = docs.select("doc_id", text).where(f"{text} is not null").join(F.broadcast(sample), "doc_id").select(text, F.col("toxic").cast("long").alias("toxic"))
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [min((zlib.crc32(w.encode()) for w in set(LETTERS.findall(t.lower()))), default=0) for t in batch.column(text).to_pylist()]
+            yield batch.append_column("key", pa.array(keys, pa.int64()))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text, SLICE_BYTES):
             seen: Counter[str] = Counter()
@@ -283,12 +290,14 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text") -> fro
             keys = list(seen)
             yield pa.record_batch([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([bad[k] for k in keys], pa.int64())], ["piece", "n", "bad"])
 
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
+    # copies and near copies mostly share the smallest word hash; they count once
+    rows = written(rows.mapInArrow(keyed, f"{text} string, toxic long, key long").dropDuplicates(["key", "toxic"]).select(text, "toxic"), "quality-sample")
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     if not totals.bad:
         return frozenset()
     found = rows.mapInArrow(count, "piece string, n long, bad long").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     base = totals.bad / totals.n
-    tied = found.where((F.col("bad") >= 8) & (F.col("bad") >= 0.6 * F.col("n")))
+    tied = found.where((F.col("bad") >= max(8.0, LEAST * totals.bad)) & (F.col("bad") >= 0.6 * F.col("n")))
     order = (F.col("bad") - base * F.col("n")) / F.sqrt("n")
     top = tied.orderBy(order.desc(), "piece").limit(LEXICON).collect()
     return frozenset(r.piece for r in top)
