@@ -84,7 +84,7 @@ class Scorer:
         return sum(found), len(found)
 
 
-#: What a token adds: symbols, shouted, doubled, bare, insult, in the lexicon, then weight and number of features for junk
+#: What a token adds: symbols, shouted, doubled, bare, insult, insult or in the lexicon, then weight and number of features for junk
 #: and for toxic, and its feature buckets.
 Token = tuple[int, bool, bool, bool, bool, bool, float, int, float, int, list[int]]
 
@@ -114,7 +114,7 @@ class Reader:
             not plain and len(raw) > 1 and raw[-1] == raw[-2] and not raw[-1].isalnum() and raw[-1] != "_",
             not word and not any(map(str.isdigit, raw)),
             word in INSULTS,
-            word[:3] in self.starts and not self.lexicon.isdisjoint(pieces(word)),
+            word in INSULTS or word[:3] in self.starts and not self.lexicon.isdisjoint(pieces(word)),
             *self.junk.of(buckets),
             *self.toxic.of(buckets),
             buckets if self.features else [],
