@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.errors import error_rows
+from ..operators.errors import CODES, error_rows
 
 
 def project(df: DataFrame, columns: Mapping[str, str | Column]) -> DataFrame:
@@ -26,7 +26,7 @@ def when_expr(condition: Column, then: Column, otherwise: Column) -> Column:
 def fallback(df: DataFrame, columns: Sequence[str], out: str, key: str) -> tuple[DataFrame, DataFrame]:
     """The first value that is there; rows without any become error rows."""
     flagged = df.withColumn(out, F.coalesce(*[F.col(c) for c in columns]))
-    return flagged.where(F.col(out).isNotNull()), error_rows(flagged.where(F.col(out).isNull()), key, "FALLBACK", "CDME-002", out, "one of " + ", ".join(columns), F.lit(None).cast("string"))
+    return flagged.where(F.col(out).isNotNull()), error_rows(flagged.where(F.col(out).isNull()), key, "FALLBACK", CODES["null_field"], out, "one of " + ", ".join(columns), F.lit(None).cast("string"))
 
 
 def make_record(df: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def safe_cast(df: DataFrame, column: str, kind: str, key: str) -> tuple[DataFram
     tried = df.withColumn("_to", F.col(column).try_cast(kind))
     failed = F.col(column).isNotNull() & F.col("_to").isNull()
     ok = tried.where(~failed).withColumn(column, F.col("_to")).drop("_to")
-    return ok, error_rows(tried.where(failed), key, "TYPE", "CDME-004", column, kind, F.col(column).cast("string"))
+    return ok, error_rows(tried.where(failed), key, "TYPE", CODES["type_cast"], column, kind, F.col(column).cast("string"))
 
 
 STRING_STEPS: dict[str, Callable[..., Column]] = {

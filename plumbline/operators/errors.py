@@ -9,6 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The codes of error records.
+CODES = {
+    "refinement": "CDME-001",
+    "type_cast": "CDME-002",
+    "join_key": "CDME-003",
+    "validation": "CDME-004",
+    "null_field": "CDME-005",
+    "grain": "CDME-006",
+    "threshold": "CDME-007",
+}
+
+
 def error_rows(df: DataFrame, key: str, error_type: str, code: str, path: str, expected: str, actual: Column, run: str = "run", epoch: str = "epoch") -> DataFrame:
     context = F.create_map(F.lit("path"), F.lit(path))
     return df.select(
@@ -24,7 +36,7 @@ def error_rows(df: DataFrame, key: str, error_type: str, code: str, path: str, e
     )
 
 
-def split_valid(df: DataFrame, rule: Column, key: str, code: str = "CDME-001", path: str = "", expected: str = "") -> tuple[DataFrame, DataFrame]:
+def split_valid(df: DataFrame, rule: Column, key: str, code: str = CODES["refinement"], path: str = "", expected: str = "") -> tuple[DataFrame, DataFrame]:
     flagged = df.withColumn("_ok", F.coalesce(rule, F.lit(False)))
     return flagged.where("_ok").drop("_ok"), error_rows(flagged.where(~F.col("_ok")), key, "REFINEMENT", code, path, expected, F.lit(None).cast("string"))
 
@@ -51,7 +63,7 @@ class Rule:
     id: str
     predicate: Column
     severity: str = "ERROR"
-    code: str = "CDME-001"
+    code: str = CODES["refinement"]
     message: str = ""
 
 

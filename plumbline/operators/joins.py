@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .errors import error_rows
+from .errors import CODES, error_rows
 
 #: A lookup is sent to all executors up to this many rows; beyond, Spark shuffles.
 LOOKUP_ROWS = 100_000
@@ -77,9 +77,9 @@ def exact_epoch_join(left: DataFrame, right: DataFrame, key: str, epoch: str, sc
 
 
 def join_or_error(df: DataFrame, target: DataFrame, key: str, source_key: str) -> tuple[DataFrame, DataFrame]:
-    """Matched rows, and CDME-003 error rows for keys without a match; one left join serves both."""
+    """Matched rows, and error rows for keys without a match; one left join serves both."""
     flagged = df.join(target.withColumn("_hit", F.lit(True)), key, "left")
-    return flagged.where("_hit").drop("_hit"), error_rows(flagged.where("_hit is null"), source_key, "JOIN", "CDME-003", key, "a matching key", F.col(key))
+    return flagged.where("_hit").drop("_hit"), error_rows(flagged.where("_hit is null"), source_key, "JOIN", CODES["join_key"], key, "a matching key", F.col(key))
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, on: Column) -> DataFrame:

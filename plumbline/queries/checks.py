@@ -131,7 +131,7 @@ def i4(t: Tables) -> DataFrame:
     return E.validate_lookup(t.customer, "c_nationkey", t.nation.where("n_regionkey < 3"), "n_nationkey").select("c_custkey")
 
 
-@query("i5_error_record", "SELECT CAST(c_custkey AS VARCHAR) AS source_key, 'TYPE' AS error_type, 'CDME-004' AS error_code, 'c_name' AS path, 'bigint' AS expected, c_name AS actual, 'run' AS run_id, 'epoch' AS epoch FROM customer")
+@query("i5_error_record", "SELECT CAST(c_custkey AS VARCHAR) AS source_key, 'TYPE' AS error_type, 'CDME-002' AS error_code, 'c_name' AS path, 'bigint' AS expected, c_name AS actual, 'run' AS run_id, 'epoch' AS epoch FROM customer")
 def i5(t: Tables) -> DataFrame:
     return S.safe_cast(t.customer, "c_name", "bigint", "c_custkey")[1].drop("context")
 

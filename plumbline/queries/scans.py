@@ -111,7 +111,7 @@ def b4(t: Tables) -> DataFrame:
     return S.fallback(nulled(t), ["p", "q"], "v", "o_orderkey")[0].select("o_orderkey", "v")
 
 
-@query("b4_fallback_errors", f"SELECT CAST(o_orderkey AS VARCHAR) AS source_key, 'CDME-002' AS error_code FROM {NULLED} WHERE coalesce(p, q) IS NULL")
+@query("b4_fallback_errors", f"SELECT CAST(o_orderkey AS VARCHAR) AS source_key, 'CDME-005' AS error_code FROM {NULLED} WHERE coalesce(p, q) IS NULL")
 def b4e(t: Tables) -> DataFrame:
     return S.fallback(nulled(t), ["p", "q"], "v", "o_orderkey")[1].select("source_key", "error_code")
 
@@ -136,7 +136,7 @@ def b7(t: Tables) -> DataFrame:
     return S.filter_rows(t.orders, F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000).select("o_orderkey")
 
 
-@query("b8_safe_cast_errors", "SELECT CAST(event_id AS VARCHAR) AS source_key, 'CDME-004' AS error_code, 'not_a_number' AS actual FROM events WHERE event_id % 13 = 0")
+@query("b8_safe_cast_errors", "SELECT CAST(event_id AS VARCHAR) AS source_key, 'CDME-002' AS error_code, 'not_a_number' AS actual FROM events WHERE event_id % 13 = 0")
 def b8(t: Tables) -> DataFrame:
     text = t.events.select("event_id", F.when(F.col("event_id") % 13 == 0, "not_a_number").otherwise(F.col("value").cast("string")).alias("v"))
     return S.safe_cast(text, "v", "double", "event_id")[1].select("source_key", "error_code", "actual")
