@@ -205,6 +205,16 @@ def test_mixing_counts(docs, rows, empty):
     assert mixing.op8(empty).count() == 0
 
 
+def test_mixing_counts_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_BYTES", 60)
+    rows = [(i, f"both w{i % 40} w{(i * 7 + 3) % 40} only{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in mixing.op8(df).collect()}
+    for d, held, n, known, train, base in mixing.brute_base(rows):
+        assert (got[d].held_out, got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (held, n, known, train)
+        assert abs(got[d].base_score - base) <= 1e-9 * abs(base)
+
+
 def test_mixing_is_a_distribution():
     words = [b"the", b"of", b"to", mixing.END]
     counts = np.array([50.0, 30.0, 20.0, 5.0])
