@@ -57,8 +57,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def text_hash(text: str) -> Column:
+    """XXH64 of the text; null counts as empty, so that both are copies of each other."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")))
+
+
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns but the text, with ``fp`` (64 bits as a signed long) and ``text_hash``."""
+    """All columns but the text, with ``fp`` (64 bits as a signed long)."""
     prepare(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
 
@@ -66,12 +71,11 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
         for part in slices(batches, text, SLICE_BYTES):
             raw = part.column(text).cast(pa.large_binary()).to_pylist()
             fps = np.array([fingerprint(t) for t in raw], np.uint64).view(np.int64)
-            kinds = pa.array([xxhash.xxh3_64_intdigest(t or b"") for t in raw], pa.uint64())
-            cols = [*(part.column(c) for c in keep), pa.array(fps), pa.array(kinds.to_numpy().view(np.int64))]
-            yield from pa.table(cols, names=[*keep, "fp", "text_hash"]).to_batches()
+            cols = [*(part.column(c) for c in keep), pa.array(fps)]
+            yield from pa.table(cols, names=[*keep, "fp"]).to_batches()
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(step, f"{kept + ', ' if kept else ''}fp long, text_hash long")
+    return docs.mapInArrow(step, f"{kept + ', ' if kept else ''}fp long")
 
 
 def counts(fp: Column) -> Column:
@@ -122,7 +126,8 @@ def links(distinct: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all rows (written once), and for each distinct fingerprint its component and that component's
     first row (``first.id``: smallest id, ``first.text_hash``)."""
-    marked = written(fingerprints(docs.select(F.col(id).alias("id"), F.col(text).alias(text)), text), "simhash-rows")
+    own = docs.select(F.col(id).alias("id"), F.col(text).alias(text), text_hash(text).alias("text_hash"))
+    marked = written(fingerprints(own, text), "simhash-rows")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     nodes = written(marked.groupBy("fp").agg(F.min(row).alias("first")), "simhash-nodes")
     found = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
@@ -142,12 +147,17 @@ def op5(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id, of repeated rows one."""
+    """One document of each component: the one with the smallest id, of repeated rows one.
+
+    Equal texts are in one component, so a kept row is named by id and text hash; rows that share both are repeats, of
+    which each task keeps one before anything is shuffled.
+    """
     _, groups = grouped(docs, id, text)
-    kept = groups.select(F.col("first.id").alias("_id")).distinct()
-    own = docs.join(kept, docs[id].eqNullSafe(kept["_id"]), "left_semi")
-    once = Window.partitionBy(id).orderBy(F.xxhash64(text), F.xxhash64(*docs.columns))
-    return own.withColumn("_once", F.row_number().over(once)).where("_once = 1").select(*docs.columns)
+    kept = groups.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct()
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
+    once = docs.groupBy(F.col(id).alias("_own"), text_hash(text).alias("_text")).agg(row)
+    own = once.join(kept, once["_own"].eqNullSafe(kept["_id"]) & (once["_text"] == kept["_hash"]), "left_semi")
+    return own.select("_row.*")
 
 
 def brute(texts: list[tuple[int, str | None]]) -> list[tuple[int, str, int]]:

@@ -117,6 +117,15 @@ def test_simhash(docs, rows, empty, spark):
     assert kept.count() == len({c for _, _, c in got.values()}) and kept.columns == docs.columns
 
 
+def test_dedupe_with_null_and_shared_ids(spark):
+    r = np.random.default_rng(9)
+    own = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 40)) for _ in range(24)]
+    rows = [(None, t) for t in own[:8]] * 2 + [(7, t) for t in own[8:16]] * 2 + [(i, t) for i, t in enumerate(own[16:], 100)] + [(None, own[16])]
+    kept = simhash.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(k.text for k in kept) == sorted(own)
+    assert {k.doc_id for k in kept if k.text == own[16]} == {100}
+
+
 def test_simhash_links_in_crowds(spark, monkeypatch):
     r = np.random.default_rng(3)
     base = int(r.integers(-(2**62), 2**62))
