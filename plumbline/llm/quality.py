@@ -39,6 +39,9 @@ LABELLED = 8000
 LEXICON = 2000
 #: Share of the toxic sample that a word or beginning must be in, copies counted once; eight documents at least.
 LEAST = 0.02
+#: Near copies in the labelled sample: min-hashes a text, those of a band, words of a shingle, and the share that must agree.
+SKETCH, BAND, SHINGLE, ALIKE = 64, 4, 3, 0.7
+MULTIPLIERS = np.random.default_rng(64).integers(1, 2**63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Documents that the scorers are trained on.
 TRAIN = 6000
 BUCKETS = 1 << 22
@@ -267,16 +270,47 @@ def mapped(df: DataFrame, text: str, columns: list[T.StructField], reader, row)
     return df.mapInArrow(step, T.StructType([*df.schema.fields, *columns]))
 
 
+def sketch(text: str) -> bytes:
+    """Min-hashes of the shingles of ``SHINGLE`` words; a text without words is only like its copies."""
+    words = LETTERS.findall(text.lower())
+    n = min(SHINGLE, len(words))
+    own = {zlib.crc32(" ".join(words[i : i + n]).encode()) for i in range(len(words) - n + 1)} if words else {zlib.crc32(text.encode())}
+    hashes, low = np.fromiter(own, np.uint64, len(own)), np.full(SKETCH, 2**32 - 1, np.uint64)
+    for i in range(0, len(hashes), 1 << 14):
+        mixed = (hashes[i : i + (1 << 14), None] + np.uint64(1)) * MULTIPLIERS
+        low = np.minimum(low, (mixed >> np.uint64(32)).min(axis=0))
+    return low.astype("<u4").tobytes()
+
+
+def apart(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    """Of (label, key, sketch) the label and key of rows that are no near copy of a kept one with their label; smaller keys
+    are kept first. Near copies share a band of the sketch, and ``ALIKE`` of its places is verified."""
+    kept: list[tuple[int, int]] = []
+    held: list[np.ndarray] = []
+    bands: dict[tuple, list[int]] = {}
+    for label, key, raw in sorted(rows):
+        own = np.frombuffer(raw, "<u4")
+        names = [(label, k, own[k : k + BAND].tobytes()) for k in range(0, SKETCH, BAND)]
+        near = sorted({i for name in names for i in bands.get(name, ())})
+        if near and (np.stack([held[i] for i in near]) == own).mean(axis=1).max() >= ALIKE:
+            continue
+        for name in names:
+            bands.setdefault(name, []).append(len(held))
+        kept.append((label, key))
+        held.append(own)
+    return kept
+
+
 def toxic_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text") -> frozenset[str]:
     """Words and beginnings (marked by a hyphen) of the labelled sample that speak for a toxic text."""
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     rows = docs.select("doc_id", text).where(f"{text} is not null").join(F.broadcast(sample), "doc_id").select(text, F.col("toxic").cast("long").alias("toxic"))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [min((zlib.crc32(w.encode()) for w in set(LETTERS.findall(t.lower()))), default=0) for t in batch.column(text).to_pylist()]
-            yield batch.append_column("key", pa.array(keys, pa.int64()))
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text, SLICE_BYTES):
+            sketches = [sketch(t) for t in part.column(text).to_pylist()]
+            yield from part.append_column("sketch", pa.array(sketches, pa.binary())).to_batches()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text, SLICE_BYTES):
@@ -290,8 +324,11 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text") -> fro
             keys = list(seen)
             yield pa.record_batch([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([bad[k] for k in keys], pa.int64())], ["piece", "n", "bad"])
 
-    # copies and near copies mostly share the smallest word hash; they count once
-    rows = written(rows.mapInArrow(keyed, f"{text} string, toxic long, key long").dropDuplicates(["key", "toxic"]).select(text, "toxic"), "quality-sample")
+    # copies and near copies count once
+    once = rows.withColumn("key", F.xxhash64(text)).dropDuplicates(["key", "toxic"])
+    rows = written(once.mapInArrow(sketched, f"{text} string, toxic long, key long, sketch binary"), "quality-sample")
+    kept = apart([(r.toxic, r.key, r.sketch) for r in rows.select("toxic", "key", "sketch").collect()])
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "toxic long, key long")), ["toxic", "key"]).select(text, "toxic")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     if not totals.bad:
         return frozenset()

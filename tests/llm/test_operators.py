@@ -160,6 +160,20 @@ def test_quality(spark, empty):
     assert quality.clean(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_lexicon_counts_near_copies_once_and_keeps_unrelated_texts(spark):
+    r = np.random.default_rng(6)
+    name = lambda: "".join(chr(97 + int(x)) for x in r.integers(0, 26, 9))
+    vocabulary = [name() for _ in range(60)]  # long texts hold all of it, so they share the smallest word hash
+    mixed = lambda *more: " ".join([*map(str, r.permutation(vocabulary)), *more])
+    copies = [mixed("grobnak") for _ in range(1)] * 30
+    toxic = [mixed("blorvex") for _ in range(20)] + [f"{t} {name()}" for t in copies]
+    clean = [mixed() for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < len(toxic))) for i in range(len(toxic + clean))], "doc_id long, quality int, toxic int")
+    lexicon = quality.toxic_lexicon(docs, labels)
+    assert "blorvex" in lexicon and "grobnak" not in lexicon
+
+
 def test_label_model():
     truth = np.random.default_rng(0).random(4000) < 0.2
     r = np.random.default_rng(1)
