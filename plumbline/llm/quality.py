@@ -340,6 +340,13 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text") -> fro
     return frozenset(r.piece for r in top)
 
 
+def training_sample(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``TRAIN`` distinct texts with a word, by salted hash; copies are one piece of evidence and take one place."""
+    worded = docs.where(F.col(text).rlike(r"\S")).select(F.xxhash64(text).alias("key"), text)
+    keys = worded.select("key").distinct().orderBy(F.xxhash64("key", F.lit("train")), "key").limit(TRAIN)
+    return worded.join(F.broadcast(keys), "key").groupBy("key").agg(F.any_value(text).alias(text)).select(text)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, text: str = "text") -> Reader:
     """A reader with lexicon and scorers, from all documents' flag patterns and the bounded samples."""
     prepare(docs.sparkSession)
@@ -354,12 +361,10 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text") -> Reader:
         toxic_counts[r.toxic_flags] += r.n
     junk = estimate(junk_counts, len(JUNK))[0]
     toxic = estimate(toxic_counts, len(TOXIC))[0]
-    total = sum(junk_counts.values())
-    share = min(1.0, 1.1 * TRAIN / max(1, total))
-    drawn = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(TRAIN)
+    drawn = training_sample(docs, text)
     columns = [*long, *(T.StructField(n, T.BinaryType()) for n in ("tokens", "whole"))]
     rows = mapped(drawn, text, columns, Reader(lexicon, features=True), lambda r, t: features(r.read(t))).drop(text)
-    rows = rows.orderBy(F.xxhash64("tokens"), "junk_flags", "toxic_flags").collect()
+    rows = rows.orderBy(F.xxhash64("tokens"), "tokens", "whole").collect()
     tokens, whole = ([np.frombuffer(r[c], np.int32) for r in rows] for c in ("tokens", "whole"))
     scorers = [trained(tokens, whole, np.array([post.get(r[c], 0.0) for r in rows])) for post, c in ((junk, "junk_flags"), (toxic, "toxic_flags"))]
     return Reader(lexicon, *scorers)

@@ -160,6 +160,17 @@ def test_quality(spark, empty):
     assert quality.clean(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_quality_learns_beside_nulls_and_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN", 100)
+    good = ["The river runs past the old mill and the road turns north toward hills of pine %d" % i for i in range(60)]
+    junk = ["&&& Xx%% yy$$ zz### " * 12 + str(i) for i in range(12)] + ["| a | b | c | d " * 10 + str(i) for i in range(12)]
+    rest = [None, ""] * 1000 + good[:1] * 500
+    docs = spark.createDataFrame(list(enumerate([*good, *junk, *rest])), "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    keep = {r.doc_id: r.keep for r in quality.op6(docs, labels).collect()}
+    assert not any(keep[i] for i in range(60, 84)) and all(keep[i] for i in keep if not 60 <= i < 84)
+
+
 def test_lexicon_counts_near_copies_once_and_keeps_unrelated_texts(spark):
     r = np.random.default_rng(6)
     name = lambda: "".join(chr(97 + int(x)) for x in r.integers(0, 26, 9))
