@@ -3,11 +3,12 @@
 Base spans come from four patterns whose matches are checked (numbers of at most 255, Luhn digits, digit counts). The
 positions follow from splitting a text at its matches: a match starts where the pieces and matches before it end.
 
-Terms that reveal a protected entity are found from the whole corpus. The unit of co-occurrence is a distinct line, so
-that copies of a document do not count twice; a term t discloses an entity e when their pointwise mutual information
-reaches the information content of e but for ``SLACK`` bits, which is p(e|t) >= 2^-SLACK, on ``SUPPORT`` distinct lines
-at least. The document count of t stands below p(e|t), so a term that is common elsewhere never qualifies. Occurrences
-of disclosing terms become spans of kind ``term``; ``sanitise`` generalises every span to its kind.
+Terms that reveal a protected entity are found from the whole corpus. The unit of all counts is a distinct document
+text, so that copies do not count twice; a term t and an entity e meet in a document when a line holds both. t discloses
+e when their pointwise mutual information reaches the information content of e but for ``SLACK`` bits, which is
+p(e|t) >= 2^-SLACK (the count of e cancels out), in ``SUPPORT`` distinct documents at least. A term that is common
+elsewhere never qualifies. Occurrences of disclosing terms become spans of kind ``term``; ``sanitise`` generalises every
+span to its kind.
 
 The patterns keep to possessive loops and anchored starts, so that long runs neither overflow the stack nor cost
 quadratic time; they match what the plain patterns match.
@@ -30,7 +31,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"\p{L}{3,}"
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct lines on which a term and an entity must meet.
+#: Distinct documents in which a term and an entity must meet.
 SUPPORT = 3
 #: Bits that the mutual information may lack to the entity's information content.
 SLACK = 1
@@ -90,21 +91,25 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("base", F.concat(*kinds))
 
 
-def disclosing(based: DataFrame, text: str = "text", support: int = SUPPORT, slack: int = SLACK) -> DataFrame:
+def words(text: Column) -> Column:
+    """Distinct lower-cased words."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def disclosing(docs: DataFrame, text: str = "text", support: int = SUPPORT, slack: int = SLACK) -> DataFrame:
     """Terms (``term``) whose presence gives away a protected entity, from all documents."""
-    held = based.where(F.size("base") > 0)
+    texts = docs.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("_key")).agg(F.any_value(text).alias(text))
+    texts = written(texts.select(text), "pii-texts")
+    held = with_base(texts, text).where(F.size("base") > 0)
     value = F.transform("base", lambda s: F.substring(F.col(text), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))
     lines = held.select(F.explode(F.array_distinct(value)).alias("entity"), F.split(text, "\n").alias("lines"))
-    lines = lines.select("entity", F.explode(F.expr("filter(lines, x -> contains(x, entity))")).alias("line"))
-    lines = lines.groupBy("entity", F.xxhash64("line").alias("place")).agg(F.any_value("line").alias("line"))
-    bare = F.expr("replace(line, entity, ' ')")
-    words = F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)), F.lower))
-    pairs = lines.select("entity", F.explode(words).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
+    bare = F.expr("transform(filter(lines, x -> contains(x, entity)), x -> replace(x, entity, ' '))")
+    pairs = lines.select("entity", F.explode(words(F.array_join(bare, "\n"))).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
     pairs = written(pairs.where(F.col("n") >= support), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("term")
-    everywhere = based.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)), F.lower))).alias("term"))
-    counts = everywhere.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    everywhere = texts.select(F.explode(words(F.col(text))).alias("term"))
+    counts = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     told = pairs.join(counts, "term").where(F.col("n") * (1 << slack) >= F.col("docs"))
     return written(told.select("term").distinct(), "pii-terms")
 
@@ -112,12 +117,11 @@ def disclosing(based: DataFrame, text: str = "text", support: int = SUPPORT, sla
 def with_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, slack: int = SLACK) -> DataFrame:
     """Add ``base`` and ``spans`` (the base spans, then spans of disclosing terms)."""
     based = with_base(docs, text)
-    terms = disclosing(based, text, support, slack)
+    terms = disclosing(docs, text, support, slack)
     if terms.isEmpty():
         return based.withColumn("spans", F.col("base"))
     key = F.xxhash64(text).alias("_key")
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lower))
-    places = docs.select(text, key).select("_key", F.explode(words).alias("term")).join(terms, "term")
+    places = docs.select(text, key).select("_key", F.explode(words(F.col(text))).alias("term")).join(terms, "term")
     places = written(places.groupBy("_key").agg(F.collect_set("term").alias("_terms")), "pii-places")  # at most a text's words
     joined = based.withColumn("_key", F.xxhash64(text)).join(places, "_key", "left")
     own = located(F.col(text), WORD, "term", lambda m: F.array_contains(F.col("_terms"), F.lower(m)))

@@ -230,6 +230,17 @@ def test_pii_terms(spark):
     assert "Brunhilde" not in text and "[EMAIL]" in text and "wrote" in text
 
 
+def test_pii_terms_with_copies_and_one_signature(spark):
+    told = [(i, f"line {w} says Brunhilde wrote to b.h@example.org about {w}") for i, w in enumerate(["apples", "pears", "plums", "figs"])]
+    told += [(10 + i, told[0][1]) for i in range(1000)]
+    signed = [(2000 + i, f"note {i} about the {w}\nGreetings from Kunibert, k.u@example.org") for i, w in enumerate(["sun", "moon", "sea", "hill", "road"])]
+    other = [(3000 + i, f"somebody says and wrote about line {i}, greetings from the note") for i in range(30)]
+    df = spark.createDataFrame(told + signed + other, "doc_id long, text string")
+    text = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("Brunhilde" in t or "Kunibert" in t for t in text.values())
+    assert all(text[i] == t for i, t in other) and text[2000] == "note 0 about the sun\nGreetings from [TERM], [EMAIL]"
+
+
 def test_mixing_counts(docs, rows, empty):
     got = {r.doc_id: r for r in mixing.op8(docs).collect()}
     for d, held, n, known, train, base in mixing.brute_base(rows):
