@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,7 +53,11 @@ def matrix(events: DataFrame, row: str, column: str, values: Sequence[str]) -> D
 
 
 def hierarchy(nodes: DataFrame, id: str, parent: str, depth: int = 12) -> DataFrame:
-    """Depth and root of every node by joins up to a fixed depth; nodes without a known parent are roots of depth 1."""
+    """Depth and root of every node; nodes without a known parent are roots of depth 1.
+
+    The first ``depth`` levels go by joins; where roots are higher, the distance doubles in every further round, until all
+    are reached. Nodes of a cycle or below one have no root and are left out.
+    """
     edges = nodes.select(F.col(id).alias("id"), F.col(parent).alias("parent"))
     known = edges.select(F.col("id").alias("_known"))
     edges = edges.join(known, edges["parent"] == known["_known"], "left").select("id", F.when(F.col("id") != F.col("_known"), F.col("_known")).alias("parent"))
@@ -63,7 +68,26 @@ def hierarchy(nodes: DataFrame, id: str, parent: str, depth: int = 12) -> DataFr
         step += 1
         higher = current.join(up, current["root"] == up["_id"], "left")
         current = higher.select("id", F.coalesce("_up", "root").alias("root"), F.when(F.col("_up").isNotNull(), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
-    return current
+    below = edges.where("parent is not null").select(F.col("id").alias("_below")).distinct()
+    state = current.join(below, current["root"] == below["_below"], "left").select("id", "root", "depth", F.col("_below").isNotNull().alias("open"))
+    state, reach = round_written(state), max(1, depth - 1)
+    left = state.where("open").count()
+    limit = reach + left  # a path to a root has no more than these further nodes; what is open beyond is cyclic
+    while left and reach < limit:
+        upper = state.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("open").alias("_open"))
+        higher = state.where("open").join(upper, F.col("root") == F.col("_id"))
+        higher = higher.select("id", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth") - 1).alias("depth"), F.col("_open").alias("open"))
+        state, reach = round_written(state.where("not open").unionByName(higher)), reach * 2
+        left = state.where("open").count()
+    return state.where("not open").select("id", "root", "depth")
+
+
+def round_written(df: DataFrame) -> DataFrame:
+    """Write a round to the folder that driver and executors share, so that plans do not grow and no round is lost."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/hierarchy-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pass_ratio(results: DataFrame, edge: str, passed: Column) -> DataFrame:

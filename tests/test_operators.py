@@ -143,3 +143,9 @@ def test_sinks(spark, tmp_path):
 def test_hierarchy_orphans_and_depth(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (9, 77)], "id long, parent long")
     assert {r.id: (r.root, r.depth) for r in M.hierarchy(df, "id", "parent", 5).collect()} == {1: (1, 1), 2: (1, 2), 3: (1, 3), 9: (9, 1)}
+
+
+def test_hierarchy_reaches_far_roots_and_leaves_cycles_out(spark):
+    rows = [(i, i - 1) for i in range(1, 60)] + [(0, None), (100, 101), (101, 102), (102, 100), (103, 100), (200, 0)]
+    got = {r.id: (r.root, r.depth) for r in M.hierarchy(spark.createDataFrame(rows, "id long, parent long"), "id", "parent", 5).collect()}
+    assert got == {i: (0, i + 1) for i in range(60)} | {200: (0, 2)}
