@@ -152,7 +152,11 @@ def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     Equal texts are in one component, so a kept row is named by id and text hash; rows that share both are repeats, of
     which each task keeps one before anything is shuffled.
     """
-    _, groups = grouped(docs, id, text)
+    return first_rows(docs, grouped(docs, id, text)[1], id, text)
+
+
+def first_rows(docs: DataFrame, groups: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``groups`` name as ``first`` (``id``, ``text_hash``), of repeated rows one."""
     kept = groups.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct()
     row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
     once = docs.groupBy(F.col(id).alias("_own"), text_hash(text).alias("_text")).agg(row)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, graph, htmltext, mixing, neargraph, pii, quality, shards, simhash, substrings
+import corpus_pipeline
+from plumbline.llm import bpe, decontaminate, graph, htmltext, mixing, neargraph, neartext, pii, quality, shards, simhash, substrings
 
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards box with daft zebras near a quiet river bank today"
 TEXTS = [
@@ -126,6 +127,30 @@ def test_dedupe_with_null_and_shared_ids(spark):
     assert {k.doc_id for k in kept if k.text == own[16]} == {100}
 
 
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_near_duplicates_stage(spark, monkeypatch, crowd):
+    monkeypatch.setattr(neartext, "CROWDED", crowd)
+    r = np.random.default_rng(8)
+    texts = []
+    for _ in range(12):
+        words = [f"w{x}" for x in r.integers(0, 10**6, 150)]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 8):  # an edit in the middle changes five shingles
+            new = list(words)
+            for at in r.choice(np.arange(5, 145, 8), edits, replace=False):
+                new[at] = f"v{r.integers(0, 10**6)}"
+            texts.append(" ".join(new))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    low = list(range(len(texts)))
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)]
+    for _ in range(5):
+        for i, j in near:
+            low[i] = min(low[i], low[j])
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, texts[0].upper()), (901, None), (902, " "), (None, texts[3])]
+    kept = corpus_pipeline.deduped(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(k.doc_id for k in kept.collect()) == [*sorted(set(low)), 901] and len(set(low)) < 40
+
+
 def test_simhash_links_in_crowds(spark, monkeypatch):
     r = np.random.default_rng(3)
     base = int(r.integers(-(2**62), 2**62))
