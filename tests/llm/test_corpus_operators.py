@@ -285,17 +285,6 @@ def test_mixing_counts_over_chunks(spark, monkeypatch):
         assert abs(got[d].base_score - base) <= 1e-9 * abs(base)
 
 
-def test_mixing_is_a_distribution():
-    words = [b"the", b"of", b"to", mixing.END]
-    counts = np.array([50.0, 30.0, 20.0, 5.0])
-    table = np.zeros((2, int(mixing.START[-1])), np.float32)
-    mixing.add_counts(table, words, counts, 1)
-    mixer = mixing.Mixer()
-    mixer.all_bits(words, counts, table, learn=True)
-    total = (2 ** -mixer.all_bits([bytes([b]) for b in range(33, 128)] + words, np.zeros(99), table)).sum()
-    assert total <= 1.0001 and mixer.all_bits([b"the"], counts[:1], table)[0] < 4
-
-
 def test_substrings(docs, rows, empty):
     got = {r.doc_id: tuple(r) for r in substrings.op10(docs).collect()}
     assert [got[i] for i, _ in rows] == substrings.brute(rows)
