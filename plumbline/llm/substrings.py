@@ -8,23 +8,25 @@ round halves what is missing to the threshold. A group's rank is its first posit
 leave; runs that agree whole are decided at once (all but the first start earlier elsewhere); only runs that agree in
 part are split in two, as one run at each end of a repeated passage does. The rounds end past the threshold.
 
-Tasks hold one document's hashes at a time; hot strings are pre-aggregated before the shuffle and are never collected.
-Two bit fields of a fixed size spare the second and third reading most rows; they decide nothing.
+Tasks hold the hashes of half a megabyte at a time; hot strings are pre-aggregated before the shuffle and never gathered.
+Two bit fields of a fixed size spare the second and third reading most rows; they decide nothing. Runs count as equal when
+two hashes of 64 bits agree (of the shared string and of all bytes); bytes are not compared again.
 
 Defined results: a null or empty text has no bytes; a null ``doc_id`` comes before all others; rows that repeat with
 their ``doc_id`` and text count as one document and get one result each; strings are judged on the input; extra columns
-are ignored.
+are ignored; ids that are not whole numbers raise an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, slices, written
@@ -64,45 +66,90 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of starts with one anchor: gram hashes, anchors, first starts, ends of starts. A long text comes in pieces."""
-    for begin in range(0, len(text) - LENGTH + 1, PIECE):
-        raw = np.frombuffer(text, np.uint8, min(PIECE + LENGTH - 1, len(text) - begin), begin)
+#: Where grams start that together cover a run's bytes, beside its last gram.
+COVER = (0, GRAM, 2 * GRAM, 3 * GRAM)
+
+
+@dataclass
+class Runs:
+    """Runs of starts with one anchor: the anchor's gram hash, a hash of all bytes and of the place of the anchor, the number
+    of the text, the first start in it, how far the anchor is from there, and how many starts there are."""
+
+    gram: np.ndarray
+    s: np.ndarray
+    text: np.ndarray
+    p: np.ndarray
+    back: np.ndarray
+    n: np.ndarray
+
+    def where(self, keep: np.ndarray) -> Runs:
+        return Runs(*(getattr(self, f.name)[keep] for f in fields(self)))
+
+
+def mixed(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for x in parts:
+        out = (out ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
+def runs(texts: list[bytes], whole: bool = True) -> Iterator[Runs]:
+    """Runs of all texts, which are hashed end to end in pieces; no run crosses from one text to the next. Without ``whole``
+    the hash of all bytes is left out."""
+    flat = b"".join(texts)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    cuts = np.unique(np.concatenate([begins, np.maximum(begins, ends - LENGTH + 1)]))  # where texts and their last starts end
+    for begin in range(0, len(flat) - LENGTH + 1, PIECE):
+        raw = np.frombuffer(flat, np.uint8, min(PIECE + LENGTH - 1, len(flat) - begin), begin)
         h = gram_hashes(raw)
         low = sliding_min((h & ~AT) | np.arange(len(h), dtype=np.uint64), PLACES)
         anchor = (low & AT).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        edge = np.empty(len(anchor), bool)
+        edge[0] = True
+        np.not_equal(anchor[1:], anchor[:-1], out=edge[1:])
+        own = cuts[np.searchsorted(cuts, begin) : np.searchsorted(cuts, begin + len(anchor))]
+        edge[own - begin] = True
+        first = np.flatnonzero(edge)
         end = np.append(first[1:], len(anchor))
-        yield h[anchor[first]].view(np.int64), anchor[first] + begin, first + begin, end + begin
-
-
-def marks(gram: np.ndarray, s: np.ndarray, doc: int, p: np.ndarray) -> np.ndarray:
+        text = np.searchsorted(ends, first + begin, side="right")
+        fits = ends[text] - (first + begin) >= LENGTH
+        first, end, text = first[fits], end[fits], text[fits]
+        at = anchor[first]
+        content = h[at].view(np.int64)
+        if whole:
+            last = end + LENGTH - GRAM - 1
+            content = mixed([*(h[np.minimum(first + k, last)] for k in COVER), h[last], end - first, at - first])
+        yield Runs(h[at].view(np.int64), content, text, first + begin - begins[text], at - first, end - first)
+
+
+def marks(gram: np.ndarray, s: np.ndarray, doc: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The bit that stands for a run; ``mark_of`` is its twin over columns."""
-    return (gram ^ s ^ (p << 3) ^ np.int64((doc & 0xFFFFFFFF) << 9)) & (BITS - 1)
+    return (gram ^ s ^ (p << 3) ^ ((doc & 0xFFFFFFFF) << 9)) & (BITS - 1)
 
 
 def mark_of() -> Column:
-    gram = F.conv(F.hex("key"), 16, -10).cast("long")
     doc = F.shiftleft(F.col("doc").bitwiseAND(F.lit(0xFFFFFFFF)), 9)
-    return gram.bitwiseXOR(F.col("s")).bitwiseXOR(F.shiftleft(F.col("p").cast("long"), 3)).bitwiseXOR(doc).bitwiseAND(F.lit(BITS - 1))
+    return F.col("key").bitwiseXOR(F.col("s")).bitwiseXOR(F.shiftleft(F.col("p").cast("long"), 3)).bitwiseXOR(doc).bitwiseAND(F.lit(BITS - 1))
 
 
 #: A run: its key, the hash of all its bytes, its document, its first start, how far the anchor is from there, how many
 #: starts it has, whether an equal run of the same slice comes before it, and its bytes where they are needed.
-RUN = "key binary, s long, doc long, t long, p int, back int, n int, later boolean, content binary"
+RUN = "key long, s long, doc long, t long, p int, back int, n int, later boolean, content binary"
 NAMES = ("key", "s", "doc", "t", "p", "back", "n", "later", "content")
-KINDS = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
 
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows without their flag; of equal runs all but the first are marked as later."""
-    first: dict[tuple, tuple] = {}
-    for r in rows:
-        own, at = r[:2], (r[2], r[3], r[4])
-        if first.setdefault(own, at) > at:
-            first[own] = at
-    cols = list(zip(*((*r[:7], first[r[:2]] < (r[2], r[3], r[4]), r[7]) for r in rows), strict=True)) or [()] * len(NAMES)
-    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)], list(NAMES))
+def batch_of(key: np.ndarray, s: np.ndarray, doc: np.ndarray, t: np.ndarray, p: np.ndarray, back: np.ndarray, n: np.ndarray, content: list[bytes] | None) -> pa.RecordBatch:
+    """Rows of runs; of equal runs all but the first are marked as later."""
+    order = np.lexsort((p, t, doc, s, key))
+    same = np.concatenate(([False], (key[order][1:] == key[order][:-1]) & (s[order][1:] == s[order][:-1]))) if len(order) else np.zeros(0, bool)
+    later = np.empty(len(order), bool)
+    later[order] = same
+    cols = [pa.array(c, k) for c, k in zip((key, s, doc, t, p, back, n, later), KINDS, strict=False)]
+    return pa.record_batch([*cols, pa.nulls(len(key), pa.binary()) if content is None else pa.array(content, pa.binary())], list(NAMES))
 
 
 def run_rows(docs: DataFrame, bits, rows: bool = False) -> DataFrame:
@@ -110,19 +157,15 @@ def run_rows(docs: DataFrame, bits, rows: bool = False) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            out: list[tuple] = []
-            for doc, t, raw in zip(*(part.column(c).to_pylist() for c in ("doc", "t", "text")), strict=True):
-                for gram, anchor, first, end in runs(raw or b""):
-                    if not rows:
-                        keep = is_set(bits.value, gram)
-                        gram, anchor, first, end = (x[keep] for x in (gram, anchor, first, end))
-                    s = np.array([xxhash.xxh3_64_intdigest(raw[a : b + LENGTH - 1], c - a) for a, b, c in zip(first.tolist(), end.tolist(), anchor.tolist(), strict=True)], np.uint64).view(np.int64)
-                    if rows and len(s):
-                        keep = is_set(bits.value, marks(gram, s, doc, first))
-                        gram, anchor, first, end, s = (x[keep] for x in (gram, anchor, first, end, s))
-                    for g, h, a, b, c in zip(gram.tolist(), s.tolist(), first.tolist(), end.tolist(), anchor.tolist(), strict=True):
-                        out.append((g.to_bytes(8, "big", signed=True), h, doc, t, a, c - a, b - a, raw[a : b + LENGTH - 1] if rows else None))
-            yield batch_of(out)
+            doc, t = part.column("doc").to_numpy(), part.column("t").to_numpy()
+            texts = [x or b"" for x in part.column("text").to_pylist()]
+            for own in runs(texts):
+                at = marks(own.gram, own.s, doc[own.text], own.p) if rows else own.gram
+                own = own.where(is_set(bits.value, at))
+                content = None
+                if rows:
+                    content = [texts[k][a : a + b + LENGTH - 1] for k, a, b in zip(own.text.tolist(), own.p.tolist(), own.n.tolist(), strict=True)]
+                yield batch_of(own.gram, own.s, doc[own.text], t[own.text], own.p, own.back, own.n, content)
 
     return docs.mapInArrow(step, RUN)
 
@@ -132,7 +175,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            found = [g for raw in part.column("text").to_pylist() for g, *_ in runs(raw or b"")]
+            found = [own.gram for own in runs([x or b"" for x in part.column("text").to_pylist()], whole=False)]
             used, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.record_batch([pa.array(used), pa.array(n.astype(np.int32))], ["g", "n"])
 
@@ -159,6 +202,7 @@ def halves(df: DataFrame, size: int) -> DataFrame:
     """Cut runs at multiples of ``size`` places before their anchor; the key is what all starts of such a block share."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out: list[tuple] = []
             for doc, t, p, back, n, content in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "p", "back", "n", "content")), strict=True):
@@ -167,25 +211,26 @@ def halves(df: DataFrame, size: int) -> DataFrame:
                     top, bottom = min(back, block * size + size - 1), max(low, block * size)
                     core = content[back - block * size : back + LENGTH - block * size - size + 1]
                     hull = content[back - top : back - bottom + LENGTH]
-                    key = xxhash.xxh3_128_digest(core, block)
-                    h = xxhash.xxh3_64_intdigest(hull, top)
-                    out.append((key, h - (1 << 64) if h >> 63 else h, doc, t, p + back - top, top, top - bottom + 1, hull))
-            yield batch_of(out)
+                    out.append((digest(core, block), digest(hull, top), doc, t, p + back - top, top, top - bottom + 1, hull))
+            key, s, *rest, content = zip(*out, strict=True) if out else ((),) * 8
+            hashes = (np.array(x, np.uint64).view(np.int64) for x in (key, s))
+            yield batch_of(*hashes, *(np.array(x, np.int64) for x in rest), list(content))
 
     return df.select("doc", "t", "p", "back", "n", "content").mapInArrow(step, RUN)
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """Runs with ``later``: an equal run comes before it, so all its starts are repeats; or with ``split``: it is the first
-    of its kind, but its key has other kinds. All others leave. A key's rows are one a slice and kind at most."""
-    place = F.struct("doc", "t", "p")
-    one = Window.partitionBy("key", "s")
-    key = Window.partitionBy("key")
+def ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs with an equal run before them, so that all their starts are repeats; and runs that are the first of their kind,
+    but whose key has other kinds. All others leave. Minima are pre-aggregated and joined back, so no key is gathered."""
+    rows = written(rows, "substring-runs")
     own = rows.where(~F.col("later"))
-    own = own.withColumn("first", F.min(place).over(one)).withColumn("low", F.min("s").over(key)).withColumn("high", F.max("s").over(key))
-    own = own.withColumn("later", place > F.col("first")).withColumn("split", (place == F.col("first")) & (F.col("low") < F.col("high")))
-    own = own.drop("first", "low", "high").where("later or split")
-    return written(own.unionByName(rows.where("later").withColumn("split", F.lit(False))), "substring-ranks")
+    place = F.struct("doc", "t", "p")
+    kinds = written(own.groupBy("key", "s").agg(F.min(F.struct("doc", "t", "p", "back", "n", "content")).alias("first")), "substring-kinds")
+    several = kinds.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
+    again = own.join(kinds.select("key", "s", F.struct("first.doc", "first.t", "first.p").alias("first")), ["key", "s"]).where(place > F.col("first"))
+    where = ("doc", "t", "p", "n")
+    later = written(rows.where("later").select(*where).unionByName(again.select(*where)), "substring-later")
+    return later, written(kinds.join(several, "key", "left_semi").select("key", "s", "first.*"), "substring-split")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -193,17 +238,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     grams = written(gram_counts(docs), "substring-grams")
     bits = spark.sparkContext.broadcast(bit_field(grams, F.col("g")))
-    level = ranked(run_rows(docs, bits))
-    out = level.where("later").select("doc", "t", "p", "n")
-    parts = level.where("split")
+    out, parts = ranked(run_rows(docs, bits))
     bits = spark.sparkContext.broadcast(bit_field(parts, mark_of()))
-    whole = run_rows(docs, bits, rows=True).drop("later", "key", "s", "n", "back")
-    current = written(parts.select("doc", "t", "p", "back", "n").join(whole, ["doc", "t", "p"]), "substring-parts")
+    whole = run_rows(docs, bits, rows=True).select("doc", "t", "p", "content")
+    current = written(parts.drop("content", "key", "s").join(whole, ["doc", "t", "p"]), "substring-parts")
     size = PLACES // 2
     while size and not current.isEmpty():
-        level = ranked(halves(current, size))
-        out = out.unionByName(level.where("later").select("doc", "t", "p", "n"))
-        current = level.where("split")
+        later, current = ranked(halves(current, size))
+        out = out.unionByName(later)
         size //= 2
     return out
 
@@ -211,6 +253,8 @@ def repeated(docs: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes) and ``spans`` for every row."""
     prepare(docs.sparkSession)
+    if docs.schema[id].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id} must hold whole numbers, for they order the documents")
     raw = F.col(text).cast("binary")
     own = docs.select(F.col(id).alias("id"), F.coalesce(F.col(id).cast("long"), F.lit(NONE)).alias("doc"), raw.alias("text"))
     again = own.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
