@@ -19,6 +19,7 @@ import heapq
 import json
 import mmap
 import re
+import sys
 import tempfile
 import unicodedata
 import uuid
@@ -29,7 +30,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,27 +129,71 @@ class Merges:
         return tuple(i for i in ids if i >= 0)
 
 
-def explicit(pattern: str) -> str:
-    """A pattern in which the classes for letters, numbers and white space list their characters up to ``LATIN``."""
-    for name, of in ((r"\p{L}", regex.compile(r"\p{L}")), (r"\p{N}", regex.compile(r"\p{N}")), (r"\s", regex.compile(r"\s"))):
-        pattern = pattern.replace(name, "".join(re.escape(chr(c)) for c in range(LATIN + 1) if of.match(chr(c))))
-    return pattern
+#: Fixed values. Letters and numbers that Unicode 16 adds to the tables of Python's unicodedata (15.1).
+LETTERS_ADDED = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+NUMBERS_ADDED = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Small letters of capitals that Unicode 16 and 17 add: capital, small letter, how many in a row.
+LOWER_ADDED = ((0x1C89, 0x1C8A, 1), (0xA7CB, 0x0264, 1), (0xA7CC, 0xA7CD, 1), (0xA7CE, 0xA7CF, 1), (0xA7D2, 0xA7D3, 1), (0xA7D4, 0xA7D5, 1), (0xA7DA, 0xA7DB, 1), (0xA7DC, 0x019B, 1), (0x10D50, 0x10D70, 22), (0x16EA0, 0x16EBB, 25))
+LOWERED = {a + k: b + k for a, b, n in LOWER_ADDED for k in range(n)}
+
+
+#: Characters that the library's normalisation, of Unicode 9, does not know: nothing is reordered or composed across them.
+UNKNOWN_MARKS = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A"
+    " 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+
+
+def added(ranges: str) -> set[int]:
+    ends = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return {c for r in ends for c in range(r[0], r[-1] + 1)}
+
+
+def members(last: int) -> dict[str, str]:
+    """The characters up to ``last`` of the classes for letters, numbers and white space, as ranges of a pattern."""
+    more = {"L": added(LETTERS_ADDED), "N": added(NUMBERS_ADDED)}
+    kinds = {k: [c for c in range(last + 1) if unicodedata.category(chr(c))[0] == k or c in more[k]] for k in "LN"}
+    kinds["s"] = [c for c in range(last + 1) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    out = {}
+    for k, own in kinds.items():
+        starts = [c for c, d in zip(own, [-2, *own], strict=False) if c != d + 1]
+        ends = [c for c, d in zip(own, [*own[1:], -2], strict=True) if d != c + 1]
+        out[k] = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a < b else re.escape(chr(a)) for a, b in zip(starts, ends, strict=True))
+    return out
+
+
+def explicit(pattern: str, last: int) -> re.Pattern[str]:
+    """A pattern in which the classes for letters, numbers and white space list their characters up to ``last``."""
+    own = members(last)
+    for name, k in ((r"\p{L}", "L"), (r"\p{N}", "N"), (r"\s", "s")):
+        pattern = pattern.replace(name, own[k])
+    return re.compile(pattern)
 
 
 class Splitter:
     """Raw text to words and special tokens."""
 
     def __init__(self, merges: Merges):
-        self.word = regex.compile(merges.pattern)
-        self.latin_word, self.beyond = re.compile(explicit(merges.pattern)), re.compile(f"[^\x00-{chr(LATIN)}]")
+        self.word, self.latin_word = explicit(merges.pattern, sys.maxunicode), explicit(merges.pattern, LATIN)
+        self.beyond, self.capital = re.compile(f"[^\x00-{chr(LATIN)}]"), re.compile(f"[{''.join(map(chr, LOWERED))}]")
+        self.unknown = re.compile(f"([{''.join(map(chr, sorted(added(UNKNOWN_MARKS))))}])")
         self.special = merges.special
-        self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(merges.special, key=len, reverse=True)) or r"(?!)")
+        self.cut = re.compile("|".join(re.escape(s) for s in sorted(merges.special, key=len, reverse=True)) or r"(?!)")
+
+    def composed(self, text: str) -> str:
+        if self.unknown.search(text):
+            return "".join(unicodedata.normalize("NFC", part) for part in self.unknown.split(text))
+        return unicodedata.normalize("NFC", text)
 
     def plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            return (self.word if self.beyond.search(text) else self.latin_word).findall(text)
-        return self.latin_word.findall(text.lower())
+        if text.isascii():
+            return self.latin_word.findall(text.lower())
+        text = self.composed(text).replace("Σ", "σ").lower()
+        if not self.beyond.search(text):
+            return self.latin_word.findall(text)
+        if self.capital.search(text):
+            text = text.translate(LOWERED)
+        return self.word.findall(text)
 
     def parts(self, text: str) -> Iterator[tuple[list[str], int | None]]:
         """Stretches of words, each with the id of the special token behind it."""
