@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import merge_upsert
+from .joins import compare
+
 
 def _totals(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(F.col(column).cast("decimal(20,3)")).alias(out))
@@ -66,6 +69,41 @@ def breaches(results: DataFrame, reverse: DataFrame, key: str, limit: float) ->
     return over.join(sources, key).select(key, F.col("total_a").alias("expected"), F.col("total_b").alias("actual"), F.round(F.col("gap") - limit, 3).alias("excess"), "n_sources", "first_source", "last_source")
 
 
+def contributors(results: DataFrame, reverse: DataFrame, key: str, limit: float) -> DataFrame:
+    """The source keys behind each row over the limit, as (key, source key) pairs."""
+    return reverse.join(results.where(F.col("gap") > limit).select(key), key, "left_semi").select(key, "source_key")
+
+
+def percent_severity(gap: Column, base: Column, missing: Column, percent: float) -> Column:
+    """Severity by the gap's share of the base value; a gap on a zero base is material."""
+    return severity(F.when(base != 0, 100 * gap / F.abs(base)).otherwise(F.when(gap > 0, F.lit(100.0 + percent)).otherwise(0.0)), missing, percent)
+
+
+#: What a pre-flight check decides when an invariant would break.
+MODES = {"STRICT": "REJECTED", "DEFERRED": "PENDING", "ADVISORY": "WARNED"}
+
+
+def preflight(before: DataFrame, changes: DataFrame, keys: Sequence[str], invariant: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Apply changes virtually and evaluate an invariant (rows with ``holds``) on the result: its rows with ``decision``, which
+    is ACCEPTED unless a row breaks, and then what the mode says."""
+    results = invariant(merge_upsert(before, changes, keys))
+    broken = results.agg(F.count_if(~F.coalesce("holds", F.lit(False))).alias("_broken"))  # one row
+    return results.crossJoin(broken).withColumn("decision", F.when(F.col("_broken") > 0, MODES[mode]).otherwise("ACCEPTED")).drop("_broken")
+
+
+def incremental(a: DataFrame, b: DataFrame, changed: DataFrame, keys: Sequence[str], column: str, tolerance: float) -> DataFrame:
+    """Conservation only for the keys that have changed."""
+    own = changed.select(*keys).distinct()
+    return conservation(a.join(own, list(keys), "left_semi"), b.join(own, list(keys), "left_semi"), keys, column, tolerance)
+
+
+def diff_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row: how many keys the second run has added, removed and changed."""
+    status = compare(a, b, keys, columns)
+    names = (("added", "RIGHT_ONLY"), ("removed", "LEFT_ONLY"), ("changed", "DIFFERENT"))
+    return status.agg(*[F.count_if(F.col("status") == s).alias(n) for n, s in names])
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Count, sum and exclusive-or of row hashes: the same for any order of rows."""
     h = F.xxhash64(*df.columns)
@@ -80,11 +118,32 @@ def verify_chain(certificates: DataFrame, contract: str = "contract") -> DataFra
     return linked.groupBy(contract).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_h").isNotNull() & ~F.col("_h").eqNullSafe(F.col("previous"))).alias("broken"), F.count_if(F.col("_d") > 1).alias("gaps"), F.max("day").alias("last_day"))
 
 
+def chain_coverage(certificates: DataFrame, today: Column, contract: str = "contract") -> DataFrame:
+    """Per contract: the share of days from the first to the last that have a certificate, and days since the last."""
+    span = F.datediff(F.max("day"), F.min("day")) + 1
+    return certificates.groupBy(contract).agg(F.round(100 * F.count_distinct("day") / span, 6).alias("coverage"), F.datediff(today, F.max("day")).alias("days_since"))
+
+
+def merge_columns(base: DataFrame, a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """MERGE in both directions: each column takes the side that changed it; where both did, the base value stays and the
+    column is named in ``conflicts``."""
+    x = base.select(key, *[F.col(c).alias(f"_o_{c}") for c in columns])
+    both = x.join(a.select(key, *[F.col(c).alias(f"_a_{c}") for c in columns]), key, "full_outer")
+    both = both.join(b.select(key, *[F.col(c).alias(f"_b_{c}") for c in columns]), key, "full_outer")
+    merged, marks = [], []
+    for c in columns:
+        o, p, q = (F.col(f"_{s}_{c}") for s in "oab")
+        conflict = ~p.eqNullSafe(o) & ~q.eqNullSafe(o) & ~p.eqNullSafe(q)
+        merged.append(F.when(conflict, o).when(~p.eqNullSafe(o), p).otherwise(q).alias(c))
+        marks.append(F.when(conflict, F.lit(c)))
+    return both.select(key, *merged, F.array_join(F.filter(F.array(*marks), lambda m: m.isNotNull()), ",").alias("conflicts"))
+
+
 def sync(base: DataFrame, a: DataFrame, b: DataFrame, key: str, column: str, strategy: str) -> DataFrame:
     """Three-way merge of one column: the side that changed wins; if both did, the strategy decides."""
     x = base.select(key, F.col(column).alias("_o"))
     both = x.join(a.select(key, F.col(column).alias("_a")), key, "full_outer").join(b.select(key, F.col(column).alias("_b")), key, "full_outer")
     ca, cb = ~F.col("_a").eqNullSafe(F.col("_o")), ~F.col("_b").eqNullSafe(F.col("_o"))
     conflict = ca & cb & ~F.col("_a").eqNullSafe(F.col("_b"))
-    chosen = {"SOURCE_WINS": F.col("_a"), "TARGET_WINS": F.col("_b"), "FAIL": F.lit(None)}[strategy]
+    chosen = {"SOURCE_WINS": F.col("_a"), "TARGET_WINS": F.col("_b"), "FAIL": F.raise_error(F.concat(F.lit("both sides changed "), F.col(key).cast("string")))}[strategy]
     return both.select(key, F.when(conflict, chosen).when(ca, F.col("_a")).otherwise(F.col("_b")).alias("merged"), conflict.alias("conflict"))

@@ -25,6 +25,11 @@ def traverse_n1(df: DataFrame, target: DataFrame, on: Column, target_key: str) -
     return df.join(target, on, "left")
 
 
+def duplicate_targets(target: DataFrame, key: str) -> DataFrame:
+    """The report of an N:1 target: its keys with several rows, and how many."""
+    return target.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def traverse_11(df: DataFrame, target: DataFrame, on: Column) -> DataFrame:
     return df.join(target, on, "inner")
 

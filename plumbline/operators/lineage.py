@@ -57,9 +57,12 @@ def capture_lineage(pairs: DataFrame, target: str, mode: str) -> DataFrame:
 
 
 def rebuild_from_envelopes(source: DataFrame, key: str, envelopes: DataFrame, target: str) -> DataFrame:
-    """Per envelope, how many source keys lie within it and whether that is its count."""
+    """Per envelope, how many source keys of its target lie within it, how many it captured, and whether these agree. They do
+    not where the source has keys between the ends that were not captured, or lacks captured ones."""
     inside = source.join(envelopes, (F.col(key) >= F.col("start_key")) & (F.col(key) <= F.col("end_key")) & (source[target] == envelopes[target]))
-    return inside.groupBy(envelopes[target]).agg(F.count(F.lit(1)).alias("inside"), F.max("n").alias("n")).withColumn("complete", F.col("inside") == F.col("n"))
+    counts = inside.groupBy(envelopes[target]).agg(F.count(F.lit(1)).alias("inside"))
+    both = envelopes.select(target, "n").join(counts, target, "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    return both.select(target, "inside", "n", (F.col("inside") == F.col("n")).alias("complete"))
 
 
 def islands(pairs: DataFrame, target: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .errors import CODES, error_rows
+
 
 def daily_volume(df: DataFrame, ts: str) -> DataFrame:
     return df.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
@@ -46,6 +48,39 @@ def field_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*rows).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("r")).select("r.*")
 
 
+def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row a column of any type: declared and inferred type, null and unique rate, lengths, and the most frequent value.
+
+    Values are counted first, column by column, so that no buffer holds the values of a whole column.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("declared_type"), F.col(c).cast("string").alias("value")) for c, t in df.dtypes if c in columns])).alias("cell")
+    counted = df.select(cells).groupBy("cell.column_name", "cell.declared_type", "cell.value").agg(F.count(F.lit(1)).alias("k"))
+    some = F.col("value").isNotNull()
+    fits = {k: F.bool_and(~some | F.col("value").try_cast(k).isNotNull()) for k in ("bigint", "double", "date", "boolean")}
+    kind = F.lit("string")
+    for name, fit in reversed(fits.items()):
+        kind = F.when(fit, name).otherwise(kind)
+    n, filled = F.sum("k"), F.sum(F.when(some, F.col("k")).otherwise(0))
+    return counted.groupBy("column_name", "declared_type").agg(
+        F.when(filled > 0, kind).alias("inferred_type"),
+        n.alias("n"),
+        F.round((n - filled) / n, 9).alias("null_rate"),
+        F.count_if(some).alias("n_distinct"),
+        F.round(F.count_if(some & (F.col("k") == 1)) / F.greatest(filled, F.lit(1)), 9).alias("unique_rate"),
+        F.min(F.length("value")).alias("min_length"),
+        F.max(F.length("value")).alias("max_length"),
+        F.max_by("value", F.when(some, F.struct("k", "value"))).alias("top_value"),
+        F.max(F.when(some, F.col("k"))).alias("top_count"),
+    )
+
+
+def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
+    """Frequency table: the ``n`` most frequent values, ties by value, with their share of all rows."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("k"))
+    total = counts.agg(F.sum("k").alias("t"))  # one row
+    return counts.orderBy(F.desc("k"), "value").limit(n).crossJoin(total).select("value", "k", F.round(F.col("k") / F.col("t"), 9).alias("share"))
+
+
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(column) - low) / ((high - low) / bins))))
     return df.where(F.col(column).isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -137,6 +172,23 @@ def route_late(df: DataFrame, strategy: str, processing: str = "processed_at") -
     return df.withColumn("route", F.when(F.col("late"), target).otherwise("CURRENT")).withColumn("target_epoch", F.when(F.col("late"), epoch).otherwise(F.col("epoch")))
 
 
+def late_errors(df: DataFrame, key: str, epoch: str = "epoch") -> DataFrame:
+    """Error rows for late rows that a REJECT leaves out of their epoch."""
+    late = df.where("late")
+    return error_rows(late, key, "LATE", CODES["validation"], epoch, "processed before the epoch closes", F.col(epoch)).withColumn("epoch", F.col("actual"))
+
+
+def affected_epochs(df: DataFrame, epoch: str = "epoch") -> DataFrame:
+    """Closed epochs that late rows belong to, for REPROCESS, with how many rows each."""
+    return df.where("late").groupBy(epoch).agg(F.count(F.lit(1)).alias("late_rows"))
+
+
+def bounded_route(routed: DataFrame, most: int, epoch: str = "epoch") -> DataFrame:
+    """Routes of ``route_late``, but rows that would be carried over more than ``most`` epochs go to ERROR."""
+    far = (F.col("route") != "CURRENT") & (F.datediff("target_epoch", epoch) > most)
+    return routed.withColumn("route", F.when(far, "ERROR").otherwise(F.col("route")))
+
+
 def act(df: DataFrame, violations: DataFrame, action: str, epoch: str = "epoch") -> DataFrame:
     """QUARANTINE marks whole epochs, HALT returns none of their rows, WARN all."""
     bad = violations.select(epoch).distinct()
@@ -159,6 +211,11 @@ def reservoir(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(n)
 
 
+def share_of(df: DataFrame, key: str, percent: int) -> DataFrame:
+    """RANDOM: about ``percent`` of the rows, the same every time, by the hash of the key."""
+    return df.where(F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long") % 100 < percent)
+
+
 def stratified(df: DataFrame, stratum: str, key: str, hex_below: str) -> DataFrame:
     """Rows whose key hash starts below ``hex_below``, so about the same share of every stratum."""
     return df.where(F.substring(F.sha2(F.concat_ws(":", F.col(stratum), F.col(key).cast("string")), 256), 1, len(hex_below)) < hex_below)

@@ -18,7 +18,7 @@ def flagship(t: Tables) -> DataFrame:
     return order_summary(t.orders, t.customer)[0]
 
 
-@query("i9_ledger", "SELECT count(*) AS input_count, count(*) FILTER (o_orderstatus <> 'P') AS processed, count(*) FILTER (o_orderstatus = 'P') AS filtered, 0 AS discrepancy, true AS balanced FROM orders")
+@query("i9_ledger", "SELECT count(*) AS input_count, count(*) FILTER (o_orderstatus <> 'P') AS processed, count(*) FILTER (o_orderstatus = 'P') AS filtered, count(*) - count(*) FILTER (o_orderstatus <> 'P') - count(*) FILTER (o_orderstatus = 'P') AS discrepancy, count(*) = count(*) FILTER (o_orderstatus <> 'P') + count(*) FILTER (o_orderstatus = 'P') AS balanced FROM orders")
 def ledger(t: Tables) -> DataFrame:
     return order_summary(t.orders, t.customer)[2]
 
@@ -62,11 +62,10 @@ def a9(t: Tables) -> DataFrame:
     return A.parse_events(lines)[0].select("event_id", "user_id", "event_type")
 
 
-@query("a10_infer_types", "SELECT 'v' AS column_name, count(v) AS n, count(try_cast(v AS BIGINT)) FILTER (NOT contains(v, '.')) AS n_bigint, count(try_cast(v AS DOUBLE)) AS n_double, 0 AS n_date, 0 AS n_boolean FROM (SELECT CASE WHEN event_id % 13 = 0 THEN 'not_a_number' WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) || '.5' ELSE CAST(user_id + 10 AS VARCHAR) END AS v FROM events)")
+@query("a10_infer_types", "SELECT 'v' AS column_name, count(v) AS n, count(try_cast(v AS BIGINT)) FILTER (NOT contains(v, '.')) AS n_bigint, count(try_cast(v AS DOUBLE)) AS n_double, count(try_cast(v AS DATE)) AS n_date, count(try_cast(v AS BOOLEAN)) AS n_boolean FROM (SELECT CASE WHEN event_id % 13 = 0 THEN 'not_a_number' WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) || '.5' ELSE CAST(user_id + 10 AS VARCHAR) END AS v FROM events)")
 def a10(t: Tables) -> DataFrame:
     v = F.when(F.col("event_id") % 13 == 0, "not_a_number").when(F.col("event_id") % 2 == 0, F.concat(F.col("user_id").cast("string"), F.lit(".5"))).otherwise((F.col("user_id") + 10).cast("string"))
-    out = A.infer_types(t.events.select(v.alias("v")), ["v"])
-    return out.withColumn("n_date", F.lit(0)).withColumn("n_boolean", F.lit(0))
+    return A.infer_types(t.events.select(v.alias("v")), ["v"])
 
 
 @query("a11_schema_drift", "SELECT * FROM (VALUES ('o_orderkey', 'same', 1.0), ('o_totalprice', 'changed', 1.0), ('o_orderstatus', 'removed', NULL), ('note', 'added', (SELECT count(*) FILTER (o_orderkey % 3 = 0) / count(*) FROM orders))) t(column_name, status, fill_rate)")

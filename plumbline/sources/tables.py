@@ -67,6 +67,17 @@ def read_lookup(df: DataFrame, version_column: str, version=None, as_of=None) ->
     return df.join(F.broadcast(newest), F.col(version_column) == F.col("_v"), "left_semi")  # one row
 
 
+def read_alias(df: DataFrame, version_column: str, aliases: DataFrame, alias: str) -> DataFrame:
+    """A lookup at the version that ``aliases`` (alias, version) names; an unknown alias has no rows."""
+    named = aliases.where(F.col("alias") == alias).select(F.col("version").alias("_v"))
+    return df.join(F.broadcast(named.limit(1)), F.col(version_column) == F.col("_v"), "left_semi")  # one row
+
+
+def slice_version(df: DataFrame, column: str, version) -> DataFrame:
+    """Rows of one version or batch id."""
+    return df.where(F.col(column) == version)
+
+
 def write_result(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Overwrite only the partitions that ``df`` holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
@@ -81,6 +92,13 @@ def merge_upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
     return target.join(changes, list(keys), "left_anti").select(*target.columns).unionByName(changes.select(*target.columns))
 
 
+def merge_since(target: DataFrame, changes: DataFrame, keys: Sequence[str], mark: str) -> DataFrame:
+    """``merge_upsert`` of only those changes that are newer than the target's high-water mark."""
+    high = target.agg(F.max(mark).alias("_high"))  # one row
+    fresh = changes.crossJoin(high).where(F.col("_high").isNull() | (F.col(mark) > F.col("_high"))).drop("_high")
+    return merge_upsert(target, fresh, keys)
+
+
 EVENT_SCHEMA = "event_id long, ts string, user_id long, event_type string, value double, props string"
 
 
@@ -92,6 +110,16 @@ def parse_events(lines: DataFrame, schema: str = EVENT_SCHEMA) -> tuple[DataFram
     return parsed.where(~bad).select(*[F.col(f"_e.{n}") for n in names]), parsed.where(bad).select("value")
 
 
+def flattened(df: DataFrame, column: str, facets: Sequence[str]) -> DataFrame:
+    """JSON facets of a text column as columns of their own (dots become underscores)."""
+    return df.select("*", *[F.get_json_object(column, f"$.{f}").alias(f.replace(".", "_")) for f in facets])
+
+
+def malformed(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """One row: how many lines were typed events and how many were not."""
+    return good.agg(F.count(F.lit(1)).alias("parsed")).crossJoin(bad.agg(F.count(F.lit(1)).alias("malformed")))
+
+
 def infer_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """For text columns, how many values are there and fit each candidate type; one pass."""
     kinds = ("bigint", "double", "date", "boolean")
