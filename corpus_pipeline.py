@@ -1,4 +1,10 @@
-"""A training corpus in stages: each one works on the table that the one before it has written."""
+"""A training corpus in stages: each one works on the table that the one before it has written.
+
+Defined results: a null text is kept by the classifier, is a copy of every text without words, holds no benchmark words and no
+personal data, and has no tokens; of rows that are alike the one with the smallest ``doc_id`` stays, a null id only if all
+are null; an empty table passes through; further columns pass through whatever their names, but the last stage replaces
+``ids`` and ``n_tokens``.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, neartext, pii, quality
+from plumbline.llm import bpe, decontaminate, pii, quality, simhash
 from plumbline.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,8 +25,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of texts whose five-word shingles are alike by 0.8 or more."""
-    return neartext.dedupe(docs)
+    """Keep one document of each group of texts whose five-word shingles are alike by 0.8 or more."""
+    return simhash.dedupe(docs, similar=True)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add token ids and their number."""
     import public_tokenizers
 
-    out = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = bpe.encode(docs.drop("n_tokens"), public_tokenizers.path("word_bpe_49k.json"))
     return out.withColumn("n_tokens", F.size("ids").cast("long")).drop("decoded")
 
 
@@ -49,7 +55,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("encoding", encoded),
 ]
 
-#: The stages are not expressible in SQL (XXH64, a trained scorer, subword merges).
+#: The stages are not expressible in SQL (XXH64, a trained scorer, subword merges); tests hold them against brute force.
 ORACLE_SQL = None
 
 
