@@ -10,7 +10,7 @@ Normalisation and splitting follow the tokenizer file: special tokens are cut ou
 token strings joined by one space.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are encoded each; further
-columns pass through; a table without words gets an empty lexicon.
+columns pass through, those named ``ids`` or ``decoded`` are replaced; a table without words gets an empty lexicon.
 """
 
 from __future__ import annotations
@@ -379,8 +379,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon_words: i
     """
     spark = docs.sparkSession
     prepare(spark)
-    if {"ids", "decoded"} & set(docs.columns):
-        raise ValueError("columns ids and decoded are in the way")
+    docs = docs.drop("ids", "decoded")
     merges = Merges(tokenizer)
     lexicon = {w.encode(): merges.merge(w.encode()) for w in frequent_words(docs, merges, text, lexicon_words)}
     name = f"lexicon-{uuid.uuid4().hex}"

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches sent to Python hold at most this many bytes, so that very long texts do not add up.
 BATCH_BYTES = 16 << 20
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
@@ -27,8 +29,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on one machine alone a local one will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_FALLBACK).rstrip("/")
+
+
+def text_hash(text: str) -> Column:
+    """XXH64 of the text; null counts as empty, so that both are copies of each other."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")))
+
+
+def set_aside(df: DataFrame, *used: str) -> DataFrame:
+    """``df`` with all columns but the used ones under names that no operator takes; ``restored`` turns them back."""
+    return df.select(*[F.col(f"`{c}`").alias(c if c in used else f"_own {k}") for k, c in enumerate(df.columns)])
+
+
+def restored(df: DataFrame, like: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``like``, from a table that ``set_aside`` has begun."""
+    return df.select(*[F.col(c if c in used else f"`_own {k}`").alias(c) for k, c in enumerate(like.columns)])
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:

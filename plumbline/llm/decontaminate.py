@@ -7,7 +7,8 @@ matrix for the ranks and a sampled suffix array. All windows are searched backwa
 from the sampled positions, and the found word ranges merged into removal spans. No step shuffles.
 
 Defined results: a null or empty text has no words and no hits; a null item has no windows; a null ``item_id`` counts as
-the empty name; equal items each count; repeated documents are judged each for itself; further columns pass through.
+the empty name; equal items each count; repeated documents are judged each for itself; further columns pass through, but
+``find`` replaces columns that have the names of its own.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, slices
+from .common import prepare, restored, set_aside, slices
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
 #: Bytes of text in one indexed shard.
 SHARD_BYTES = 8 << 20
-#: Bytes of benchmark text whose windows travel to the executors at once; a larger benchmark is searched block by block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text (two thirds of a million windows or so) whose windows travel to the executors at once; a larger
+#: benchmark is searched block by block.
+BLOCK_BYTES = 4 << 20
 #: Every so many suffix positions are kept for locating.
 SAMPLE = 8
 
@@ -227,11 +229,8 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Win
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """Add ``n_words``, ``item_names`` (sorted) and ``word_spans`` (merged ranges of hit words, end exclusive) to ``docs``."""
     prepare(docs.sparkSession)
+    out = docs = docs.drop(*FOUND.names)
     keep = docs.columns
-    out = docs
-    for name in FOUND.names:
-        if name in keep:
-            raise ValueError(f"column {name} is in the way")
     for k, windows in enumerate(benchmark_blocks(benchmark, window)):
         shared = docs.sparkSession.sparkContext.broadcast(windows)
         schema = T.StructType([*docs.schema.fields, *FOUND.fields])
@@ -264,7 +263,7 @@ def judged(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that are not contaminated, with their own columns."""
-    return judged(find(docs, benchmark)).where(~F.col("contaminated")).select(*docs.columns)
+    return restored(judged(find(set_aside(docs, "text"), benchmark)).where(~F.col("contaminated")), docs, "text")
 
 
 def op9(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ so no list of pairs is ever shuffled: each shard sends sums and one edge a node.
 every two pieces are searched against each other, so a hot cluster stays whole and no task holds more than two pieces.
 
 The recall is audited against brute force on a bounded sample of nodes; below ``FLOOR`` the overlap is doubled, up to all
-pivots, where every shard holds everything.
+pivots, where every shard holds everything. If even that does not reach ``FLOOR``, an error is raised rather than part of
+the links returned; ``audited`` returns the recall beside the result.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows with a
 null id, whose component is null; repeated rows are links of each other; an empty table gives an empty result; extra
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, written
@@ -72,6 +73,11 @@ def units(df: DataFrame, id: str, vector: str) -> DataFrame:
     return df.select(F.col(id).alias("id"), F.col(vector).alias("v")).mapInArrow(step, f"id {df.schema[id].dataType.simpleString()}, node long, vec binary")
 
 
+def one_vector() -> Column:
+    """The vector of a node's rows; that two of them share a hash is an error, not one vector less."""
+    return F.when(F.min("vec") == F.max("vec"), F.min("vec")).otherwise(F.raise_error(F.lit("two vectors share a hash")))
+
+
 def matrix(raw) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
@@ -237,18 +243,26 @@ def recall(nodes: DataFrame, links: DataFrame, sample: int = AUDIT) -> float:
 
 def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``id``, ``n_links``, ``component_id``, ``kept`` for every row."""
+    return audited(df, id, vector)[0]
+
+
+def audited(df: DataFrame, id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, float]:
+    """``near_duplicates`` and the recall of its links on the audited nodes."""
     prepare(df.sparkSession)
     rows = written(units(df, id, vector), "graph-rows")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.any_value("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
+    nodes = rows.where("node is not null").groupBy("node").agg(one_vector().alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
     nodes = written(nodes, "graph-nodes")
     own = nodes.select("node", "vec", "copies")
     overlap = OVERLAP
+    found_share = 1.0
     if nodes.isEmpty():
         links = nodes.select("node", F.col("copies").alias("links"), F.col("node").alias("root"))
     else:
         links = linked(own, overlap)
         most = -(-nodes.count() // PER_PIVOT)
-        while recall(own, links) < FLOOR and overlap < min(PIVOTS, most):
+        while (found_share := recall(own, links)) < FLOOR:
+            if overlap >= min(PIVOTS, most):
+                raise RuntimeError(f"the graph search found {found_share:.3f} of the audited links, {FLOOR} are asked for")
             overlap *= 2
             links = linked(own, overlap)
     found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -258,12 +272,13 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     per = joined.join(low, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component_id")
     out = rows.drop("vec").join(per, "node", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(
+    result = out.select(
         F.col("id").alias(id),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )
+    return result, found_share
 
 
 def op1(embeddings: DataFrame) -> DataFrame:

@@ -1,33 +1,40 @@
-"""Near-duplicate texts: Jaccard similarity of at least ``NEAR`` between their sets of ``SHINGLE``-word shingles.
+"""Texts alike by the Jaccard similarity of their sets of ``SHINGLE``-word shingles: what SimHash dedup adds to its groups.
 
-Candidates share one of ``BANDS`` bands of ``ROWS`` min-hashes, which a pair of similarity 0.8 misses with a chance of
+Fingerprints of texts alike by 0.8 differ in about ten of 64 bits, where no grid selects any more. Such pairs are found as
+candidates that share one of ``BANDS`` bands of ``ROWS`` min-hashes, which a pair of similarity 0.8 misses with a chance of
 6e-7 and a closer one more rarely; each candidate pair is verified on the whole sets. Texts with equal sets are one node.
-A band value that many nodes share first links each of them to one hub, another one in every band; then nodes that are
-not connected with their hub are compared with all others of the value, so no pair is left out. That second step grows
-with the unconnected nodes times all nodes of a value.
+Of a band value that many nodes share, all are first compared with a few hubs; those that are not connected to the hub's
+component get other hubs in further rounds; at last the nodes still apart are compared with all others of the value, so no
+pair is left out. That last step grows with the nodes apart times all nodes of a value.
 
 Defined results: texts without words are copies of each other; a text of fewer words has one shingle.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, written
+from .common import slices, text_hash, written
 from .graph import components
-from .simhash import SEED, SLICE_BYTES, WORD, first_rows, text_hash
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SEED = 42
+SLICE_BYTES = 4 << 20
 
 SHINGLE = 5
 NEAR = 0.8
 BANDS, ROWS = 20, 3
 #: Nodes of one band value up to which all pairs are compared at once.
 CROWDED = 32
+#: Hubs that the bands of a crowd share, further rounds of hubs at most, and pairs a node that need no further round.
+HUBS, ROUNDS, FEW = 4, 4, 8
 MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = 1 << 13
 
@@ -55,67 +62,59 @@ def bands(own: np.ndarray) -> list[int]:
     return np.array(hashes, np.uint64).view(np.int64).tolist()
 
 
-def marked(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """``id``, ``text_hash``, ``node`` (hash of the shingle set), ``n`` (its size) and ``bands``."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """``node`` and ``own`` (its shingles) for nodes with their ``first`` row."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            sets = [shingles(t) for t in part.column("text").to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            cols = [part.column("id"), part.column("text_hash"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield from pa.table(cols, names=["id", "text_hash", "node", "n", "bands"]).to_batches()
+            sets = [shingles(t).view(np.int64) for t in part.column("text").to_pylist()]
+            yield from pa.table([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"]).to_batches()
 
-    own = docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text"), text_hash(text).alias("text_hash"))
-    return own.mapInArrow(step, f"id {docs.schema[id].dataType.simpleString()}, text_hash long, node long, n long, bands array<long>")
+    need = nodes.select("node", F.col("first.text_hash").alias("_hash"))
+    texts = docs.select(text_hash(text).alias("_hash"), F.col(text).cast("binary").alias("text")).join(need, "_hash")
+    return written(texts.groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(step, "node long, own array<long>"), "near-sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the node pairs (a, b) whose sets are similar enough."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE_BYTES):
-            sets = [shingles(t).view(np.int64) for t in part.column("text").to_pylist()]
-            yield from pa.table([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"]).to_batches()
-
     pairs = written(pairs.distinct(), "near-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = ends.join(nodes, "node").select("node", F.col("first.text_hash").alias("_hash"))
-    texts = docs.select(text_hash(text).alias("_hash"), F.col(text).cast("binary").alias("text")).join(need, "_hash")
-    sets = written(texts.groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(step, "node long, own array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return written(both.where(same >= NEAR * (F.size("x") + F.size("y") - same)).select("a", "b"), "near-links")
 
 
-def links(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
-    """Edges (a, b) that connect all nodes of sufficient similarity, directly or through others."""
+def hub(turn: int) -> Column:
+    """A node of a band value, the same one for a crowd's bands that share a remainder."""
+    return F.min_by("node", F.xxhash64("node", F.pmod("band", F.lit(HUBS)), F.lit(turn))).alias("hub")
+
+
+def links(docs: DataFrame, nodes: DataFrame, also: DataFrame, text: str) -> DataFrame:
+    """Edges (a, b) that connect all nodes of sufficient similarity, directly or through others. ``nodes``: node, n (size of
+    its set), bands and first; ``also``: candidate pairs (a, b) found elsewhere."""
     points = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = points.groupBy("band").agg(F.count(F.lit(1)).alias("many"), F.min_by("node", F.xxhash64("node", "band")).alias("hub")).where("many > 1")
+    shared = points.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     held = written(points.join(shared, "band"), "near-bands")
+    ends = held.select("node").unionByName(also.select(F.col("a").alias("node"))).unionByName(also.select(F.col("b").alias("node")))
+    sets = shingle_sets(docs, nodes.join(ends.distinct(), "node", "left_semi"), text)
     left = held.where(F.col("many") <= CROWDED).select("band", F.col("node").alias("a"), F.col("n").alias("na"))
     right = left.select("band", F.col("a").alias("b"), F.col("na").alias("nb"))
     alike = F.least("na", "nb") >= NEAR * F.greatest("na", "nb")
     sparse = left.join(right, "band").where((F.col("a") > F.col("b")) & alike).select("a", "b")
     crowded = held.where(F.col("many") > CROWDED)
-    first = verified(sparse.unionByName(crowded.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), docs, nodes, text)
+    to_hub = crowded.join(crowded.groupBy("band").agg(hub(0)), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    found = verified(sparse.unionByName(to_hub).unionByName(also), sets)
     if crowded.isEmpty():
-        return first
-    found = components(first)
-    own = crowded.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = written(own, "near-crowds")
-    of_hub = own.where("node = hub").select("band", F.col("component").alias("main"))
-    apart = own.join(of_hub, "band").where("component <> main").select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        return found
+    for turn in range(1, ROUNDS + 1):
+        own = crowded.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        own = written(own, "near-crowds")
+        hubs = written(own.groupBy("band").agg(hub(turn), F.min_by("component", F.xxhash64("node", F.pmod("band", F.lit(HUBS)), F.lit(turn))).alias("main")), "near-hubs")
+        apart = own.join(hubs, "band").where("component <> main")
+        cost = apart.agg(F.coalesce(F.sum("many"), F.lit(0)).alias("pairs")).first().pairs
+        if turn == ROUNDS or cost <= FEW * own.count():
+            break
+        found = found.unionByName(verified(apart.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets))
+    apart = apart.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     others = own.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     rest = apart.join(others, "band").where((F.col("ca") != F.col("cb")) & alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return first.unionByName(verified(rest, docs, nodes, text))
-
-
-def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest id, of repeated rows one."""
-    prepare(docs.sparkSession)
-    rows = written(marked(docs, id, text), "near-rows")
-    row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    nodes = written(rows.groupBy("node").agg(F.min(row).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "near-nodes")
-    found = components(links(docs, nodes, text))
-    joined = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
-    return first_rows(docs, written(joined, "near-components"), id, text)
+    return found.unionByName(verified(rest, sets))

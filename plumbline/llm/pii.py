@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import restored, set_aside, written
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
@@ -149,11 +149,11 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A second look finds what only the removal of a neighbour has turned into a match.
     """
-    once = generalised(with_spans(docs, text), "spans", text).drop("base", "spans")
-    out = generalised(with_base(once, text), "base", text)
+    once = generalised(with_spans(set_aside(docs, text), text), "spans", text).drop("base", "spans")
+    out = restored(generalised(with_base(once, text), "base", text), docs, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def listed(spans: str) -> Column:

@@ -12,8 +12,8 @@ Bounds that are parameters: ``LABELLED`` rows for the toxic lexicon, ``LEXICON``
 scorers. Everything else covers all rows.
 
 Defined results: a null or empty text has no flags and is kept; labels without a document, repeated labels and null
-labels are ignored; without labels the lexicon is the public list alone; repeated documents are judged each for itself;
-extra columns pass through.
+labels are ignored; without labels the lexicon is the public list alone; repeated documents are judged each for itself, also
+those without a ``doc_id``; extra columns pass through, but ``scored`` replaces columns that have the names of its own.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, slices, written
+from .common import prepare, restored, set_aside, slices, written
 
 #: Labelled rows that the toxic lexicon is read from.
 LABELLED = 8000
@@ -372,6 +372,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text") -> Reader:
 
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """Add ``junk_score`` and ``toxic_score`` (log odds), the flags, and ``keep`` (neither is likely) to ``docs``."""
+    docs = docs.drop("junk_flags", "toxic_flags", "junk_score", "toxic_score", "keep")
     reader = fitted(docs, labels, text)
     columns = [T.StructField(n, T.LongType()) for n in ("junk_flags", "toxic_flags")] + [T.StructField(n, T.DoubleType()) for n in ("junk_score", "toxic_score")]
     out = mapped(docs, text, columns, reader, lambda r, t: (lambda x: (x[0], x[1], x[4], x[5]))(r.read(t)))
@@ -380,7 +381,7 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the scorers keep, with their own columns."""
-    return scored(docs, labels).where("keep").select(*docs.columns)
+    return restored(scored(set_aside(docs, "doc_id", "text"), labels).where("keep"), docs, "doc_id", "text")
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:

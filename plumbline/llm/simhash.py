@@ -24,8 +24,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, written
+from .common import prepare, slices, text_hash, written
 from .graph import components
+from .neartext import bands, shingles
+from .neartext import links as alike_links
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE = 3
@@ -57,11 +59,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def text_hash(text: str) -> Column:
-    """XXH64 of the text; null counts as empty, so that both are copies of each other."""
-    return F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")))
-
-
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns but the text, with ``fp`` (64 bits as a signed long)."""
     prepare(docs.sparkSession)
@@ -146,13 +143,46 @@ def op5(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id, of repeated rows one.
+def sketched(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``id``, ``text_hash``, ``fp``, and of the set of shingles: ``node`` (its hash), ``n`` (its size) and ``bands``."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE_BYTES):
+            raw = part.column("text").cast(pa.large_binary()).to_pylist()
+            sets = [shingles(t) for t in raw]
+            hashes = ([fingerprint(t) for t in raw], [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets])
+            cols = [part.column("id"), part.column("text_hash"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in hashes)]
+            cols += [pa.array([len(x) for x in sets], pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))]
+            yield from pa.table(cols, names=["id", "text_hash", "fp", "node", "n", "bands"]).to_batches()
+
+    own = docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text"), text_hash(text).alias("text_hash"))
+    return written(own.mapInArrow(step, f"id {docs.schema[id].dataType.simpleString()}, text_hash long, fp long, node long, n long, bands array<long>"), "simhash-rows")
+
+
+def alike_groups(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``first`` of each group of texts that the similarity of their shingle sets connects. Candidates are texts whose
+    fingerprints the grid connects, and those of ``neartext``; all are verified on the whole sets."""
+    rows = sketched(docs, id, text)
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    nodes = written(rows.groupBy("node").agg(F.min(row).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "simhash-nodes")
+    pairs = written(rows.select("node", "fp").distinct(), "simhash-fingerprints")
+    found = components(links(pairs.select("fp").distinct())).withColumnRenamed("node", "fp")
+    placed = written(pairs.join(found, "fp", "left").select("node", F.coalesce("component", "fp").alias("group")), "simhash-components")
+    low = placed.groupBy("group").agg(F.min("node").alias("b"))
+    also = written(placed.join(low, "group").where("node <> b").select(F.col("node").alias("a"), "b"), "simhash-pairs")
+    joined = nodes.join(components(alike_links(docs, nodes, also, text)), "node", "left")
+    return written(joined.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")), "simhash-groups")
+
+
+def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
+    """One document of each component: the one with the smallest id, of repeated rows one. Fingerprints link as in ``op5``;
+    with ``similar``, texts link whose sets of five-word shingles are alike by 0.8 or more, however far their fingerprints.
 
     Equal texts are in one component, so a kept row is named by id and text hash; rows that share both are repeats, of
     which each task keeps one before anything is shuffled.
     """
-    return first_rows(docs, grouped(docs, id, text)[1], id, text)
+    prepare(docs.sparkSession)
+    return first_rows(docs, alike_groups(docs, id, text) if similar else grouped(docs, id, text)[1], id, text)
 
 
 def first_rows(docs: DataFrame, groups: DataFrame, id: str, text: str) -> DataFrame:

@@ -357,3 +357,34 @@ def test_labeller_gradient():
             down = loss()
             m.w[name][at] = old
             assert abs((up - down) / 2e-5 - g[at]) < 1e-4
+
+
+def test_near_graph_against_all_pairs(spark):
+    r = np.random.default_rng(14)
+    centres = r.normal(size=(60, 32))
+    x = np.concatenate([centres[k] + r.normal(0, 0.12, (12, 32)) for k in range(60)])
+    rows = [(i, list(map(float, v))) for i, v in enumerate(x)] + [(None, list(map(float, x[0]))), (5, list(map(float, x[9]))), (5, list(map(float, x[9])))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out, share = neargraph.audited(df)
+    got = {t.vec_id: t for t in out.where("vec_id is not null and vec_id <> 5").collect()}
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = m @ m.T >= 0.95
+    weight = np.ones(len(x))
+    weight[9] += 2
+    want = hit @ weight - 1
+    right = sum(got[i].n_links == want[i] for i in got)
+    assert share >= 0.97 and right >= 0.97 * len(got) and all(got[i].n_links <= want[i] for i in got)
+    low = np.arange(len(x))
+    low[9] = 5
+    for _ in range(20):
+        for i in range(len(x)):
+            low[i] = min(low[i], low[hit[i]].min())
+    assert sum(got[i].component_id == low[i] for i in got) >= 0.95 * len(got)
+    assert out.where("vec_id is null").first().n_links == 0
+
+
+def test_near_graph_reports_a_low_recall(spark, monkeypatch):
+    monkeypatch.setattr(neargraph, "recall", lambda nodes, links: 0.5)
+    df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError):
+        neargraph.op1(df)
