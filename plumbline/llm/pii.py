@@ -4,7 +4,8 @@ Base spans come from four patterns whose matches are checked (numbers of at most
 positions follow from splitting a text at its matches: a match starts where the pieces and matches before it end.
 
 Terms that reveal a protected entity are found from the whole corpus. The unit of all counts is a distinct document
-text, so that copies do not count twice; a term t and an entity e meet in a document when a line holds both. t discloses
+text, so that copies do not count twice; a term t and an entity e meet in a document when a line holds both, ``NEAR`` code
+points apart at most (so a long list of entities on one line gives as many pairs as it has words nearby). t discloses
 e when their pointwise mutual information reaches the information content of e but for ``SLACK`` bits, which is
 p(e|t) >= 2^-SLACK (the count of e cancels out), in ``SUPPORT`` distinct documents at least. A term that is common
 elsewhere never qualifies. Occurrences of disclosing terms become spans of kind ``term``; ``sanitise`` generalises every
@@ -35,6 +36,10 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 #: Bits that the mutual information may lack to the entity's information content.
 SLACK = 1
+#: Code points on either side of an entity within which a term on its line meets it.
+NEAR = 200
+#: What every text with a base span holds.
+HINT = r"@|[0-9]\.[0-9]|[0-9][\x20-]?[0-9]|\+[0-9]"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 STATE = "struct<at:bigint,spans:" + SPAN + ">"
 
@@ -91,6 +96,11 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("base", F.concat(*kinds))
 
 
+def key_of(text: str) -> Column:
+    """A digest that names a text."""
+    return F.md5(F.col(text).cast("binary")).alias("_key")
+
+
 def words(text: Column) -> Column:
     """Distinct lower-cased words."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
@@ -98,17 +108,21 @@ def words(text: Column) -> Column:
 
 def disclosing(docs: DataFrame, text: str = "text", support: int = SUPPORT, slack: int = SLACK) -> DataFrame:
     """Terms (``term``) whose presence gives away a protected entity, from all documents."""
-    texts = docs.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("_key")).agg(F.any_value(text).alias(text))
-    texts = written(texts.select(text), "pii-texts")
-    held = with_base(texts, text).where(F.size("base") > 0)
-    value = F.transform("base", lambda s: F.substring(F.col(text), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))
-    lines = held.select(F.explode(F.array_distinct(value)).alias("entity"), F.split(text, "\n").alias("lines"))
-    bare = F.expr("transform(filter(lines, x -> contains(x, entity)), x -> replace(x, entity, ' '))")
-    pairs = lines.select("entity", F.explode(words(F.array_join(bare, "\n"))).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
+    texts = docs.where(F.col(text).isNotNull()).groupBy(key_of(text)).agg(F.any_value(text).alias("text"))
+    texts = written(texts, "pii-texts")
+    lines = texts.where(F.col("text").rlike(HINT)).select("_key", F.explode(F.split("text", "\n")).alias("line"))  # no span holds a line break
+    spans = with_base(lines.where(F.col("line").rlike(HINT)), "line").select("_key", "line", F.explode("base").alias("span"))
+    begin, end = F.col("span.start").cast("int"), F.col("span.end").cast("int")
+    left, right = F.substring("line", F.greatest(begin - NEAR, F.lit(0)) + 1, F.least(begin, F.lit(NEAR))), F.substring("line", end + 1, F.lit(NEAR))
+    left = F.when(begin > NEAR, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    right = F.when(F.length("line") - end > NEAR, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)  # words cut in two
+    met = spans.select("_key", F.substring("line", begin + 1, end - begin).alias("entity"), F.explode(words(F.concat_ws(" ", left, right))).alias("term"))
+    met = met.where(~F.contains(F.lower("entity"), F.col("term"))).distinct()
+    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
     pairs = written(pairs.where(F.col("n") >= support), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("term")
-    everywhere = texts.select(F.explode(words(F.col(text))).alias("term"))
+    everywhere = texts.select(F.explode(words(F.col("text"))).alias("term"))
     counts = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     told = pairs.join(counts, "term").where(F.col("n") * (1 << slack) >= F.col("docs"))
     return written(told.select("term").distinct(), "pii-terms")
@@ -120,10 +134,9 @@ def with_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, slac
     terms = disclosing(docs, text, support, slack)
     if terms.isEmpty():
         return based.withColumn("spans", F.col("base"))
-    key = F.xxhash64(text).alias("_key")
-    places = docs.select(text, key).select("_key", F.explode(words(F.col(text))).alias("term")).join(terms, "term")
+    places = docs.select(text, key_of(text)).select("_key", F.explode(words(F.col(text))).alias("term")).join(terms, "term")
     places = written(places.groupBy("_key").agg(F.collect_set("term").alias("_terms")), "pii-places")  # at most a text's words
-    joined = based.withColumn("_key", F.xxhash64(text)).join(places, "_key", "left")
+    joined = based.withColumn("_key", key_of(text)).join(places, "_key", "left")
     own = located(F.col(text), WORD, "term", lambda m: F.array_contains(F.col("_terms"), F.lower(m)))
     spans = F.when(F.col("_terms").isNotNull(), F.concat("base", own)).otherwise(F.col("base"))
     return joined.withColumn("spans", spans).drop("_key", "_terms")
