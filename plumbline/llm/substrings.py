@@ -3,10 +3,10 @@
 Two equal strings of ``LENGTH`` bytes are found without a row for every byte position. Positions are grouped by anchors:
 the smallest hash of a 37-byte gram within the string, which both occurrences share. All starts with one anchor form a
 run, and only runs whose anchor gram repeats go on. From there the ranks are refined as in prefix doubling: Spark groups
-positions by the rank of a string that all of them share, first 37 bytes, then 69, 85, 93, 97, 99 and 100, so that each
-round halves what is missing to the threshold. A group's rank is its first position. Positions whose rank is unique
+positions by the rank of a string that all of them share, first 37 bytes, then 85, 97 and 100, so that each round takes
+three quarters off what is missing to the threshold. A group's rank is its first position. Positions whose rank is unique
 leave; runs that agree whole are decided at once (all but the first start earlier elsewhere); only runs that agree in
-part are split in two, as one run at each end of a repeated passage does. The rounds end past the threshold.
+part are cut in four, as one run at each end of a repeated passage does. The rounds end past the threshold.
 
 Tasks hold the hashes of half a megabyte at a time; hot strings are pre-aggregated before the shuffle and never gathered.
 Two bit fields of a fixed size spare the second and third reading most rows; they decide nothing. Runs count as equal when
@@ -40,6 +40,7 @@ SLICE_BYTES = 8 << 20
 PIECE = 1 << 19
 AT = np.uint64((1 << 20) - 1)
 BITS = 1 << 26
+BUCKETS = 1 << 19
 NONE = -(1 << 63)
 LETTER = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -142,14 +143,17 @@ NAMES = ("key", "s", "doc", "t", "p", "back", "n", "later", "content")
 KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
 
 
-def batch_of(key: np.ndarray, s: np.ndarray, doc: np.ndarray, t: np.ndarray, p: np.ndarray, back: np.ndarray, n: np.ndarray, content: list[bytes] | None) -> pa.RecordBatch:
-    """Rows of runs; of equal runs all but the first are marked as later."""
+def batch_of(key: np.ndarray, s: np.ndarray, doc: np.ndarray, t: np.ndarray, p: np.ndarray, back: np.ndarray, n: np.ndarray, content: np.ndarray | None) -> pa.RecordBatch:
+    """Rows of runs; of equal runs all but the first are marked as later, and only their starts are kept."""
     order = np.lexsort((p, t, doc, s, key))
-    same = np.concatenate(([False], (key[order][1:] == key[order][:-1]) & (s[order][1:] == s[order][:-1]))) if len(order) else np.zeros(0, bool)
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (s[order][1:] != s[order][:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = np.empty(len(order), bool)
-    later[order] = same
-    cols = [pa.array(c, k) for c, k in zip((key, s, doc, t, p, back, n, later), KINDS, strict=False)]
-    return pa.record_batch([*cols, pa.nulls(len(key), pa.binary()) if content is None else pa.array(content, pa.binary())], list(NAMES))
+    later[order] = (doc[order] != doc[first]) | (t[order] != t[first]) | (p[order] != p[first])  # repeated rows share a place
+    gone = [later, later, None, None, None, later, None, None]
+    cols = [pa.array(c, k, mask=m) for c, k, m in zip((key, s, doc, t, p, back, n, later), KINDS, gone, strict=False)]
+    return pa.record_batch([*cols, pa.nulls(len(key), pa.binary()) if content is None else pa.array(content, pa.binary(), mask=later)], list(NAMES))
 
 
 def run_rows(docs: DataFrame, bits, rows: bool = False) -> DataFrame:
@@ -164,22 +168,23 @@ def run_rows(docs: DataFrame, bits, rows: bool = False) -> DataFrame:
                 own = own.where(is_set(bits.value, at))
                 content = None
                 if rows:
-                    content = [texts[k][a : a + b + LENGTH - 1] for k, a, b in zip(own.text.tolist(), own.p.tolist(), own.n.tolist(), strict=True)]
+                    content = np.empty(len(own.p), object)
+                    content[:] = [texts[k][a : a + b + LENGTH - 1] for k, a, b in zip(own.text.tolist(), own.p.tolist(), own.n.tolist(), strict=True)]
                 yield batch_of(own.gram, own.s, doc[own.text], t[own.text], own.p, own.back, own.n, content)
 
     return docs.mapInArrow(step, RUN)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """Gram hashes of runs that occur more than once."""
+    """Low halves of the gram hashes of runs that occur more than once; they only set bits."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            found = [own.gram for own in runs([x or b"" for x in part.column("text").to_pylist()], whole=False)]
-            used, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.record_batch([pa.array(used), pa.array(n.astype(np.int32))], ["g", "n"])
+            found = [own.gram.astype(np.int32) for own in runs([x or b"" for x in part.column("text").to_pylist()], whole=False)]
+            used, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            yield pa.record_batch([pa.array(used), pa.array(np.minimum(n, 2).astype(np.int8))], ["g", "n"])
 
-    return docs.select("text").mapInArrow(step, "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
+    return docs.select("text").mapInArrow(step, "g int, n tinyint").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("g").cast("long").alias("g"))
 
 
 def bit_field(df: DataFrame, column: Column) -> np.ndarray:
@@ -198,7 +203,7 @@ def is_set(field: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (field[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def halves(df: DataFrame, size: int) -> DataFrame:
+def cut(df: DataFrame, size: int) -> DataFrame:
     """Cut runs at multiples of ``size`` places before their anchor; the key is what all starts of such a block share."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,23 +219,28 @@ def halves(df: DataFrame, size: int) -> DataFrame:
                     out.append((digest(core, block), digest(hull, top), doc, t, p + back - top, top, top - bottom + 1, hull))
             key, s, *rest, content = zip(*out, strict=True) if out else ((),) * 8
             hashes = (np.array(x, np.uint64).view(np.int64) for x in (key, s))
-            yield batch_of(*hashes, *(np.array(x, np.int64) for x in rest), list(content))
+            yield batch_of(*hashes, *(np.array(x, np.int64) for x in rest), np.array(content, object))
 
     return df.select("doc", "t", "p", "back", "n", "content").mapInArrow(step, RUN)
 
 
 def ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs with an equal run before them, so that all their starts are repeats; and runs that are the first of their kind,
-    but whose key has other kinds. All others leave. Minima are pre-aggregated and joined back, so no key is gathered."""
+    but whose key has other kinds. All others leave. Minima are pre-aggregated and joined back, so no key is gathered: first
+    by key alone, which decides all keys of one kind, then by kind."""
     rows = written(rows, "substring-runs")
     own = rows.where(~F.col("later"))
-    place = F.struct("doc", "t", "p")
-    kinds = written(own.groupBy("key", "s").agg(F.min(F.struct("doc", "t", "p", "back", "n", "content")).alias("first")), "substring-kinds")
-    several = kinds.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
-    again = own.join(kinds.select("key", "s", F.struct("first.doc", "first.t", "first.p").alias("first")), ["key", "s"]).where(place > F.col("first"))
-    where = ("doc", "t", "p", "n")
-    later = written(rows.where("later").select(*where).unionByName(again.select(*where)), "substring-later")
-    return later, written(kinds.join(several, "key", "left_semi").select("key", "s", "first.*"), "substring-split")
+    place, starts = F.struct("doc", "t", "p"), ("doc", "t", "p", "n")
+    keys = own.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.min(place).alias("first"), F.count(F.lit(1)).alias("k"))
+    keys = written(keys.where("k > 1").select("key", "first", (F.col("low") < F.col("high")).alias("several")), "substring-keys")
+    met = own.join(keys, "key").where(F.col("several") | (place > F.col("first")))
+    met = written(met.select("key", "s", *starts, "back", "content", "several"), "substring-met")
+    mixed = met.where("several")
+    kinds = written(mixed.groupBy("key", "s").agg(F.min(F.struct("doc", "t", "p", "back", "n", "content")).alias("first")), "substring-kinds")
+    named = kinds.select("key", "s", F.struct("first.doc", "first.t", "first.p").alias("first"))
+    again = mixed.join(named, ["key", "s"]).where(place > F.col("first"))
+    later = rows.where("later").select(*starts).unionByName(met.where("not several").select(*starts)).unionByName(again.select(*starts))
+    return written(later, "substring-later"), kinds.select("key", "s", "first.*")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -242,11 +252,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     bits = spark.sparkContext.broadcast(bit_field(parts, mark_of()))
     whole = run_rows(docs, bits, rows=True).select("doc", "t", "p", "content")
     current = written(parts.drop("content", "key", "s").join(whole, ["doc", "t", "p"]), "substring-parts")
-    size = PLACES // 2
+    size = PLACES // 4
     while size and not current.isEmpty():
-        later, current = ranked(halves(current, size))
+        later, current = ranked(cut(current, size))
         out = out.unionByName(later)
-        size //= 2
+        size //= 4
     return out
 
 
@@ -285,7 +295,13 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
             yield from pa.table([part.column("id"), *cols], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]).to_batches()
 
     kind = docs.schema[id].dataType.simpleString()
-    joined = own.join(per, ["doc", "t"], "left").select("id", "text", "starts")
+    # texts without a start of their own need no join: their bucket tells, of a number that does not grow
+    bucket = F.pmod(F.xxhash64("doc", "t"), F.lit(BUCKETS)).alias("bucket")
+    per = written(per, "substring-starts")
+    touched = per.select(bucket).distinct().withColumn("some", F.lit(True))
+    own = own.withColumn("bucket", bucket).join(F.broadcast(touched), "bucket", "left")
+    met = own.where("some").join(per, ["doc", "t"], "left").select("id", "text", "starts")
+    joined = met.unionByName(own.where("some is null").select("id", "text", F.lit(None).cast(per.schema["starts"].dataType).alias("starts")))
     out = joined.mapInArrow(step, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
     return out.withColumnRenamed("id", id)
 
