@@ -110,6 +110,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, n: int, row_key: Se
     return a.join(b, [key, "_salt"], how).drop("_salt")
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: int, row_key: Sequence[str], limit: float = 0.05) -> DataFrame:
+    """Inner join that salts only the hot keys of the left side (at most 1 / ``limit`` of them): the right side is copied for
+    those alone, all other keys are joined plainly."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_t"))  # one row
+    hot = F.broadcast(counts.crossJoin(total).where(F.col("_n") > limit * F.col("_t")).select(key))
+    plain = left.join(hot, key, "left_anti").join(right, key)
+    salted = salted_join(left.join(hot, key, "left_semi"), right.join(hot, key, "left_semi"), key, n, row_key)
+    return plain.unionByName(salted)
+
+
 def key_skew(df: DataFrame, key: str, top: int = 10, limit: float = 0.2) -> DataFrame:
     """The most frequent keys with their share of all rows, flagged above ``limit``."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

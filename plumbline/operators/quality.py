@@ -48,6 +48,17 @@ def field_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*rows).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("r")).select("r.*")
 
 
+def rolling_baseline(counts: DataFrame, days: int = 7, width: float = 3.0) -> DataFrame:
+    """Each day against the ``days`` calendar days before it, whether or not all of them have rows: mean, deviation, and a
+    status by ``width`` deviations. The window runs over days alone."""
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    w = Window.partitionBy(F.lit(0)).orderBy(number).rangeBetween(-days, -1)
+    out = counts.select("day", "n", F.avg("n").over(w).alias("mean"), F.stddev_samp("n").over(w).alias("deviation"), F.count("n").over(w).alias("seen"))
+    far = F.abs(F.col("n") - F.col("mean")) > width * F.col("deviation")
+    status = F.when(F.col("seen") < 2, "NO_BASELINE").when(far & (F.col("n") < F.col("mean")), "LOW").when(far, "HIGH").otherwise("OK")
+    return out.select("day", "n", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "seen", status.alias("status"))
+
+
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column of any type: declared and inferred type, null and unique rate, lengths, and the most frequent value.
 

@@ -159,3 +159,62 @@ def transactions(events: DataFrame, run: str, start: str, done: Sequence[str]) -
     last = F.max_by(F.when(F.col("event_type").isin(list(done)), F.col("event_type")), F.when(F.col("event_type").isin(list(done)), F.struct("ts", "event_id")))
     out = events.where(F.col("event_type").isin([start, *done])).groupBy(run).agg(begin.alias("started"), last.alias("closed_by"))
     return out.select(run, F.when(F.col("started").isNull(), "ORPHAN").when(F.col("closed_by").isNull(), "OPEN").otherwise(F.col("closed_by")).alias("state"))
+
+
+def claim_counts(events: DataFrame, agent: str, edge: Column, kinds: Mapping[str, str]) -> DataFrame:
+    """Per agent and edge, how many claims of each kind (event type to name) there are."""
+    counts = [F.count_if(F.col("event_type") == kind).alias(name) for kind, name in kinds.items()]
+    return events.where(F.col("event_type").isin(list(kinds))).groupBy(agent, edge.alias("edge")).agg(*counts)
+
+
+def gap_signals(df: DataFrame, key: str, dimensions: Mapping[str, tuple[Column, Column, float]], origin: str) -> DataFrame:
+    """One row for each dimension (expected, actual, tolerance) of a record: its gap, where it comes from, and whether it
+    breaches the tolerance. All dimensions come from one pass."""
+    cells = [F.struct(F.lit(name).alias("dimension"), F.abs(actual - expected).alias("gap"), (F.abs(actual - expected) > limit).alias("breach")) for name, (expected, actual, limit) in dimensions.items()]
+    return df.select(key, F.lit(origin).alias("origin"), F.explode(F.array(*cells)).alias("c")).select(key, "origin", "c.*").where("gap is not null")
+
+
+def mandatory_coverage(dims: DataFrame, entities: DataFrame, key: str, mandatory: Column) -> DataFrame:
+    """``dimension_coverage`` with a status: COVERED, MISSING (mandatory without entities) or OPTIONAL."""
+    own = dimension_coverage(dims.withColumn("mandatory", mandatory), entities, key)
+    return own.withColumn("status", F.when(F.col("covered"), "COVERED").when(F.col("mandatory"), "MISSING").otherwise("OPTIONAL"))
+
+
+def tag_status(keys: DataFrame, key: str, texts: DataFrame, text: str, first: str, second: str) -> DataFrame:
+    """Every known key with where its tag is found: BOTH, FIRST, SECOND or NEITHER."""
+    found = tag_coverage(texts, text, first, second)
+    return keys.join(found, keys[key] == found["tag"], "left").select(key, F.coalesce("status", F.lit("NEITHER")).alias("status"))
+
+
+def convergence(events: DataFrame, edge: str, start: str, delta: Column, timeout_seconds: int, escalated: str) -> DataFrame:
+    """Per edge: seconds from the first start to the first delta of zero, and how it ended: ``delta_zero``, ``escalated`` (that
+    event came first), ``timeout`` (nothing of either in time) or ``open``."""
+    begun = F.min(F.when(F.col("event_type") == start, F.col("ts")))
+    marks = events.join(events.groupBy(edge).agg(begun.alias("_begun")).where("_begun is not null"), edge).where("ts >= _begun")
+    out = marks.groupBy(edge).agg(
+        F.min("_begun").alias("b"),
+        F.min(F.when(delta == 0, F.col("ts"))).alias("z"),
+        F.min(F.when(F.col("event_type") == escalated, F.col("ts"))).alias("e"),
+        F.max("ts").alias("m"),
+    )
+    seconds = F.unix_timestamp("z") - F.unix_timestamp("b")
+    late = F.lit(timeout_seconds)
+    kind = F.when(F.col("e") < F.coalesce("z", F.lit("9999-01-01").cast("timestamp")), "escalated").when(seconds <= late, "delta_zero")
+    kind = kind.when(F.unix_timestamp("m") - F.unix_timestamp("b") > late, "timeout").otherwise("open")
+    return out.select(edge, seconds.alias("seconds"), kind.alias("kind"))
+
+
+def latest_hash(events: DataFrame, edge: str, content: str) -> DataFrame:
+    """Digest of the newest content of each edge."""
+    return events.groupBy(edge).agg(F.sha2(F.max_by(content, F.struct("ts", "event_id")), 256).alias("content_hash"))
+
+
+def curve_rows(events: DataFrame, at: Column, delta: Column) -> DataFrame:
+    """Per event type the deltas up to a time as rows in order (``position`` from 1). Places follow from counts a day and the
+    order within a day, so no type is gathered."""
+    seen = events.where(F.col("ts") <= at).select("event_type", "ts", "event_id", F.to_date("ts").alias("day"), delta.alias("delta"))
+    days = seen.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))  # a row a day
+    placed = seen.join(days.select("event_type", "day", F.coalesce(before, F.lit(0)).alias("_before")), ["event_type", "day"])
+    within = F.row_number().over(Window.partitionBy("event_type", "day").orderBy("ts", "event_id"))
+    return placed.select("event_type", (F.col("_before") + within).alias("position"), "delta")

@@ -9,6 +9,7 @@ from ..operators import errors as E
 from ..operators import fidelity as K
 from ..operators import joins as J
 from ..operators import quality as Q
+from ..plans import eventlog as M
 from ..sources import tables as A
 from .checks import CONS, LATE, lateness, reverse
 from .registry import Tables, query
@@ -183,3 +184,55 @@ def i8_commit(t: Tables) -> DataFrame:
     E.commit_if(ok, False, scratch(t, "staging"), first)
     E.commit_if(ok, True, scratch(t, "staging"), second_one)
     return t.spark.read.parquet(first).withColumn("outcome", F.lit("published")).unionByName(t.spark.read.parquet(second_one).withColumn("outcome", F.lit("kept")))
+
+
+@query("j2_rolling", "SELECT day, n, round(b, 4) AS mean, round(s, 4) AS deviation, k AS seen, CASE WHEN k < 2 THEN 'NO_BASELINE' WHEN abs(n - b) > 1.5 * s AND n < b THEN 'LOW' WHEN abs(n - b) > 1.5 * s THEN 'HIGH' ELSE 'OK' END AS status FROM (SELECT *, avg(n) OVER w AS b, stddev_samp(n) OVER w AS s, count(n) OVER w AS k FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE extract('day' FROM ts) % 5 <> 3 GROUP BY 1) WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))")
+def j2_rolling(t: Tables) -> DataFrame:
+    return Q.rolling_baseline(Q.daily_volume(t.events.where(F.dayofmonth("ts") % 5 != 3), "ts"), 7, 1.5)
+
+
+@query("c16_hot_join", "SELECT l_orderkey, l_linenumber, l_partkey, s_name FROM (SELECT *, CASE WHEN l_partkey % 3 <> 0 THEN 1 ELSE l_suppkey END AS k FROM lineitem) JOIN supplier ON k = s_suppkey")
+def c16_hot(t: Tables) -> DataFrame:
+    left = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_partkey") % 3 != 0, 1).otherwise(F.col("l_suppkey")).alias("s_suppkey"))
+    return J.hot_join(left, t.supplier.select("s_suppkey", "s_name"), "s_suppkey", 8, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey", "s_name")
+
+
+@query("m4_curve_rows", "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position, CAST(json_extract(props, '$.k') AS INTEGER) AS delta FROM events WHERE ts <= TIMESTAMP '2024-01-20'")
+def m4_rows(t: Tables) -> DataFrame:
+    return M.curve_rows(t.events, F.lit("2024-01-20").cast("timestamp_ntz"), F.get_json_object("props", "$.k").cast("int"))
+
+
+@query("m8_gap_signals", "SELECT o_orderkey, 'orders' AS origin, 'total' AS dimension, abs(CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 100 ELSE o_totalprice END - o_totalprice) AS gap, o_orderkey % 5 = 0 AS breach FROM orders UNION ALL SELECT o_orderkey, 'orders', 'customer', CAST(o_custkey % 3 AS DOUBLE), o_custkey % 3 > 1 FROM orders")
+def m8_gaps(t: Tables) -> DataFrame:
+    paid = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 100).otherwise(F.col("o_totalprice"))
+    dims = {"total": (F.col("o_totalprice"), paid, 1.0), "customer": (F.lit(0.0), (F.col("o_custkey") % 3).cast("double"), 1.0)}
+    return M.gap_signals(t.orders, "o_orderkey", dims, "orders")
+
+
+@query("m10_mandatory", "SELECT n_name, count(c_custkey) AS entities, CASE WHEN count(c_custkey) > 0 THEN 'COVERED' WHEN any_value(n_regionkey) < 2 THEN 'MISSING' ELSE 'OPTIONAL' END AS status FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey % 4 = 0) ON c_nationkey = n_nationkey GROUP BY n_name")
+def m10_mandatory(t: Tables) -> DataFrame:
+    dims = t.nation.select(F.col("n_nationkey").alias("k"), "n_name", "n_regionkey")
+    own = M.mandatory_coverage(dims, t.customer.where("c_nationkey % 4 = 0").select(F.col("c_nationkey").alias("k")), "k", F.col("n_regionkey") < 2)
+    return own.select("n_name", "entities", "status")
+
+
+@query("m11_tag_status", "WITH keys AS (SELECT DISTINCT regexp_extract(text, '^([A-Za-z]+)', 1) AS key FROM documents), a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\bthe ([a-z]+)', 1)) AS tag FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\bof ([a-z]+)', 1)) AS tag FROM documents) SELECT lower(key) AS key, CASE WHEN a.tag IS NOT NULL AND b.tag IS NOT NULL THEN 'BOTH' WHEN a.tag IS NOT NULL THEN 'FIRST' WHEN b.tag IS NOT NULL THEN 'SECOND' ELSE 'NEITHER' END AS status FROM (SELECT DISTINCT lower(key) AS key FROM keys) LEFT JOIN a ON a.tag = key LEFT JOIN b ON b.tag = key")
+def m11_status(t: Tables) -> DataFrame:
+    keys = t.documents.select(F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("key")).distinct()
+    return M.tag_status(keys, "key", t.documents, "text", r"\bthe ([a-z]+)", r"\bof ([a-z]+)")
+
+
+@query("m14_convergence", "SELECT user_id, CAST(floor(epoch(z)) - floor(epoch(b)) AS BIGINT) AS seconds, CASE WHEN e < coalesce(z, TIMESTAMP '9999-01-01') THEN 'escalated' WHEN floor(epoch(z)) - floor(epoch(b)) <= 86400 THEN 'delta_zero' WHEN floor(epoch(m)) - floor(epoch(b)) > 86400 THEN 'timeout' ELSE 'open' END AS kind FROM (SELECT user_id, min(b) AS b, min(ts) FILTER (CAST(json_extract(props, '$.k') AS INTEGER) = 0) AS z, min(ts) FILTER (event_type = 'error') AS e, max(ts) AS m FROM events JOIN (SELECT user_id, min(ts) AS b FROM events WHERE event_type = 'signup' GROUP BY 1) USING (user_id) WHERE ts >= b GROUP BY user_id)")
+def m14_kinds(t: Tables) -> DataFrame:
+    own = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return M.convergence(own, "user_id", "signup", F.get_json_object("props", "$.k").cast("int"), 86_400, "error")
+
+
+@query("m15_claim_counts", "SELECT user_id, CAST(ts AS DATE) AS edge, count(*) FILTER (event_type = 'signup') AS granted, count(*) FILTER (event_type = 'error') AS rejected, count(*) FILTER (event_type = 'purchase') AS released, count(*) FILTER (event_type = 'view') AS expired FROM events WHERE event_type IN ('signup', 'error', 'purchase', 'view') GROUP BY 1, 2")
+def m15_claims(t: Tables) -> DataFrame:
+    return M.claim_counts(t.events, "user_id", F.to_date("ts"), {"signup": "granted", "error": "rejected", "purchase": "released", "view": "expired"})
+
+
+@query("m17_latest_hash", "SELECT user_id, sha256(max_by(props, (ts, event_id))) AS content_hash FROM events GROUP BY user_id")
+def m17_hash(t: Tables) -> DataFrame:
+    return M.latest_hash(t.events, "user_id", "props")
