@@ -20,7 +20,6 @@ import json
 import mmap
 import re
 import sys
-import tempfile
 import unicodedata
 import uuid
 from array import array
@@ -415,10 +414,3 @@ def op2(docs: DataFrame, tokenizer: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-
-
-def local_lexicon(entries: dict[bytes, tuple[int, ...]]) -> Lexicon:
-    """A lexicon on a file of its own; for tests."""
-    with tempfile.NamedTemporaryFile(delete=False) as f:
-        f.write(compile_lexicon(entries))
-    return Lexicon(f.name)

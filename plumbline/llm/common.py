@@ -54,14 +54,26 @@ def restored(df: DataFrame, like: DataFrame, *used: str) -> DataFrame:
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later steps start from files.
 
-    The files outlive a lost executor, unlike cached blocks.
+    The files outlive a lost executor, unlike cached blocks; ``release`` deletes them.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the folders that ``written`` has left; to be called when no table that reads them is needed any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
     """Regroup record batches into tables whose ``column`` holds about ``limit`` bytes; one longer text stands alone."""
     held: list[pa.RecordBatch] = []

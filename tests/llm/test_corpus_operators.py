@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import bpe, decontaminate, graph, htmltext, mixing, neargraph, neartext, pii, quality, shards, simhash, substrings
+from plumbline.llm import bpe, common, decontaminate, graph, htmltext, mixing, neargraph, neartext, pii, quality, shards, simhash, substrings
 
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards box with daft zebras near a quiet river bank today"
 TEXTS = [
@@ -76,9 +76,20 @@ def test_bpe(docs, rows, empty):
     assert bpe.op2(empty, path).count() == 0
 
 
-def test_lexicon_is_exact_and_shares_suffixes():
+def test_written_tables_can_be_released(spark):
+    import os
+
+    df = common.written(spark.range(5), "some")
+    path = common.WRITTEN[-1]
+    assert df.count() == 5 and os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.exists(path) and not common.WRITTEN
+
+
+def test_lexicon_is_exact_and_shares_suffixes(tmp_path):
     words = {w.encode(): (k, k + 1) for k, w in enumerate(["walking", "talking", "walked", "talked", "walk", "talk"])}
-    lexicon = bpe.local_lexicon(words)
+    (tmp_path / "lexicon").write_bytes(bpe.compile_lexicon(words))
+    lexicon = bpe.Lexicon(str(tmp_path / "lexicon"))
     assert all(lexicon.find(w) == ids for w, ids in words.items())
     assert lexicon.find(b"walks") is None and lexicon.find(b"wal") is None and lexicon.find(b"") is None
     assert len(lexicon.final) < 14  # 30 letters share their ends
