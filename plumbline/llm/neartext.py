@@ -4,7 +4,7 @@ Fingerprints of texts alike by 0.8 differ in about ten of 64 bits, where no grid
 candidates that share one of ``BANDS`` bands of ``ROWS`` min-hashes, which a pair of similarity 0.8 misses with a chance of
 6e-7 and a closer one more rarely; each candidate pair is verified on the whole sets. Texts with equal sets are one node.
 Of a band value that many nodes share, all are first compared with a few hubs; those that are not connected to the hub's
-component get other hubs in further rounds; at last the nodes still apart are compared with all others of the value, so no
+component get other hubs in further rounds, as long as a round halves what is left; at last the nodes still apart are compared with all others of the value, so no
 pair is left out. That last step grows with the nodes apart times all nodes of a value.
 
 Defined results: texts without words are copies of each other; a text of fewer words has one shingle.
@@ -105,14 +105,16 @@ def links(docs: DataFrame, nodes: DataFrame, also: DataFrame, text: str) -> Data
     found = verified(sparse.unionByName(to_hub).unionByName(also), sets)
     if crowded.isEmpty():
         return found
+    prior = None
     for turn in range(1, ROUNDS + 1):
         own = crowded.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
         own = written(own, "near-crowds")
         hubs = written(own.groupBy("band").agg(hub(turn), F.min_by("component", F.xxhash64("node", F.pmod("band", F.lit(HUBS)), F.lit(turn))).alias("main")), "near-hubs")
         apart = own.join(hubs, "band").where("component <> main")
         cost = apart.agg(F.coalesce(F.sum("many"), F.lit(0)).alias("pairs")).first().pairs
-        if turn == ROUNDS or cost <= FEW * own.count():
+        if turn == ROUNDS or cost <= FEW * own.count() or prior is not None and 2 * cost > prior:
             break
+        prior = cost
         found = found.unionByName(verified(apart.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets))
     apart = apart.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     others = own.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))

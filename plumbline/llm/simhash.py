@@ -107,6 +107,8 @@ def links(distinct: DataFrame) -> DataFrame:
     Every verified candidate pair of an uncrowded grid point is an edge. At the finest grid all fingerprints of a point
     are one flip away from it, hence two from each other: an edge to the smallest one loses no connection.
     """
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = distinct.repartition(tasks, "fp")  # a small table, but each row becomes thirty
     points = distinct.select("fp", F.explode(grid_points(counts(F.col("fp")))).alias("point"))
     shared = points.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = written(points.join(shared, "point"), "simhash-grid")
