@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import classify
+from ..sources.tables import shared_folder
 
 
 def regime_summary(events: DataFrame, sets: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -85,7 +86,7 @@ def hierarchy(nodes: DataFrame, id: str, parent: str, depth: int = 12) -> DataFr
 def round_written(df: DataFrame) -> DataFrame:
     """Write a round to the folder that driver and executors share, so that plans do not grow and no round is lost."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/hierarchy-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/hierarchy-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -17,9 +17,8 @@ from .shapes import SECOND, second
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A fresh folder under the shared one, or under the default file system's temporary folder."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/plumbline"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one."""
+    return f"{A.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _profile(column: str, declared: str, inferred: str) -> str:

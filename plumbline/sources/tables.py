@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -20,6 +21,14 @@ class Binding:
     options: dict[str, str] = field(default_factory=dict)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on one machine alone a local one will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
+
+
 def read_source(spark: SparkSession, binding: Binding) -> DataFrame:
     reader = spark.read.format(binding.format).options(**binding.options)
     if binding.schema is not None:
