@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, htmltext, mixing, neargraph, pii, quality, shards, simhash, substrings
+from . import bpe, collocations, decontaminate, htmltext, mergereplay, mixing, neargraph, pii, quality, rolerepair, shards, simhash, substrings
 from .common import table
 
 
@@ -52,6 +52,20 @@ def op10_suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolerepair.op11(table(spark, sf_dir, "conversations"))
+
+
+def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return mergereplay.op12(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_graph": op1_near_graph,
     "op2_bpe": op2_bpe,
@@ -63,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_ranks": op10_suffix_ranks,
+    "op11_role_repair": op11_role_repair,
+    "op12_merge_replay": op12_merge_replay,
+    "op13_collocations": op13_collocations,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,4 +109,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        s AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+        g AS (SELECT lang, d, array_to_string(ws[i:i + d - 1], ' ') AS phrase FROM (SELECT lang, ws, d, unnest(range(1, len(ws) - d + 2)) AS i FROM s, range(1, 4) AS depth(d) WHERE len(ws) >= d)),
+        f AS (SELECT lang, d, phrase, count(*) AS f FROM g GROUP BY lang, d, phrase),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE d = 1 GROUP BY lang),
+        c AS (SELECT lang, d, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE d > 1 AND f >= 10),
+        cut AS (SELECT c.*, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:d], ' ') AS y FROM c, range(1, 3) AS cuts(k) WHERE k < d),
+        v AS (SELECT cut.lang, cut.d, cut.phrase, a, k, fx.f AS l, fy.f AS r, (1000000::HUGEINT * a * a // (fx.f::HUGEINT * fy.f))::BIGINT AS score
+            FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = x AND fx.d = k JOIN f fy ON fy.lang = cut.lang AND fy.phrase = y AND fy.d = cut.d - k),
+        low AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        h AS (SELECT lang, q, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS q FROM c WHERE d = 3) GROUP BY lang, q),
+        kept AS (SELECT low.* FROM low LEFT JOIN h ON h.lang = low.lang AND h.q = low.phrase AND low.d = 2 WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
