@@ -251,7 +251,8 @@ def field(phrases: DataFrame) -> Field:
 
 
 def summed(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    """Sums over shards. A shard has each phrase once, so its task shuffles rows as they are, without a table of them."""
+    return counts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def words_of(index: DataFrame) -> DataFrame:
@@ -316,7 +317,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     spark = docs.sparkSession
     prepare(spark)
     index = written(shards(docs, text, lang), "collocations-index")
-    unigrams = written(words_of(index).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "collocations-words")
+    unigrams = written(summed(words_of(index), 1), "collocations-words")
     share = spark.sparkContext.broadcast
     frequent = unigrams.where(F.col("f") >= least)
     one = share(field(frequent))
