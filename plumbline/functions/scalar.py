@@ -37,15 +37,21 @@ def unpack(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], f"{name}.*")
 
 
+def key_text(columns: Sequence[str]) -> Column:
+    """The canonical text of a key: values parted by ``|``, null as ``~``; these signs and the backslash are escaped in
+    values, so that different keys have different texts."""
+    escaped = lambda c: F.regexp_replace(F.col(c).cast("string"), r"([\\|~])", r"\\$1")
+    return F.concat_ws("|", *[F.coalesce(escaped(c), F.lit("~")) for c in columns])
+
+
 def surrogate_key(df: DataFrame, columns: Sequence[str], name: str = "sk", seed: str = "") -> DataFrame:
-    """SHA-256 of the canonical key text: values parted by ``|``, null as ``~``."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]
-    return df.withColumn(name, F.sha2(F.concat_ws("|", F.lit(seed), *parts), 256))
+    """SHA-256 of the seed and the canonical key text."""
+    return df.withColumn(name, F.sha2(F.concat_ws("|", F.lit(seed), key_text(columns)), 256))
 
 
 def uuid5_key(df: DataFrame, columns: Sequence[str], namespace: str, name: str = "uuid") -> DataFrame:
-    """Name-based UUID (version 5) of the key text in a namespace (32 hex digits)."""
-    raw = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary")))
+    """Name-based UUID (version 5) of the canonical key text in a namespace (32 hex digits)."""
+    raw = F.sha1(F.concat(F.unhex(F.lit(namespace)), key_text(columns).cast("binary")))
     variant = F.lower(F.hex(F.conv(F.substring(raw, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
     return df.withColumn(name, F.concat_ws("-", F.substring(raw, 1, 8), F.substring(raw, 9, 4), F.concat(F.lit("5"), F.substring(raw, 14, 3)), F.concat(variant, F.substring(raw, 18, 3)), F.substring(raw, 21, 12)))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.publish import moved, point
+
 
 #: The codes of error records.
 CODES = {
@@ -67,9 +71,16 @@ class Rule:
     message: str = ""
 
 
+def filled(message: str, columns: Sequence[str]) -> Column:
+    """A message in which ``{column}`` stands for the row's value (``null`` if there is none); other braces stay."""
+    parts = re.split(r"\{(\w+)\}", message)
+    out = [F.lit(p) if k % 2 == 0 else F.coalesce(F.col(p).cast("string"), F.lit("null")) if p in columns else F.lit("{" + p + "}") for k, p in enumerate(parts)]
+    return out[0] if len(out) == 1 else F.concat(*out)
+
+
 def apply_rules(df: DataFrame, rules: Sequence[Rule], key: str) -> tuple[DataFrame, DataFrame]:
     """Rows without a failed ERROR rule, and a report row for each failed rule; one pass builds the failures."""
-    failed = [F.when(~F.coalesce(r.predicate, F.lit(False)), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.code).alias("error_code"), F.lit(r.message).alias("message"))) for r in rules]
+    failed = [F.when(~F.coalesce(r.predicate, F.lit(False)), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.code).alias("error_code"), filled(r.message, df.columns).alias("message"))) for r in rules]
     flagged = df.withColumn("_failed", F.filter(F.array(*failed), lambda x: x.isNotNull()))
     report = flagged.select(F.col(key).alias("source_key"), F.explode("_failed").alias("f")).select("source_key", "f.*")
     return flagged.where(~F.exists("_failed", lambda f: f["severity"] == "ERROR")).drop("_failed"), report
@@ -99,10 +110,16 @@ def circuit_breaker(df: DataFrame, rule: Column, key: str, n: int = 10_000, rate
 
 
 def commit_if(ok: DataFrame, halted: bool, staging: str, path: str) -> bool:
-    """Write to a staging path; publish only if the verdict allows it."""
+    """Write to a staging path; only if the verdict allows it, rename that to a version of ``path`` and make it current.
+
+    ``sources.publish.read_published`` reads what is current. Nothing is copied, and a failure at any point leaves the old
+    version readable.
+    """
     ok.write.mode("overwrite").parquet(staging)
     if not halted:
-        ok.sparkSession.read.parquet(staging).write.mode("overwrite").parquet(path)
+        version = f"version-{uuid.uuid4().hex}"
+        moved(ok.sparkSession, staging, f"{path}/{version}")
+        point(ok.sparkSession, path, version)
     return not halted
 
 
@@ -124,7 +141,9 @@ def account_keys(total: DataFrame, parts: Mapping[str, DataFrame], key: str) ->
         part = df.select(F.col(key).alias("key"), F.lit(name).alias("part"))
         tagged = part if tagged is None else tagged.unionByName(part)
     seen = tagged.groupBy("key").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("rows"))
-    both = total.select(F.col(key).alias("key")).distinct().withColumn("_in", F.lit(True)).join(seen, "key", "full_outer")
+    from .joins import full_join  # which takes its error rows from here
+
+    both = full_join(total.select(F.col(key).alias("key")).distinct().withColumn("_in", F.lit(True)), seen, ["key"])
     issue = F.when(F.col("parts").isNull(), "MISSING").when(F.col("_in").isNull(), "EXTRA").when(F.col("parts") > 1, "OVERLAP").when(F.col("rows") > 1, "DUPLICATE")
     return both.select("key", issue.alias("issue")).where("issue is not null")
 
@@ -149,5 +168,35 @@ def step_metrics(df: DataFrame, columns: Sequence[str], violated: Column) -> Dat
     return df.agg(n.alias("rows"), *[(F.count_if(F.col(c).isNull()) / n).alias(f"null_rate_{c}") for c in columns], F.count_if(~F.coalesce(violated, F.lit(False))).alias("violations"))
 
 
+class Telemetry:
+    """Rows in and out of each step of a mapping, null rates and violations, taken while the mapping's own job runs.
+
+    ``measured`` puts an observation at either end of a step; nothing is scanned twice, and Spark hands over the numbers
+    when an action over the result has ended. ``rows`` then waits for them. The order of steps is that of the calls.
+    """
+
+    def __init__(self):
+        self.steps: list[tuple[str, Observation, Observation, Sequence[str]]] = []
+
+    def measured(self, name: str, df: DataFrame, step: Callable[[DataFrame], DataFrame], columns: Sequence[str] = (), rule: Column | None = None) -> DataFrame:
+        """``step(df)``, with counts of the rows before it, and after it with nulls of ``columns`` and violations of ``rule``."""
+        before, after = Observation(f"in-{uuid.uuid4().hex}"), Observation(f"out-{uuid.uuid4().hex}")
+        self.steps.append((name, before, after, columns))
+        n = F.count(F.lit(1))
+        violated = [F.count_if(~F.coalesce(rule, F.lit(False))).alias("violations")] if rule is not None else []
+        nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in columns]
+        return step(df.observe(before, n.alias("n"))).observe(after, n.alias("n"), *violated, *nulls)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """A row a step and column (null: the step itself): step, rows_in, rows_out, violations, column_name, null_rate."""
+        out = []
+        for name, before, after, columns in self.steps:
+            a, b = before.get, after.get
+            violations = b.get("violations", 0)
+            out.append((name, a["n"], b["n"], violations, None, None))
+            out += [(name, a["n"], b["n"], violations, c, b[f"nulls_{c}"] / b["n"] if b["n"] else None) for c in columns]
+        return spark.createDataFrame(out, "step string, rows_in long, rows_out long, violations long, column_name string, null_rate double")
+
+
 def lookup_conflicts(df: DataFrame, key: str, value: str, epoch: str) -> DataFrame:
     return df.groupBy(key, epoch).agg(F.count_distinct(value).alias("n_values")).where("n_values > 1")

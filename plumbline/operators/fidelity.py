@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import merge_upsert
-from .joins import compare
+from .joins import compare, full_join
 
 
 def _totals(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
@@ -17,7 +17,7 @@ def _totals(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFr
 
 def conservation(a: DataFrame, b: DataFrame, keys: Sequence[str], column: str, tolerance: float) -> DataFrame:
     """Sums of both sides by key, their gap, and whether it is within tolerance."""
-    both = _totals(a, keys, column, "_a").join(_totals(b, keys, column, "_b"), list(keys), "full_outer")
+    both = full_join(_totals(a, keys, column, "_a"), _totals(b, keys, column, "_b"), keys)
     gap = F.abs(F.coalesce("_a", F.lit(0)) - F.coalesce("_b", F.lit(0)))
     return both.select(*keys, F.col("_a").cast("double").alias("total_a"), F.col("_b").cast("double").alias("total_b"), gap.cast("double").alias("gap"), (gap <= tolerance).alias("holds"))
 
@@ -25,7 +25,7 @@ def conservation(a: DataFrame, b: DataFrame, keys: Sequence[str], column: str, t
 def coverage(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     x = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_a"))
     y = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_b"))
-    both = x.join(y, list(keys), "full_outer").select(*keys, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
+    both = full_join(x, y, keys).select(*keys, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
     return both.withColumn("holds", F.col("n_b") >= F.col("n_a"))
 
 
@@ -128,8 +128,8 @@ def merge_columns(base: DataFrame, a: DataFrame, b: DataFrame, key: str, columns
     """MERGE in both directions: each column takes the side that changed it; where both did, the base value stays and the
     column is named in ``conflicts``."""
     x = base.select(key, *[F.col(c).alias(f"_o_{c}") for c in columns])
-    both = x.join(a.select(key, *[F.col(c).alias(f"_a_{c}") for c in columns]), key, "full_outer")
-    both = both.join(b.select(key, *[F.col(c).alias(f"_b_{c}") for c in columns]), key, "full_outer")
+    both = full_join(x, a.select(key, *[F.col(c).alias(f"_a_{c}") for c in columns]), [key])
+    both = full_join(both, b.select(key, *[F.col(c).alias(f"_b_{c}") for c in columns]), [key])
     merged, marks = [], []
     for c in columns:
         o, p, q = (F.col(f"_{s}_{c}") for s in "oab")
@@ -142,7 +142,7 @@ def merge_columns(base: DataFrame, a: DataFrame, b: DataFrame, key: str, columns
 def sync(base: DataFrame, a: DataFrame, b: DataFrame, key: str, column: str, strategy: str) -> DataFrame:
     """Three-way merge of one column: the side that changed wins; if both did, the strategy decides."""
     x = base.select(key, F.col(column).alias("_o"))
-    both = x.join(a.select(key, F.col(column).alias("_a")), key, "full_outer").join(b.select(key, F.col(column).alias("_b")), key, "full_outer")
+    both = full_join(full_join(x, a.select(key, F.col(column).alias("_a")), [key]), b.select(key, F.col(column).alias("_b")), [key])
     ca, cb = ~F.col("_a").eqNullSafe(F.col("_o")), ~F.col("_b").eqNullSafe(F.col("_o"))
     conflict = ca & cb & ~F.col("_a").eqNullSafe(F.col("_b"))
     chosen = {"SOURCE_WINS": F.col("_a"), "TARGET_WINS": F.col("_b"), "FAIL": F.raise_error(F.concat(F.lit("both sides changed "), F.col(key).cast("string")))}[strategy]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .errors import CODES, error_rows
+from .segments import BUCKET_ROWS, running_last
 
 #: A lookup is sent to all executors up to this many rows; beyond, Spark shuffles.
 LOOKUP_ROWS = 100_000
@@ -18,6 +19,18 @@ def bounded(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def full_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join by keys in which nulls are equal; each key column appears once, first."""
+    names = [f"_right_{k}" for k in keys]
+    b = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in right.columns if c not in keys], F.lit(True).alias("_in_right"))
+    on = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    both = left.withColumn("_in_left", F.lit(True)).join(b, on, "full_outer")
+    own = [F.when(F.col("_in_left").isNotNull(), F.col(k)).otherwise(F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
+    return both.select(*own, *[c for c in [*left.columns, *right.columns] if c not in keys])
+
+
 def traverse_n1(df: DataFrame, target: DataFrame, on: Column, target_key: str) -> DataFrame:
     """N:1: every row stays, once; a target key with several rows is an error, not a multiplication."""
     if not target.groupBy(target_key).count().where("count > 1").isEmpty():
@@ -64,12 +77,15 @@ def asof_interval(df: DataFrame, history: DataFrame, key: Column, at: str, begin
     return df.join(history, key & inside, "left")
 
 
-def asof_last(df: DataFrame, history: DataFrame, key: str, at: str, version: str, columns: Sequence[str]) -> DataFrame:
-    """The last version at or before ``at`` by a union and a running last value; rows do not multiply."""
+def asof_last(df: DataFrame, history: DataFrame, key: str, at: str, version: str, columns: Sequence[str], rows: int = BUCKET_ROWS) -> DataFrame:
+    """The last version at or before ``at`` by a union and a running last value; rows do not multiply.
+
+    Versions without a time are before nothing; a row without a time has none before it. A key of more than ``rows`` rows
+    of both sides is scanned in segments of its time line.
+    """
     left = df.withColumn("_t", F.col(at)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(history.select(F.struct(version, *columns).alias("v")).schema["v"].dataType))
-    right = history.select(F.col(key), F.col(version).alias("_t"), F.lit(0).alias("_side"), F.struct(version, *columns).alias("_v"))
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
+    right = history.where(F.col(version).isNotNull()).select(F.col(key), F.col(version).alias("_t"), F.lit(0).alias("_side"), F.struct(version, *columns).alias("_v"))
+    both = running_last(left.unionByName(right, allowMissingColumns=True), [key], ["_t", "_side"], "_v", "_last", rows)
     return both.where("_side = 1").select(*df.columns, *[F.col(f"_last.{c}").alias(c) for c in [version, *columns] if c not in df.columns])
 
 
@@ -100,7 +116,7 @@ def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Seq
     a = left.select(*keys, F.struct(*columns).alias("_a"))
     b = right.select(*keys, F.struct(*columns).alias("_b"))
     status = F.when(F.col("_b").isNull(), "LEFT_ONLY").when(F.col("_a").isNull(), "RIGHT_ONLY").when(F.col("_a").eqNullSafe(F.col("_b")), "EQUAL").otherwise("DIFFERENT")
-    return a.join(b, list(keys), "full_outer").select(*keys, status.alias("status"))
+    return full_join(a, b, keys).select(*keys, status.alias("status"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, n: int, row_key: Sequence[str], how: str = "inner") -> DataFrame:

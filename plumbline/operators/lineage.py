@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import BUCKET_ROWS, cut
+
 
 def filter_traced(df: DataFrame, predicate: Column, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     flagged = df.withColumn("_ok", F.coalesce(predicate, F.lit(False)))
@@ -65,11 +67,103 @@ def rebuild_from_envelopes(source: DataFrame, key: str, envelopes: DataFrame, ta
     return both.select(target, "inside", "n", (F.col("inside") == F.col("n")).alias("complete"))
 
 
-def islands(pairs: DataFrame, target: str) -> DataFrame:
-    """Ranges of consecutive source keys of each target."""
-    w = Window.partitionBy(target).orderBy("source_key")
-    numbered = pairs.select(target, "source_key").distinct().withColumn("g", F.col("source_key") - F.row_number().over(w))
-    return numbered.groupBy(target, "g").agg(F.min("source_key").alias("start_key"), F.max("source_key").alias("end_key"), F.count(F.lit(1)).alias("n")).drop("g")
+def islands(pairs: DataFrame, target: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Ranges of consecutive source keys (whole numbers) of each target.
+
+    A target of more than ``rows`` keys is cut into buckets: ranges are found in each, and only those at the ends of
+    buckets, two a bucket at most, are then joined where they meet.
+    """
+    keys = pairs.select(target, "source_key").distinct()
+    parts = cut(keys, [target], "source_key", rows)
+    own = [target, "_bucket"] if parts is not None else [target]
+    numbered = (keys if parts is None else parts).withColumn("g", F.col("source_key") - F.row_number().over(Window.partitionBy(*own).orderBy("source_key")))
+    found = numbered.groupBy(*own, "g").agg(F.min("source_key").alias("start_key"), F.max("source_key").alias("end_key"), F.count(F.lit(1)).alias("n")).drop("g")
+    if parts is None:
+        return found
+    ends = parts.groupBy(F.col(target).alias("_t"), F.col("_bucket").alias("_b")).agg(F.min("source_key").alias("_first"), F.max("source_key").alias("_last"))
+    placed = found.join(ends, F.col(target).eqNullSafe(F.col("_t")) & (F.col("_bucket") == F.col("_b"))).withColumn("_edge", (F.col("start_key") == F.col("_first")) | (F.col("end_key") == F.col("_last")))
+    w = Window.partitionBy(target).orderBy("start_key")
+    edge = placed.where("_edge").withColumn("_new", F.coalesce(F.lag("end_key").over(w) + 1 < F.col("start_key"), F.lit(True)).cast("int"))
+    joined = edge.withColumn("_g", F.sum("_new").over(w)).groupBy(target, "_g").agg(F.min("start_key").alias("start_key"), F.max("end_key").alias("end_key"), F.sum("n").alias("n"))
+    return placed.where("not _edge").select(target, "start_key", "end_key", "n").unionByName(joined.drop("_g"))
+
+
+#: Source keys that one bitmap row covers; its position within them is a bit.
+BITMAP = 32_768
+
+
+def reverse_table(pairs: DataFrame, target: str, form: str, created_at: Column | None = None) -> DataFrame:
+    """The way back from targets to whole-number source keys in a compact form.
+
+    PAIRS has a row a pair, RANGES one a run of consecutive keys, ARRAY one a target and block of 32768 keys with the
+    offsets, BITMAP the same with a bit a key. A block bounds every row, so a target with a third of all keys has many
+    rows and no large one. ``created_at`` is kept for ``prune``.
+    """
+    block = (F.floor(F.col("source_key") / BITMAP)).cast("long").alias("block")
+    offset = F.pmod(F.col("source_key"), F.lit(BITMAP))
+    if form == "PAIRS":
+        out = pairs.select(target, "source_key").distinct()
+    elif form == "RANGES":
+        out = islands(pairs, target)
+    elif form == "ARRAY":
+        out = pairs.groupBy(target, block).agg(F.sort_array(F.collect_set(offset.cast("int"))).alias("offsets"))
+    elif form == "BITMAP":
+        out = pairs.groupBy(target, block).agg(F.bitmap_construct_agg(offset).alias("bits"))
+    else:
+        raise ValueError(form)
+    return out if created_at is None else out.withColumn("created_at", created_at)
+
+
+def reverse_pairs(table: DataFrame, target: str, form: str) -> DataFrame:
+    """The pairs (target, source_key) that a reverse table stands for."""
+    if form == "PAIRS":
+        return table.select(target, "source_key")
+    if form == "RANGES":
+        return table.select(target, F.explode(F.sequence("start_key", "end_key")).alias("source_key"))
+    if form == "ARRAY":
+        return table.select(target, "block", F.explode("offsets").alias("o")).select(target, (F.col("block") * BITMAP + F.col("o")).alias("source_key"))
+    if form == "BITMAP":
+        # eight places a byte; bytes without a bit are left out before they are taken apart
+        at = table.select(target, "block", "bits", F.explode(F.sequence(F.lit(1), F.octet_length("bits"))).alias("at"))
+        byte = at.select(target, "block", "at", F.conv(F.hex(F.substring("bits", F.col("at"), F.lit(1))), 16, 10).cast("int").alias("v")).where("v > 0")
+        bits = byte.select(target, "block", "at", "v", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).where(F.expr("(shiftright(v, k) & 1) = 1"))
+        return bits.select(target, (F.col("block") * BITMAP + (F.col("at") - 1) * 8 + F.col("k")).cast("long").alias("source_key"))
+    raise ValueError(form)
+
+
+def merged_bitmaps(tables: Sequence[DataFrame], target: str) -> DataFrame:
+    """Bitmap tables of several runs as one; a bit set in any of them is set."""
+    out = tables[0].select(target, "block", "bits")
+    for t in tables[1:]:
+        out = out.unionByName(t.select(target, "block", "bits"))
+    return out.groupBy(target, "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def prune(table: DataFrame, now: Column, days: int, created_at: str = "created_at") -> DataFrame:
+    """Rows within the retention; rows of unknown age stay."""
+    return table.where(F.col(created_at).isNull() | (F.col(created_at) >= now - F.make_dt_interval(F.lit(days))))
+
+
+def table_size(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: rows, and bytes of the given columns as text or binary."""
+    size = F.lit(0)
+    kinds = dict(table.dtypes)
+    for c in columns:
+        size = size + F.coalesce(F.octet_length(F.col(c) if kinds[c] in ("string", "binary") else F.array_join(F.col(c), ",") if kinds[c].startswith("array") else F.col(c).cast("string")), F.lit(0))
+    return table.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("n_bytes"))
+
+
+CLASSES = ("ISOMORPHISM", "EMBEDDING", "PROJECTION", "LOSSY")
+
+
+def composed_class(*steps: Column) -> Column:
+    """The class of a chain of steps: injective if all are, total if all are; a step of no known class makes it unknown."""
+    known, injective, complete = F.lit(True), F.lit(True), F.lit(True)
+    for s in steps:
+        known = known & F.coalesce(s.isin(*CLASSES), F.lit(False))
+        injective = injective & s.isin("ISOMORPHISM", "EMBEDDING")
+        complete = complete & s.isin("ISOMORPHISM", "PROJECTION")
+    return F.when(known, F.when(injective & complete, "ISOMORPHISM").when(injective, "EMBEDDING").when(complete, "PROJECTION").otherwise("LOSSY"))
 
 
 def lineage_table(pairs: DataFrame, source: str, epoch: str, path: str, versions: Mapping[str, str], target: str) -> DataFrame:

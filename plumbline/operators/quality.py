@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .errors import CODES, error_rows
+from .selection import distinct_and_percentiles, percentiles
 
 
 def daily_volume(df: DataFrame, ts: str) -> DataFrame:
@@ -28,24 +29,25 @@ def volume_baseline(counts: DataFrame, scope: Column, days: int = 7, low: float
 
 
 def field_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row a numeric column, from one pass."""
+    """One row a numeric column. Percentiles are exact, by selection; jobs run for them while the plan is built."""
     n = F.count(F.lit(1))
+    distinct, found = distinct_and_percentiles(df, columns, [0.5, 0.99])
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),
             n.alias("n"),
-            (F.count_if(F.col(c).isNull()) / n).alias("null_rate"),
-            F.count_distinct(c).alias("n_distinct"),
+            F.try_divide(F.count_if(F.col(c).isNull()), n).alias("null_rate"),
             F.min(c).cast("double").alias("low"),
             F.max(c).cast("double").alias("high"),
             F.round(F.avg(F.col(c).cast("decimal(20,4)")).cast("double"), 4).alias("mean"),
             F.round(F.stddev_samp(c), 2).alias("deviation"),
-            F.round(F.percentile(c, F.lit(0.5)), 4).alias("median"),
-            F.round(F.percentile(c, F.lit(0.99)), 4).alias("p99"),
+            F.round(F.lit(found[c, 0.5]).cast("double"), 4).alias("median"),
+            F.round(F.lit(found[c, 0.99]).cast("double"), 4).alias("p99"),
         ).alias(c)
         for c in columns
     ]
-    return df.agg(*rows).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("r")).select("r.*")
+    out = df.agg(*rows).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("r")).select("r.*")
+    return out.join(distinct, "column_name", "left").select("column_name", "n", "null_rate", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "low", "high", "mean", "deviation", "median", "p99")
 
 
 def rolling_baseline(counts: DataFrame, days: int = 7, width: float = 3.0) -> DataFrame:
@@ -134,13 +136,70 @@ def drift_threshold(base: DataFrame, current: DataFrame, column: str, limit: flo
     """Null rate, distinct count and P99 of two periods with their relative change."""
 
     def m(df: DataFrame, s: str) -> DataFrame:
-        return df.agg((F.count_if(F.col(column).isNull()) / F.count(F.lit(1))).alias(f"null_{s}"), F.count_distinct(column).alias(f"distinct_{s}"), F.round(F.percentile(column, F.lit(0.99)), 4).alias(f"p99_{s}"))
+        distinct, found = distinct_and_percentiles(df, [column], [0.99])
+        rate = df.agg(F.try_divide(F.count_if(F.col(column).isNull()), F.count(F.lit(1))).alias(f"null_{s}"))
+        n = distinct.agg(F.coalesce(F.max("n_distinct"), F.lit(0)).alias(f"distinct_{s}"))
+        return rate.crossJoin(n).withColumn(f"p99_{s}", F.round(F.lit(found[column, 0.99]).cast("double"), 4))  # one row each
 
     both = m(base, "a").crossJoin(m(current, "b"))  # one row each
-    change = F.abs(F.col("p99_b") - F.col("p99_a")) / F.abs(F.col("p99_a"))
+    change = F.try_divide(F.abs(F.col("p99_b") - F.col("p99_a")), F.abs(F.col("p99_a")))
     return both.withColumn("p99_change", F.round(change, 6)).withColumn("drifted", change > limit)
 
 
+def drift_flags(base: DataFrame, current: DataFrame, column: str, null_rate_max: float, null_rate_change: float, cardinality_change: float, p99_change: float) -> DataFrame:
+    """One row for each monitored threshold: both periods, the change, and whether it is flagged.
+
+    The null rate is held against a maximum and against its change in absolute terms, cardinality and P99 against their
+    relative change; a change from zero or from nothing is flagged if the new value is something else.
+    """
+    one = drift_threshold(base, current, column, p99_change)
+
+    def row(metric: str, a: Column, b: Column, limit: float, relative: bool) -> Column:
+        change = F.try_divide(F.abs(b - a), F.abs(a)) if relative else F.abs(b - a)
+        flagged = F.when(a.isNull() | (F.lit(relative) & (a == 0)), ~a.eqNullSafe(b)).when(b.isNull(), True).otherwise(change > limit)
+        return F.struct(F.lit(metric).alias("metric"), a.cast("double").alias("base"), b.cast("double").alias("current"), F.round(change, 6).alias("change"), F.lit(limit).alias("limit"), flagged.alias("flagged"))
+
+    c = F.col
+    nothing = F.struct(F.lit("null_rate_max").alias("metric"), c("null_a").cast("double").alias("base"), c("null_b").cast("double").alias("current"), F.lit(None).cast("double").alias("change"), F.lit(null_rate_max).alias("limit"), F.coalesce(c("null_b") > null_rate_max, F.lit(False)).alias("flagged"))
+    rows = [nothing, row("null_rate_change", c("null_a"), c("null_b"), null_rate_change, False), row("cardinality_change", c("distinct_a"), c("distinct_b"), cardinality_change, True), row("percentile_99_change", c("p99_a"), c("p99_b"), p99_change, True)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+PERCENTILES = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+
+
+def full_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``profile`` with, for numbers, range, mean, median, deviation and percentiles, and for texts the most frequent shape
+    (letters as ``A``, digits as ``9``; ties by shape)."""
+    kinds = dict(df.dtypes)
+    numeric = [c for c in columns if kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))]
+    texts = [c for c in columns if kinds[c] == "string"]
+    found = percentiles(df, numeric, list(PERCENTILES.values())) if numeric else {}
+    stats = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.min(c).cast("double").alias("low"),
+            F.max(c).cast("double").alias("high"),
+            F.round(F.avg(F.col(c).cast("decimal(20,4)")).cast("double"), 4).alias("mean"),
+            F.round(F.stddev_samp(c), 2).alias("deviation"),
+            F.round(F.lit(found[c, 0.5]).cast("double"), 4).alias("median"),
+            *[F.round(F.lit(found[c, f]).cast("double"), 4).alias(n) for n, f in PERCENTILES.items()],
+        ).alias(c)
+        for c in numeric
+    ]
+    out = profile(df, columns)
+    if numeric:
+        out = out.join(df.agg(*stats).select(F.explode(F.array(*[F.col(c) for c in numeric])).alias("r")).select("r.*"), "column_name", "left")
+    else:
+        out = out.select("*", *[F.lit(None).cast("double").alias(n) for n in ("low", "high", "mean", "deviation", "median", *PERCENTILES)])
+    if not texts:
+        return out.withColumn("pattern", F.lit(None).cast("string"))
+    shape = lambda c: F.regexp_replace(F.regexp_replace(c, "[A-Za-z]", "A"), "[0-9]", "9")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), shape(F.col(c)).alias("shape")) for c in texts])).alias("cell")
+    shapes = df.select(cells).where("cell.shape is not null").groupBy("cell.column_name", "cell.shape").agg(F.count(F.lit(1)).alias("k"))
+    return out.join(shapes.groupBy("column_name").agg(F.min_by("shape", F.struct(-F.col("k"), "shape")).alias("pattern")), "column_name", "left")
+
+
 def patterns(df: DataFrame, column: str) -> DataFrame:
     shape = F.regexp_replace(F.regexp_replace(column, "[A-Za-z]", "A"), "[0-9]", "9")
     counts = df.groupBy(shape.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .segments import BUCKET_ROWS, running_sums
+
 RANKS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
 AGGS = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max}
 
@@ -23,8 +25,10 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return df.withColumn(out, f.over(over(keys, order)))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], function: str, column: str, out: str) -> DataFrame:
-    return df.withColumn(out, AGGS[function](column).over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], function: str, column: str, out: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Running aggregate; a key of more than ``rows`` rows is scanned in segments along the first order column."""
+    over(keys, order)  # refuses a window without keys
+    return running_sums(df, keys, order, column, function, out, rows)
 
 
 def moving(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, function: str, column: str, out: str) -> DataFrame:

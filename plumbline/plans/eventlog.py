@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import classify
+from ..operators.segments import BUCKET_ROWS, running_sums
 from ..sources.tables import shared_folder
 
 
@@ -127,11 +128,61 @@ def causal_chains(events: DataFrame, id: str, prior: str, depth: int = 12) -> Da
     return hierarchy(events, id, prior, depth)
 
 
-def followups(events: DataFrame, trigger: str, required: Sequence[str]) -> DataFrame:
+def prior_chains(events: DataFrame, id: str, priors: str) -> DataFrame:
+    """Chains over lists of prior ids: (id, root, depth), a row for every root that an event goes back to.
+
+    ``depth`` is the number of events on the longest chain that ends in the event, so it is the same in all its rows.
+    Priors that are no events, or the event itself, don't count; events without others are roots of depth 1. Events of a
+    cycle, or after one, have no depth and are left out. Frontier by frontier: an event is settled when all its priors
+    are, so there are as many rounds as the longest chain has events; each is written to the shared folder.
+    """
+    nodes = events.select(F.col(id).alias("id")).distinct()
+    known = nodes.select(F.col("id").alias("prior"))
+    edges = events.select(F.col(id).alias("id"), F.explode(priors).alias("prior")).where("id <> prior").distinct().join(known, "prior", "left_semi")
+    edges = round_written(edges.select("id", "prior"))
+    open_counts = edges.groupBy("id").agg(F.count(F.lit(1)).alias("open"))
+    state = round_written(nodes.join(open_counts, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open"), F.lit(1).alias("depth")))
+    roots = round_written(state.where("open = 0").select("id", F.col("id").alias("root"), "depth"))
+    frontier, found = roots.select("id", "depth"), [roots]
+    state = state.where("open > 0")
+    while not frontier.isEmpty():
+        reached = edges.join(frontier.select(F.col("id").alias("prior"), "depth"), "prior").groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("depth") + 1).alias("_d"))
+        state = state.join(reached, "id", "left").select("id", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open"), F.greatest("depth", F.coalesce("_d", F.lit(1))).alias("depth"))
+        state = round_written(state)
+        frontier, state = state.where("open = 0").select("id", "depth"), state.where("open > 0")
+        above = found[0].select(F.col("id").alias("prior"), "root")
+        for f in found[1:]:
+            above = above.unionByName(f.select(F.col("id").alias("prior"), "root"))
+        own = frontier.join(edges, "id").join(above, "prior").select("id", "root", "depth").distinct()
+        found.append(round_written(own))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def edge_features(events: DataFrame, at: Column, delta: Column) -> DataFrame:
+    """Per event type up to a time: iterations, distinct users, first and last time, first and last delta, the smallest one,
+    and whether the edge has converged (last delta 0). Aggregates only; nothing is gathered."""
+    seen = events.where(F.col("ts") <= at).withColumn("_delta", delta)
+    order = F.struct("ts", "event_id")
+    out = seen.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("iterations"),
+        F.count_distinct("user_id").alias("users"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.min_by("_delta", order).alias("first_delta"),
+        F.max_by("_delta", order).alias("last_delta"),
+        F.min("_delta").alias("least_delta"),
+    )
+    return out.withColumn("converged", F.coalesce(F.col("last_delta") == 0, F.lit(False)))
+
+
+def followups(events: DataFrame, trigger: str, required: Sequence[str], rows: int = BUCKET_ROWS) -> DataFrame:
     """Per trigger event, whether each required type follows before the user's next trigger."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    turn = F.count_if(F.col("event_type") == trigger).over(w)
-    own = events.withColumn("turn", turn).where("turn > 0").groupBy("user_id", "turn")
+    marked = events.withColumn("_trigger", (F.col("event_type") == trigger).cast("long"))
+    turns = running_sums(marked, ["user_id"], ["ts", "event_id"], "_trigger", "sum", "turn", rows)
+    own = turns.where("turn > 0").groupBy("user_id", "turn")
     flags = [F.coalesce(F.bool_or(F.col("event_type") == r), F.lit(False)).alias(f"has_{r}") for r in required]
     out = own.agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), *flags)
     complete = F.lit(True)

@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import quality as Q
 from ..plans import eventlog as M
 from ..sources import tables as A
+from ..sources.publish import publish, read_published
 from .checks import CONS, LATE, lateness, reverse
 from .registry import Tables, query
 from .shapes import SECOND, second
@@ -161,7 +162,7 @@ def a8_since(t: Tables) -> DataFrame:
     own = t.events.select("event_id", F.to_date("ts").alias("day"), "value")
     target = own.where("event_id % 2 = 0 and day <= date '2024-01-20'")
     late = own.where("event_id % 2 = 0 and day > date '2024-01-20'").limit(0)
-    return A.merge_since(target.unionByName(late), own.withColumn("value", F.col("value") + 1), ["event_id"], "day").select("event_id", "value")
+    return A.merge_since(target.unionByName(late), own.withColumn("value", F.col("value") + 1), ["event_id"], "day", closed=False).select("event_id", "value")
 
 
 @query("a9_malformed", "SELECT count(*) FILTER (event_id % 50 <> 0) AS parsed, count(*) FILTER (event_id % 50 = 0) AS malformed FROM events")
@@ -179,10 +180,10 @@ def a9_facets(t: Tables) -> DataFrame:
 def i8_commit(t: Tables) -> DataFrame:
     ok, old = t.orders.where("o_totalprice > 50000").select("o_orderkey"), t.orders.where("o_orderkey % 2 = 0").select("o_orderkey")
     first, second_one = scratch(t, "published"), scratch(t, "kept")
-    old.write.parquet(second_one)
+    publish(old, second_one)
     E.commit_if(ok, False, scratch(t, "staging"), first)
     E.commit_if(ok, True, scratch(t, "staging"), second_one)
-    return t.spark.read.parquet(first).withColumn("outcome", F.lit("published")).unionByName(t.spark.read.parquet(second_one).withColumn("outcome", F.lit("kept")))
+    return read_published(t.spark, first).withColumn("outcome", F.lit("published")).unionByName(read_published(t.spark, second_one).withColumn("outcome", F.lit("kept")))
 
 
 @query("j2_rolling", "SELECT day, n, round(b, 4) AS mean, round(s, 4) AS deviation, k AS seen, CASE WHEN k < 2 THEN 'NO_BASELINE' WHEN abs(n - b) > 1.5 * s AND n < b THEN 'LOW' WHEN abs(n - b) > 1.5 * s THEN 'HIGH' ELSE 'OK' END AS status FROM (SELECT *, avg(n) OVER w AS b, stddev_samp(n) OVER w AS s, count(n) OVER w AS k FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE extract('day' FROM ts) % 5 <> 3 GROUP BY 1) WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))")

@@ -42,7 +42,8 @@ def slice_epoch(df: DataFrame, column: str, low, high) -> DataFrame:
 
 
 def read_temporal(ranges: Sequence[tuple[DataFrame, str, str]], column: str, low: str, high: str) -> DataFrame:
-    """One logical table from several, each valid in a half-open range of ``column``; overlapping ranges are rejected."""
+    """One logical table from several, each valid in a half-open range of ``column``; overlapping ranges are rejected. The
+    epoch from ``low`` to ``high`` is closed, like that of ``slice_epoch``."""
     ordered = sorted(ranges, key=lambda r: r[1])
     for (_, _, end), (_, begin, _) in zip(ordered, ordered[1:], strict=False):
         if begin < end:
@@ -50,8 +51,8 @@ def read_temporal(ranges: Sequence[tuple[DataFrame, str, str]], column: str, low
     out = None
     for df, begin, end in ordered:
         if begin <= high and low < end:
-            lo, hi = F.lit(max(low, begin)).cast("timestamp_ntz"), F.lit(min(high, end)).cast("timestamp_ntz")
-            part = df.where((F.col(column) >= lo) & (F.col(column) < hi))
+            lo, hi, until = (F.lit(x).cast("timestamp_ntz") for x in (max(low, begin), high, end))
+            part = df.where((F.col(column) >= lo) & (F.col(column) <= hi) & (F.col(column) < until))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError("no range covers the epoch")
@@ -77,9 +78,10 @@ def read_lookup(df: DataFrame, version_column: str, version=None, as_of=None) ->
 
 
 def read_alias(df: DataFrame, version_column: str, aliases: DataFrame, alias: str) -> DataFrame:
-    """A lookup at the version that ``aliases`` (alias, version) names; an unknown alias has no rows."""
-    named = aliases.where(F.col("alias") == alias).select(F.col("version").alias("_v"))
-    return df.join(F.broadcast(named.limit(1)), F.col(version_column) == F.col("_v"), "left_semi")  # one row
+    """A lookup at the version that ``aliases`` (alias, version) names, the newest if it names several; an unknown alias has
+    no rows."""
+    named = aliases.where(F.col("alias") == alias).agg(F.max("version").alias("_v"))
+    return df.join(F.broadcast(named), F.col(version_column) == F.col("_v"), "left_semi")  # one row
 
 
 def slice_version(df: DataFrame, column: str, version) -> DataFrame:
@@ -101,11 +103,27 @@ def merge_upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
     return target.join(changes, list(keys), "left_anti").select(*target.columns).unionByName(changes.select(*target.columns))
 
 
-def merge_since(target: DataFrame, changes: DataFrame, keys: Sequence[str], mark: str) -> DataFrame:
-    """``merge_upsert`` of only those changes that are newer than the target's high-water mark."""
+def merge_since(target: DataFrame, changes: DataFrame, keys: Sequence[str], mark: str, closed: bool = True) -> DataFrame:
+    """``merge_upsert`` of only those changes that the target's high-water mark leaves: those at it or, if not ``closed``,
+    beyond it. With a mark as coarse as a day, changes of the mark's own day may still come in; taking them again does no
+    harm. ``overtaken`` has the rest."""
+    return merge_upsert(target, split_since(target, changes, mark, closed)[0], keys)
+
+
+def split_since(target: DataFrame, changes: DataFrame, mark: str, closed: bool = True) -> tuple[DataFrame, DataFrame]:
     high = target.agg(F.max(mark).alias("_high"))  # one row
-    fresh = changes.crossJoin(high).where(F.col("_high").isNull() | (F.col(mark) > F.col("_high"))).drop("_high")
-    return merge_upsert(target, fresh, keys)
+    fresh = (F.col(mark) >= F.col("_high")) if closed else (F.col(mark) > F.col("_high"))
+    flagged = changes.crossJoin(high).withColumn("_fresh", F.col(mark).isNotNull() & (F.col("_high").isNull() | fresh))
+    return flagged.where("_fresh").drop("_high", "_fresh"), flagged.where("not _fresh").drop("_high", "_fresh")
+
+
+def overtaken(target: DataFrame, changes: DataFrame, key: str, mark: str, closed: bool = True) -> DataFrame:
+    """Error rows for the changes that ``merge_since`` leaves out: without a mark, or behind the high-water mark."""
+    from ..operators.errors import CODES, error_rows  # which publishes through this package
+
+    left = split_since(target, changes, mark, closed)[1]
+    bare = error_rows(left.where(F.col(mark).isNull()), key, "CHANGE", CODES["null_field"], mark, "a mark", F.lit(None).cast("string"))
+    return bare.unionByName(error_rows(left.where(F.col(mark).isNotNull()), key, "CHANGE", CODES["validation"], mark, "the high-water mark or later", F.col(mark)))
 
 
 EVENT_SCHEMA = "event_id long, ts string, user_id long, event_type string, value double, props string"
@@ -163,7 +181,9 @@ def apply_scd2(history: DataFrame, changes: DataFrame, keys: Sequence[str], colu
     closed = history.where(F.col("valid_to").isNotNull())
     live = history.where(F.col("valid_to").isNull())
     new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_seen"))
-    both = live.join(new, list(keys), "full_outer")
+    from ..operators.joins import full_join  # which publishes through this package
+
+    both = full_join(live, new, keys)
     differs = F.lit(False)
     for c in columns:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"_new_{c}"))

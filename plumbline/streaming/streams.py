@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.quality import mark_late, route_late
+from ..operators.quality import mark_late, route_late, volume_check
+from ..sources import publish as P
 from ..sources.tables import merge_upsert
 
 
@@ -76,3 +79,119 @@ def stream_status(stream: DataFrame, key: str, start: str, end: str) -> DataFram
         yield pd.DataFrame({key: [k[0]], "iterations": [n], "status": ["CONVERGED" if done else "IN_PROGRESS" if n else "NOT_STARTED"]})
 
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, iterations long, status string", "n long, done boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+class BatchHalted(RuntimeError):
+    """A batch with more failures than allowed; its rows are not committed, and the stream stops."""
+
+
+def halts(failed: int, total: int, absolute: int | None, share: float | None) -> bool:
+    """Beyond a count or a share; exactly at it goes on, and an empty batch passes. Zero tolerance is ``absolute=0``."""
+    return (absolute is not None and failed > absolute) or (share is not None and total > 0 and failed / total > share)
+
+
+def threshold_sink(rule: Column, path: str, absolute: int | None = None, share: float | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that commits a batch, or stops the stream if too many of its rows fail the rule.
+
+    The rows are counted while they are written to a staging folder, in the same pass. A batch within the threshold is
+    committed by one rename, its good rows and, beside them, its failures; a replayed batch replaces itself. A batch beyond
+    it stays uncommitted, and so does the stream's checkpoint.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, seen, staging = batch.sparkSession, Observation(), f"{path}/_staging/batch={number}"
+        flagged = batch.withColumn("ok", F.coalesce(rule, F.lit(False)))
+        watched = flagged.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(~F.col("ok")).alias("failed"))
+        watched.write.mode("overwrite").partitionBy("ok").parquet(staging)
+        total, failed = seen.get["total"], seen.get["failed"]
+        if halts(failed, total, absolute, share):
+            raise BatchHalted(f"batch {number}: {failed} of {total} rows fail")
+        P.moved(spark, staging, f"{path}/batch={number}")
+
+    return step
+
+
+def committed(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Good rows and failures of all committed batches of a ``threshold_sink``."""
+    fields = [*[f for f in schema.fields if f.name not in ("ok", "batch")], T.StructField("batch", T.LongType()), T.StructField("ok", T.BooleanType())]
+    rows = spark.read.schema(T.StructType(fields)).option("basePath", path).parquet(path)
+    return rows.where("ok").drop("ok"), rows.where("not ok").drop("ok")
+
+
+def accumulate_once(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that merges each batch into a published table exactly once.
+
+    The number of the last batch is written with the version that holds it, by the same rename, so a batch that is given
+    again after a failure changes nothing, wherever the failure was. Use one path for one stream.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = P.current(spark, path)
+        if now is not None and now["mark"] >= number:
+            return
+        P.publish(batch if now is None else merge_upsert(P.read_published(spark, path), batch, keys), path, number)
+
+    return step
+
+
+def volume_by_batch(low: int, high: int, path: str) -> Callable[[DataFrame, int], None]:
+    """``stream_volume`` with the statuses of ``volume_check``, written to a folder a batch; a replayed batch replaces itself."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+        volume_check(counts, low, high).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return step
+
+
+class Status(StatefulProcessor):
+    """Iterations and status of a key in a state store; the key leaves it when event time has passed its last event by ``ttl_ms``."""
+
+    def __init__(self, key: str, start: str, end: str, ttl_ms: int):
+        self.key, self.start, self.end, self.ttl_ms = key, start, end, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("status", "n long, done boolean, last long")
+
+    def row(self, key: tuple, n: int, status: str) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]], "iterations": [n], "status": [status]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, done, last = self.state.get() if self.state.exists() else (0, False, None)
+        if last is not None:
+            self.handle.deleteTimer(last + self.ttl_ms)
+        for pdf in rows:
+            for kind, ms in pdf.sort_values(["ts", "event_id"])[["event_type", "at_ms"]].itertuples(index=False):
+                if last is not None and ms > last + self.ttl_ms:  # the watermark has not come so far, but the key has
+                    yield self.row(key, n, "EXPIRED")
+                    n, done = 0, False
+                if kind == self.start:
+                    n, done = n + 1, False
+                elif kind == self.end and n:
+                    done = True
+                last = max(last or 0, int(ms))
+        self.state.update((n, done, last))
+        self.handle.registerTimer(last + self.ttl_ms)
+        yield self.row(key, n, "CONVERGED" if done else "IN_PROGRESS" if n else "NOT_STARTED")
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n = self.state.get()[0] if self.state.exists() else 0
+        self.state.clear()
+        yield self.row(key, n, "EXPIRED")
+
+    def close(self) -> None:
+        pass
+
+
+#: State of keys is kept in this store, on disk, not in the heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_status_ttl(stream: DataFrame, key: str, start: str, end: str, ttl_seconds: int, watermark: str = "0 seconds") -> DataFrame:
+    """``stream_status`` with keys that expire: ``ttl_seconds`` of event time after a key's last event its state is removed
+    and a row EXPIRED given. The session must use the RocksDB store (``ROCKSDB``)."""
+    own = event_time(stream).withColumn("at_ms", F.unix_millis("ts")).withWatermark("ts", watermark)
+    kind = T.StructType([stream.schema[key], T.StructField("iterations", T.LongType()), T.StructField("status", T.StringType())])
+    return own.groupBy(key).transformWithStateInPandas(Status(key, start, end, ttl_seconds * 1000), kind, "Update", "eventTime")
