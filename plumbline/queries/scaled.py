@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..operators import errors as E
@@ -227,7 +228,7 @@ def written_stream(df: DataFrame, at: str, mode: str = "append") -> DataFrame:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/n={number}")
 
     df.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.read.schema(df.schema.add("batch", "int")).parquet(f"{at}/out")
+    return df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{at}/out")
 
 
 @query("l1_threshold_batches", "SELECT event_id, value > 10 AS ok FROM events")
