@@ -9,9 +9,10 @@ sums over smaller symbols give the intervals of the longer phrases in both index
 shared folder and read by each counting round; counts are summed across shards.
 
 Rounds prune without losing anything: a phrase is at most as frequent as its parts, so pairs are enumerated between words
-that are frequent in the whole corpus, triples around pairs that are. A shard tests that in a bit field of hashes of all
-frequent parts, which may let rare parts pass but holds back none; sums and thresholds are always taken on the phrases
-themselves.
+that are frequent in the whole corpus, triples around pairs that are. Most pairs are rare; they are first summed by a
+64-bit hash, which can only add to a pair's count, and spelled out only where that sum is high enough. A shard tests all
+this in bit fields of hashes, which may let rare parts pass but hold back no frequent one; the sums and thresholds that
+decide are always taken on the phrases themselves.
 
 Defined results: a null or empty text has no words; a null language is ``und``; repeated documents count each; words that
 are no plain text (control characters but the separators) are words; an empty table gives an empty one; further columns
@@ -39,10 +40,12 @@ DEPTH = 3
 HIDES = 50
 TOP = 2000
 #: Bytes of text in one indexed shard.
-SHARD_BYTES = 8 << 20
-#: Bits of a field for each frequent part, and the most bits of a field (64 MiB); a fuller field prunes less.
+SHARD_BYTES = 4 << 20
+#: Bits of a field for each frequent part at least, and the most bits of a field (64 MiB); a fuller field prunes less.
 BITS = 16
 FIELD = 1 << 29
+#: Hashes of pairs that a task sums before it sends them on.
+HELD = 1 << 20
 
 #: What ends a piece, and what stands between words, as bytes; A-Z become small letters.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -218,7 +221,7 @@ def mixed(words: np.ndarray) -> np.ndarray:
 
 
 class Field:
-    """Bits of frequent phrases; what isn't set is rare."""
+    """Bits of the hashes of frequent phrases; what isn't set is rare. The size is a power of two."""
 
     def __init__(self, size: int, blocks: dict[int, bytes]):
         self.size, self.bits = size, np.zeros((size + 7) // 8, np.uint8)
@@ -227,32 +230,33 @@ class Field:
             self.bits[at : at + len(own)] = own
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
-        slot = mixed(words) % np.uint64(self.size)
+        slot = mixed(words) & np.uint64(self.size - 1)
         return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def field(phrases: DataFrame) -> Field:
-    """The bit field of a table of phrases (lang, phrase). Its size is bounded by FIELD; only its blocks reach the driver."""
-    size = int(min(FIELD, max(1 << 15, phrases.count() * BITS)))
+def field(hashes: DataFrame) -> Field:
+    """The bit field of a table of hashes (h). Its size is bounded by FIELD; only its blocks reach the driver."""
+    n = max(1, hashes.count()) * BITS
+    size = min(FIELD, 1 << (n - 1).bit_length())
+    slot = F.col("h").bitwiseAND(F.lit(size - 1)) + 1
+    bits = hashes.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    return Field(size, {(r.b - 1) * 4096: bytes(r.bits) for r in bits.toLocalIterator()})
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hashes_of(words: DataFrame) -> DataFrame:
+    """The hashes (h) of a table of single words (lang, phrase)."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[int, list[list[int]]] = {}
-            for k, p in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                tag = xxhash.xxh64_intdigest(k.encode())
-                own = [xxhash.xxh64_intdigest(w, tag) for w in p.encode().split(b" ")]
-                by.setdefault(len(own), []).append(own)
-            for rows in by.values():
-                yield pa.record_batch([pa.array((mixed(np.array(rows, np.uint64)) % np.uint64(size)).astype(np.int64) + 1)], ["slot"])
+            tags: dict[str, int] = {}
+            own = [xxhash.xxh64_intdigest(p.encode(), tags[k] if k in tags else tags.setdefault(k, xxhash.xxh64_intdigest(k.encode()))) for k, p in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array(mixed(np.array(own, np.uint64)[:, None]).view(np.int64))], ["h"])
 
-    bits = phrases.select("lang", "phrase").mapInArrow(slots, "slot long")
-    blocks = bits.groupBy(F.expr("bitmap_bucket_number(slot)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    return Field(size, {(r.b - 1) * 4096: bytes(r.bits) for r in blocks.toLocalIterator()})
+    return words.select("lang", "phrase").mapInArrow(step, "h long")
 
 
 def summed(counts: DataFrame, least: int) -> DataFrame:
-    """Sums over shards. A shard has each phrase once, so its task shuffles rows as they are, without a table of them."""
-    return counts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def words_of(index: DataFrame) -> DataFrame:
@@ -265,16 +269,47 @@ def words_of(index: DataFrame) -> DataFrame:
     return index.select("langs", "first", "words", "counts").mapInArrow(step, "lang string, phrase string, f long")
 
 
-def pairs_of(index: DataFrame, frequent: Broadcast[Field]) -> DataFrame:
-    """Pairs of words that may both be frequent: the words before each word."""
+def pair_intervals(s: Shard, words: Field, passes: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[Intervals, np.ndarray, np.ndarray]:
+    """Pairs of words that may both be frequent (the words before each word), the words' hashes, and which may be frequent."""
+    h = s.hashes()
+    known = np.concatenate(([False], words(h[1:, None])))
+    one = s.index.words()
+    two = s.index.extended(one.where(known[one.phrase[:, 0]]), True, lambda p: known[p[:, 0]] & (passes(h[p]) if passes else True))
+    return two, h, known
+
+
+def pair_sums(index: DataFrame, words: Broadcast[Field]) -> DataFrame:
+    """Hashes of pairs (h) with their counts (f), summed over some shards of a task."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)  # a shard's counts are far below 2^53
+            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(sums)], ["h", "f"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                two, h, _ = pair_intervals(Shard(batch.slice(k, 1).to_pylist()[0]), words.value)
+                held.append((mixed(h[two.phrase]), two.n))
+                if sum(len(n) for _, n in held) > HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return index.mapInArrow(step, "h long, f long")
+
+
+def pairs_of(index: DataFrame, words: Broadcast[Field], pairs: Broadcast[Field]) -> DataFrame:
+    """Pairs that may be frequent."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 s = Shard(batch.slice(k, 1).to_pylist()[0])
-                known = np.concatenate(([False], frequent.value(s.hashes()[1:, None])))
-                words = s.index.words()
-                two = s.index.extended(words.where(known[words.phrase[:, 0]]), True, lambda p: known[p[:, 0]])
+                two, _, _ = pair_intervals(s, words.value, pairs.value)
                 yield from s.counted(two.phrase, two.n)
 
     return index.mapInArrow(step, "lang string, phrase string, f long")
@@ -287,10 +322,7 @@ def triples_of(index: DataFrame, words: Broadcast[Field], pairs: Broadcast[Field
         for batch in batches:
             for k in range(batch.num_rows):
                 s = Shard(batch.slice(k, 1).to_pylist()[0])
-                h = s.hashes()
-                known = np.concatenate(([False], words.value(h[1:, None])))
-                one = s.index.words()
-                two = s.index.extended(one.where(known[one.phrase[:, 0]]), True, lambda p, known=known, h=h: known[p[:, 0]] & pairs.value(h[p]))
+                two, h, known = pair_intervals(s, words.value, pairs.value)
                 three = s.index.extended(two, False, lambda p, known=known, h=h: known[p[:, 2]] & pairs.value(h[p[:, 1:]]))
                 yield from s.counted(three.phrase, three.n)
 
@@ -320,9 +352,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     unigrams = written(summed(words_of(index), 1), "collocations-words")
     share = spark.sparkContext.broadcast
     frequent = unigrams.where(F.col("f") >= least)
-    one = share(field(frequent))
-    two = written(summed(pairs_of(index, one), least), "collocations-pairs")
-    three = written(summed(triples_of(index, one, share(field(two))), least), "collocations-triples")
+    words = share(field(hashes_of(frequent)))
+    high = pair_sums(index, words).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("h")
+    pairs = share(field(written(high, "collocations-hashes")))
+    two = written(summed(pairs_of(index, words, pairs), least), "collocations-pairs")
+    three = written(summed(triples_of(index, words, pairs), least), "collocations-triples")
     ws = F.split("phrase", " ")
     inner = three.select("lang", F.explode(F.array(F.array_join(F.slice(ws, 1, 2), " "), F.array_join(F.slice(ws, 2, 2), " "))).alias("phrase"), F.col("f").alias("longer"))
     hidden = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
