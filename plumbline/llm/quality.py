@@ -1,9 +1,10 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers each raise a flag or not: seven for junk (symbols, table bars, bare punctuation,
-shouting, stutter, few different words, doubled punctuation) and four for toxicity (public insult words; several words,
-a share and a larger share of words that a bounded sample of labelled rows shows to be tied to toxic texts, by the word
-or its beginning). Spark counts the flag patterns of all documents, at most 2^7 and 2^4 of them. Expectation-maximisation over the pattern counts estimates how often each
+shouting, stutter, few different words, doubled punctuation) and four for toxicity. No word is known beforehand: a bounded
+sample of labelled rows is cut in two by the hash of the text, and each half shows for itself which words and beginnings
+of words are tied to toxic texts. Two labellers fire on a word of the one half and of the other, so that what they have
+in common is not chance of one sample; two more on a share and a larger share of either's words. Spark counts the flag patterns of all documents, at most 2^7 and 2^4 of them. Expectation-maximisation over the pattern counts estimates how often each
 labeller fires on bad and on good documents, and thereby the posterior of every pattern. A bounded sample of documents
 with posterior labels trains one sparse hashed linear scorer a task (FTRL-proximal with L1), which then scores every
 document whole.
@@ -12,7 +13,7 @@ Bounds that are parameters: ``LABELLED`` rows for the toxic lexicon, ``LEXICON``
 scorers. Everything else covers all rows.
 
 Defined results: a null or empty text has no flags and is kept; labels without a document, repeated labels and null
-labels are ignored; without labels the lexicon is the public list alone; repeated documents are judged each for itself, also
+labels are ignored; without labels, or with fewer than eight different toxic texts in either half, no text is toxic; repeated documents are judged each for itself, also
 those without a ``doc_id``; extra columns pass through, but ``scored`` replaces columns that have the names of its own.
 """
 
@@ -49,12 +50,11 @@ SLICE_BYTES = 4 << 20
 #: Tokens that a worker remembers before it starts anew.
 REMEMBERED = 1 << 18
 
-INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
 LETTERS = re.compile(r"[^\W\d_]+")
 SYMBOLS = re.compile(r"[&%$#*@^~<>{}\[\]\\=+]")
 BEGINNINGS = (3, 4, 5, 6, 7)
 JUNK = ("symbols", "bars", "bare", "shouting", "stutter", "few_words", "doubled")
-TOXIC = ("insults", "several", "share", "dense")
+TOXIC = ("first", "second", "share", "dense")
 
 
 def pieces(word: str) -> list[str]:
@@ -87,8 +87,8 @@ class Scorer:
         return sum(found), len(found)
 
 
-#: What a token adds: symbols, shouted, doubled, bare, insult, insult or in the lexicon, then weight and number of features for junk
-#: and for toxic, and its feature buckets.
+#: What a token adds: symbols, shouted, doubled, bare, in the first and in the second lexicon, then weight and number of features for
+#: junk and for toxic, and its feature buckets.
 Token = tuple[int, bool, bool, bool, bool, bool, float, int, float, int, list[int]]
 
 
@@ -96,28 +96,29 @@ Token = tuple[int, bool, bool, bool, bool, bool, float, int, float, int, list[in
 class Reader:
     """Flags, features and scores of texts; remembers tokens."""
 
-    lexicon: frozenset[str] = frozenset()
+    lexicons: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())
     junk: Scorer = field(default_factory=Scorer)
     toxic: Scorer = field(default_factory=Scorer)
     features: bool = False
     known: dict[str, Token | None] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.starts = frozenset(p[:3] for p in self.lexicon)
+        self.starts = frozenset(p[:3] for own in self.lexicons for p in own)
 
     def token(self, raw: str) -> Token | None:
         """None for a token that adds nothing."""
         m = LETTERS.search(raw)
         word = m.group().lower() if m else ""
         plain = raw.isalpha()
+        own = pieces(word) if word[:3] in self.starts else ()
         buckets = hashed(word) if word and (self.features or self.junk.weights or self.toxic.weights) else []
         t = (
             0 if plain else len(SYMBOLS.findall(raw)),
             len(word) > 1 and raw.isupper(),
             not plain and len(raw) > 1 and raw[-1] == raw[-2] and not raw[-1].isalnum() and raw[-1] != "_",
             not word and not any(map(str.isdigit, raw)),
-            word in INSULTS,
-            word in INSULTS or word[:3] in self.starts and not self.lexicon.isdisjoint(pieces(word)),
+            not self.lexicons[0].isdisjoint(own),
+            not self.lexicons[1].isdisjoint(own),
             *self.junk.of(buckets),
             *self.toxic.of(buckets),
             buckets if self.features else [],
@@ -136,7 +137,7 @@ class Reader:
             return 0, 0, [], [], -9.0, -9.0
         counts, known, new = Counter(own), self.known, self.token
         n = len(own)
-        symbols = upper = doubled = bare = insults = hits = 0
+        symbols = upper = doubled = bare = first = second = hits = 0
         junk = toxic = 0.0
         junk_n = toxic_n = 0
         buckets: set[int] = set()
@@ -148,8 +149,9 @@ class Reader:
             upper += t[1] * k
             doubled += t[2] * k
             bare += t[3] * k
-            insults += t[4]
-            hits += t[5]
+            first += t[4]
+            second += t[5]
+            hits += t[4] or t[5]
             junk += t[6]
             junk_n += t[7]
             toxic += t[8]
@@ -169,11 +171,11 @@ class Reader:
         limits = (0.03, 0.05, 0.1, 0.5, 0.2, 0.8, 0.2)
         junk_flags = sum((s >= c) << i for i, (s, c) in enumerate(zip(shares, limits, strict=True)))
         share = hits / len(counts)
-        toxic_flags = (insults > 0) | (hits >= 2) << 1 | (share >= 0.005) << 2 | (share >= 0.01) << 3
+        toxic_flags = (first > 0) | (second > 0) << 1 | (share >= 0.005) << 2 | (share >= 0.01) << 3
         whole = [f"flag:{name}" for i, name in enumerate((*JUNK, *TOXIC)) if (junk_flags | toxic_flags << len(JUNK)) >> i & 1]
         whole += [f"flags:{junk_flags}:", f"toxic flags:{toxic_flags}:"]
         whole += [f"{name}:{int(s * 20)}" for name, s in zip(JUNK, shares, strict=True) if s >= 0.02]
-        whole += [f"{name}:{min(x, 5)}" for name, x in (("insults", insults), ("hits", hits), ("share", int(200 * share))) if x]
+        whole += [f"{name}:{min(x, 5)}" for name, x in (("first", first), ("second", second), ("hits", hits), ("share", int(200 * share))) if x]
         at = [bucket(w) for w in whole]
         return (
             junk_flags,
@@ -302,7 +304,12 @@ def apart(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
 
 
 def toxic_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text") -> frozenset[str]:
-    """Words and beginnings (marked by a hyphen) of the labelled sample that speak for a toxic text."""
+    first, second = toxic_lexicons(docs, labels, text)
+    return first | second
+
+
+def toxic_lexicons(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[frozenset[str], frozenset[str]]:
+    """Words and beginnings (marked by a hyphen) that speak for a toxic text in each half of the labelled sample."""
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     rows = docs.select("doc_id", text).where(f"{text} is not null").join(F.broadcast(sample), "doc_id").select(text, F.col("toxic").cast("long").alias("toxic"))
@@ -314,30 +321,35 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text") -> fro
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text, SLICE_BYTES):
-            seen: Counter[str] = Counter()
-            bad: Counter[str] = Counter()
-            for t, y in zip(part.column(text).to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                own = {p for w in LETTERS.findall(t.lower()) for p in pieces(w)}
+            seen: Counter[tuple[int, str]] = Counter()
+            bad: Counter[tuple[int, str]] = Counter()
+            for t, y, half in zip(*(part.column(c).to_pylist() for c in (text, "toxic", "half")), strict=True):
+                own = {(half, p) for w in LETTERS.findall(t.lower()) for p in pieces(w)}
                 seen.update(own)
                 if y:
                     bad.update(own)
             keys = list(seen)
-            yield pa.record_batch([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([bad[k] for k in keys], pa.int64())], ["piece", "n", "bad"])
+            cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([bad[k] for k in keys], pa.int64())]
+            yield pa.record_batch(cols, ["half", "piece", "n", "bad"])
 
     # copies and near copies count once
     once = rows.withColumn("key", F.xxhash64(text)).dropDuplicates(["key", "toxic"])
     rows = written(once.mapInArrow(sketched, f"{text} string, toxic long, key long, sketch binary"), "quality-sample")
     kept = apart([(r.toxic, r.key, r.sketch) for r in rows.select("toxic", "key", "sketch").collect()])
-    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "toxic long, key long")), ["toxic", "key"]).select(text, "toxic")
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
-    if not totals.bad:
-        return frozenset()
-    found = rows.mapInArrow(count, "piece string, n long, bad long").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    base = totals.bad / totals.n
-    tied = found.where((F.col("bad") >= max(8.0, LEAST * totals.bad)) & (F.col("bad") >= 0.6 * F.col("n")))
-    order = (F.col("bad") - base * F.col("n")) / F.sqrt("n")
-    top = tied.orderBy(order.desc(), "piece").limit(LEXICON).collect()
-    return frozenset(r.piece for r in top)
+    half = F.pmod("key", F.lit(2)).alias("half")
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "toxic long, key long")), ["toxic", "key"]).select(text, "toxic", half)
+    totals = {r.half: r for r in rows.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()}
+    found = rows.mapInArrow(count, "half long, piece string, n long, bad long").groupBy("half", "piece").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    found = written(found.where((F.col("bad") >= 8) & (F.col("bad") >= 0.6 * F.col("n"))), "quality-pieces")
+    out = []
+    for k in (0, 1):
+        if k not in totals or not totals[k].bad:
+            out.append(frozenset())
+            continue
+        tied = found.where((F.col("half") == k) & (F.col("bad") >= LEAST * totals[k].bad))
+        order = (F.col("bad") - totals[k].bad / totals[k].n * F.col("n")) / F.sqrt("n")
+        out.append(frozenset(r.piece for r in tied.orderBy(order.desc(), "piece").limit(LEXICON // 2).collect()))
+    return out[0], out[1]
 
 
 def training_sample(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -350,8 +362,8 @@ def training_sample(docs: DataFrame, text: str = "text") -> DataFrame:
 def fitted(docs: DataFrame, labels: DataFrame, text: str = "text") -> Reader:
     """A reader with lexicon and scorers, from all documents' flag patterns and the bounded samples."""
     prepare(docs.sparkSession)
-    lexicon = toxic_lexicon(docs, labels, text)
-    plain = Reader(lexicon)
+    lexicons = toxic_lexicons(docs, labels, text)
+    plain = Reader(lexicons)
     long = [T.StructField("junk_flags", T.LongType()), T.StructField("toxic_flags", T.LongType())]
     flags = mapped(docs.select(text), text, long, plain, lambda r, t: r.read(t)[:2])
     held = flags.groupBy("junk_flags", "toxic_flags").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2048 rows
@@ -363,11 +375,11 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text") -> Reader:
     toxic = estimate(toxic_counts, len(TOXIC))[0]
     drawn = training_sample(docs, text)
     columns = [*long, *(T.StructField(n, T.BinaryType()) for n in ("tokens", "whole"))]
-    rows = mapped(drawn, text, columns, Reader(lexicon, features=True), lambda r, t: features(r.read(t))).drop(text)
+    rows = mapped(drawn, text, columns, Reader(lexicons, features=True), lambda r, t: features(r.read(t))).drop(text)
     rows = rows.orderBy(F.xxhash64("tokens"), "tokens", "whole").collect()
     tokens, whole = ([np.frombuffer(r[c], np.int32) for r in rows] for c in ("tokens", "whole"))
     scorers = [trained(tokens, whole, np.array([post.get(r[c], 0.0) for r in rows])) for post, c in ((junk, "junk_flags"), (toxic, "toxic_flags"))]
-    return Reader(lexicon, *scorers)
+    return Reader(lexicons, *scorers)
 
 
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
@@ -379,6 +391,19 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("keep", (F.col("junk_score") < 0) & (F.col("toxic_score") < 0))
 
 
+def held_out(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """One row: how documents of one fold of the labels (by a hash of the text, so copies stay together) are judged by a
+    classifier that has seen no label of it: bad (junk or toxic), toxic, good, and how many of each were rejected."""
+    own = docs.select("doc_id", "text").where("doc_id is not null")
+    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(folds)) == 0
+    mine = own.where(fold).select("doc_id").distinct()
+    judged = scored(own, labels.join(mine, "doc_id", "left_anti")).select("doc_id", "keep").join(mine, "doc_id", "left_semi")
+    known = labels.where("quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    both = judged.join(known, "doc_id").select((~F.col("keep")).alias("gone"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"), (F.col("toxic") == 1).alias("toxic"))
+    n = lambda c: F.count_if(c)
+    return both.agg(n(F.col("bad")).alias("bad"), n(F.col("bad") & F.col("gone")).alias("bad_rejected"), n(F.col("toxic")).alias("toxic"), n(F.col("toxic") & F.col("gone")).alias("toxic_rejected"), n(~F.col("bad")).alias("good"), n(~F.col("bad") & F.col("gone")).alias("good_rejected"))
+
+
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the scorers keep, with their own columns."""
     return restored(scored(set_aside(docs, "doc_id", "text"), labels).where("keep"), docs, "doc_id", "text")

@@ -187,11 +187,19 @@ def test_components(spark):
 def test_quality(spark, empty):
     good = ["The river runs past the old mill and the road turns north toward hills of pine %d" % i for i in range(60)]
     junk = ["&&& Xx%% yy$$ zz### " * 12 + str(i) for i in range(12)] + ["| a | b | c | d " * 10 + str(i) for i in range(12)]
-    bad = ["You idiot moron what a stupid worthless clown you are number %d" % i for i in range(12)]
-    docs = spark.createDataFrame(list(enumerate([*good, *junk, *bad, None, ""])), "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(84 + i, 1, 1) for i in range(10)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    r = np.random.default_rng(9)
+    name = lambda: "".join(chr(97 + int(x)) for x in r.integers(0, 26, 7))
+    slurs = ["blorvex", "grobnak", "snarfel", "dwimble", "quonkit"]  # made up: the operator has to learn them from labels
+    bad = [" ".join([*(name() for _ in range(30)), *map(str, r.permutation(slurs)[:3])]) for _ in range(80)]
+    more = [" ".join(name() for _ in range(30)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate([*good, *junk, *bad, *more, None, ""])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(84 + i, 1, 1) for i in range(60)] + [(164 + i, 1, 0) for i in range(100)] + [(None, 1, 1), (90, None, None), (95, 1, 1)], "doc_id long, quality int, toxic int")
     keep = {r.doc_id: r.keep for r in quality.op6(docs, labels).collect()}
-    assert all(keep[i] for i in range(60)) and not any(keep[i] for i in range(60, 96)) and keep[96] and keep[97]
+    assert all(keep[i] for i in range(60)) and not any(keep[i] for i in range(60, 84)) and keep[364] and keep[365]
+    assert sum(not keep[i] for i in range(84, 144)) >= 57 and sum(not keep[i] for i in range(144, 164)) >= 19  # the last have no labels
+    assert sum(keep[i] for i in range(164, 364)) >= 190
+    row = quality.held_out(docs, labels, 4).first()
+    assert row.toxic >= 5 and row.toxic_rejected >= 0.9 * row.toxic and row.good_rejected <= 0.1 * row.good
     assert quality.op6(empty, labels).count() == 0
     assert quality.clean(docs, labels.limit(0)).columns == docs.columns
 
@@ -221,6 +229,32 @@ def test_lexicon_counts_near_copies_once_and_keeps_unrelated_texts(spark):
     assert "blorvex" in lexicon and "grobnak" not in lexicon
 
 
+def test_label_model_against_all_assignments():
+    """EM ends where the likelihood of the flag patterns has a maximum, found here by a search over all parameters around it."""
+    counts = {0: 700, 1: 60, 2: 50, 3: 90, 4: 40, 5: 70, 6: 60, 7: 130}
+    _, bad, good, share = quality.estimate(counts, 3, 3000)
+
+    def likelihood(x):
+        total = 0.0
+        for p, n in counts.items():
+            f = [(p >> k) & 1 for k in range(3)]
+            a, b = x[6], 1 - x[6]
+            for k in range(3):
+                a *= x[k] if f[k] else 1 - x[k]
+                b *= x[3 + k] if f[k] else 1 - x[3 + k]
+            total += n * np.log(a + b)
+        return total
+
+    at = [*bad, *good, share]
+    best = likelihood(at)
+    for k in range(7):
+        for step in (-0.05, -0.02, 0.02, 0.05):
+            assert likelihood([v + step * (i == k) for i, v in enumerate(at)]) < best + 0.05
+    r = np.random.default_rng(5)
+    for _ in range(3000):
+        assert likelihood(np.clip(np.array(at) + r.normal(0, 0.03, 7), 0.001, 0.999)) < best + 0.05
+
+
 def test_label_model():
     truth = np.random.default_rng(0).random(4000) < 0.2
     r = np.random.default_rng(1)
