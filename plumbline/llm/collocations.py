@@ -40,12 +40,14 @@ DEPTH = 3
 HIDES = 50
 TOP = 2000
 #: Bytes of text in one indexed shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bits of a field for each frequent part at least, and the most bits of a field (64 MiB); a fuller field prunes less.
 BITS = 16
 FIELD = 1 << 29
+#: Bytes of the index that travel to a Python worker at once.
+BATCH_BYTES = 4 << 20
 #: Hashes of pairs that a task sums before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 19
 
 #: What ends a piece, and what stands between words, as bytes; A-Z become small letters.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -348,6 +350,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """All candidates that no longer one hides: lang, phrase, a, l, r, score, words, and n (all words of the language)."""
     spark = docs.sparkSession
     prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     index = written(shards(docs, text, lang), "collocations-index")
     unigrams = written(summed(words_of(index), 1), "collocations-words")
     share = spark.sparkContext.broadcast
