@@ -3,9 +3,11 @@
 Fingerprints of texts alike by 0.8 differ in about ten of 64 bits, where no grid selects any more. Such pairs are found as
 candidates that share one of ``BANDS`` bands of ``ROWS`` min-hashes, which a pair of similarity 0.8 misses with a chance of
 6e-7 and a closer one more rarely; each candidate pair is verified on the whole sets. Texts with equal sets are one node.
-Of a band value that many nodes share, all are first compared with a few hubs; those that are not connected to the hub's
-component get other hubs in further rounds, as long as a round halves what is left; at last the nodes still apart are compared with all others of the value, so no
-pair is left out. That last step grows with the nodes apart times all nodes of a value.
+Of a band value that many nodes share, all are first compared with a few hubs, which connects groups of near copies. What
+a crowd still holds apart, such as texts that share a long passage and nothing else, is then joined by prefixes: of two
+sets alike by 0.8, the first fifths in any common order share a shingle. Ordered by how many components have a shingle,
+those fifths lack what a crowd has in common, and shingles of one component alone need no join, so a pair meets only where
+both have something rare. No pair is left out.
 
 Defined results: texts without words are copies of each other; a text of fewer words has one shingle.
 """
@@ -33,8 +35,8 @@ NEAR = 0.8
 BANDS, ROWS = 20, 3
 #: Nodes of one band value up to which all pairs are compared at once.
 CROWDED = 32
-#: Hubs that the bands of a crowd share, further rounds of hubs at most, and pairs a node that need no further round.
-HUBS, ROUNDS, FEW = 4, 4, 8
+#: Hubs that the bands of a crowd share.
+HUBS = 4
 MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = 1 << 13
 
@@ -83,9 +85,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.where(same >= NEAR * (F.size("x") + F.size("y") - same)).select("a", "b"), "near-links")
 
 
-def hub(turn: int) -> Column:
+def hub() -> Column:
     """A node of a band value, the same one for a crowd's bands that share a remainder."""
-    return F.min_by("node", F.xxhash64("node", F.pmod("band", F.lit(HUBS)), F.lit(turn))).alias("hub")
+    return F.min_by("node", F.xxhash64("node", F.pmod("band", F.lit(HUBS)))).alias("hub")
+
+
+def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, component) of different components that share a shingle of both prefixes."""
+    words = written(rest.join(sets, "node").select("node", "n", "component", F.explode("own").alias("s")), "near-words")
+    spread = words.select("s", "component").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    size = (F.col("n") - F.ceil(NEAR * F.col("n") - 1e-9) + 1).cast("int")
+    first = words.join(spread, "s").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
+    prefix = first.select("node", "n", "component", F.explode(F.slice("all", F.lit(1), size)).alias("p")).where("p.c > 1")
+    prefix = written(prefix.select("node", "n", "component", F.col("p.s").alias("s")), "near-prefixes")
+    a = prefix.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    b = prefix.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    alike = F.least("na", "nb") >= NEAR * F.greatest("na", "nb")
+    return a.join(b, "s").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b")
 
 
 def links(docs: DataFrame, nodes: DataFrame, also: DataFrame, text: str) -> DataFrame:
@@ -101,22 +117,14 @@ def links(docs: DataFrame, nodes: DataFrame, also: DataFrame, text: str) -> Data
     alike = F.least("na", "nb") >= NEAR * F.greatest("na", "nb")
     sparse = left.join(right, "band").where((F.col("a") > F.col("b")) & alike).select("a", "b")
     crowded = held.where(F.col("many") > CROWDED)
-    to_hub = crowded.join(crowded.groupBy("band").agg(hub(0)), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    to_hub = crowded.join(crowded.groupBy("band").agg(hub()), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     found = verified(sparse.unionByName(to_hub).unionByName(also), sets)
     if crowded.isEmpty():
         return found
-    prior = None
-    for turn in range(1, ROUNDS + 1):
-        own = crowded.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        own = written(own, "near-crowds")
-        hubs = written(own.groupBy("band").agg(hub(turn), F.min_by("component", F.xxhash64("node", F.pmod("band", F.lit(HUBS)), F.lit(turn))).alias("main")), "near-hubs")
-        apart = own.join(hubs, "band").where("component <> main")
-        cost = apart.agg(F.coalesce(F.sum("many"), F.lit(0)).alias("pairs")).first().pairs
-        if turn == ROUNDS or cost <= FEW * own.count() or prior is not None and 2 * cost > prior:
-            break
-        prior = cost
-        found = found.unionByName(verified(apart.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets))
-    apart = apart.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    others = own.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = apart.join(others, "band").where((F.col("ca") != F.col("cb")) & alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return found.unionByName(verified(rest, sets))
+    own = crowded.join(components(found), "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    own = written(own, "near-crowds")
+    split = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    rest = written(own.join(split, "band", "left_semi").select("node", "n", "component").distinct(), "near-apart")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(verified(prefix_pairs(rest, sets), sets))
