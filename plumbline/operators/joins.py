@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from .errors import CODES, error_rows
 from .segments import BUCKET_ROWS, running_last
 
-#: A lookup is sent to all executors up to this many rows; beyond, Spark shuffles.
+#: A lookup is sent to all executors up to this many rows and bytes of them as JSON; beyond, Spark shuffles.
 LOOKUP_ROWS = 100_000
+LOOKUP_BYTES = 64 << 20
 
 
-def bounded(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a counted check finds it small enough, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = LOOKUP_ROWS, size: int = LOOKUP_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if a counted and measured check finds it small enough, else as it is."""
+    first = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b"))
+    n, b = first.agg(F.count(F.lit(1)), F.sum("b")).first()
+    return F.broadcast(df) if n <= rows and (b or 0) <= size else df
 
 
 def full_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -148,6 +151,30 @@ def align_partitions(left: DataFrame, right: DataFrame, key: str, n: int) -> tup
     return left.repartition(n, key), right.repartition(n, key)
 
 
+def colocated(tables: Sequence[DataFrame], key: str, n: int, how: str = "inner") -> DataFrame:
+    """Joins of several tables by one key over one partitioning: each table is dealt once, and no join above deals again."""
+    out = tables[0].repartition(n, key)
+    for t in tables[1:]:
+        out = out.join(t.repartition(n, key), key, how)
+    return out
+
+
+def key_sketch(df: DataFrame, key: str, tracked: int = 10_000) -> DataFrame:
+    """One row: a mergeable sketch of the frequent keys, of a size that does not depend on the data. Sketches of parts, such
+    as days, can be kept in a table and given to ``heavy_keys`` together."""
+    return df.agg(F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("sketch"))
+
+
+def heavy_keys(df: DataFrame, sketches: DataFrame, key: str, top: int = 10, limit: float = 0.2, tracked: int = 10_000) -> DataFrame:
+    """``key_skew`` without a shuffle of all keys: the combined sketches name four times as many candidates, whose rows alone
+    are counted. A key with more than 1 / ``tracked`` of all rows, about, is never missed; null keys are left out."""
+    found = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {4 * top})").alias("e"))
+    names = found.select(F.explode("e").alias("e")).select(F.col("e.item").alias(key))
+    counts = df.join(F.broadcast(names), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n"))  # 4 * top rows
+    total = df.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return counts.orderBy(F.desc("n"), key).limit(top).crossJoin(total).select(key, "n", (F.col("n") / F.col("total")).alias("share"), (F.col("n") / F.col("total") > limit).alias("hot"))
+
+
 def fanout_audit(left: DataFrame, right: DataFrame, key: str, cardinality: str, budget: int) -> DataFrame:
     """One row: join size, largest fan-out, whether the declared cardinality and the budget hold."""
     a = left.groupBy(key).agg(F.count(F.lit(1)).alias("l"))

@@ -82,6 +82,27 @@ def j9_full(t: Tables) -> DataFrame:
     return out.select("column_name", "declared_type", "inferred_type", "n", "n_distinct", "low", "high", "mean", "deviation", "median", *Q.PERCENTILES, "pattern")
 
 
+# one partitioning for several joins, sketches, databases --------------------------------------------------------------
+
+
+@query("c17_heavy_keys", f"SELECT k, count(*) AS n, count(*) / (SELECT count(*) FROM lineitem) AS share, count(*) / (SELECT count(*) FROM lineitem) > 0.2 AS hot FROM {HOT} GROUP BY k ORDER BY n DESC, k LIMIT 10")
+def c17_heavy(t: Tables) -> DataFrame:
+    own = hot(t)
+    sketches = None
+    for mode in ("R", "A", "N"):
+        part = J.key_sketch(own.where(F.col("l_returnflag") == mode), "k")
+        sketches = part if sketches is None else sketches.unionByName(part)
+    return J.heavy_keys(own, sketches, "k")
+
+
+@query("c18_three_joins", "SELECT o_orderkey, o_custkey, lines, parts FROM orders JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) a ON a.l_orderkey = o_orderkey JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS parts FROM lineitem WHERE l_quantity > 10 GROUP BY 1) b ON b.l_orderkey = o_orderkey")
+def c18_three(t: Tables) -> DataFrame:
+    keyed = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    lines = keyed.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+    parts = keyed.where("l_quantity > 10").groupBy("o_orderkey").agg(F.count_distinct("l_partkey").alias("parts"))
+    return J.colocated([t.orders.select("o_orderkey", "o_custkey"), lines, parts], "o_orderkey", 8)
+
+
 # compact reverse tables, classes, chains, telemetry ---------------------------------------------------------------------
 
 

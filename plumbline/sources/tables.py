@@ -36,6 +36,17 @@ def read_source(spark: SparkSession, binding: Binding) -> DataFrame:
     return reader.load(binding.path)
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str, n: int, properties: dict[str, str]) -> DataFrame:
+    """A table of a database in ``n`` partitions along a number, date or time column. The database is asked for the bounds;
+    rows beyond them that arrive meanwhile, and rows without a value, are in the outer partitions. Filters and columns are
+    pushed down as for any source."""
+    quoted = f'"{column}"'
+    low, high = spark.read.jdbc(url, f'(SELECT MIN({quoted}) AS "low", MAX({quoted}) AS "high" FROM {table}) bounds', properties=properties).first()
+    if low is None:  # no rows, or none with a value
+        return spark.read.jdbc(url, table, properties=properties)
+    return spark.read.jdbc(url, table, column=quoted, lowerBound=low, upperBound=high if high != low else low + 1, numPartitions=n, properties=properties)
+
+
 def slice_epoch(df: DataFrame, column: str, low, high) -> DataFrame:
     """Rows of a closed interval; stays a plain comparison, so the scan can prune."""
     return df.where(F.col(column).between(low, high))

@@ -222,3 +222,59 @@ def test_an_observation_is_one_pass(spark):
     seen = Observation()
     spark.range(10).observe(seen, F.count(F.lit(1)).alias("n")).count()
     assert seen.get["n"] == 10
+
+
+def exchanges(df):
+    """Exchanges of the plan that Spark would run without changing it on the way."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_one_partitioning_for_several_joins(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = [spark.range(1000).select((F.col("id") % 50).alias("k"), F.col("id").alias(f"v{i}")).where(f"id < {100 * (i + 1)}") for i in range(4)]
+        together = J.colocated(tables, "k", 8).groupBy("k").agg(F.count("*").alias("n"))
+        assert exchanges(together) == 4  # the tables alone: neither the joins nor the aggregate above them deal again
+        plain = tables[0]
+        for t in tables[1:]:
+            plain = plain.join(t, "k")
+        assert rows_of(together, "k", "n") == rows_of(plain.groupBy("k").agg(F.count("*").alias("n")), "k", "n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_heavy_keys_without_a_shuffle_of_all_keys(spark):
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 7 == 0, F.col("id") % 5).otherwise(F.col("id")).alias("k"), (F.col("id") % 4).alias("day"))
+    sketches = None
+    for day in range(4):
+        part = J.key_sketch(df.where(F.col("day") == day), "k", 1000)
+        sketches = part if sketches is None else sketches.unionByName(part)
+    got = J.heavy_keys(df, sketches, "k", 6, tracked=1000)
+    assert rows_of(got, "k", "n", "hot") == rows_of(J.key_skew(df, "k", 6), "k", "n", "hot")
+    assert sketches.selectExpr("octet_length(sketch.sketch) as b").agg(F.max("b")).first()[0] < 60_000
+    assert exchanges(got) == 1  # of the candidates' counts
+
+
+def test_bounded_lookups(spark):
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString()
+
+    wide = spark.range(50).select("id", F.repeat(F.lit("x"), 10_000).alias("t"))
+    assert hinted(J.bounded(wide)) and not hinted(J.bounded(wide, rows=10)) and not hinted(J.bounded(wide, size=1000))
+
+
+def test_jdbc_in_partitions(spark):
+    url, how = "jdbc:derby:memory:plumbline;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    df = spark.range(1000).select(F.when(F.col("id") != 7, F.col("id")).alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+    df.write.jdbc(url, "orders_copy", mode="overwrite", properties=how)
+    got = A.read_jdbc(spark, url, "orders_copy", "k", 4, how)
+    assert got.rdd.getNumPartitions() == 4 and rows_of(got, "k", "name") == rows_of(df, "k", "name")
+    some = got.where("k > 990").select("name")
+    assert "PushedFilters: [*IsNotNull(k), *GreaterThan(k,990)]" in some._jdf.queryExecution().executedPlan().toString() and some.count() == 9
+    df.limit(0).write.jdbc(url, "empty_copy", mode="overwrite", properties=how)
+    assert A.read_jdbc(spark, url, "empty_copy", "k", 4, how).count() == 0
