@@ -46,8 +46,10 @@ BITS = 16
 FIELD = 1 << 29
 #: Bytes of the index that travel to a Python worker at once.
 BATCH_BYTES = 4 << 20
+#: Rows that a task gives back at once.
+ROWS = 1 << 15
 #: Hashes of pairs that a task sums before it sends them on.
-HELD = 1 << 19
+HELD = 1 << 18
 
 #: What ends a piece, and what stands between words, as bytes; A-Z become small letters.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -206,11 +208,11 @@ class Shard:
 
     def counted(self, phrase: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Phrases as rows of language, text and count, some at a time."""
-        for i in range(0, len(n), 1 << 16):
-            part = phrase[i : i + (1 << 16)]
+        for i in range(0, len(n), ROWS):
+            part = phrase[i : i + ROWS]
             own = [b" ".join(map(self.words.__getitem__, p)).decode() for p in (part - 1).tolist()]
             langs = pa.DictionaryArray.from_arrays(pa.array(self.lang(part[:, 0]), pa.int32()), pa.array(self.langs)).cast(pa.string())
-            yield pa.record_batch([langs, pa.array(own), pa.array(n[i : i + (1 << 16)], pa.int64())], ["lang", "phrase", "f"])
+            yield pa.record_batch([langs, pa.array(own), pa.array(n[i : i + ROWS], pa.int64())], ["lang", "phrase", "f"])
 
 
 def mixed(words: np.ndarray) -> np.ndarray:
@@ -286,20 +288,24 @@ def pair_sums(index: DataFrame, words: Broadcast[Field]) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)  # a shard's counts are far below 2^53
-            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(sums)], ["h", "f"])
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, sums = keys[first].view(np.int64), np.add.reduceat(counts, first)
+            for i in range(0, len(keys), ROWS):
+                yield pa.record_batch([pa.array(keys[i : i + ROWS]), pa.array(sums[i : i + ROWS], pa.int64())], ["h", "f"])
 
         for batch in batches:
             for k in range(batch.num_rows):
                 two, h, _ = pair_intervals(Shard(batch.slice(k, 1).to_pylist()[0]), words.value)
                 held.append((mixed(h[two.phrase]), two.n))
                 if sum(len(n) for _, n in held) > HELD:
-                    yield out()
+                    yield from out()
                     held.clear()
-        if held:
-            yield out()
+        if sum(len(n) for _, n in held):
+            yield from out()
 
     return index.mapInArrow(step, "h long, f long")
 
