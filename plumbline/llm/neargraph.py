@@ -13,7 +13,8 @@ The recall is audited against brute force on a bounded sample of nodes; below ``
 pivots, where every shard holds everything. If even that does not reach ``FLOOR``, an error is raised rather than part of
 the links returned; ``audited`` returns the recall beside the result.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows with a
+Defined results: vectors of different lengths never link, each length is searched for itself; vectors that are null, empty,
+zero, or hold null or non-finite components link with nothing; so do rows with a
 null id, whose component is null; repeated rows are links of each other; an empty table gives an empty result; extra
 columns are ignored.
 """
@@ -241,6 +242,19 @@ def recall(nodes: DataFrame, links: DataFrame, sample: int = AUDIT) -> float:
     return r.b / r.a if r.a else 1.0
 
 
+def searched_links(own: DataFrame) -> tuple[DataFrame, float]:
+    """The links of vectors of one length, and their recall on the audited nodes; more overlap where that is low."""
+    overlap = OVERLAP
+    links = linked(own, overlap)
+    most = -(-own.count() // PER_PIVOT)
+    while (share := recall(own, links)) < FLOOR:
+        if overlap >= min(PIVOTS, most):
+            raise RuntimeError(f"the graph search found {share:.3f} of the audited links, {FLOOR} are asked for")
+        overlap *= 2
+        links = linked(own, overlap)
+    return links, share
+
+
 def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``id``, ``n_links``, ``component_id``, ``kept`` for every row."""
     return audited(df, id, vector)[0]
@@ -252,19 +266,12 @@ def audited(df: DataFrame, id: str = "vec_id", vector: str = "embedding") -> tup
     rows = written(units(df, id, vector), "graph-rows")
     nodes = rows.where("node is not null").groupBy("node").agg(one_vector().alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
     nodes = written(nodes, "graph-nodes")
-    own = nodes.select("node", "vec", "copies")
-    overlap = OVERLAP
+    links = nodes.select("node", F.col("copies").alias("links"), F.col("node").alias("root")).limit(0)
     found_share = 1.0
-    if nodes.isEmpty():
-        links = nodes.select("node", F.col("copies").alias("links"), F.col("node").alias("root"))
-    else:
-        links = linked(own, overlap)
-        most = -(-nodes.count() // PER_PIVOT)
-        while (found_share := recall(own, links)) < FLOOR:
-            if overlap >= min(PIVOTS, most):
-                raise RuntimeError(f"the graph search found {found_share:.3f} of the audited links, {FLOOR} are asked for")
-            overlap *= 2
-            links = linked(own, overlap)
+    for r in nodes.select(F.octet_length("vec").alias("size")).distinct().orderBy("size").collect():  # a row a length
+        own = nodes.where(F.octet_length("vec") == r["size"]).select("node", "vec", "copies")
+        part, share = searched_links(own)
+        links, found_share = links.unionByName(part), min(found_share, share)
     found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = nodes.drop("vec").join(found, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -6,8 +6,10 @@ overflow elsewhere and continue clockwise to the next shard with room. With ``sl
 of rows, so every shard is filled exactly and counts differ by one at most; only overflowing keys leave their own shard.
 
 How many keys each arc holds is all that the flow needs: at most shards x replicas counts, whatever the number of rows.
-Rows within an arc are ordered by a hash of their key and tie-breakers and dealt to cells (a fixed number for each arc),
-so that no task sorts more than a small share of the table even if one arc is hot. Rows move once, without their text.
+Equal rows are counted first, dealt out again in blocks, and numbered, so that each has a number of its own. Rows within an
+arc are ordered by a hash of their key, tie-breakers and that number, and dealt to cells (a fixed number for each arc), so
+that no task sorts more than a small share of the table even if one arc is hot or a third of all rows are equal. Rows move
+without their text.
 
 Defined results: a null text has size 1 and checksum 0; a null key is a key like any other; rows that are equal in all
 ordering columns are exchangeable, and each gets its own slot; an empty table gives an empty result; further columns are
@@ -30,6 +32,8 @@ REPLICAS = 64
 SLOTS = 1 << 12
 #: Cells that the rows of one arc are dealt to.
 CELLS = 64
+#: Equal rows that are dealt out together.
+BLOCK = 1 << 16
 
 
 def ring(shards: int, replicas: int = REPLICAS, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -96,17 +100,31 @@ def byte_size(text: str) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def numbered(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``df`` with ``_copy``: 0, 1, ... for the rows that are equal in all columns. Only counts of them meet in a task."""
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block))))
+    first = F.col("_block") * block
+    dealt = blocks.repartition(*df.columns, "_block")
+    return dealt.withColumn("_copy", F.explode(F.sequence(first, F.least(first + block, F.col("_n")) - 1))).drop("_n", "_block")
+
+
+def placed_rows(df: DataFrame, key: str, keep: dict[str, Column], ties: list[str], arcs: list[int]) -> DataFrame:
+    """``key``, ``keep`` and ``_copy`` with ``_arc``, ``_cell`` and ``_order`` for every row."""
+    slot = F.pmod(F.xxhash64(key), F.lit(len(arcs))).cast("int")
+    arc = F.element_at(F.split(F.lit(",".join(map(str, arcs))), ",").cast("array<int>"), slot + 1)
+    order = F.xxhash64(F.lit("order"), key, *ties, "_copy")
+    rows = numbered(df.select(F.col(key), *[c.alias(n) for n, c in keep.items()]))
+    return rows.select("*", arc.alias("_arc"), order.alias("_order"), F.pmod(order, F.lit(CELLS)).cast("int").alias("_cell"))
+
+
 def assign(df: DataFrame, key: str, keep: dict[str, Column], ties: list[str], shards: int = SHARDS, replicas: int = REPLICAS, slack: float = 0.0) -> DataFrame:
     """``key``, the columns ``keep``, ``shard`` and ``slot`` (gapless in each shard) for every row.
 
     ``ties`` names columns of ``keep`` that order rows of one key.
     """
     arcs, shard_of = ring(shards, replicas)
-    slot = F.pmod(F.xxhash64(key), F.lit(len(arcs))).cast("int")
-    arc = F.element_at(F.split(F.lit(",".join(map(str, arcs))), ",").cast("array<int>"), slot + 1)
-    order = F.xxhash64(F.lit("order"), key, *ties)
-    rows = df.select(F.col(key), *[c.alias(n) for n, c in keep.items()])
-    rows = rows.select("*", arc.alias("_arc"), order.alias("_order"), F.pmod(order, F.lit(CELLS)).cast("int").alias("_cell"))
+    rows = placed_rows(df, key, keep, ties, arcs)
     cells = written(rows.groupBy("_arc", "_cell").agg(F.count(F.lit(1)).alias("_n")), "ring-cells")  # at most arcs x CELLS rows
     before = F.sum("_n").over(Window.partitionBy("_arc").orderBy("_cell")) - F.col("_n")
     offsets = cells.select("_arc", "_cell", before.alias("_before"))
@@ -118,7 +136,7 @@ def assign(df: DataFrame, key: str, keep: dict[str, Column], ties: list[str], sh
     names = ("_arc", "_first", "_end", "shard", "_at")
     listed = F.from_json(F.lit(json.dumps([dict(zip(names, p, strict=True)) for p in parts])), schema)
     segments = df.sparkSession.range(1).select(F.inline(listed))  # at most two segments an arc and one more for each shard
-    within = F.row_number().over(Window.partitionBy("_arc", "_cell").orderBy("_order", key, *ties))
+    within = F.row_number().over(Window.partitionBy("_arc", "_cell").orderBy("_order", key, *ties, "_copy"))
     ranked = rows.select("*", within.alias("_within")).join(F.broadcast(offsets), ["_arc", "_cell"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_within") - 1)
     inside = (ranked["_rank"] >= F.col("_first")) & (ranked["_rank"] < F.col("_end"))

@@ -224,3 +224,38 @@ def test_fixed_rows(spark):
     fixed = rolerepair.Repair(spark.createDataFrame(rows, SCHEMA)).lines().orderBy("part", "seq", "pos").collect()
     roles = [r.role for r in fixed]
     assert roles == ["user", "assistant"] * (len(roles) // 2)
+
+
+def test_equal_rows_are_dealt_to_many_cells(spark, monkeypatch):
+    from plumbline.llm import shards
+
+    monkeypatch.setattr(shards, "BLOCK", 1 << 10)
+    docs = spark.range(30_000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 != 0, F.lit("x")).alias("text"))
+    keep = {"size": shards.byte_size("text"), "text_crc32": F.lit(0).cast("long")}
+    rows = shards.placed_rows(docs, "doc_id", keep, ["size", "text_crc32"], shards.ring(8)[0])
+    assert rows.count() == 30_000
+    assert rows.groupBy("_arc", "_cell").count().agg(F.max("count")).first()[0] < 400
+    out = shards.op4(docs).collect()
+    per = {}
+    for r in out:
+        per.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 30_000 and all(sorted(s) == list(range(3750)) for s in per.values())
+
+
+def test_growing_by_a_shard_moves_few_rows(spark):
+    """Rows that change shards when one more is added: its own, and what the shifted quotas push on."""
+    from plumbline.llm import shards
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    keep = {"size": shards.byte_size("text")}
+    a, b = ({r.doc_id: r.shard for r in shards.assign(docs, "doc_id", keep, ["size"], n).collect()} for n in (8, 9))
+    moved = sum(a[k] != b[k] for k in a)
+    assert 20_000 // 9 <= moved <= 0.4 * 20_000 and len(set(b.values())) == 9  # all of them would be 8 of 9 by chance
+
+
+def test_vectors_of_other_lengths_never_link(spark):
+    from plumbline.llm import neargraph
+
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.02]), (5, [1.0]), (6, []), (7, [0.0, 1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neargraph.op1(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
