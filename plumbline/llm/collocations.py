@@ -357,7 +357,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     spark = docs.sparkSession
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    index = written(shards(docs, text, lang), "collocations-index")
+    index = written(shards(docs, text, lang), "collocations-index", "zstd")
     unigrams = written(summed(words_of(index), 1), "collocations-words")
     share = spark.sparkContext.broadcast
     frequent = unigrams.where(F.col("f") >= least)

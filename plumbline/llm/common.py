@@ -51,15 +51,16 @@ def restored(df: DataFrame, like: DataFrame, *used: str) -> DataFrame:
     return df.select(*[F.col(c if c in used else f"`_own {k}`").alias(c) for k, c in enumerate(like.columns)])
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
+def written(df: DataFrame, name: str = "step", compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later steps start from files.
 
-    The files outlive a lost executor, unlike cached blocks; ``release`` deletes them.
+    The files outlive a lost executor, unlike cached blocks; ``release`` deletes them. For rows of megabytes take ``zstd``:
+    snappy's buffers lie outside the heap, are as large as a page, and stay until the next collection of garbage.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
