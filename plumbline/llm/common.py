@@ -67,12 +67,15 @@ def written(df: DataFrame, name: str = "step", compression: str = "snappy") -> D
 WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the folders that ``written`` has left; to be called when no table that reads them is needed any more."""
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the folders that ``written`` has left after the first ``since``, but for the last ``keep``; to be called when no
+    table that reads them is needed any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+    end = len(WRITTEN) - keep
+    for name in WRITTEN[since:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del WRITTEN[since:end]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
