@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, pii, quality, simhash
-from plumbline.llm.common import table, written
+from plumbline.llm.common import WRITTEN, release, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,7 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage has left in the shared folder goes once the next stage's input is written."""
+    docs, since = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -181,7 +181,7 @@ def i13(t: Tables) -> DataFrame:
     return E.same_errors(a, E.split_valid(t.customer.repartition(3), F.col("c_acctbal") > 0, "c_custkey")[1].withColumn("run_id", F.lit("second")))
 
 
-@query("i14_step_metrics", "SELECT count(*) AS rows, 0.0 AS null_rate_c_name, count(*) FILTER (c_acctbal <= 0) AS violations FROM customer")
+@query("i14_step_metrics", "SELECT count(*) AS rows, count(*) FILTER (c_name IS NULL) / count(*) AS null_rate_c_name, count(*) FILTER (c_acctbal <= 0) AS violations FROM customer")
 def i14(t: Tables) -> DataFrame:
     return E.step_metrics(t.customer, ["c_name"], F.col("c_acctbal") > 0)
 

@@ -90,7 +90,18 @@ def k10_deferred(t: Tables) -> DataFrame:
     return proposed(t, 10, "DEFERRED")
 
 
-@query("k10_accepted", "SELECT o_custkey, 0.0 * count(*) AS gap, count(*) >= 0 AS holds, 'ACCEPTED' AS decision FROM orders GROUP BY o_custkey")
+def _measured(step: str, decision: str) -> str:
+    """The same from the sums of both sides."""
+    after = f"sum(CAST(CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice + {step} ELSE o_totalprice END AS DECIMAL(20,3)))"
+    return f"SELECT o_custkey, gap, gap <= 0.01 AS holds, CASE WHEN max(CASE WHEN gap > 0.01 THEN 1 ELSE 0 END) OVER () = 1 THEN '{decision}' ELSE 'ACCEPTED' END AS decision FROM (SELECT o_custkey, CAST(abs({after} - sum(CAST(o_totalprice AS DECIMAL(20,3)))) AS DOUBLE) AS gap FROM orders GROUP BY o_custkey)"
+
+
+@query("k10_within_tolerance", _measured("0.002", "REJECTED"))
+def k10_tolerance(t: Tables) -> DataFrame:
+    return proposed(t, 0.002, "STRICT")
+
+
+@query("k10_accepted", _measured("0", "WARNED"))
 def k10_accepted(t: Tables) -> DataFrame:
     return proposed(t, 0, "ADVISORY")
 

@@ -28,11 +28,7 @@ def plain(v):
         return str(v)
 
 
-#: The thresholds of these lie within the data of scale 0.01 alone; the driver compares them there.
-LARGER = {"j13_expectations", "j12_freshness"}
-
-
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - LARGER))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_twin(spark, folder, twin, name):
     df = QUERIES[name](spark, folder)
     columns = sorted(df.columns)
