@@ -10,7 +10,7 @@ shared folder and read by each counting round; counts are summed across shards.
 
 Rounds prune without losing anything: a phrase is at most as frequent as its parts, so pairs are enumerated between words
 that are frequent in the whole corpus, triples around pairs that are. Most pairs are rare; they are first summed by a
-64-bit hash, which can only add to a pair's count, and spelled out only where that sum is high enough. A shard tests all
+hash, which can only add to a pair's count, and spelled out only where that sum is high enough. A shard tests all
 this in bit fields of hashes, which may let rare parts pass but hold back no frequent one; the sums and thresholds that
 decide are always taken on the phrases themselves.
 
@@ -40,10 +40,12 @@ DEPTH = 3
 HIDES = 50
 TOP = 2000
 #: Bytes of text in one indexed shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
 #: Bits of a field for each frequent part at least, and the most bits of a field (64 MiB); a fuller field prunes less.
 BITS = 16
 FIELD = 1 << 29
+#: Bits of the hash that pairs are summed by first; on a corpus with more pairs than it has values it prunes less.
+HASH = 40
 #: Bytes of the index that travel to a Python worker at once.
 BATCH_BYTES = 4 << 20
 #: Rows that a task gives back at once.
@@ -73,6 +75,17 @@ class Numbers(dict):
         return n
 
 
+def ordered(key: np.ndarray) -> np.ndarray:
+    """The stable order of whole numbers from 0 on. Where place and number fit into 63 bits, sorting the two packed together is
+    much faster than sorting places by number."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()) >> (63 - bits):
+        return np.argsort(key, kind="stable")
+    packed = key.astype(np.int64) << bits | np.arange(len(key))
+    packed.sort()
+    return packed & ((1 << bits) - 1)
+
+
 def depth_sorted(seq: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols or more, by doubling; beyond the end are smaller symbols."""
     n, reach, rank = len(seq), 1, seq.astype(np.int64)
@@ -80,13 +93,13 @@ def depth_sorted(seq: np.ndarray, depth: int) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - reach] = rank[reach:] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = ordered(key)
         reach *= 2
         if reach >= depth:
             return order
-        ordered = key[order]
+        key = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
 
 
 class Index:
@@ -114,7 +127,7 @@ class Index:
         base = np.cumsum(of.n) - of.n
         owner = np.repeat(np.arange(len(of.n)), of.n)
         rows = np.repeat(at - base, of.n) + np.arange(len(owner))
-        order = np.argsort(owner * len(self.before) + symbols[rows], kind="stable")
+        order = ordered(owner * len(self.before) + symbols[rows])
         word, row = symbols[rows][order], rows[order]  # stable: rows of an owner and word ascend
         if not len(word):
             return Intervals(np.zeros((0, of.phrase.shape[1] + 1), np.int64), *np.zeros((3, 0), np.int64))
@@ -136,7 +149,7 @@ class Index:
         if left not in self.ranks:
             symbols = self.bwt if left else self.reverse
             place = np.empty(len(symbols), np.int64)
-            place[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
+            place[ordered(symbols)] = np.arange(len(symbols))
             self.ranks[left] = place - self.before[symbols]
         return self.ranks[left][row]
 
@@ -300,7 +313,7 @@ def pair_sums(index: DataFrame, words: Broadcast[Field]) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 two, h, _ = pair_intervals(Shard(batch.slice(k, 1).to_pylist()[0]), words.value)
-                held.append((mixed(h[two.phrase]), two.n))
+                held.append((mixed(h[two.phrase]) & np.uint64((1 << HASH) - 1), two.n))
                 if sum(len(n) for _, n in held) > HELD:
                     yield from out()
                     held.clear()
@@ -310,27 +323,15 @@ def pair_sums(index: DataFrame, words: Broadcast[Field]) -> DataFrame:
     return index.mapInArrow(step, "h long, f long")
 
 
-def pairs_of(index: DataFrame, words: Broadcast[Field], pairs: Broadcast[Field]) -> DataFrame:
-    """Pairs that may be frequent."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                s = Shard(batch.slice(k, 1).to_pylist()[0])
-                two, _, _ = pair_intervals(s, words.value, pairs.value)
-                yield from s.counted(two.phrase, two.n)
-
-    return index.mapInArrow(step, "lang string, phrase string, f long")
-
-
-def triples_of(index: DataFrame, words: Broadcast[Field], pairs: Broadcast[Field]) -> DataFrame:
-    """Triples of words whose two pairs may both be frequent: the words behind each pair."""
+def phrases_of(index: DataFrame, words: Broadcast[Field], pairs: Broadcast[Field]) -> DataFrame:
+    """Pairs that may be frequent, and triples of words whose two pairs may be: the words behind each such pair."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 s = Shard(batch.slice(k, 1).to_pylist()[0])
                 two, h, known = pair_intervals(s, words.value, pairs.value)
+                yield from s.counted(two.phrase, two.n)
                 three = s.index.extended(two, False, lambda p, known=known, h=h: known[p[:, 2]] & pairs.value(h[p[:, 1:]]))
                 yield from s.counted(three.phrase, three.n)
 
@@ -364,9 +365,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     words = share(field(hashes_of(frequent)))
     high = pair_sums(index, words).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("h")
     pairs = share(field(written(high, "collocations-hashes")))
-    two = written(summed(pairs_of(index, words, pairs), least), "collocations-pairs")
-    three = written(summed(triples_of(index, words, pairs), least), "collocations-triples")
+    long = written(summed(phrases_of(index, words, pairs), least), "collocations-phrases")
     ws = F.split("phrase", " ")
+    two, three = long.where(F.size(ws) == 2), long.where(F.size(ws) == 3)
     inner = three.select("lang", F.explode(F.array(F.array_join(F.slice(ws, 1, 2), " "), F.array_join(F.slice(ws, 2, 2), " "))).alias("phrase"), F.col("f").alias("longer"))
     hidden = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     short = scored(two, frequent, two, [(1, 1)], 2).join(hidden, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < hides * F.col("a"))).drop("longer")
