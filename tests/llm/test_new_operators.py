@@ -259,3 +259,22 @@ def test_vectors_of_other_lengths_never_link(spark):
     rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.02]), (5, [1.0]), (6, []), (7, [0.0, 1.0, 0.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in neargraph.op1(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    """Every pair of sets alike by 0.8 in different components is a candidate; sets with only a passage in common are none."""
+    from plumbline.llm import neartext
+
+    r = random.Random(12)
+    passage = list(range(40))
+    sets = [sorted({*passage, *r.sample(range(100, 10**6), 60)}) for _ in range(60)]
+    for base in sets[:15]:
+        for edits in (1, 5, 9, 11):
+            kept = r.sample(base, len(base) - edits)
+            sets.append(sorted({*kept, *r.sample(range(10**6, 10**7), edits)}))
+    sets += [[1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [1, 2, 3, 4], [7], [7, 8]]
+    nodes = spark.createDataFrame([(i, len(s), i if i % 2 else -1, s) for i, s in enumerate(sets)], "node long, n long, component long, own array<long>")
+    found = {(p.a, p.b) for p in neartext.prefix_pairs(nodes.drop("own"), nodes.select("node", "own")).collect()}
+    alike = {(a, b) for a in range(len(sets)) for b in range(a) if (a % 2 or b % 2) and 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))}
+    assert alike <= found and len(alike) > 30
+    assert not any(a < 60 and b < 60 for a, b in found)
