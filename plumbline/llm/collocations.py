@@ -359,13 +359,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     index = written(shards(docs, text, lang), "collocations-index", "zstd")
-    unigrams = written(summed(words_of(index), 1), "collocations-words")
+    unigrams = written(summed(words_of(index), 1), "collocations-words", clean=True)
     share = spark.sparkContext.broadcast
     frequent = unigrams.where(F.col("f") >= least)
     words = share(field(hashes_of(frequent)))
     high = pair_sums(index, words).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("h")
-    pairs = share(field(written(high, "collocations-hashes")))
-    long = written(summed(phrases_of(index, words, pairs), least), "collocations-phrases")
+    pairs = share(field(written(high, "collocations-hashes", clean=True)))
+    long = written(summed(phrases_of(index, words, pairs), least), "collocations-phrases", clean=True)
     ws = F.split("phrase", " ")
     two, three = long.where(F.size(ws) == 2), long.where(F.size(ws) == 3)
     inner = three.select("lang", F.explode(F.array(F.array_join(F.slice(ws, 1, 2), " "), F.array_join(F.slice(ws, 2, 2), " "))).alias("phrase"), F.col("f").alias("longer"))

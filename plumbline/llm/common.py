@@ -51,16 +51,26 @@ def restored(df: DataFrame, like: DataFrame, *used: str) -> DataFrame:
     return df.select(*[F.col(c if c in used else f"`_own {k}`").alias(c) for k, c in enumerate(like.columns)])
 
 
-def written(df: DataFrame, name: str = "step", compression: str = "snappy") -> DataFrame:
+#: Spark's setting for deleting the shuffle files of a query at its end, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str = "step", compression: str = "snappy", clean: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later steps start from files.
 
     The files outlive a lost executor, unlike cached blocks; ``release`` deletes them. For rows of megabytes take ``zstd``:
-    snappy's buffers lie outside the heap, are as large as a page, and stay until the next collection of garbage.
+    snappy's buffers lie outside the heap, are as large as a page, and stay until the next collection of garbage. With
+    ``clean`` the shuffle files of this write go when it has ended.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, str(clean or before == "true").lower())
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
