@@ -323,15 +323,17 @@ def pair_sums(index: DataFrame, words: Broadcast[Field]) -> DataFrame:
     return index.mapInArrow(step, "h long, f long")
 
 
-def phrases_of(index: DataFrame, words: Broadcast[Field], pairs: Broadcast[Field]) -> DataFrame:
-    """Pairs that may be frequent, and triples of words whose two pairs may be: the words behind each such pair."""
+def phrases_of(index: DataFrame, words: Broadcast[Field], pairs: Broadcast[Field], length: int) -> DataFrame:
+    """Pairs that may be frequent, or triples of words whose two pairs may be: the words behind each such pair."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 s = Shard(batch.slice(k, 1).to_pylist()[0])
                 two, h, known = pair_intervals(s, words.value, pairs.value)
-                yield from s.counted(two.phrase, two.n)
+                if length == 2:
+                    yield from s.counted(two.phrase, two.n)
+                    continue
                 three = s.index.extended(two, False, lambda p, known=known, h=h: known[p[:, 2]] & pairs.value(h[p[:, 1:]]))
                 yield from s.counted(three.phrase, three.n)
 
@@ -365,9 +367,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     words = share(field(hashes_of(frequent)))
     high = pair_sums(index, words).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("h")
     pairs = share(field(written(high, "collocations-hashes", clean=True)))
-    long = written(summed(phrases_of(index, words, pairs), least), "collocations-phrases", clean=True)
+    # two passes, so that the shuffle files of one are gone before those of the other come
+    two, three = (written(summed(phrases_of(index, words, pairs, n), least), f"collocations-{n}", clean=True) for n in (2, 3))
     ws = F.split("phrase", " ")
-    two, three = long.where(F.size(ws) == 2), long.where(F.size(ws) == 3)
     inner = three.select("lang", F.explode(F.array(F.array_join(F.slice(ws, 1, 2), " "), F.array_join(F.slice(ws, 2, 2), " "))).alias("phrase"), F.col("f").alias("longer"))
     hidden = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     short = scored(two, frequent, two, [(1, 1)], 2).join(hidden, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < hides * F.col("a"))).drop("longer")
