@@ -4,12 +4,15 @@ Base spans come from four patterns whose matches are checked (numbers of at most
 positions follow from splitting a text at its matches: a match starts where the pieces and matches before it end.
 
 Terms that reveal a protected entity are found from the whole corpus. The unit of all counts is a distinct document
-text, so that copies do not count twice; a term t and an entity e meet in a document when a line holds both, ``NEAR`` code
-points apart at most (so a long list of entities on one line gives as many pairs as it has words nearby). t discloses
-e when their pointwise mutual information reaches the information content of e but for ``SLACK`` bits, which is
-p(e|t) >= 2^-SLACK (the count of e cancels out), in ``SUPPORT`` distinct documents at least. A term that is common
-elsewhere never qualifies. Occurrences of disclosing terms become spans of kind ``term``; ``sanitise`` generalises every
-span to its kind.
+text, so that copies do not count twice; a term t and an entity e meet in a document when a line holds both, however far
+apart. t discloses e when their pointwise mutual information reaches the information content of e but for ``SLACK``
+bits, which is p(e|t) >= 2^-SLACK (the count of e cancels out), in ``SUPPORT`` distinct documents at least. A term that is
+common elsewhere never qualifies: t and e meet in no more documents than e has, so only entities of ``SUPPORT`` documents
+and terms of at most 2^SLACK times the documents of an entity on their line are paired, which loses nothing.
+Occurrences of disclosing terms become spans of kind ``term``; ``sanitise`` generalises every span to its kind.
+
+Running positions along a text are folded in blocks of about the square root of the number of matches, so that a text of
+many matches costs little more than its length.
 
 The patterns keep to possessive loops and anchored starts, so that long runs neither overflow the stack nor cost
 quadratic time; they match what the plain patterns match.
@@ -36,12 +39,12 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 #: Bits that the mutual information may lack to the entity's information content.
 SLACK = 1
-#: Code points on either side of an entity within which a term on its line meets it.
-NEAR = 200
 #: What every text with a base span holds.
 HINT = r"@|[0-9]\.[0-9]|[0-9][\x20-]?[0-9]|\+[0-9]"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 STATE = "struct<at:bigint,spans:" + SPAN + ">"
+#: Matches that are folded in one go.
+BLOCK = 64
 
 
 def digits(match: Column) -> Column:
@@ -72,11 +75,34 @@ def valid_phone(match: Column) -> Column:
 CHECKS = {"email": (EMAIL, lambda m: F.lit(True)), "ip": (IP, valid_ip), "card": (CARD, valid_card), "phone": (PHONE, valid_phone)}
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def in_blocks(items: Column, total, combine, each) -> Column:
+    """``each(start, block)`` for consecutive blocks of an array; ``start`` combines the totals of the blocks before."""
+
+    def own(xs: Column) -> Column:
+        size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(xs)))).cast("int")
+        ids = F.sequence(F.lit(0), F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / size).cast("int"))
+        return let(F.transform(ids, lambda i: F.slice(xs, i * size + 1, size)), starting)
+
+    def starting(blocks: Column) -> Column:
+        kind = "struct<at:bigint,before:array<bigint>>"
+        zero = F.struct(F.lit(0).alias("at"), F.array().alias("before")).cast(kind)
+        step = lambda s, b: F.struct(combine(s["at"], total(b)).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before")).cast(kind)
+        return F.zip_with(F.aggregate(blocks, zero, step, lambda s: s["before"]), blocks, each)
+
+    return let(items, own)
+
+
 def located(text: Column, pattern: str, kind: str, accept) -> Column:
     """Spans of the accepted matches, in order; positions in code points, end exclusive."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans")).cast(STATE)
+    none = F.array().cast(SPAN)
+
+    def width(state: Column, pair: Column) -> Column:
+        return state + F.length(pair["gap"]) + F.length(pair["match"])
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
@@ -85,8 +111,16 @@ def located(text: Column, pattern: str, kind: str, accept) -> Column:
         spans = F.when(accept(pair["match"]), F.concat(state["spans"], own)).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans")).cast(STATE)
 
-    found = F.aggregate(pairs, zero, step, lambda s: s["spans"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(SPAN))
+    def block(start: Column, pairs: Column) -> Column:
+        return F.aggregate(pairs, F.struct(start.alias("at"), none.alias("spans")).cast(STATE), step, lambda s: s["spans"])
+
+    def of(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+        found = in_blocks(pairs, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), width), lambda x, y: x + y, block)
+        return F.when(F.size(matches) > 0, F.flatten(found)).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -110,22 +144,22 @@ def disclosing(docs: DataFrame, text: str = "text", support: int = SUPPORT, slac
     """Terms (``term``) whose presence gives away a protected entity, from all documents."""
     texts = docs.where(F.col(text).isNotNull()).groupBy(key_of(text)).agg(F.any_value(text).alias("text"))
     texts = written(texts, "pii-texts")
-    lines = texts.where(F.col("text").rlike(HINT)).select("_key", F.explode(F.split("text", "\n")).alias("line"))  # no span holds a line break
-    spans = with_base(lines.where(F.col("line").rlike(HINT)), "line").select("_key", "line", F.explode("base").alias("span"))
-    begin, end = F.col("span.start").cast("int"), F.col("span.end").cast("int")
-    left, right = F.substring("line", F.greatest(begin - NEAR, F.lit(0)) + 1, F.least(begin, F.lit(NEAR))), F.substring("line", end + 1, F.lit(NEAR))
-    left = F.when(begin > NEAR, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length("line") - end > NEAR, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)  # words cut in two
-    met = spans.select("_key", F.substring("line", begin + 1, end - begin).alias("entity"), F.explode(words(F.concat_ws(" ", left, right))).alias("term"))
-    met = met.where(~F.contains(F.lower("entity"), F.col("term"))).distinct()
-    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
-    pairs = written(pairs.where(F.col("n") >= support), "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("term")
-    everywhere = texts.select(F.explode(words(F.col("text"))).alias("term"))
-    counts = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
-    told = pairs.join(counts, "term").where(F.col("n") * (1 << slack) >= F.col("docs"))
-    return written(told.select("term").distinct(), "pii-terms")
+    lines = texts.where(F.col("text").rlike(HINT)).select("_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))  # no span holds a line break
+    lines = lines.where(F.col("line").rlike(HINT))
+    spans = with_base(lines, "line").select("_key", "at", "line", F.explode("base").alias("span"))
+    entity = F.substring("line", F.col("span.start").cast("int") + 1, (F.col("span.end") - F.col("span.start")).cast("int"))
+    held = written(spans.select("_key", "at", entity.alias("entity")).distinct(), "pii-entities")
+    known = held.groupBy("entity").agg(F.count_distinct("_key").alias("held")).where(F.col("held") >= support)
+    hits = written(held.join(known, "entity"), "pii-hits")
+    if hits.isEmpty():
+        return hits.select(F.col("entity").alias("term"))
+    places = hits.groupBy("_key", "at").agg(F.max("held").alias("most"))
+    told = lines.join(places, ["_key", "at"]).select("_key", "at", "most", F.explode(words(F.col("line"))).alias("term"))
+    counts = texts.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support)
+    rare = told.join(counts, "term").where(F.col("docs") <= F.col("most") * (1 << slack))
+    met = rare.join(hits, ["_key", "at"]).where((F.col("docs") <= F.col("held") * (1 << slack)) & ~F.contains(F.lower("entity"), F.col("term")))
+    pairs = met.select("_key", "entity", "term", "docs").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"), F.any_value("docs").alias("docs"))
+    return written(pairs.where((F.col("n") >= support) & (F.col("n") * (1 << slack) >= F.col("docs"))).select("term").distinct(), "pii-terms")
 
 
 def with_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, slack: int = SLACK) -> DataFrame:
@@ -145,16 +179,25 @@ def with_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, slac
 def generalised(spanned: DataFrame, spans: str, text: str = "text") -> DataFrame:
     """Replace each span by its kind in brackets; of overlapping spans the first names the kind and all are covered."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, span: Column) -> Column:
-        before = F.substring(F.col(text), state["at"].cast("int") + 1, (span["start"] - state["at"]).cast("int"))
-        fresh = span["start"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], before, F.lit("["), F.upper(span["kind"]), F.lit("]"))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
+    def furthest(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0).cast("bigint"), lambda a, s: F.greatest(a, s["end"]))
+
+    def piece(start: Column, block: Column) -> Column:
+        """The text from where the blocks before end to where this one ends, its spans replaced."""
+        return let(F.substring(F.col(text), start.cast("int") + 1, (F.greatest(start, furthest(block)) - start).cast("int")), lambda own: replaced(own, start, block))
+
+    def replaced(own: Column, start: Column, block: Column) -> Column:
+        def step(state: Column, span: Column) -> Column:
+            before = F.substring(own, (state["at"] - start).cast("int") + 1, (span["start"] - state["at"]).cast("int"))
+            out = F.when(span["start"] >= state["at"], F.concat(state["out"], before, F.lit("["), F.upper(span["kind"]), F.lit("]"))).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(block, F.struct(start.alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
 
-    rest = lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"].cast("int") + 1, F.length(text)))
-    return spanned.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(ordered, zero, step, rest)).otherwise(F.col(text)))
+    pieces = F.array_join(in_blocks(ordered, furthest, F.greatest, piece), "")
+    rest = F.substring(F.col(text), F.array_max(F.transform(spans, lambda s: s["end"])).cast("int") + 1, F.length(text))
+    return spanned.withColumn(text, F.when(F.size(spans) > 0, F.concat(pieces, rest)).otherwise(F.col(text)))
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:

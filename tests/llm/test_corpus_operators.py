@@ -1,7 +1,9 @@
 """The corpus operators against brute force on small tables, with nulls, ties, repeated rows and empty tables."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -311,6 +313,60 @@ def test_pii_terms_with_copies_and_one_signature(spark):
     assert all(text[i] == t for i, t in other) and text[2000] == "note 0 about the sun\nGreetings from [TERM], [EMAIL]"
 
 
+def disclosing(texts):
+    """Disclosing terms by counting every pair of a term and an entity on a line."""
+    own, met = {}, {}
+    for text in set(texts):
+        for w in {m.lower() for m in re.findall(r"[^\W\d_]{3,}", text)}:
+            own.setdefault(w, set()).add(text)
+        for line in text.split("\n"):
+            entities = {line[int(i) : int(j)] for _, i, j in (x.split(":") for x in spans(line))}
+            for e in entities:
+                for w in {m.lower() for m in re.findall(r"[^\W\d_]{3,}", line)}:
+                    if w not in e.lower():
+                        met.setdefault((w, e), set()).add(text)
+    return {w for (w, e), found in met.items() if len(found) >= 3 and 2 * len(found) >= len(own[w])}
+
+
+def test_pii_terms_against_all_pairs(spark):
+    r = random.Random(4)
+    names, common = [f"name{chr(97 + i)}" for i in range(12)], ["the", "and", "wrote", "saw", "letter", "house", "Maria"]
+    mails = [f"m{k}@example.org" for k in range(len(names))] + ["+49 170 1234567", "10.0.0.7"]
+
+    def line():
+        k = r.randrange(len(names))
+        near = [names[k]] * (r.random() < 0.7) + [mails[k]] * (r.random() < 0.6 + k / 30) + [r.choice(mails)] * (r.random() < 0.2)
+        out = near + r.choices(common, k=r.randrange(5)) + [r.choice(names)] * (r.random() < 0.1)
+        return r.shuffle(out) or " ".join(out)
+
+    texts = ["\n".join(line() for _ in range(r.randrange(4))) for _ in range(150)]
+    texts += texts[:40] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = disclosing([t for t in texts if t is not None])
+    assert {r.term for r in pii.disclosing(df).collect()} == want and 3 <= len(want) < len(names) + len(common)
+    got = {r.doc_id: r.spans.split(",") if r.spans else [] for r in pii.op7(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == spans(t) + [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", t or "") if m.group().lower() in want]
+
+
+def test_pii_term_far_from_its_entity(spark):
+    told = [(i, f"Brunhilde {'and so on ' * (600 + i)} b.h@example.org") for i in range(3)]
+    other = [(10 + i, f"and so on {i}") for i in range(30)]
+    out = {r.doc_id: r.spans for r in pii.op7(spark.createDataFrame(told + other, "doc_id long, text string")).collect()}
+    assert all(out[i].endswith(",term:0:9") for i in range(3)) and not any(out[10 + i] for i in range(30))
+
+
+def test_pii_hundred_thousand_matches_in_a_text(spark):
+    text = " ".join(f"u{i}@example.org" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "a@b.c")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.with_base(df).selectExpr("doc_id", "size(base) AS n", "base").collect()}
+    assert [(b.start, b.end) for b in got[1].base] == [m.span() for m in re.finditer(r"\S+", text)] and got[2].n == 1
+    clean = {r.doc_id: r.text for r in pii.generalised(pii.with_base(df), "base").collect()}
+    assert clean == {1: " ".join(["[EMAIL]"] * 100_000), 2: "[EMAIL]"}
+    assert time.monotonic() - began < 60
+
+
 def test_mixing_counts(docs, rows, empty):
     got = {r.doc_id: r for r in mixing.op8(docs).collect()}
     for d, held, n, known, train, base in mixing.brute_base(rows):
