@@ -36,6 +36,8 @@ PATH_DIM = 96
 WORD_DIM = 24
 DIM = PATH_DIM + WORD_DIM + 8
 SLICE_BYTES = 4 << 20
+#: Blocks whose vectors are held at once while labelling; a longer page goes by stretches, with the state carried on.
+STRETCH = 1 << 14
 
 #: Elements whose content is no text: up to their end tag, or, without one, the first kind to the end of the page and the
 #: second kind not at all.
@@ -308,16 +310,19 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), DIM), np.float32)
-    for i, b in enumerate(page):
-        out[i, :PATH_DIM] = path_vector(b.path)
+def vectors(page: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """A row for each block from ``start`` to ``stop``."""
+    own = page[start:stop]
+    out = np.zeros((len(own), DIM), np.float32)
+    for k, b in enumerate(own):
+        i = start + k
+        out[k, :PATH_DIM] = path_vector(b.path)
         words = b.text.split(" ")
         hashed = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % WORD_DIM
         counts = np.bincount(hashed, minlength=WORD_DIM)
-        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = counts / math.sqrt(max(1.0, float(counts @ counts)))
+        out[k, PATH_DIM : PATH_DIM + WORD_DIM] = counts / math.sqrt(max(1.0, float(counts @ counts)))
         n = len(b.text)
-        out[i, PATH_DIM + WORD_DIM :] = (math.log1p(n) / 8, math.log1p(len(words)) / 6, b.linked / max(1, n), i / len(page), (len(page) - i) / len(page), i == 0, i == len(page) - 1, b.text[-1:] in ".!?")
+        out[k, PATH_DIM + WORD_DIM :] = (math.log1p(n) / 8, math.log1p(len(words)) / 6, b.linked / max(1, n), i / len(page), (len(page) - i) / len(page), i == 0, i == len(page) - 1, b.text[-1:] in ".!?")
     return out
 
 
@@ -335,10 +340,11 @@ class Labeller:
             w[-1, HIDDEN : 2 * HIDDEN] = 1.0  # remember at first
         self.w["out"] = r.normal(0, 0.15, (2 * HIDDEN + 1, 1))
 
-    def run(self, x: np.ndarray, w: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list]:
+    def run(self, x: np.ndarray, w: np.ndarray, live: np.ndarray, state: tuple | None = None, kept: list | None = None) -> tuple[np.ndarray, tuple]:
+        """Outputs and the last state, from ``state`` on; what the gradient needs of each step goes to ``kept``."""
         steps, n, _ = x.shape
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-        out, kept = np.zeros((steps, n, HIDDEN)), []
+        h, c = state or (np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)))
+        out = np.zeros((steps, n, HIDDEN))
         for t in range(steps):
             z = np.concatenate([x[t], h, np.ones((n, 1))], 1)
             g = z @ w
@@ -347,11 +353,12 @@ class Labeller:
             m = live[t][:, None]
             new = f * c + i * u
             tanh = np.tanh(new)
-            kept.append((z, i, f, o, u, c, tanh, m))
+            if kept is not None:
+                kept.append((z, i, f, o, u, c, tanh, m))
             c = np.where(m, new, c)
             h = np.where(m, o * tanh, h)
             out[t] = h
-        return out, kept
+        return out, (h, c)
 
     def grad(self, d_out: np.ndarray, w: np.ndarray, kept: list) -> np.ndarray:
         dw, n = np.zeros_like(w), d_out.shape[1]
@@ -367,8 +374,9 @@ class Labeller:
         return dw
 
     def chance(self, x: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, tuple]:
-        a, ka = self.run(x, self.w["ahead"], live)
-        b, kb = self.run(x[::-1], self.w["back"], live[::-1])
+        ka, kb = [], []
+        a, _ = self.run(x, self.w["ahead"], live, kept=ka)
+        b, _ = self.run(x[::-1], self.w["back"], live[::-1], kept=kb)
         both = np.concatenate([a, b[::-1], np.ones((*a.shape[:2], 1))], 2)
         return sigmoid(both @ self.w["out"])[..., 0], (both, ka, kb)
 
@@ -399,24 +407,42 @@ class Labeller:
                     s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
                     w -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block of each page is main text; pages of similar length go together."""
+    def label(self, pages: list, cut=lambda page, start, stop: page[start:stop]) -> list[np.ndarray]:
+        """Whether each block of each page is main text; pages of similar length go together. ``cut`` gives the vectors of
+        a stretch of a page, so that a long page is never held as vectors."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         at = 0
         while at < len(order):
             size = max(1, min(256, (1 << 14) // len(pages[order[min(at + 255, len(order) - 1)]])))
             own = order[at : at + size]
-            x, live = padded([pages[i] for i in own])
-            p, _ = self.chance(x, live)
+            p = self.logits([pages[i] for i in own], cut)
             for k, i in enumerate(own):
-                out[i] = p[: len(pages[i]), k] >= 0.5
+                out[i] = p[: len(pages[i]), k] >= 0
             at += size
         return out
 
+    def logits(self, pages: list, cut) -> np.ndarray:
+        """Ahead and back over stretches; of a step only its share of the output stays."""
+        steps, wide = max(len(p) for p in pages), max(1, STRETCH // len(pages))
+        out = np.full((steps, len(pages)), self.w["out"][-1, 0])
+        parts = [(a, min(a + wide, steps)) for a in range(0, steps, wide)]
+        state, held = None, (None, None)
+        for a, b in parts:
+            held = (a, padded([cut(p, a, b) for p in pages], b - a))
+            h, state = self.run(held[1][0], self.w["ahead"], held[1][1], state)
+            out[a:b] += (h @ self.w["out"][:HIDDEN])[..., 0]
+        state = None
+        for a, b in reversed(parts):
+            x, live = held[1] if held[0] == a else padded([cut(p, a, b) for p in pages], b - a)
+            held = (None, None)
+            h, state = self.run(x[::-1], self.w["back"], live[::-1], state)
+            out[a:b] += (h[::-1] @ self.w["out"][HIDDEN : 2 * HIDDEN])[..., 0]
+        return out
+
 
-def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(len(p) for p in pages)
+def padded(pages: list[np.ndarray], steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    steps = steps or max(len(p) for p in pages)
     x, live = np.zeros((steps, len(pages), pages[0].shape[1])), np.zeros((steps, len(pages)), bool)
     for k, p in enumerate(pages):
         x[: len(p), k] = p
@@ -456,7 +482,7 @@ def extracted(pages: DataFrame, column: str = "html") -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column, SLICE_BYTES):
             read = [blocks(p) for p in part.column(column).to_pylist()]
-            labels = shared.value.label([vectors(b) for b in read])
+            labels = shared.value.label(read, vectors)
             texts = [[b.text for b, y in zip(own, ys, strict=True) if y] for own, ys in zip(read, labels, strict=True)]
             cols = [part.column(c) for c in keep]
             cols += [pa.array(["\n".join(t) for t in texts], pa.string()), pa.array([len(t) for t in texts], pa.int64())]
