@@ -39,6 +39,8 @@ DEPTH = 3
 #: A longer candidate hides a shorter one inside it from this share of the shorter one's count (percent).
 HIDES = 50
 TOP = 2000
+#: Parts of a language's phrases that are ranked by themselves before the whole.
+PARTS = 256
 #: Bytes of text in one indexed shard.
 SHARD_BYTES = 4 << 20
 #: Bits of a field for each frequent part at least, and the most bits of a field (64 MiB); a fuller field prunes less.
@@ -379,8 +381,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
 
 
 def op13(docs: DataFrame, top: int = TOP) -> DataFrame:
-    place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = collocations(docs).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    # first within parts of a language, so that what is left for one task is PARTS * top rows at most
+    dealt = collocations(docs).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    led = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
+    ranked = led.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
