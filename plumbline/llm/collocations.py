@@ -357,8 +357,8 @@ def scored(part: DataFrame, unigrams: DataFrame, pairs: DataFrame, cuts: list[tu
     return out.select("lang", "phrase", "a", best.alias("best")).select("lang", "phrase", "a", "best.l", "best.r", "best.score", F.lit(words).alias("words"))
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, hides: int = HIDES) -> DataFrame:
-    """All candidates that no longer one hides: lang, phrase, a, l, r, score, words, and n (all words of the language)."""
+def counted(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, hides: int = HIDES) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``collocations`` without ``n``, and ``n`` by language."""
     spark = docs.sparkSession
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -377,16 +377,23 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     short = scored(two, frequent, two, [(1, 1)], 2).join(hidden, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < hides * F.col("a"))).drop("longer")
     both = short.unionByName(scored(three, frequent, two, [(1, 2), (2, 1)], 3))
     n = unigrams.groupBy("lang").agg(F.sum("f").alias("n"))
+    return both, n
+
+
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, hides: int = HIDES) -> DataFrame:
+    """All candidates that no longer one hides: lang, phrase, a, l, r, score, words, and n (all words of the language)."""
+    both, n = counted(docs, text, lang, least, hides)
     return both.join(n, "lang")
 
 
 def op13(docs: DataFrame, top: int = TOP) -> DataFrame:
     best = [F.desc("score"), F.desc("a"), "phrase"]
     # first within parts of a language, so that what is left for one task is PARTS * top rows at most
-    dealt = collocations(docs).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    found, n = counted(docs)
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     led = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
     ranked = led.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def brute(rows: list[tuple[str | None, str | None]], least: int = LEAST, hides: int = HIDES, top: int = TOP) -> list[tuple]:
