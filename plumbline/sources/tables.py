@@ -159,12 +159,17 @@ def malformed(good: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def infer_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """For text columns, how many values are there and fit each candidate type; one pass."""
-    kinds = ("bigint", "double", "date", "boolean")
+    """For text columns, how many values are there and fit each candidate type; one pass. A date has a year, a month and a
+    day: a cast alone takes any number of four to seven digits for a year. Nor is a number a double by a ``d`` or ``f`` at its end."""
+    fits = {"bigint": None, "double": lambda v: ~v.rlike(r"[\d.][dDfF]\s*$"), "date": lambda v: v.rlike(r"\d-\d{1,2}-\d"), "boolean": None}
     aggs = []
     for c in columns:
         col = F.col(c).cast("string")
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(col).alias("n"), *[F.count(col.try_cast(k)).alias(f"n_{k}") for k in kinds]).alias(c))
+        counts = []
+        for kind, form in fits.items():
+            tried = col.try_cast(kind)
+            counts.append(F.count(tried if form is None else F.when(form(col), tried)).alias(f"n_{kind}"))
+        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(col).alias("n"), *counts).alias(c))
     return df.agg(*aggs).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("r")).select("r.*")
 
 

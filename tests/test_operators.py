@@ -149,3 +149,10 @@ def test_hierarchy_reaches_far_roots_and_leaves_cycles_out(spark):
     rows = [(i, i - 1) for i in range(1, 60)] + [(0, None), (100, 101), (101, 102), (102, 100), (103, 100), (200, 0)]
     got = {r.id: (r.root, r.depth) for r in M.hierarchy(spark.createDataFrame(rows, "id long, parent long"), "id", "parent", 5).collect()}
     assert got == {i: (0, i + 1) for i in range(60)} | {200: (0, 2)}
+
+
+def test_a_bare_year_is_no_date(spark):
+    values = ["1510", "12345", "2024-01", "2024-01-02", "2024-1-2", "2024-01-02T00:00:00", "2024-13-02", "1.5", "1.5d", "yes", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    r = A.infer_types(df, ["v"]).first()
+    assert (r.n, r.n_bigint, r.n_double, r.n_date, r.n_boolean) == (10, 2, 3, 3, 1)
