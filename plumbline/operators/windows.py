@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .segments import BUCKET_ROWS, running_sums
+from .segments import BUCKET_ROWS, running_all, running_sums
 
 RANKS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
 AGGS = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max}
@@ -31,6 +31,12 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], f
     return running_sums(df, keys, order, column, function, out, rows)
 
 
+def running_many(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: Mapping[str, tuple[str, str]], rows: int = BUCKET_ROWS) -> DataFrame:
+    """Several ``running`` values (``out``: function and column) of one order, for one pass over the table."""
+    over(keys, order)
+    return running_all(df, keys, order, values, rows)
+
+
 def moving(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, function: str, column: str, out: str) -> DataFrame:
     return df.withColumn(out, AGGS[function](column).over(over(keys, order).rowsBetween(-n, 0)))
 

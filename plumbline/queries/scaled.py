@@ -26,8 +26,7 @@ from .shapes import HOT, hot
 def e2_hot(t: Tables) -> DataFrame:
     own = hot(t).withColumn("q", F.col("l_quantity").cast("long")).withColumn("one", F.lit(1))
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    for function, column, out in (("sum", "q", "total"), ("count", "one", "n"), ("max", "q", "most")):
-        own = W.running(own, ["k"], order, function, column, out, rows=2000)
+    own = W.running_many(own, ["k"], order, {"total": ("sum", "q"), "n": ("count", "one"), "most": ("max", "q")}, rows=2000)
     return own.select("l_orderkey", "l_linenumber", "l_partkey", "total", "n", "most")
 
 

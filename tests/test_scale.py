@@ -37,6 +37,23 @@ def test_segmented_running_values(hot, function):
     assert rows_of(W.running(hot, ["k"], ["t", "id"], function, "v", "out", rows=100), "id", "out") == rows_of(plain, "id", "out")
 
 
+def test_several_running_values_in_one_pass(hot, monkeypatch):
+    values = {f: (f, "v") for f in ("sum", "count", "avg", "min", "max")}
+    plain = hot
+    for f in values:
+        plain = W.running(plain, ["k"], ["t", "id"], f, "v", f)
+    for sent in (segments.SENT_BYTES, 0):  # bucket results sent to all tasks, or shuffled
+        monkeypatch.setattr(segments, "SENT_BYTES", sent)
+        got = W.running_many(hot, ["k"], ["t", "id"], values, rows=100)
+        assert rows_of(got, "id", *values) == rows_of(plain, "id", *values)
+        if sent:  # no table is shuffled for a join
+            assert executed(got).count("SortMergeJoin") == 0 and executed(got).count("Window") >= 1
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_buckets_are_small(hot):
     parts = segments.cut(hot, ["k"], "t", 100)
     sizes = {(r.k, r._bucket): r.n for r in parts.groupBy("k", "_bucket").agg(F.count("*").alias("n")).collect()}
