@@ -37,7 +37,7 @@ def c4(t: Tables) -> DataFrame:
 
 @query("c5_traverse_nm", "SELECT o_orderkey, p_brand, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def c5(t: Tables) -> DataFrame:
-    return J.traverse_nm(t.orders, t.lineitem, t.part, F.expr("o_orderkey = l_orderkey"), F.expr("l_partkey = p_partkey")).groupBy("o_orderkey", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return J.traverse_nm(t.orders, t.lineitem, t.part, F.expr("o_orderkey = l_orderkey"), F.expr("l_partkey = p_partkey"), ("o_orderkey", "l_orderkey")).groupBy("o_orderkey", "p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c6_path", "SELECT o_orderkey, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
