@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .joins import tasks_for
 from .segments import BUCKET_ROWS, running_all, running_sums
 
 RANKS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
@@ -93,10 +94,17 @@ def distinct_keys(dfs: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def missing_extra(total: DataFrame, parts: Sequence[DataFrame], key: str) -> DataFrame:
-    seen = distinct_keys(parts, key)
-    missing = total.select(key).distinct().join(seen, key, "left_anti").withColumn("issue", F.lit("MISSING"))
-    extra = seen.join(total.select(key), key, "left_anti").withColumn("issue", F.lit("EXTRA"))
-    return missing.unionByName(extra)
+    """Keys of the total that no part has, and keys of the parts that the total lacks; a null key is in none but its own.
+
+    Both sides are counted at once by key, dealt over as many tasks as their rows ask for.
+    """
+    both = total.select(F.col(key), F.lit(True).alias("_a"), F.lit(False).alias("_b"))
+    for df in parts:
+        both = both.unionByName(df.select(F.col(key), F.lit(False).alias("_a"), F.lit(True).alias("_b")))
+    found = both.repartition(tasks_for(both), key).groupBy(key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    none = F.col(key).isNull()
+    issues = [F.when(F.col("_a") & (~F.col("_b") | none), "MISSING"), F.when(F.col("_b") & (~F.col("_a") | none), "EXTRA")]
+    return found.select(key, F.explode(F.array_compact(F.array(*issues))).alias("issue"))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -286,6 +286,24 @@ def test_heavy_keys_that_the_sketches_miss(spark):
     assert rows_of(got, "k", "n") == rows_of(want, "k", "count")
 
 
+def test_a_bridge_is_dealt_by_its_rows(spark):
+    left, target = spark.range(3000).select(F.col("id").alias("a")), spark.range(10).select(F.col("id").alias("p"), (F.col("id") % 3).alias("brand"))
+    bridge = spark.range(20_000).select((F.col("id") % 3100).alias("k"), (F.col("id") % 12).alias("q"))
+    on = F.expr("a = k"), F.expr("q = p")
+    got = J.traverse_nm(left, bridge, target, *on, ("a", "k"), rows=1000)
+    assert rows_of(got, *got.columns) == rows_of(J.traverse_nm(left, bridge, target, *on), *got.columns)
+    tasks = got.groupBy("a", "brand").count().groupBy(F.spark_partition_id().alias("t")).agg(F.sum("count").alias("n")).collect()
+    assert len(tasks) == 20 and max(r.n for r in tasks) < 1500
+
+
+def test_missing_and_extra_keys_in_one_exchange(spark):
+    total = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "k long")
+    parts = [spark.createDataFrame([(2,), (4,)], "k long"), spark.createDataFrame([(4,), (None,)], "k long")]
+    got = W.missing_extra(total, parts, "k")
+    assert rows_of(got, "k", "issue") == sorted([(1, "MISSING"), (3, "MISSING"), (4, "EXTRA"), (None, "MISSING"), (None, "EXTRA")], key=str)
+    assert "Join" not in executed(got) and exchanges(got) == 1
+
+
 def test_bounded_lookups(spark):
     def hinted(df):
         return "broadcast" in df._jdf.queryExecution().logical().toString()
