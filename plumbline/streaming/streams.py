@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -155,31 +155,34 @@ class Status(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("status", "n long, done boolean, last long")
 
-    def row(self, key: tuple, n: int, status: str) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "iterations": [n], "status": [status]})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, done, last = self.state.get() if self.state.exists() else (0, False, None)
-        if last is not None:
-            self.handle.deleteTimer(last + self.ttl_ms)
-        for pdf in rows:
-            for kind, ms in pdf.sort_values(["ts", "event_id"])[["event_type", "at_ms"]].itertuples(index=False):
-                if last is not None and ms > last + self.ttl_ms:  # the watermark has not come so far, but the key has
-                    yield self.row(key, n, "EXPIRED")
-                    n, done = 0, False
-                if kind == self.start:
-                    n, done = n + 1, False
-                elif kind == self.end and n:
-                    done = True
-                last = max(last or 0, int(ms))
+    def row(self, key: tuple, n: int, status: str) -> Row:
+        return Row(**{self.key: key[0], "iterations": n, "status": status})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.state.get()  # each call is a trip to the store and back, so one call serves for all fields
+        n, done, last = held or (0, False, None)
+        for _, _, kind, ms in sorted((r.ts, r.event_id, r.event_type, r.at_ms) for r in rows):
+            if last is not None and ms > last + self.ttl_ms:  # the watermark has not come so far, but the key has
+                yield self.row(key, n, "EXPIRED")
+                n, done = 0, False
+            if kind == self.start:
+                n, done = n + 1, False
+            elif kind == self.end and n:
+                done = True
+            last = max(last or 0, ms)
         self.state.update((n, done, last))
-        self.handle.registerTimer(last + self.ttl_ms)
+        if held is None:
+            self.handle.registerTimer(last + self.ttl_ms)
         yield self.row(key, n, "CONVERGED" if done else "IN_PROGRESS" if n else "NOT_STARTED")
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n = self.state.get()[0] if self.state.exists() else 0
-        self.state.clear()
-        yield self.row(key, n, "EXPIRED")
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """A key has one timer, of its first event; where later ones have come, it is set anew for the last of them."""
+        n, _, last = self.state.get()
+        if last + self.ttl_ms > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(last + self.ttl_ms)
+        else:
+            self.state.clear()
+            yield self.row(key, n, "EXPIRED")
 
     def close(self) -> None:
         pass
@@ -194,4 +197,4 @@ def stream_status_ttl(stream: DataFrame, key: str, start: str, end: str, ttl_sec
     and a row EXPIRED given. The session must use the RocksDB store (``ROCKSDB``)."""
     own = event_time(stream).withColumn("at_ms", F.unix_millis("ts")).withWatermark("ts", watermark)
     kind = T.StructType([stream.schema[key], T.StructField("iterations", T.LongType()), T.StructField("status", T.StringType())])
-    return own.groupBy(key).transformWithStateInPandas(Status(key, start, end, ttl_seconds * 1000), kind, "Update", "eventTime")
+    return own.select(key, "ts", "event_id", "event_type", "at_ms").groupBy(key).transformWithState(Status(key, start, end, ttl_seconds * 1000), kind, "Update", "eventTime")

@@ -138,3 +138,36 @@ def test_status_expires(spark, tmp_path):
     assert last[1] == [(1, "CONVERGED"), (1, "EXPIRED")]
     assert last[2][:3] == [(1, "IN_PROGRESS"), (2, "IN_PROGRESS"), (2, "EXPIRED")] and last[2][3:] == [(0, "NOT_STARTED")]
     assert 1 not in keys and 3 in keys
+
+
+class Store:
+    """Counts the trips to a state store."""
+
+    def __init__(self):
+        self.value, self.trips, self.timers = None, 0, []
+
+    def get(self):
+        self.trips += 1
+        return self.value
+
+    def exists(self):
+        self.trips += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.trips += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.trips += 1
+        self.timers.append(at)
+
+
+def test_few_trips_to_the_store_for_a_key():
+    step, store = L.Status("k", "view", "purchase", 100), Store()
+    step.state = step.handle = store
+    for at, kind in enumerate(["view", "purchase", "view"]):
+        rows = [L.Row(ts=at, event_id=at, event_type=kind, at_ms=at)]
+        out = list(step.handleInputRows((7,), iter(rows), None))
+    assert (out[0].k, out[0].iterations, out[0].status) == (7, 2, "IN_PROGRESS")
+    assert store.timers == [100] and store.trips == 7  # a reading and a writing a batch, and one timer
