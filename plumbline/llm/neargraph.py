@@ -2,12 +2,19 @@
 
 Equal vectors are one node. Pivots are drawn from the nodes by hash (one for ``PER_PIVOT`` nodes, ``PIVOTS`` at most) and
 every node joins the shards of its nearest pivots, so shards overlap. Each shard builds a pruned neighbour graph: of a
-pool of near candidates a node keeps the nearest, drops those that a kept one covers, and so on. The adjacency lists of
-all shards are united by node. Then every shard searches the united graph for each of its members: a greedy beam search
-from the shard's medoid and the member itself, which expands its range over all nodes within a slack of the threshold.
-What is found is verified by the exact cosine in double precision. A pair is counted in the first shard that both share,
-so no list of pairs is ever shuffled: each shard sends sums and one edge a node. A crowded shard is cut into pieces and
-every two pieces are searched against each other, so a hot cluster stays whole and no task holds more than two pieces.
+pool (the ``POOL`` nearest members and all within the threshold) a node keeps the nearest, drops those that are nearer to a
+kept one, and so on until the pool is used up. The adjacency lists of all shards are united by node. Then every shard
+searches the united graph for each of its members, from the member itself, and expands its range over all nodes within a
+slack of the threshold. What is found is verified by the exact cosine in double precision.
+
+No link within a shard is lost, however many members lie equally near: whoever is not in a node's list is nearer to one in
+it, so from a node a way leads to each of its links on which that link gets nearer at every step. All steps are within the
+threshold, hence in the pools, and nothing on the way is farther from the node than twice the angle of the threshold, whose
+cosine, 0.805, is within the slack. Pairs of equal cosine are ordered by their ends, so ties do not break the way.
+
+A pair is counted in the first shard that both share, so no list of pairs is ever shuffled: each shard sends sums and one
+edge a node. A crowded shard is cut into pieces and every two pieces are searched against each other, on a graph of both,
+so a hot cluster stays whole and no task holds more than two pieces.
 
 The recall is audited against brute force on a bounded sample of nodes; below ``FLOOR`` the overlap is doubled, up to all
 pivots, where every shard holds everything. If even that does not reach ``FLOOR``, an error is raised rather than part of
@@ -39,12 +46,11 @@ PER_PIVOT = 400
 PIVOTS = 2048
 OVERLAP = 3
 #: Members of a shard, or of a piece of a crowded one.
-CROWD = 3000
+CROWD = 2000
 POOL = 48
-DEGREE = 16
-ALPHA = 1.2
-BEAM = 24
 QUERIES = 256
+#: Nodes that are expanded, or pairs whose cosine is taken, at once.
+STEP = 1 << 15
 AUDIT = 200
 FLOOR = 0.97
 
@@ -83,113 +89,118 @@ def matrix(raw) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
-def pruned(x: np.ndarray) -> list[np.ndarray]:
-    """Out-neighbours of each row after robust pruning, with the nearest of the reversed edges."""
+def pruned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) of the graph that robust pruning leaves of each row's pool."""
     n = len(x)
-    if n < 2:
-        return [np.zeros(0, np.int64)] * n
+    heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     sim = x @ x.T
+    np.round(sim, 12, out=sim)
     np.fill_diagonal(sim, -2)
     size = min(POOL, n - 1)
-    pool = np.argpartition(-sim, size - 1, axis=1)[:, :size]
-    rows = np.arange(n)[:, None]
-    far = 1 - sim[rows, pool]
-    alive = np.ones_like(far, bool)
-    kept: list[list[int]] = [[] for _ in range(n)]
-    for _ in range(min(DEGREE, size)):
-        j = np.where(alive, far, np.inf).argmin(axis=1)
-        ok = alive[np.arange(n), j]
-        chosen = pool[np.arange(n), j]
-        for i in np.flatnonzero(ok).tolist():
-            kept[i].append(int(chosen[i]))
-        alive[np.arange(n), j] = False
-        alive &= ALPHA * (1 - sim[chosen[:, None], pool]) > far
-        if not alive.any():
-            break
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, own in enumerate(kept):
-        for j in own:
-            if len(back[j]) < 2 * DEGREE:
-                back[j].append(i)
-    return [np.unique(np.array(a + b, np.int64)) for a, b in zip(kept, back, strict=True)]
-
-
-def searched(x: np.ndarray, near: np.ndarray, low: float = THRESHOLD - SLACK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For blocks of rows: the first row, which nodes the search has met, and their cosines. ``near``: padded lists."""
+    for at in range(0, n if n > 1 else 0, QUERIES):
+        block = sim[at : at + QUERIES]
+        least = np.minimum(np.partition(block, n - size, axis=1)[:, n - size], THRESHOLD - 1e-9)
+        sizes = (block >= least[:, None]).sum(axis=1)
+        for some in (np.flatnonzero(sizes <= 2 * POOL), np.flatnonzero(sizes > 2 * POOL)):
+            if not len(some):
+                continue
+            rows, near, width = at + some, block[some], int(sizes[some].max())
+            pool = np.sort(np.argpartition(-near, width - 1, axis=1)[:, :width], axis=1)
+            far = -np.take_along_axis(near, pool, axis=1)
+            order = np.argsort(far, axis=1, kind="stable")
+            pool, own = np.take_along_axis(pool, order, axis=1), -np.take_along_axis(far, order, axis=1)
+            alive = own >= least[some][:, None]
+            live = np.arange(len(rows))
+            while True:
+                first = alive[live].argmax(axis=1)
+                left = alive[live, first]
+                live, first = live[left], first[left]
+                if not len(live):
+                    break
+                chosen = pool[live, first]
+                heads.append(rows[live])
+                tails.append(chosen)
+                alive[live, first] = False
+                to = sim[chosen[:, None], pool[live]]
+                alive[live] &= (to < own[live]) | ((to == own[live]) & (chosen > rows[live])[:, None])
+    return np.concatenate(heads), np.concatenate(tails)
+
+
+def searched(x: np.ndarray, heads: np.ndarray, tails: np.ndarray, low: float = THRESHOLD - SLACK) -> Iterator[tuple[int, np.ndarray]]:
+    """For blocks of rows: the first row, and which rows the search has found within the threshold."""
     n = len(x)
-    medoid = int((x @ x.mean(axis=0)).argmax())
+    order = np.argsort(heads, kind="stable")
+    start, tails = np.searchsorted(heads[order], np.arange(n + 1)), tails[order]
+    degree = np.diff(start)
     for at in range(0, n, QUERIES):
         q = x[at : at + QUERIES]
         m = len(q)
-        met = np.zeros((m, n + 1), bool)
-        cos = np.full((m, n + 1), -2.0)
-        done = np.zeros((m, n + 1), bool)
-
-        def visit(who: np.ndarray, what: np.ndarray, met=met, cos=cos, q=q) -> None:
-            new = ~met[who, what]
-            who, what = who[new], what[new]
-            if len(who):
-                pair = np.unique(who * (n + 1) + what)
-                who, what = pair // (n + 1), pair % (n + 1)
-                who, what = who[what < n], what[what < n]
-                met[who, what] = True
-                cos[who, what] = np.einsum("ij,ij->i", q[who], x[what])
-
-        every = np.arange(m)
-        visit(every, np.full(m, medoid))
-        visit(every, np.arange(at, at + m))
-        while True:
-            score = np.where(done[:, :n], -3, cos[:, :n])
-            best = score.argmax(axis=1)
-            order = min(BEAM, n)
-            edge = np.partition(cos[:, :n], n - order, axis=1)[:, n - order]
-            go = np.flatnonzero((score[every, best] > -2) & (score[every, best] >= edge))
-            wide_who, wide = np.nonzero((score >= low))
-            who = np.concatenate([go, wide_who])
-            what = np.concatenate([best[go], wide])
-            if not len(who):
-                break
-            done[who, what] = True
-            out = near[what]
-            visit(np.repeat(who, out.shape[1]), out.ravel())
-        yield at, met[:, :n] & (cos[:, :n] >= THRESHOLD), cos[:, :n]
+        met, hit = np.zeros(m * n, bool), np.zeros(m * n, bool)
+        front = np.arange(m) * n + np.arange(at, at + m)
+        met[front] = True
+        while len(front):
+            fresh = np.zeros(m * n, bool)
+            for k in range(0, len(front), STEP):
+                who, what = np.divmod(front[k : k + STEP], n)
+                size = degree[what]
+                place = np.repeat(start[what] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                fresh[np.repeat(who * n, size) + tails[place]] = True
+            new = np.flatnonzero(fresh & ~met)
+            met[new] = True
+            cos = np.zeros(len(new))
+            for k in range(0, len(new), STEP):
+                who, what = np.divmod(new[k : k + STEP], n)
+                cos[k : k + STEP] = np.einsum("ij,ij->i", q[who], x[what])
+            hit[new] = cos >= THRESHOLD
+            front = new[cos >= low]
+        yield at, hit.reshape(m, n)
 
 
 def build(pdf: pd.DataFrame) -> pd.DataFrame:
     nodes = pdf["node"].to_numpy()
-    lists = pruned(matrix(pdf["vec"]))
-    return pd.DataFrame({"node": nodes, "near": [nodes[a].tolist() for a in lists]})
+    heads, tails = pruned(matrix(pdf["vec"]))
+    order = np.argsort(heads, kind="stable")
+    lists = np.split(nodes[tails[order]], np.searchsorted(heads[order], np.arange(1, len(nodes))))
+    return pd.DataFrame({"node": nodes, "near": [a.tolist() for a in lists]})
 
 
 def search(pdf: pd.DataFrame) -> pd.DataFrame:
     """Link counts of a shard's members and one edge for each to the root of its links here."""
-    pdf = pdf.drop_duplicates("node")
+    pdf = pdf.drop_duplicates("node").sort_values("node")
     nodes, weight, piece = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["piece"].to_numpy()
     first, second, shard = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["shard"].iloc[0])
     x = matrix(pdf["vec"])
     n = len(x)
-    place = {v: k for k, v in enumerate(nodes.tolist())}
-    lists = [[place[v] for v in own if v in place] for own in pdf["near"]]
-    near = np.full((n, max(1, max(map(len, lists)))), n)
-    for k, own in enumerate(lists):
-        near[k, : len(own)] = own
-    found = np.zeros((n, n), bool)
-    for at, hit, _ in searched(x, near):
-        found[at : at + len(hit)] = hit
-    found |= found.T
-    np.fill_diagonal(found, False)
-    a, b = np.nonzero(found)
+    sizes = np.fromiter(map(len, pdf["near"]), np.int64, n)
+    named = np.concatenate([np.zeros(0, np.int64), *pdf["near"]]).astype(np.int64)
+    place = np.minimum(np.searchsorted(nodes, named), n - 1)
+    here = nodes[place] == named
+    heads, tails = np.repeat(np.arange(n), sizes)[here], place[here]
+    if first != second:  # the lists know of no edges between two pieces
+        between = pruned(x)
+        heads, tails = np.concatenate([heads, between[0]]), np.concatenate([tails, between[1]])
     homes = np.array(pdf["shards"].tolist()).reshape(n, -1)
-    shared = np.where((homes[a][:, :, None] == homes[b][:, None, :]).any(axis=2), homes[a], np.iinfo(np.int64).max).min(axis=1)
-    own = (shared == shard) & (piece[a] != piece[b] if first != second else piece[a] == piece[b])
-    a, b = a[own], b[own]
-    links = np.bincount(a, weight[b], n).astype(np.int64)
-    root = nodes.copy()
-    if len(a):
-        ends, tops = roots(nodes[a], nodes[b])
-        root[[place[v] for v in ends.tolist()]] = tops
+    kinds, at = np.unique(homes, return_inverse=True)
+    earlier = np.zeros((n, len(kinds)), np.float32)
+    earlier[np.arange(n)[:, None], at.reshape(homes.shape)] = 1
+    earlier = earlier[:, kinds < shard]
+    links, label = np.zeros(n, np.int64), np.arange(n)
+    for at, hit in searched(x, heads, tails):
+        here = slice(at, at + len(hit))
+        if not hit.any():
+            continue
+        own = piece[here, None] != piece[None] if first != second else piece[here, None] == piece[None]
+        hit = hit & own & (earlier[here] @ earlier.T == 0)
+        links[here] = hit @ weight
+        a, b = np.nonzero(hit)
+        a, b = label[a + at], label[b]
+        if (a != b).any():
+            ends, tops = roots(a[a != b], b[a != b])
+            to = np.arange(n)
+            to[ends] = tops
+            label = to[label]
     some = links > 0
-    return pd.DataFrame({"node": nodes[some], "links": links[some], "root": root[some]})
+    return pd.DataFrame({"node": nodes[some], "links": links[some], "root": nodes[label[some]]})
 
 
 def linked(nodes: DataFrame, overlap: int) -> DataFrame:
@@ -212,7 +223,7 @@ def linked(nodes: DataFrame, overlap: int) -> DataFrame:
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("pieces"))  # a row a pivot
     members = members.join(F.broadcast(sizes), "shard").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     lists = members.select("shard", "piece", "node", "vec").groupBy("shard", "piece").applyInPandas(build, "node long, near array<long>")
-    united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-lists")  # overlap x 3 degrees
+    united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-lists")  # a list a shard
     others = F.sequence(F.lit(0), F.col("pieces") - 1)
     tasks = members.join(united, "node").withColumn("other", F.explode(others))
     tasks = tasks.withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other"))

@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,3 +490,27 @@ def test_near_graph_reports_a_low_recall(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     with pytest.raises(RuntimeError):
         neargraph.op1(df)
+
+
+def test_near_graph_finds_equally_near_members():
+    """Groups whose members all lie about equally near, or exactly so: every pair within the threshold is found."""
+    r = np.random.default_rng(3)
+    tight = r.normal(size=64) + r.normal(0, 0.09, (400, 64))
+    loose = r.normal(size=64) + r.normal(0, 0.22, (200, 64))
+    scaled = np.outer(r.uniform(0.1, 9, 150), r.normal(size=64))
+    raw = [neargraph.unit(list(v)) for v in np.concatenate([tight, loose, scaled, r.normal(size=(400, 64))])]
+    x = neargraph.matrix(raw)
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert 0 < hit[400:600, 400:600].mean() < 0.9
+    nodes = np.arange(len(x))
+    table = pd.DataFrame({"node": nodes, "vec": raw, "copies": 1, "shard": 0, "i": 0, "j": 0, "piece": 0, "shards": [[0]] * len(x)})
+    found = neargraph.search(table.merge(neargraph.build(table), on="node"))
+    want = hit.sum(axis=1)
+    assert dict(zip(found["node"], found["links"], strict=True)) == {i: want[i] for i in nodes if want[i]}
+    table["piece"] = table["node"] % 2
+    table["j"] = 1
+    table["near"] = [[]] * len(x)  # two pieces whose lists know nothing of each other
+    found = neargraph.search(table)
+    want = (hit & (nodes[:, None] % 2 != nodes % 2)).sum(axis=1)
+    assert dict(zip(found["node"], found["links"], strict=True)) == {i: want[i] for i in nodes if want[i]}
