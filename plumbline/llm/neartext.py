@@ -7,7 +7,7 @@ Of a band value that many nodes share, all are first compared with a few hubs, w
 a crowd still holds apart, such as texts that share a long passage and nothing else, is then joined by prefixes: of two
 sets alike by 0.8, the first fifths in any common order share a shingle. Ordered by how many components have a shingle,
 those fifths lack what a crowd has in common, and shingles of one component alone need no join, so a pair meets only where
-both have something rare. No pair is left out.
+both have something rare, and only where what follows it in both sets would still be enough. No pair is left out.
 
 Defined results: texts without words are copies of each other; a text of fewer words has one shingle.
 """
@@ -91,17 +91,21 @@ def hub() -> Column:
 
 
 def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes (node, n, component) of different components that share a shingle of both prefixes."""
+    """Pairs (a, b) of nodes (node, n, component) of different components that share a shingle of both prefixes, early enough
+    in both. If it is the first that they share, they have no more in common than either has from there on, which bounds the
+    size of the other set (``most``); similar pairs are found at that shingle. The smaller set needs a ninth only."""
     words = written(rest.join(sets, "node").select("node", "n", "component", F.explode("own").alias("s")), "near-words")
     spread = words.select("s", "component").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     size = (F.col("n") - F.ceil(NEAR * F.col("n") - 1e-9) + 1).cast("int")
     first = words.join(spread, "s").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
-    prefix = first.select("node", "n", "component", F.explode(F.slice("all", F.lit(1), size)).alias("p")).where("p.c > 1")
-    prefix = written(prefix.select("node", "n", "component", F.col("p.s").alias("s")), "near-prefixes")
-    a = prefix.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = prefix.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    alike = F.least("na", "nb") >= NEAR * F.greatest("na", "nb")
-    return a.join(b, "s").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b")
+    prefix = first.select("node", "n", "component", F.posexplode(F.slice("all", F.lit(1), size)).alias("at", "p")).where("p.c > 1")
+    most = F.floor((1 + NEAR) / NEAR * (F.col("n") - F.col("at")) + 1e-6) - F.col("n")
+    prefix = written(prefix.select("node", "n", "component", F.col("p.s").alias("s"), most.alias("most")), "near-prefixes")
+    a = prefix.where("most >= n").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("most").alias("ma"))
+    b = prefix.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("most").alias("mb"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    alike = (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb"))
+    return a.join(b, "s").where(ordered & (F.col("ca") != F.col("cb")) & alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, also: DataFrame, text: str) -> DataFrame:

@@ -278,3 +278,21 @@ def test_prefix_pairs_lose_no_link(spark):
     alike = {(a, b) for a in range(len(sets)) for b in range(a) if (a % 2 or b % 2) and 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))}
     assert alike <= found and len(alike) > 30
     assert not any(a < 60 and b < 60 for a, b in found)
+
+
+def test_prefix_pairs_of_a_family(spark):
+    """Copies of one text with many edits each: similar pairs are all candidates, pairs with too many edits hardly any."""
+    from plumbline.llm import neartext
+
+    r = random.Random(7)
+    base = list(range(400))
+    sets = []
+    for k, edits in enumerate([70] * 80 + [20] * 6 + [30, 40, 43, 45, 50, 60] * 4):
+        shared = r.sample(base, 400 - edits - r.randrange(3))
+        sets.append(sorted({*shared, *range(1000 * (k + 1), 1000 * (k + 1) + edits)}))
+    sets += [sets[80][:350], sets[80] + [10**6 + i for i in range(90)]]
+    nodes = spark.createDataFrame([(i, len(s), i, s) for i, s in enumerate(sets)], "node long, n long, component long, own array<long>")
+    pairs = [(p.a, p.b) for p in neartext.prefix_pairs(nodes.drop("own"), nodes.select("node", "own")).collect()]
+    alike = {(a, b) for a in range(len(sets)) for b in range(a) if 9 * len(set(sets[a]) & set(sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert alike <= set(pairs) and len(alike) >= 15
+    assert not any(a < 80 and b < 80 for a, b in pairs)
