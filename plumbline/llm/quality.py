@@ -20,6 +20,7 @@ those without a ``doc_id``; extra columns pass through, but ``scored`` replaces
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -376,9 +377,17 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text") -> Reader:
     drawn = training_sample(docs, text)
     columns = [*long, *(T.StructField(n, T.BinaryType()) for n in ("tokens", "whole"))]
     rows = mapped(drawn, text, columns, Reader(lexicons, features=True), lambda r, t: features(r.read(t))).drop(text)
-    rows = rows.orderBy(F.xxhash64("tokens"), "tokens", "whole").collect()
-    tokens, whole = ([np.frombuffer(r[c], np.int32) for r in rows] for c in ("tokens", "whole"))
-    scorers = [trained(tokens, whole, np.array([post.get(r[c], 0.0) for r in rows])) for post, c in ((junk, "junk_flags"), (toxic, "toxic_flags"))]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            own = pa.Table.from_batches(held)
+            tokens, whole = ([np.frombuffer(x, np.int32) for x in own.column(c).to_pylist()] for c in ("tokens", "whole"))
+            likely = [np.array([post.get(x, 0.0) for x in own.column(c).to_pylist()]) for post, c in ((junk, "junk_flags"), (toxic, "toxic_flags"))]
+            yield pa.record_batch([pa.array([pickle.dumps([trained(tokens, whole, x) for x in likely])])], ["scorers"])
+
+    found = rows.repartition(1).sortWithinPartitions(F.xxhash64("tokens"), "tokens", "whole").mapInArrow(fit, "scorers binary").collect()  # not in the driver's memory
+    scorers = pickle.loads(found[0].scorers) if found else [trained([], [], np.zeros(0)) for _ in range(2)]
     return Reader(lexicons, *scorers)
 
 

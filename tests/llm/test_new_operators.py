@@ -296,3 +296,22 @@ def test_prefix_pairs_of_a_family(spark):
     alike = {(a, b) for a in range(len(sets)) for b in range(a) if 9 * len(set(sets[a]) & set(sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
     assert alike <= set(pairs) and len(alike) >= 15
     assert not any(a < 80 and b < 80 for a, b in pairs)
+
+
+def test_scorers_are_fitted_outside_the_driver(spark, monkeypatch):
+    import os
+
+    from plumbline.llm import quality
+
+    here, plain = os.getpid(), quality.trained
+
+    def elsewhere(*given):
+        assert os.getpid() != here
+        return plain(*given)
+
+    rows = [(i, f"The {w} house stands on a hill, and {w} people live in it. They like the {w} garden.") for i, w in enumerate("old new red tall grey calm".split())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    want = quality.scored(docs, labels).orderBy("doc_id").collect()
+    monkeypatch.setattr(quality, "trained", elsewhere)
+    assert quality.scored(docs, labels).orderBy("doc_id").collect() == want
