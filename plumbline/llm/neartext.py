@@ -7,7 +7,9 @@ Of a band value that many nodes share, all are first compared with a few hubs, w
 a crowd still holds apart, such as texts that share a long passage and nothing else, is then joined by prefixes: of two
 sets alike by 0.8, the first fifths in any common order share a shingle. Ordered by how many components have a shingle,
 those fifths lack what a crowd has in common, and shingles of one component alone need no join, so a pair meets only where
-both have something rare, and only where what follows it in both sets would still be enough. No pair is left out.
+both have something rare, and only where what follows it in both sets would still be enough. First all sets that share a
+shingle so are compared with one of them, which joins most of a crowd with a pair for each prefix row; then all pairs of
+different components are, but for those whose parity bits differ in more places than similar sets' could. None is left out.
 
 Defined results: texts without words are copies of each other; a text of fewer words has one shingle.
 """
@@ -39,6 +41,8 @@ CROWDED = 32
 HUBS = 4
 MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = 1 << 13
+#: Bits that hold whether an odd number of a set's shingles fall on them, in longs.
+PARITY = 1024
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -64,17 +68,25 @@ def bands(own: np.ndarray) -> list[int]:
     return np.array(hashes, np.uint64).view(np.int64).tolist()
 
 
+def parity(own: np.ndarray) -> list[int]:
+    """The parity bits of a set. Two sets' bits differ in no more places than the sets have shingles of their own."""
+    place = (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITY.bit_length() + 1)
+    odd = (np.bincount(place.astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
-    """``node`` and ``own`` (its shingles) for nodes with their ``first`` row."""
+    """``node``, ``own`` (its shingles) and ``parity`` for nodes with their ``first`` row."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
             sets = [shingles(t).view(np.int64) for t in part.column("text").to_pylist()]
-            yield from pa.table([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"]).to_batches()
+            bits = [parity(x) for x in sets]
+            yield from pa.table([part.column("node"), *(pa.array(x, pa.list_(pa.int64())) for x in (sets, bits))], names=["node", "own", "parity"]).to_batches()
 
     need = nodes.select("node", F.col("first.text_hash").alias("_hash"))
     texts = docs.select(text_hash(text).alias("_hash"), F.col(text).cast("binary").alias("text")).join(need, "_hash")
-    return written(texts.groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(step, "node long, own array<long>"), "near-sets")
+    return written(texts.groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(step, "node long, own array<long>, parity array<long>"), "near-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -90,22 +102,48 @@ def hub() -> Column:
     return F.min_by("node", F.xxhash64("node", F.pmod("band", F.lit(HUBS)))).alias("hub")
 
 
-def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes (node, n, component) of different components that share a shingle of both prefixes, early enough
-    in both. If it is the first that they share, they have no more in common than either has from there on, which bounds the
-    size of the other set (``most``); similar pairs are found at that shingle. The smaller set needs a ninth only."""
+def prefixes(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """The prefix rows (node, n, component, s, most) of nodes (node, n, component) that are needed to find pairs of different
+    components. If ``s`` is the first shingle that two prefixes share, the sets have no more in common than either has from
+    there on, which bounds the size of the other set (``most``); similar pairs are found at that shingle."""
     words = written(rest.join(sets, "node").select("node", "n", "component", F.explode("own").alias("s")), "near-words")
     spread = words.select("s", "component").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     size = (F.col("n") - F.ceil(NEAR * F.col("n") - 1e-9) + 1).cast("int")
     first = words.join(spread, "s").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
     prefix = first.select("node", "n", "component", F.posexplode(F.slice("all", F.lit(1), size)).alias("at", "p")).where("p.c > 1")
     most = F.floor((1 + NEAR) / NEAR * (F.col("n") - F.col("at")) + 1e-6) - F.col("n")
-    prefix = written(prefix.select("node", "n", "component", F.col("p.s").alias("s"), most.alias("most")), "near-prefixes")
-    a = prefix.where("most >= n").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("most").alias("ma"))
-    b = prefix.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("most").alias("mb"))
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    alike = (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb"))
-    return a.join(b, "s").where(ordered & (F.col("ca") != F.col("cb")) & alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return written(prefix.select("node", "n", "component", F.col("p.s").alias("s"), most.alias("most")), "near-prefixes")
+
+
+def star_pairs(prefix: DataFrame) -> DataFrame:
+    """For each shingle of the prefixes one node, that with the least of its own before it, with all others: a pair a row."""
+    star = prefix.groupBy("s").agg(F.max_by(F.struct("node", "component"), F.struct("most", "node")).alias("star"))
+    return prefix.join(star, "s").where("component <> star.component").select(F.greatest("node", "star.node").alias("a"), F.least("node", "star.node").alias("b"))
+
+
+def joined(rest: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rest`` with the components that edges between nodes (a, b) have joined."""
+    own = rest.select("node", "component")
+    ends = edges.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components(ends).toDF("component", "low")
+    return written(rest.join(found, "component", "left").select("node", "n", F.coalesce("low", "component").alias("component")), "near-joined")
+
+
+def prefix_pairs(prefix: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a shingle of both prefixes, early enough in both. What two
+    sets do not share is bounded from below by their parity bits, and for similar pairs from above by their sizes. Of a
+    shingle's largest component (``big``) no two nodes are compared, so a crowd that is mostly connected costs what is still
+    apart, times the crowd."""
+    held = prefix.groupBy("s", "component").agg(F.count(F.lit(1)).alias("k"))
+    big = held.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("big"))
+    bits = sets.select("node", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY // 64)))
+    prefix = prefix.join(bits, "node")
+    a = prefix.join(big, "s").where("component <> big").select("s", "big", *(F.col(c).alias(f"a_{c}") for c in prefix.columns if c != "s"))
+    b = prefix.select("s", *(F.col(c).alias(f"b_{c}") for c in prefix.columns if c != "s"))
+    apart = sum(F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(PARITY // 64))
+    once = (F.col("b_component") == F.col("big")) | (F.col("a_node") < F.col("b_node"))
+    alike = (F.col("b_n") <= F.col("a_most")) & (F.col("a_n") <= F.col("b_most")) & ((1 + NEAR) * apart <= (1 - NEAR) * (F.col("a_n") + F.col("b_n")) + 1e-6)
+    return a.join(b, "s").where((F.col("a_component") != F.col("b_component")) & once & alike).select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, also: DataFrame, text: str) -> DataFrame:
@@ -131,4 +169,5 @@ def links(docs: DataFrame, nodes: DataFrame, also: DataFrame, text: str) -> Data
     rest = written(own.join(split, "band", "left_semi").select("node", "n", "component").distinct(), "near-apart")
     if rest.isEmpty():
         return found
-    return found.unionByName(verified(prefix_pairs(rest, sets), sets))
+    stars = verified(star_pairs(prefixes(rest, sets)), sets)
+    return found.unionByName(stars).unionByName(verified(prefix_pairs(prefixes(joined(rest, stars), sets), sets), sets))
