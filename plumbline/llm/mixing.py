@@ -8,12 +8,14 @@ the same gate (an adaptive probability map). Behind a first-byte leaf a word of
 decisions each, mixed in the same way from contexts within the word. So the chances of all texts add up to one.
 
 Spark does the gathering. Documents become rows of word numbers in chunks of bounded size, once; the distinct words of a
-chunk are counted, added up over all chunks, and the counts go back to the chunks that hold the words. Decision counts of
-all training documents and of all distinct words are added up block by block. All sums are of whole numbers, so nothing
-depends on how rows are dealt to tasks. The tables that travel to all executors have fixed sizes; the word counts, which
-grow with the corpus, stay in Spark. Bounded samples, drawn by hash, give the shape of the tree and, online, weights and
-maps: ``DOCUMENTS`` distinct training texts and ``WORDS`` words, each with its own share of the counts taken out. While a document is scored,
-its own contexts adapt; they start anew after ``STRETCH`` tokens, which bounds the memory of a long text.
+chunk are counted, added up over all chunks, and the counts go back to the chunks that hold the words. The tree is made from
+the counts of all training documents, the decision counts are those of all of them and of all distinct words, added up block
+by block. Weights and maps are fitted to all training documents too: these are in two folds by their text, and each decision
+is judged by the counts of the other fold, as a text that the counts do not know; a word that is met once is judged by the
+spellings of all others. Such decisions are counted by gate and rounded log odds, and Newton's steps find the likeliest weights
+for these counts. All sums are of whole numbers, so nothing depends on how rows are dealt to tasks. The tables that travel to
+all executors have fixed sizes; the word counts, which grow with the corpus, stay in Spark. While a document is scored, its
+own contexts adapt; they start anew after ``STRETCH`` tokens, which bounds the memory of a long text.
 
 Defined results: a null or empty text is one end token; a null ``doc_id`` counts as a training document; repeated rows
 are scored each and counted each; without training documents all counts are zero; extra columns are ignored.
@@ -26,7 +28,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,16 +50,21 @@ SLOTS = 1 << 21
 #: Counter slots of the speller's contexts: two to four bytes before, and the word so far.
 SPELL_SLOTS = (1 << 17, 1 << 18, 1 << 18, 1 << 19)
 SPELL_START = np.concatenate(([0], np.cumsum(SPELL_SLOTS)))
-DOCUMENTS, WORDS = 2000, 8000
 CHUNK_BYTES = 16 << 20
 #: Tokens after which a document's own contexts start anew, and tokens that are coded at once.
-STRETCH, BATCH = 1 << 15, 1 << 15
+STRETCH, BATCH = 1 << 15, 1 << 14
 #: Words that are spelled at once, and bytes from which on their contexts are shorter.
 SPELL_BATCH, LONG = 1 << 14, 64
 BLOCK = 1 << 13
 #: Steps of the probability maps over log odds from -8 to 8, and parts of a step within which the chance is the same.
 STEPS, PARTS = 33, 16
-RATE, MAP_PRIOR = 0.15, 60.0
+#: How much the former weights and maps count for against the decisions that they are fitted to, and steps of the fit.
+WEIGHT_PRIOR, MAP_PRIOR, FIT_STEPS = 4.0, 60.0, 14
+#: Rounded log odds: the least of each level above zero, and what stands for the levels.
+BOUNDS, CENTRES = (0.375, 1.25, 2.25, 3.5, 5.25), (0.75, 1.75, 3.0, 4.25, 6.5)
+LEVELS = 2 * len(BOUNDS) + 1
+VALUES = np.array([*(-x for x in CENTRES[::-1]), 0.0, *CENTRES])
+LEVEL = np.searchsorted([*(-x for x in BOUNDS[::-1]), *BOUNDS], np.arange(256) / 8 - 16 + 1 / 16).astype(np.int32)
 PRIOR = np.float32(0.05)
 
 
@@ -78,14 +85,18 @@ def levels(n: np.ndarray, *bounds: int) -> np.ndarray:
     return out
 
 
+def level(odds: np.ndarray) -> np.ndarray:
+    """Rounded log odds."""
+    return LEVEL[((odds + 16) * 8).astype(np.int16)]
+
+
 class Mixer:
-    """Weights and probability maps by gate; learns while it codes if asked to."""
+    """Weights and probability maps by gate."""
 
     def __init__(self, gates: int, inputs: int):
         self.weights = np.full((gates, inputs), 1.0 / inputs, np.float32)
         line = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
         self.maps = np.tile(line.astype(np.float32), (gates, 1))
-        self.curve, self.hits = np.zeros((gates, inputs)), np.zeros(gates * STEPS)
         self.costs: np.ndarray | None = None
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,17 +122,35 @@ class Mixer:
             self.costs = -np.log2(np.stack([1 - p, p], 1)).ravel()
         return self.costs[self.mixed(odds, gate)[1] * 2 + y]
 
-    def learn(self, odds: np.ndarray, gate: np.ndarray, y: np.ndarray) -> None:
-        dot, cell = self.mixed(odds, gate)
-        p, gates = 1 / (1 + np.exp(-dot)), len(self.weights)
-        for k in range(len(odds)):
-            self.curve[:, k] += np.bincount(gate, p * (1 - p) * odds[k] ** 2, gates)
-            self.weights[:, k] += RATE * np.bincount(gate, (y - p) * odds[k], gates) / (self.curve[:, k] * RATE + 4)
-        place = cell % ((STEPS - 1) * PARTS)
-        near = gate * STEPS + (place + PARTS // 2) // PARTS
-        self.hits += np.bincount(near, minlength=gates * STEPS)
-        pull = np.bincount(near, y - self.maps.ravel()[near], gates * STEPS)
-        self.maps += (pull / (self.hits + MAP_PRIOR)).reshape(gates, STEPS).astype(np.float32)
+    def fit(self, table: np.ndarray) -> None:
+        """The likeliest weights, and the maps, for decisions counted by gate, rounded log odds of all inputs, and bit."""
+        gates, inputs = self.weights.shape
+        table = table[: gates * LEVELS**inputs * 2].reshape(-1, 2)
+        used = np.flatnonzero(table.any(axis=1))
+        n0, n1 = table[used].T.astype(np.float64)
+        gate, rest = np.divmod(used, LEVELS**inputs)
+        odds = [VALUES[rest // LEVELS**k % LEVELS] for k in range(inputs)]
+
+        def dots(weights: np.ndarray) -> np.ndarray:
+            return np.clip(sum(weights[gate, k] * odds[k] for k in range(inputs)), -8, 7.999)
+
+        start = self.weights.astype(np.float64)
+        best, cost, way, share = start, np.full(gates, np.inf), np.zeros((gates, inputs)), np.ones(gates)
+        for _ in range(FIT_STEPS):
+            new = best + share[:, None] * way
+            dot = dots(new)
+            now = np.bincount(gate, n0 * np.logaddexp(0, dot) + n1 * np.logaddexp(0, -dot), gates) + WEIGHT_PRIOR / 2 * ((new - start) ** 2).sum(axis=1)
+            good = now < cost
+            best, cost, share = np.where(good[:, None], new, best), np.where(good, now, cost), np.where(good, 1.0, share / 2)
+            p = 1 / (1 + np.exp(-dots(best)))
+            error, curve = n1 - (n0 + n1) * p, (n0 + n1) * p * (1 - p)
+            slope = np.stack([np.bincount(gate, error * x, gates) for x in odds], 1) - WEIGHT_PRIOR * (best - start)
+            bend = np.stack([np.bincount(gate, curve * x * y, gates) for x in odds for y in odds], 1).reshape(gates, inputs, inputs)
+            way = np.linalg.solve(bend + WEIGHT_PRIOR * np.eye(inputs), slope[:, :, None])[:, :, 0]
+        self.weights = best.astype(np.float32)
+        near = gate * STEPS + np.rint((dots(best) + 8) * ((STEPS - 1) / 16)).astype(np.int64)
+        ones, both = (np.bincount(near, x, gates * STEPS).reshape(gates, STEPS) for x in (n1, n0 + n1))
+        self.maps = ((self.maps * MAP_PRIOR + ones) / (MAP_PRIOR + both)).astype(np.float32)
         self.costs = None
 
 
@@ -256,6 +285,24 @@ class Corpus:
     two: np.ndarray
 
 
+def ready(table: np.ndarray, k: int, rounded: bool = False) -> tuple[np.ndarray, ...]:
+    """``judged`` for all counts of a table, piece by piece; ``rounded``: as parts of the numbers that ``Mixer.fit`` reads."""
+    n = table.shape[1]
+    odds, met = np.empty(n, np.int32 if rounded else np.float32), np.empty(0 if rounded else n, np.int8)
+    for at in range(0, n, 1 << 18):
+        part = slice(at, at + (1 << 18))
+        x, y = judged(table[0, part], table[1, part], k)
+        if rounded:
+            odds[part] = numbered(x, y, k)
+        else:
+            odds[part], met[part] = x, y
+    return (odds,) if rounded else (odds, met)
+
+
+def numbered(odds: np.ndarray, met: np.ndarray, k: int) -> np.ndarray:
+    return level(odds) * LEVELS**k + met * np.int32(LEVELS**INPUTS)
+
+
 def judged(n0: np.ndarray, n1: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of context ``k`` and what it adds to the gate."""
     a, b = n0.astype(np.float32), n1.astype(np.float32)
@@ -269,7 +316,7 @@ class Coder:
     def __init__(self, tree: Tree, corpus: Corpus, mixer: Mixer):
         self.tree, self.mixer = tree, mixer
         self.tables = corpus.node, corpus.one, corpus.two
-        self.ready = [judged(*t, k) for k, t in enumerate(self.tables)]
+        self.ready = [ready(t, k) for k, t in enumerate(self.tables)]
 
     def bits(self, leaf: np.ndarray, name: np.ndarray, doc: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """Bits of each token. ``doc`` names the stretch of text that a token's own context is drawn from."""
@@ -277,19 +324,8 @@ class Coder:
         found = [(odds[s], met[s]) for (odds, met), s in zip(self.ready, self.slots(d), strict=True)]
         return np.bincount(d.token, self.mixer.bits(*self.inputs(d, found, doc), d.y), len(leaf))
 
-    def learn(self, leaf: np.ndarray, name: np.ndarray, fresh: np.ndarray) -> None:
-        """Learns from one stretch of a document, with what it has added to the counts taken out."""
-        d = self.tree.decisions(leaf, fresh, name)
-        found = []
-        for k, (t, s) in enumerate(zip(self.tables, self.slots(d), strict=True)):
-            own, at = np.unique(s, return_inverse=True)
-            n1 = np.bincount(at, d.y, len(own))
-            n0 = np.bincount(at, 1 - d.y, len(own))
-            found.append(judged(np.maximum(t[0, s] - n0[at], 0), np.maximum(t[1, s] - n1[at], 0), k))
-        self.mixer.learn(*self.inputs(d, found, np.zeros(len(leaf), np.int64)), d.y)
-
     def slots(self, d: Decisions) -> tuple[np.ndarray, ...]:
-        return d.node, d.last * self.tree.size + d.node, d.two
+        return slots_of(self.tree, d)
 
     def inputs(self, d: Decisions, found: list, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of all contexts, and the gate."""
@@ -300,6 +336,10 @@ class Coder:
         return np.stack([o for o, _ in found]), gate
 
 
+def slots_of(tree: Tree, d: Decisions) -> tuple[np.ndarray, ...]:
+    return d.node, d.last * tree.size + d.node, d.two
+
+
 # Spelling
 
 
@@ -351,71 +391,92 @@ class Speller:
     def __init__(self, table: np.ndarray, mixer: Mixer):
         self.table, self.mixer = table, mixer
 
-    def bits(self, words: list[bytes], learn: bool = False) -> np.ndarray:
-        """In batches of similar length; with ``learn`` the mixer learns, and each word's own part of the table is taken out."""
+    def inputs(self, slots: np.ndarray, place: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds and gate; without what a word of the bits ``own`` has itself added to the table."""
+        n = self.table[:, slots].astype(np.float32)
+        if own is not None:
+            n = np.maximum(n - np.stack([own == 0, own == 1])[:, None, :], 0).astype(np.float32)
+        seen = n[0] + n[1]
+        return np.log((n[1] + PRIOR) / (n[0] + PRIOR)), (place * 4 + levels(seen[-1], 0, 2, 20)) * 3 + levels(seen[-2], 0, 20)
+
+    def bits(self, words: list[bytes]) -> np.ndarray:
+        """In batches of similar length."""
         out = np.zeros(len(words))
-        order = range(len(words)) if learn else sorted(range(len(words)), key=lambda i: len(words[i]))
-        at = 0
-        while at < len(order):
-            some = order[at : at + (256 if learn else SPELL_BATCH)]
-            at += len(some)
-            index = np.array(some)
-            for live, slots, y, place in spelling([words[i] for i in some]):
-                n = self.table[:, slots].astype(np.float32)
-                if learn:
-                    n = np.maximum(n - np.stack([y == 0, y == 1])[:, None, :], 0).astype(np.float32)
-                odds = np.log((n[1] + PRIOR) / (n[0] + PRIOR))
-                seen = n[0] + n[1]
-                gate = (place * 4 + levels(seen[-1], 0, 2, 20)) * 3 + levels(seen[-2], 0, 20)
-                if learn:
-                    self.mixer.learn(odds, gate, y)
-                else:
-                    np.add.at(out, index[live], self.mixer.bits(odds, gate, y))
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for at in range(0, len(order), SPELL_BATCH):
+            index = np.array(order[at : at + SPELL_BATCH])
+            for live, slots, y, place in spelling([words[i] for i in index.tolist()]):
+                np.add.at(out, index[live], self.mixer.bits(*self.inputs(slots, place), y))
         return out
 
+    def count(self, table: np.ndarray, words: list[bytes]) -> None:
+        """Count the decisions of words that are in the table once each, as ``Mixer.fit`` reads them."""
+        for at in range(0, len(words), SPELL_BATCH):
+            for _, slots, y, place in spelling(words[at : at + SPELL_BATCH]):
+                odds, gate = self.inputs(slots, place, y)
+                number = gate * LEVELS ** len(odds)
+                for k, x in enumerate(odds):
+                    number += level(x) * LEVELS**k
+                np.add.at(table, number * 2 + y, 1)
+
 
 # Gathering in Spark
 
 
-def coded(docs: DataFrame, tree: Broadcast) -> DataFrame:
+def coded(docs: DataFrame) -> DataFrame:
     """Documents (of ``trained``) in chunks of about ``CHUNK_BYTES`` of text: a row for each document (``codes``: its words
     as numbers within the chunk) and one for the chunk (``words``: its distinct words in order, ``codes``: how often each is
-    in training documents). Each task adds the planes (``block``, ``shift``, ``plane``) of its decision counts."""
+    in training documents)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tree.value
-        table = np.zeros(-(-own.cells // BLOCK) * BLOCK, np.int64)
         for part in slices(batches, "text", CHUNK_BYTES):
             chunk, numbers, codes = uuid.uuid4().int >> 65, Numbers(), []
             held = part.column("held_out").to_pylist()
             for batch in part.select(["text"]).to_batches():
                 codes += [numbers.of(t.as_py()) for t in batch.column(0)]
             counts = np.zeros(len(numbers), np.int64)
-            train = [c for c, h in zip(codes, held, strict=True) if not h]
-            for c in train:
-                np.add.at(counts, c, 1)
-            own.add(table, train, described(numbers, own))
+            for c, h in zip(codes, held, strict=True):
+                if not h:
+                    np.add.at(counts, c, 1)
             m, ids = len(codes), part.column("id").combine_chunks()
-            rows = [pa.array([chunk] * m, pa.int64()), ids, part.column("held_out").combine_chunks(), pa.array([c.tobytes() for c in codes], pa.binary())]
-            yield from padded(rows, m, ids.type).to_batches(2000)
-            one = [[chunk], pa.nulls(1, ids.type), [None], [counts.tobytes()], [b" ".join(numbers)]]
             kinds = (pa.int64(), ids.type, pa.bool_(), pa.binary(), pa.binary())
-            yield from padded([pa.array(x, k) for x, k in zip(one, kinds, strict=True)], 1, ids.type).to_batches()
-            kind = ids.type
-        for planes in planes_of(table):
-            yield from padded([pa.nulls(len(planes[0]), k) for k in (pa.int64(), kind, pa.bool_(), pa.binary(), pa.binary())] + planes, len(planes[0]), kind).to_batches()
+            rows = [pa.array([chunk] * m, kinds[0]), ids, part.column("held_out").combine_chunks(), pa.array([c.tobytes() for c in codes], kinds[3]), pa.nulls(m, kinds[4])]
+            yield from pa.table(rows, names=NAMES).to_batches(2000)
+            one = [[chunk], [None], [None], [counts.tobytes()], [b" ".join(numbers)]]
+            yield from pa.table([pa.array(x, k) for x, k in zip(one, kinds, strict=True)], names=NAMES).to_batches()
 
     kind = docs.schema["id"].dataType.simpleString()
-    schema = f"chunk long, id {kind}, held_out boolean, codes binary, words binary, block long, shift long, plane binary"
-    return written(docs.mapInArrow(step, schema), "mixing-coded")
+    return written(docs.mapInArrow(step, f"chunk long, id {kind}, held_out boolean, codes binary, words binary"), "mixing-coded")
+
+
+NAMES = ["chunk", "id", "held_out", "codes", "words"]
+PLANES = ["block", "shift", "plane"]
 
 
-NAMES = ["chunk", "id", "held_out", "codes", "words", "block", "shift", "plane"]
+def blocks(size: int) -> int:
+    return -(-size // BLOCK) * BLOCK
 
 
-def padded(columns: list, rows: int, id: pa.DataType) -> pa.Table:
-    kinds = (pa.int64(), id, pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-    return pa.table([*columns, *(pa.nulls(rows, k) for k in kinds[len(columns) :])], names=NAMES)
+def training(docs: DataFrame, tree: Broadcast, gather: Callable[[Tree, np.ndarray], Callable], size: int) -> np.ndarray:
+    """A table of ``size`` counts, added up over all training documents. ``gather`` gives, for a tree and a task's table, what
+    counts texts of word numbers: it takes their fold (by text, so copies share one), their numbers, and the words."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(blocks(size), np.int32)
+        count = gather(tree.value, table)
+        for part in slices(batches, "text", CHUNK_BYTES):
+            numbers, codes = Numbers(), ([], [])
+            for batch in part.to_batches():
+                for t in batch.column("text").to_pylist():
+                    codes[zlib.crc32(t or b"") >> 8 & 1].append(numbers.of(t))
+            words = described(numbers, tree.value)
+            for fold in (0, 1):
+                count(fold, codes[fold], words)
+        for planes in planes_of(table):
+            yield pa.record_batch(planes, PLANES)
+
+    planes = docs.where("not held_out").select("text").mapInArrow(step, "block long, shift long, plane binary")
+    return added(written(planes, "mixing-planes", "zstd"), size)
 
 
 def planes_of(table: np.ndarray) -> Iterator[list[pa.Array]]:
@@ -446,9 +507,9 @@ def added(planes: DataFrame, size: int) -> np.ndarray:
         raw = [x.astype(np.float32).tobytes() for x in sums.values()]
         yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array(raw, pa.binary())], ["block", "sums"])
 
-    sums = written(planes.repartition("block").mapInArrow(total, "block long, sums binary"), "mixing-table")
-    out = np.zeros(-(-size // BLOCK) * BLOCK, np.float32)
-    for r in sums.collect():  # of a fixed size, whatever the corpus
+    sums = written(planes.repartition("block").mapInArrow(total, "block long, sums binary"), "mixing-table", clean=True)
+    out = np.zeros(blocks(size), np.float32)
+    for r in sums.toLocalIterator():  # of a fixed size, whatever the corpus
         out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.float32)
     return out[:size]
 
@@ -508,82 +569,83 @@ def add_spelling(table: np.ndarray, words: list[bytes]) -> None:
             np.add.at(table, 2 * slots + y, 1)
 
 
-def drawn(docs: DataFrame) -> DataFrame:
-    """``DOCUMENTS`` distinct training texts with their place (``key``) in hash order."""
-    worded = docs.where("not held_out and length(text) > 0").select(F.xxhash64("text", F.lit("mix")).alias("key"), "text")
-    keys = worded.select("key").distinct().orderBy("key").limit(DOCUMENTS)
-    return written(worded.join(F.broadcast(keys), "key").groupBy("key").agg(F.any_value("text").alias("text")), "mixing-sample")
-
-
-def tree_of(sample: DataFrame) -> Tree:
-    """The tree by the word counts of the sample; a row for each leaf and first byte reaches the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for batch in batches:
-            for t in batch.column("text"):
-                seen.update([*tokens(t.as_py()), END])
-        yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    words = written(sample.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "mixing-sample-words")
-    top = words.orderBy(F.desc("n"), "word").limit(LEAVES).collect()
+def tree_of(words: DataFrame) -> Tree:
+    """The tree by the counts (``word``, ``c``) of all training words; a row for each leaf and first byte reaches the driver."""
+    met = words.where("c > 0")
+    top = met.orderBy(F.desc("c"), "word").limit(LEAVES).collect()
     classes = np.zeros(256)
-    for r in words.groupBy(first_byte("word")).agg(F.sum("n").alias("n")).collect():
-        classes[r["first"]] = r.n
+    for r in met.groupBy(first_byte("word")).agg(F.sum("c").alias("c")).collect():
+        classes[r["first"]] = r.c
     for r in top:
-        classes[r.word[0]] -= r.n
-    return Tree([bytes(r.word) for r in top], [r.n for r in top], classes)
+        classes[r.word[0]] -= r.c
+    return Tree([bytes(r.word) for r in top], [r.c for r in top], classes)
 
 
 def first_byte(word: str) -> Column:
     return F.conv(F.hex(F.substring(word, 1, 1)), 16, 10).cast("int").alias("first")
 
 
-def corpus_of(chunks: DataFrame, tree: Tree) -> Corpus:
-    """Decision counts of all training documents."""
-    table = added(chunks.where("block is not null").select("block", "shift", "plane"), tree.cells)
-    one = tree.by_node(table[: tree.pairs].reshape(tree.size + 1, tree.size))
-    return Corpus(one.sum(axis=1), shrunk(one.reshape(2, -1)), shrunk(table[tree.pairs :].reshape(SLOTS, 2).T))
+def corpora_of(docs: DataFrame, tree: Tree, sent: Broadcast) -> tuple[Corpus, list[Corpus]]:
+    """Decision counts of all training documents, and of each fold."""
+    cells = tree.cells
 
+    def gather(tree: Tree, table: np.ndarray) -> Callable:
+        return lambda fold, codes, words: tree.add(table[fold * cells : (fold + 1) * cells], codes, words)
 
-def coder_of(sample: DataFrame, tree: Tree, corpus: Broadcast) -> Mixer:
-    """Weights and maps learnt online from the sample, document by document in hash order."""
+    table = training(docs, sent, gather, 2 * cells).reshape(2, cells)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tree, corpus.value, Mixer(GATES, INPUTS))
-        for batch in batches:
-            for t in batch.column("text"):
-                numbers = Numbers()
-                flat = numbers.of(t.as_py())
-                leaf, name = described(numbers, tree)[:, flat]
-                for at in range(0, len(flat), STRETCH):
-                    part = slice(at, at + STRETCH)
-                    coder.learn(leaf[part].view(np.int64), name[part], np.arange(len(flat[part])) == 0)
-        yield pa.record_batch([pa.array([coder.mixer.weights.tobytes()]), pa.array([coder.mixer.maps.tobytes()])], ["weights", "maps"])
+    def corpus(own: np.ndarray) -> Corpus:
+        one = tree.by_node(own[: tree.pairs].reshape(tree.size + 1, tree.size))
+        return Corpus(one.sum(axis=1), shrunk(one.reshape(2, -1)), shrunk(own[tree.pairs :].reshape(SLOTS, 2).T))
+
+    folds = [corpus(x) for x in table]
+    return corpus(table[0] + table[1]), folds
+
+
+def mixer_of(docs: DataFrame, sent: Broadcast, folds: list[Corpus]) -> Mixer:
+    """Weights and maps for the decisions of all training documents, each judged by the counts of the other fold."""
+    others = docs.sparkSession.sparkContext.broadcast(folds)
+
+    def gather(tree: Tree, table: np.ndarray) -> Callable:
+        parts = [[ready(t, k, True)[0] for k, t in enumerate((c.node, c.one, c.two))] for c in others.value[::-1]]
+
+        def count(fold: int, codes: list[np.ndarray], words: np.ndarray) -> None:
+            leaves, names = words[0].view(np.int64), words[1]
+            for _, flat, fresh, stretch in batches_of(codes):
+                d = tree.decisions(leaves[flat], fresh, names[flat])
+                number = numbered(*judged(*before(stretch[d.token] * tree.size + d.node, d.y), INPUTS - 1), INPUTS - 1)
+                number += levels(d.depth, 0, 4).astype(np.int32) * np.int32(GATES // 3 * LEVELS**INPUTS)
+                for part, slot in zip(parts[fold], slots_of(tree, d), strict=True):
+                    number += part[slot]
+                np.add.at(table, number * 2 + d.y, 1)
+
+        return count
 
     out = Mixer(GATES, INPUTS)
-    for r in sample.repartition(1).sortWithinPartitions("key").mapInArrow(step, "weights binary, maps binary").collect():
-        out.weights = np.frombuffer(r.weights, np.float32).reshape(GATES, INPUTS)
-        out.maps = np.frombuffer(r.maps, np.float32).reshape(GATES, STEPS)
+    out.fit(training(docs, sent, gather, GATES * LEVELS**INPUTS * 2))
+    others.unpersist()
     return out
 
 
 def speller_of(words: DataFrame) -> Speller:
-    """A speller over all distinct training words; its weights are learnt from ``WORDS`` of those met once, by hash."""
-    size = 2 * int(SPELL_START[-1])
+    """A speller over all distinct training words; its weights are fitted to all those met once."""
+    size, cells = 2 * int(SPELL_START[-1]), SPELL_GATES * LEVELS ** len(SPELL_SLOTS) * 2
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(-(-size // BLOCK) * BLOCK, np.int64)
-        for batch in batches:
-            add_spelling(table, batch.column("word").to_pylist())
-        for planes in planes_of(table):
-            yield pa.record_batch(planes, NAMES[5:])
+    def summed(words: DataFrame, count: Callable[[np.ndarray, list[bytes]], None], size: int) -> np.ndarray:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(blocks(size), np.int32)
+            for batch in batches:
+                count(table, batch.column("word").to_pylist())
+            for planes in planes_of(table):
+                yield pa.record_batch(planes, PLANES)
+
+        return added(words.select("word").mapInArrow(step, "block long, shift long, plane binary"), size)
 
     met = words.where("c > 0")
-    planes = met.select("word").mapInArrow(step, "block long, shift long, plane binary")
-    some = [bytes(r.word) for r in met.where("c = 1").orderBy(F.xxhash64("word"), "word").limit(WORDS).select("word").collect()]
-    out = Speller(shrunk(added(planes, size).reshape(-1, 2).T), Mixer(SPELL_GATES, len(SPELL_SLOTS)))
-    out.bits([w for w in some if w != END], learn=True)
+    out = Speller(shrunk(summed(met, add_spelling, size).reshape(-1, 2).T), Mixer(SPELL_GATES, len(SPELL_SLOTS)))
+    sent = words.sparkSession.sparkContext.broadcast(out)
+    once = met.where((F.col("c") == 1) & (F.col("word") != F.lit(END)))
+    out.mixer.fit(summed(once, lambda table, own: sent.value.count(table, own), cells))
     return out
 
 
@@ -636,12 +698,17 @@ class Model:
     counts: Counts
     mixer: Mixer
     speller: Speller
+    #: Made once in each worker.
+    coder: Coder | None = None
 
 
-def fitted(sample: DataFrame, chunks: DataFrame, words: DataFrame, tree: Tree) -> tuple[Model, Broadcast]:
-    """The model and, already sent to the executors, its corpus tables."""
-    corpus = chunks.sparkSession.sparkContext.broadcast(corpus_of(chunks, tree))
-    return Model(tree, counted(words, tree), coder_of(sample, tree, corpus), speller_of(words)), corpus
+def fitted(docs: DataFrame, words: DataFrame) -> tuple[Model, Broadcast]:
+    """The model of the training documents and their words and, already sent to the executors, its corpus tables."""
+    context = docs.sparkSession.sparkContext
+    tree = tree_of(words)
+    sent = context.broadcast(tree)
+    corpus, folds = corpora_of(docs, tree, sent)
+    return Model(tree, counted(words, tree), mixer_of(docs, sent, folds), speller_of(words)), context.broadcast(corpus)
 
 
 def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -649,18 +716,16 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     prepare(spark)
     raw = trained(docs, id, text)
-    sample = drawn(raw)
-    tree = tree_of(sample)
-    chunks = coded(raw, spark.sparkContext.broadcast(tree))
+    chunks = coded(raw)
     known = counts_of(chunks)
-    model, corpus = fitted(sample, chunks, known.where("word is not null").select("word", "c"), tree)
+    model, corpus = fitted(raw, known.where("word is not null").select("word", "c"))
     total = model.counts.n
     shared = spark.sparkContext.broadcast(model)
 
     def score(key: tuple, own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
         tree, counts = m.tree, m.counts
-        coder = Coder(tree, corpus.value, m.mixer)
+        coder = m.coder = m.coder or Coder(tree, corpus.value, m.mixer)
         chunk = own[own["words"].notna()].iloc[0]
         own = own[own["words"].isna()]
         listed = bytes(chunk["words"]).split(b" ")
@@ -696,8 +761,7 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     kind = docs.schema[id].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, bits double, size long"
     back = known.where("home is not null").select("home", "at", "c")
-    texts = chunks.where("chunk is not null").select("chunk", "id", "held_out", "codes", "words")
-    out = texts.groupBy("chunk").cogroup(back.groupBy("home")).applyInPandas(score, schema)
+    out = chunks.groupBy("chunk").cogroup(back.groupBy("home")).applyInPandas(score, schema)
     return out.select(
         F.col("id").alias(id),
         "held_out",

@@ -169,3 +169,47 @@ def test_held_out_texts_score_above_the_base(spark):
     out = mixing.op8(table(spark, "/root/testdata/sf0.01", "documents"))
     r = out.where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
     assert r.score > r.base
+
+
+def test_everything_learns_from_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAVES", 30)
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in r.zipf(1.3, 6) % 400) + f" only{i}") for i in range(2500)]
+    fits, trees, plain = [], [], mixing.Mixer.fit
+
+    def fit(mixer, table):
+        fits.append(int(table.sum()))
+        plain(mixer, table)
+
+    monkeypatch.setattr(mixing.Mixer, "fit", fit)
+    kept = mixing.fitted
+    monkeypatch.setattr(mixing, "fitted", lambda *args: (trees.append(out := kept(*args)), out)[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert mixing.op8(df).count() == len(rows)
+    c, train, _, tree = model_of(rows)
+    assert len(train) > 2200 and trees[0][0].tree.top == tree.top
+    decisions = sum(int(tree.depth[tree.leaf(w)]) * n for w, n in c.items())
+    spelled = sum(8 * len(w) for w, n in c.items() if n == 1)  # behind the first byte, and a space
+    assert fits == [decisions, spelled]
+
+
+def test_fitted_weights_are_the_likeliest():
+    r = np.random.default_rng(8)
+    table = np.zeros((3, mixing.LEVELS**2, 2))
+    table[0] = r.integers(0, 50, table[0].shape)
+    table[1, ::5] = r.integers(0, 3, table[1, ::5].shape)
+    mixer = mixing.Mixer(3, 2)
+    start = mixer.weights.astype(float)
+    mixer.fit(table.ravel())
+    at = np.arange(mixing.LEVELS**2)
+    x = np.stack([mixing.VALUES[at % mixing.LEVELS], mixing.VALUES[at // mixing.LEVELS]])
+
+    def cost(gate, w):
+        dot = np.clip(w @ x, -8, 7.999)
+        return float((table[gate, :, 0] * np.logaddexp(0, dot) + table[gate, :, 1] * np.logaddexp(0, -dot)).sum() + mixing.WEIGHT_PRIOR / 2 * ((w - start[gate]) ** 2).sum())
+
+    for gate in range(3):
+        own = mixer.weights[gate].astype(float)
+        for step in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)):
+            assert cost(gate, own) <= cost(gate, own + np.array(step)) + 1e-6
+    assert (mixer.weights[2] == start[2]).all()
