@@ -18,10 +18,10 @@ BATCH_BYTES = 16 << 20
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches of the Python stages by bytes, not by rows alone."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

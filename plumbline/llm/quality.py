@@ -48,8 +48,8 @@ MULTIPLIERS = np.random.default_rng(64).integers(1, 2**63, SKETCH, np.uint64) *
 TRAIN = 6000
 BUCKETS = 1 << 22
 SLICE_BYTES = 4 << 20
-#: Tokens that a worker remembers before it starts anew.
-REMEMBERED = 1 << 18
+#: Tokens that a worker remembers before it starts anew; with their features some 40 MB.
+REMEMBERED = 1 << 16
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SYMBOLS = re.compile(r"[&%$#*@^~<>{}\[\]\\=+]")
@@ -217,22 +217,30 @@ def trained(tokens: list[np.ndarray], whole: list[np.ndarray], labels: np.ndarra
     if not 0 < share < 1:
         return Scorer()
     rows = [np.unique(np.concatenate(x)) for x in zip(tokens, whole, strict=True)]
-    buckets, at = np.unique(np.concatenate(rows), return_inverse=True)
-    n = np.bincount(at, minlength=len(buckets))
-    bad = np.bincount(at, weights=np.repeat(labels, [len(r) for r in rows]), minlength=len(buckets))
+    # tables over all buckets: sorting what the rows hold together takes several times the rows' own memory
+    seen, tied_to = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS)
+    for r, y in zip(rows, labels.tolist(), strict=True):
+        seen[r] += 1
+        tied_to[r] += y
+    buckets = np.flatnonzero(seen)
+    n, bad = seen[buckets].astype(np.int64), tied_to[buckets]
+    del seen, tied_to
     ok = (n >= least) & (bad - share * n >= tied * np.sqrt(n * share * (1 - share)))
-    place = np.where(ok, np.cumsum(ok) - 1, -1)
     used, last = buckets[ok], int(ok.sum())
-    ends = np.cumsum([len(r) for r in rows])[:-1]
+    del buckets, n, bad, ok
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(last)
     z, s = np.zeros(last + 1), np.zeros(last + 1)
     first, second = np.full(last + 1, l1), np.full(last + 1, l2)
     first[-1] = second[-1] = 0  # the bias is free
     own = []
-    for r, at_r, w in zip(rows, np.split(at, ends), whole, strict=True):
-        known = place[at_r] >= 0
+    for r, w in zip(rows, whole, strict=True):
+        at = place[r].astype(np.int64)
+        known = at >= 0
         of_token = ~np.isin(r[known], w)
         value = np.where(of_token, 1 / math.sqrt(max(1, int(of_token.sum()))), 1.0)
-        own.append((np.append(place[at_r][known], last), np.append(value, 1.0)))
+        own.append((np.append(at[known], last), np.append(value, 1.0)))
+    del rows, place
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - first[at], 0)
@@ -269,6 +277,7 @@ def mapped(df: DataFrame, text: str, columns: list[T.StructField], reader, row)
                 kind = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[f.dataType.simpleString().replace("bigint", "long")]
                 cols.append(pa.array([v[k] for v in values], kind))
             yield from pa.table(cols, names=[*keep, *(f.name for f in columns)]).to_batches()
+        own.known.clear()  # the worker lives on
 
     return df.mapInArrow(step, T.StructType([*df.schema.fields, *columns]))
 
@@ -335,7 +344,7 @@ def toxic_lexicons(docs: DataFrame, labels: DataFrame, text: str = "text") -> tu
 
     # copies and near copies count once
     once = rows.withColumn("key", F.xxhash64(text)).dropDuplicates(["key", "toxic"])
-    rows = written(once.mapInArrow(sketched, f"{text} string, toxic long, key long, sketch binary"), "quality-sample")
+    rows = written(once.mapInArrow(sketched, f"{text} string, toxic long, key long, sketch binary"), "quality-sample", "zstd")
     kept = apart([(r.toxic, r.key, r.sketch) for r in rows.select("toxic", "key", "sketch").collect()])
     half = F.pmod("key", F.lit(2)).alias("half")
     rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "toxic long, key long")), ["toxic", "key"]).select(text, "toxic", half)
@@ -362,7 +371,7 @@ def training_sample(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def fitted(docs: DataFrame, labels: DataFrame, text: str = "text") -> Reader:
     """A reader with lexicon and scorers, from all documents' flag patterns and the bounded samples."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SLICE_BYTES)
     lexicons = toxic_lexicons(docs, labels, text)
     plain = Reader(lexicons)
     long = [T.StructField("junk_flags", T.LongType()), T.StructField("toxic_flags", T.LongType())]
@@ -384,6 +393,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text") -> Reader:
             own = pa.Table.from_batches(held)
             tokens, whole = ([np.frombuffer(x, np.int32) for x in own.column(c).to_pylist()] for c in ("tokens", "whole"))
             likely = [np.array([post.get(x, 0.0) for x in own.column(c).to_pylist()]) for post, c in ((junk, "junk_flags"), (toxic, "toxic_flags"))]
+            del held, own
             yield pa.record_batch([pa.array([pickle.dumps([trained(tokens, whole, x) for x in likely])])], ["scorers"])
 
     found = rows.repartition(1).sortWithinPartitions(F.xxhash64("tokens"), "tokens", "whole").mapInArrow(fit, "scorers binary").collect()  # not in the driver's memory
