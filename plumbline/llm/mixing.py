@@ -7,8 +7,8 @@ the depth) selects the weights that mix their log odds; a second stage refines t
 the same gate (an adaptive probability map). Behind a first-byte leaf a word of the training documents follows by its count, any other word is spelled: its bytes are eight
 decisions each, mixed in the same way from contexts within the word. So the chances of all texts add up to one.
 
-Spark does the gathering. Documents become rows of word numbers in chunks of bounded size, once; the distinct words of a
-chunk are counted, added up over all chunks, and the counts go back to the chunks that hold the words. The tree is made from
+Spark does the gathering. Documents become word numbers in chunks of bounded size, once, and all passes read these; the
+distinct words of a chunk are counted, added up over all chunks, and the counts go back to the chunks that hold the words. The tree is made from
 the counts of all training documents, the decision counts are those of all of them and of all distinct words, added up block
 by block. Weights and maps are fitted to all training documents too: these are in two folds by their text, and each decision
 is judged by the counts of the other fold, as a text that the counts do not know; a word that is met once is judged by the
@@ -51,10 +51,13 @@ SLOTS = 1 << 21
 SPELL_SLOTS = (1 << 17, 1 << 18, 1 << 18, 1 << 19)
 SPELL_START = np.concatenate(([0], np.cumsum(SPELL_SLOTS)))
 CHUNK_BYTES = 16 << 20
+#: Bytes of words that wait to be spelled.
+SLICE_BYTES = 4 << 20
 #: Tokens after which a document's own contexts start anew, and tokens that are coded at once.
-STRETCH, BATCH = 1 << 15, 1 << 14
-#: Words that are spelled at once, and bytes from which on their contexts are shorter.
-SPELL_BATCH, LONG = 1 << 14, 64
+STRETCH, BATCH = 1 << 15, 1 << 12
+#: Words that are spelled at once, those that wait to be dealt into such batches by their length, and bytes from which on
+#: their contexts are shorter.
+SPELL_BATCH, SPELL_HELD, LONG = 1 << 12, 1 << 16, 64
 BLOCK = 1 << 13
 #: Steps of the probability maps over log odds from -8 to 8, and parts of a step within which the chance is the same.
 STEPS, PARTS = 33, 16
@@ -75,8 +78,11 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def hashed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    out = x >> np.uint64(32)
+    out ^= x
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def levels(n: np.ndarray, *bounds: int) -> np.ndarray:
@@ -104,9 +110,9 @@ class Mixer:
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mixed log odds, and the cell of the refined chance that they fall into."""
         weights = np.ascontiguousarray(self.weights.T)
-        dot = weights[0][gate] * odds[0]
+        dot = weights[0].take(gate) * odds[0]
         for k in range(1, len(odds)):
-            dot += weights[k][gate] * odds[k]
+            dot += weights[k].take(gate) * odds[k]
         np.clip(dot, -8, 7.999, out=dot)
         return dot, gate * ((STEPS - 1) * PARTS) + ((dot + 8) * ((STEPS - 1) * PARTS / 16)).astype(np.int32)
 
@@ -122,7 +128,7 @@ class Mixer:
         if self.costs is None:
             p = self.chances()
             self.costs = -np.log2(np.stack([1 - p, p], 1)).ravel()
-        return self.costs[self.mixed(odds, gate)[1] * 2 + y]
+        return self.costs.take(self.mixed(odds, gate)[1] * 2 + y)
 
     def fit(self, table: np.ndarray) -> None:
         """The likeliest weights, and the maps, for decisions counted by gate, rounded log odds of all inputs, and bit."""
@@ -187,30 +193,38 @@ def prefix_tree(weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def before(keys: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each decision how often earlier ones with its key were zero and one. Keys of 40 bits, a million decisions."""
-    at = np.arange(len(keys))
-    packed = np.sort(keys << 21 | at)
-    order, k = packed & ((1 << 21) - 1), packed >> 21
-    ones, at = y[order].astype(np.int32), at.astype(np.int32)
-    first = np.maximum.accumulate(np.where(np.concatenate(([True], k[1:] != k[:-1])), at, 0))
-    total = np.cumsum(ones, dtype=np.int32) - ones
-    n1 = np.empty(len(k), np.int32)
-    n = np.empty(len(k), np.int32)
-    n1[order] = total - total[first]
-    n[order] = at - first
+    packed = keys << 22
+    packed += np.arange(0, 2 * len(keys), 2)
+    packed += y
+    packed.sort()
+    ones = (packed & 1).astype(np.int32)
+    total, at = np.cumsum(ones, dtype=np.int32), np.arange(len(keys), dtype=np.int32)
+    total -= ones
+    new = np.ones(len(keys), bool)
+    np.greater((packed[1:] ^ packed[:-1]) >> 22, 0, out=new[1:])
+    order = (packed >> 1) & ((1 << 21) - 1)
+    n1 = np.empty(len(keys), np.int32)
+    n = np.empty(len(keys), np.int32)
+    n1[order] = total - np.maximum.accumulate(np.where(new, total, 0))  # totals do not fall
+    n[order] = at - np.maximum.accumulate(np.where(new, at, 0))
     return n - n1, n1
 
 
 @dataclass
 class Decisions:
-    """Decisions of a batch of tokens: their token, node, bit and depth, the leaf before, and the slot of two words."""
+    """Decisions of a batch of tokens: how many each token has, their cell among the ways to the leaves, node and bit, and the
+    slots of one and of two words."""
 
-    token: np.ndarray
+    size: np.ndarray
+    cell: np.ndarray
     node: np.ndarray
     y: np.ndarray
-    depth: np.ndarray
-    last: np.ndarray
+    one: np.ndarray
     two: np.ndarray
 
+    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.node, self.one, self.two
+
 
 class Tree:
     """The leaves of words and the decisions of token sequences."""
@@ -219,6 +233,11 @@ class Tree:
         self.top = {w: k for k, w in enumerate(top)}
         self.depth, self.nodes, self.bits = prefix_tree([*map(float, counts), *(classes + 0.5)])
         self.size = len(self.depth)
+        #: By cell: the node, what it adds to the hash of two words, the bit, and the depth's part of the gate.
+        self.node_of = self.nodes.ravel().astype(np.int64)
+        self.salt_of = self.node_of.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        self.bit_of = self.bits.ravel().astype(np.int64)
+        self.deep_of = np.tile(levels(np.arange(self.nodes.shape[1]), 0, 4) * (GATES // 3), self.size)
         #: Cells for pairs of leaves, and with those of two words.
         self.pairs = (self.size + 1) * self.size
         self.cells = self.pairs + 2 * SLOTS
@@ -230,12 +249,16 @@ class Tree:
     def decisions(self, leaf: np.ndarray, fresh: np.ndarray, name: np.ndarray) -> Decisions:
         """``leaf`` and ``name`` (hash) of each token, and whether it begins a document."""
         size = self.depth[leaf]
-        token = np.repeat(np.arange(len(leaf)), size)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        cell = np.repeat(leaf * self.nodes.shape[1], size) + depth
-        node, y = self.nodes.ravel()[cell], self.bits.ravel()[cell]
-        two = self.pair(fresh, name)[token] + node.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-        return Decisions(token, node, y, depth, self.last(leaf, fresh)[token], (hashed(two) & np.uint64(SLOTS - 1)).astype(np.int64))
+        cell = np.repeat(leaf * self.nodes.shape[1] - np.cumsum(size) + size, size)
+        cell += np.arange(len(cell))
+        node = self.node_of.take(cell)
+        two = np.repeat(self.pair(fresh, name), size)
+        two += self.salt_of.take(cell)
+        two = hashed(two)
+        two &= np.uint64(SLOTS - 1)
+        one = np.repeat(self.last(leaf, fresh) * self.size, size)
+        one += node
+        return Decisions(size, cell, node, self.bit_of.take(cell), one, two.view(np.int64))
 
     def last(self, leaf: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """The leaf of the word before; at the beginning a number of its own."""
@@ -255,12 +278,21 @@ class Tree:
 
     def add(self, table: np.ndarray, codes: list[np.ndarray], words: np.ndarray) -> None:
         """Add how often each leaf follows each leaf, and zeros and ones after two words, of texts of word numbers."""
-        leaves, names = words[0].view(np.int64), words[1]
+        leaves, names, slots = words[0].view(np.int64), words[1], table[self.pairs :]
         for _, flat, fresh, _ in batches_of(codes):
             leaf = leaves[flat]
             np.add.at(table, self.last(leaf, fresh) * self.size + leaf, ONE)
-            d = self.decisions(leaf, fresh, names[flat])
-            np.add.at(table, self.pairs + 2 * d.two + d.y, ONE)
+            size = self.depth[leaf]
+            cell = np.repeat(leaf * self.nodes.shape[1] - np.cumsum(size) + size, size)
+            cell += np.arange(len(cell))
+            two = np.repeat(self.pair(fresh, names[flat]), size)
+            two += self.salt_of.take(cell)
+            at = hashed(two)
+            at &= np.uint64(SLOTS - 1)
+            at <<= np.uint64(1)
+            at = at.view(np.int64)
+            at += self.bit_of.take(cell)
+            np.add.at(slots, at, ONE)
 
     def by_node(self, pairs: np.ndarray) -> np.ndarray:
         """From how often each leaf followed each context (contexts x leaves) to zeros and ones (2 x contexts x nodes)."""
@@ -287,22 +319,26 @@ class Corpus:
     two: np.ndarray
 
 
-def ready(table: np.ndarray, k: int, rounded: bool = False) -> tuple[np.ndarray, ...]:
-    """``judged`` for all counts of a table, piece by piece; ``rounded``: as parts of the numbers that ``Mixer.fit`` reads."""
+def ready(table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``judged`` for all counts of a table, piece by piece."""
     n = table.shape[1]
-    odds, met = np.empty(n, np.int32 if rounded else np.float32), np.empty(0 if rounded else n, np.int8)
+    odds, met = np.empty(n, np.float32), np.empty(n, np.int8)
     for at in range(0, n, 1 << 18):
         part = slice(at, at + (1 << 18))
-        x, y = judged(table[0, part], table[1, part], k)
-        if rounded:
-            odds[part] = numbered(x, y, k)
-        else:
-            odds[part], met[part] = x, y
-    return (odds,) if rounded else (odds, met)
+        odds[part], met[part] = judged(table[0, part], table[1, part], k)
+    return odds, met
 
 
-def numbered(odds: np.ndarray, met: np.ndarray, k: int) -> np.ndarray:
-    return level(odds) * LEVELS**k + met * np.int32(LEVELS**INPUTS)
+def rounded(table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each counts of a table, and what the bytes stand for: parts of the numbers that ``Mixer.fit`` reads."""
+    codes = np.empty(table.shape[1], np.uint8)
+    steps = max(1, MET[k][1])
+    for at in range(0, len(codes), 1 << 18):
+        part = slice(at, at + (1 << 18))
+        odds, met = judged(table[0, part], table[1, part], k)
+        codes[part] = level(odds) + LEVELS * (met // steps)
+    parts = np.arange(LEVELS * (len(MET[k][0]) + 1))
+    return codes, parts % LEVELS * LEVELS**k + parts // LEVELS * steps * LEVELS**INPUTS
 
 
 def judged(n0: np.ndarray, n1: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,23 +359,24 @@ class Coder:
     def bits(self, leaf: np.ndarray, name: np.ndarray, doc: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """Bits of each token. ``doc`` names the stretch of text that a token's own context is drawn from."""
         d = self.tree.decisions(leaf, fresh, name)
-        found = [(odds[s], met[s]) for (odds, met), s in zip(self.ready, self.slots(d), strict=True)]
-        return np.bincount(d.token, self.mixer.bits(*self.inputs(d, found, doc), d.y), len(leaf))
-
-    def slots(self, d: Decisions) -> tuple[np.ndarray, ...]:
-        return slots_of(self.tree, d)
+        costs = self.mixer.bits(*self.inputs(d, doc), d.y)
+        return np.add.reduceat(costs, np.cumsum(d.size) - d.size)  # no token is without decisions
 
-    def inputs(self, d: Decisions, found: list, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, d: Decisions, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Log odds of all contexts, and the gate."""
-        found = [*found, judged(*before(doc[d.token] * self.tree.size + d.node, d.y), INPUTS - 1)]
-        gate = levels(d.depth, 0, 4) * (GATES // 3)
+        found = [(odds.take(s), met.take(s)) for (odds, met), s in zip(self.ready, d.slots(), strict=True)]
+        found.append(own_context(self.tree, d, doc))
+        gate = self.tree.deep_of.take(d.cell)
         for _, met in found[1:]:
             gate += met
-        return np.stack([o for o, _ in found]), gate
+        return [o for o, _ in found], gate
 
 
-def slots_of(tree: Tree, d: Decisions) -> tuple[np.ndarray, ...]:
-    return d.node, d.last * tree.size + d.node, d.two
+def own_context(tree: Tree, d: Decisions, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the stretch of text so far says."""
+    key = np.repeat(doc * tree.size, d.size)
+    key += d.node
+    return judged(*before(key, d.y), INPUTS - 1)
 
 
 # Spelling
@@ -349,11 +386,19 @@ def byte_bits(live: np.ndarray, byte: np.ndarray, last: np.ndarray, whole: np.nd
     """The eight decisions of bytes, given the bytes before (``last``) and the word so far."""
     base = [last & np.uint64(0xFFFF), last & np.uint64(0xFFFFFF), last & np.uint64(0xFFFFFFFF), whole]
     mixed = [hashed(b * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 8 * (place == 1))) for k, b in enumerate(base)]
-    node = np.ones(len(live), np.uint64)
+    node, held = np.ones(len(live), np.uint64), np.empty(len(live), np.uint64)
     for bit in range(8):
         y = (byte >> np.uint64(7 - bit)) & np.uint64(1)
-        slots = np.stack([SPELL_START[k] + (hashed(m + node * np.uint64(0x2545F4914F6CDD1D)) & np.uint64(s - 1)).astype(np.int64) for k, (m, s) in enumerate(zip(mixed, SPELL_SLOTS, strict=True))])
-        yield live, slots, y.astype(np.int64), bit * 3 + min(2, place - 1)
+        salt = node * np.uint64(0x2545F4914F6CDD1D)
+        slots = np.empty((len(mixed), len(live)), np.uint64)
+        for k, (m, size) in enumerate(zip(mixed, SPELL_SLOTS, strict=True)):  # ``hashed`` without copies
+            h = np.add(m, salt, out=slots[k])
+            h ^= np.right_shift(h, np.uint64(32), out=held)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= np.right_shift(h, np.uint64(29), out=held)
+            h &= np.uint64(size - 1)
+            h += np.uint64(SPELL_START[k])
+        yield live, slots.view(np.int64), y.view(np.int64), bit * 3 + min(2, place - 1)
         node = node * np.uint64(2) + y
 
 
@@ -363,9 +408,8 @@ def spelling(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     ``LONG`` bytes on the last eight bytes stand for the word so far, and all bytes of a word are coded at once."""
     closed = [w if w == END else w + b" " for w in words]
     lengths = np.array([len(w) for w in closed])
-    raw = np.zeros((len(closed), min(LONG, int(lengths.max(initial=1)))), np.uint8)
-    for i, w in enumerate(closed):
-        raw[i, : len(w)] = np.frombuffer(w, np.uint8, min(len(w), LONG))
+    width = min(LONG, int(lengths.max(initial=1)))
+    raw = np.frombuffer(b"".join([w[:width].ljust(width, b"\0") for w in closed]), np.uint8).reshape(len(closed), width)
     recent = raw[:, 0].astype(np.uint64)
     whole = hashed(recent + np.uint64(1))
     for place in range(1, raw.shape[1]):
@@ -393,14 +437,24 @@ class Speller:
     def __init__(self, table: np.ndarray, mixer: Mixer):
         self.table, self.mixer = table, mixer
 
-    def inputs(self, slots: np.ndarray, place: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds and gate; without what a word of the bits ``own`` has itself added to the table."""
+    def inputs(self, slots: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds and gate."""
         n = self.table[:, slots].astype(np.float32)
-        if own is not None:
-            n = np.maximum(n - np.stack([own == 0, own == 1])[:, None, :], 0).astype(np.float32)
         seen = n[0] + n[1]
         return np.log((n[1] + PRIOR) / (n[0] + PRIOR)), (place * 4 + levels(seen[-1], 0, 2, 20)) * 3 + levels(seen[-2], 0, 20)
 
+    def parts(self) -> np.ndarray:
+        """By slot and bit: its parts of the number that ``Mixer.fit`` reads, without what that bit has added to the slot."""
+        out = np.empty((self.table.shape[1], 2), np.int32)
+        for k, (at, end) in enumerate(zip(SPELL_START[:-1], SPELL_START[1:], strict=True)):
+            for y in (0, 1):
+                n = self.table[:, at:end].astype(np.float32)
+                n[y] = np.maximum(n[y] - 1, 0)
+                seen = n[0] + n[1]
+                gate = {2: levels(seen, 0, 20), 3: levels(seen, 0, 2, 20) * 3}.get(k, 0)
+                out[at:end, y] = 2 * (gate * LEVELS ** len(SPELL_SLOTS) + level(np.log((n[1] + PRIOR) / (n[0] + PRIOR))) * LEVELS**k)
+        return out.ravel()
+
     def bits(self, words: list[bytes]) -> np.ndarray:
         """In batches of similar length."""
         out = np.zeros(len(words))
@@ -411,47 +465,58 @@ class Speller:
                 np.add.at(out, index[live], self.mixer.bits(*self.inputs(slots, place), y))
         return out
 
-    def count(self, table: np.ndarray, words: list[bytes]) -> None:
+    def count(self, table: np.ndarray, words: list[bytes], parts: np.ndarray) -> None:
         """Count the decisions of words that are in the table once each, as ``Mixer.fit`` reads them."""
         for at in range(0, len(words), SPELL_BATCH):
             for _, slots, y, place in spelling(words[at : at + SPELL_BATCH]):
-                odds, gate = self.inputs(slots, place, y)
-                number = gate * LEVELS ** len(odds)
-                for k, x in enumerate(odds):
-                    number += level(x) * LEVELS**k
-                np.add.at(table, number * 2 + y, ONE)
+                slots <<= 1
+                slots += y
+                number = parts.take(slots[0]).astype(np.int64)
+                for s in slots[1:]:
+                    number += parts.take(s)
+                number += y + place * 12 * 2 * LEVELS ** len(SPELL_SLOTS)
+                np.add.at(table, number, ONE)
 
 
 # Gathering in Spark
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """Documents (of ``trained``) in chunks of about ``CHUNK_BYTES`` of text: a row for each document (``codes``: its words
-    as numbers within the chunk) and one for the chunk (``words``: its distinct words in order, ``codes``: how often each is
-    in training documents)."""
+    """Documents (of ``trained``) in chunks of about ``CHUNK_BYTES`` of text, a row each: ``ids`` (an Arrow stream), ``folds`` (by
+    text, so that copies share one: 0, 1, or ``HELD_OUT``), ``sizes`` and ``codes`` (the documents' words as numbers within the
+    chunk), ``words`` (its distinct words in order) and ``counts`` (how often each is in training documents)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", CHUNK_BYTES):
-            chunk, numbers, codes = uuid.uuid4().int >> 65, Numbers(), []
-            held = part.column("held_out").to_pylist()
-            for batch in part.select(["text"]).to_batches():
-                codes += [numbers.of(t.as_py()) for t in batch.column(0)]
+            numbers, codes, folds = Numbers(), [], bytearray()
+            for batch in part.select(["text", "held_out"]).to_batches():
+                for t, h in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    t = t.as_py()
+                    codes.append(numbers.of(t))
+                    folds.append(HELD_OUT if h else zlib.crc32(t or b"") >> 8 & 1)
             counts = np.zeros(len(numbers), np.int64)
-            for c, h in zip(codes, held, strict=True):
-                if not h:
+            for c, f in zip(codes, folds, strict=True):
+                if f != HELD_OUT:
                     np.add.at(counts, c, 1)
-            m, ids = len(codes), part.column("id").combine_chunks()
-            kinds = (pa.int64(), ids.type, pa.bool_(), pa.binary(), pa.binary())
-            rows = [pa.array([chunk] * m, kinds[0]), ids, part.column("held_out").combine_chunks(), pa.array([c.tobytes() for c in codes], kinds[3]), pa.nulls(m, kinds[4])]
-            yield from pa.table(rows, names=NAMES).to_batches(2000)
-            one = [[chunk], [None], [None], [counts.tobytes()], [b" ".join(numbers)]]
-            yield from pa.table([pa.array(x, k) for x, k in zip(one, kinds, strict=True)], names=NAMES).to_batches()
+            ids = pa.BufferOutputStream()
+            with pa.ipc.new_stream(ids, pa.schema([part.schema.field("id")])) as stream:
+                stream.write_table(part.select(["id"]))
+            sizes = np.fromiter(map(len, codes), np.int32, len(codes))
+            values = [uuid.uuid4().int >> 65, ids.getvalue().to_pybytes(), bytes(folds), sizes.tobytes(), np.concatenate(codes).tobytes(), counts.tobytes(), b" ".join(numbers)]
+            yield pa.record_batch([pa.array([x], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(values)], NAMES)
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return written(docs.mapInArrow(step, f"chunk long, id {kind}, held_out boolean, codes binary, words binary"), "mixing-coded")
+    return written(docs.mapInArrow(step, ", ".join(f"{n} {'binary' if k else 'long'}" for k, n in enumerate(NAMES))), "mixing-coded", "zstd")
+
+
+NAMES = ["chunk", "ids", "folds", "sizes", "codes", "counts", "words"]
+HELD_OUT = 2
+
+
+def texts_of(codes: bytes, sizes: bytes) -> list[np.ndarray]:
+    """The word numbers of each document of a chunk."""
+    return np.split(np.frombuffer(codes, np.int32), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
 
 
-NAMES = ["chunk", "id", "held_out", "codes", "words"]
 PLANES = ["block", "shift", "plane"]
 
 
@@ -459,25 +524,23 @@ def blocks(size: int) -> int:
     return -(-size // BLOCK) * BLOCK
 
 
-def training(docs: DataFrame, tree: Broadcast, gather: Callable[[Tree, np.ndarray], Callable], size: int) -> np.ndarray:
+def training(chunks: DataFrame, tree: Broadcast, gather: Callable[[Tree, np.ndarray], Callable], size: int) -> np.ndarray:
     """A table of ``size`` counts, added up over all training documents. ``gather`` gives, for a tree and a task's table, what
-    counts texts of word numbers: it takes their fold (by text, so copies share one), their numbers, and the words."""
+    counts texts of word numbers: it takes their fold, their numbers, and the words."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(blocks(size), np.int32)
         count = gather(tree.value, table)
-        for part in slices(batches, "text", CHUNK_BYTES):
-            numbers, codes = Numbers(), ([], [])
-            for batch in part.to_batches():
-                for t in batch.column("text").to_pylist():
-                    codes[zlib.crc32(t or b"") >> 8 & 1].append(numbers.of(t))
-            words = described(numbers, tree.value)
-            for fold in (0, 1):
-                count(fold, codes[fold], words)
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("folds", "sizes", "codes", "words")), strict=True):
+                folds, sizes, codes, words = (x.as_py() for x in row)
+                texts, known = texts_of(codes, sizes), described(words.split(b" "), tree.value)
+                for fold in (0, 1):
+                    count(fold, [c for c, f in zip(texts, folds, strict=True) if f == fold], known)
         for planes in planes_of(table):
             yield pa.record_batch(planes, PLANES)
 
-    planes = docs.where("not held_out").select("text").mapInArrow(step, "block long, shift long, plane binary")
+    planes = chunks.select("folds", "sizes", "codes", "words").mapInArrow(step, "block long, shift long, plane binary")
     return added(written(planes, "mixing-planes", "zstd"), size)
 
 
@@ -522,14 +585,14 @@ def counts_of(chunks: DataFrame) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, raw, words in zip(*(batch.column(k) for k in ("chunk", "codes", "words")), strict=True):
+            for chunk, raw, words in zip(*(batch.column(k) for k in ("chunk", "counts", "words")), strict=True):
                 own, n = words.as_py().split(b" "), np.frombuffer(raw.as_py(), np.int64)
                 for at in range(0, len(own), 1 << 16):
                     part = own[at : at + (1 << 16)]
                     cols = [pa.array(np.full(len(part), chunk.as_py())), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.binary()), pa.array(n[at : at + (1 << 16)])]
                     yield pa.record_batch(cols, ["chunk", "at", "word", "n"])
 
-    listed = chunks.where("words is not null").select("chunk", "codes", "words").mapInArrow(step, "chunk long, at int, word binary, n long")
+    listed = chunks.select("chunk", "counts", "words").mapInArrow(step, "chunk long, at int, word binary, n long")
     of_word = Window.partitionBy("word")  # a row a chunk at most
     total = listed.withColumns({"c": F.sum("n").over(of_word), "k": F.row_number().over(of_word.orderBy("chunk"))})
     back = F.col("n") != F.col("c")
@@ -568,7 +631,9 @@ def described(words, tree: Tree) -> np.ndarray:
 def add_spelling(table: np.ndarray, words: list[bytes]) -> None:
     for at in range(0, len(words), SPELL_BATCH):
         for _, slots, y, _ in spelling(words[at : at + SPELL_BATCH]):
-            np.add.at(table, 2 * slots + y, ONE)
+            slots <<= 1
+            slots += y
+            np.add.at(table, slots.ravel(), ONE)
 
 
 def tree_of(words: DataFrame) -> Tree:
@@ -587,14 +652,14 @@ def first_byte(word: str) -> Column:
     return F.conv(F.hex(F.substring(word, 1, 1)), 16, 10).cast("int").alias("first")
 
 
-def corpora_of(docs: DataFrame, tree: Tree, sent: Broadcast) -> tuple[Corpus, list[Corpus]]:
+def corpora_of(chunks: DataFrame, tree: Tree, sent: Broadcast) -> tuple[Corpus, list[Corpus]]:
     """Decision counts of all training documents, and of each fold."""
     cells = tree.cells
 
     def gather(tree: Tree, table: np.ndarray) -> Callable:
         return lambda fold, codes, words: tree.add(table[fold * cells : (fold + 1) * cells], codes, words)
 
-    table = training(docs, sent, gather, 2 * cells).reshape(2, cells)
+    table = training(chunks, sent, gather, 2 * cells).reshape(2, cells)
 
     def corpus(own: np.ndarray) -> Corpus:
         one = tree.by_node(own[: tree.pairs].reshape(tree.size + 1, tree.size))
@@ -604,27 +669,31 @@ def corpora_of(docs: DataFrame, tree: Tree, sent: Broadcast) -> tuple[Corpus, li
     return corpus(table[0] + table[1]), folds
 
 
-def mixer_of(docs: DataFrame, sent: Broadcast, folds: list[Corpus]) -> Mixer:
+def mixer_of(chunks: DataFrame, sent: Broadcast, folds: list[Corpus]) -> Mixer:
     """Weights and maps for the decisions of all training documents, each judged by the counts of the other fold."""
-    others = docs.sparkSession.sparkContext.broadcast(folds)
+    others = chunks.sparkSession.sparkContext.broadcast([[rounded(t, k) for k, t in enumerate((c.node, c.one, c.two))] for c in folds[::-1]])
 
     def gather(tree: Tree, table: np.ndarray) -> Callable:
-        parts = [[ready(t, k, True)[0] for k, t in enumerate((c.node, c.one, c.two))] for c in others.value[::-1]]
+        found, deep = others.value, tree.deep_of * LEVELS**INPUTS
 
         def count(fold: int, codes: list[np.ndarray], words: np.ndarray) -> None:
             leaves, names = words[0].view(np.int64), words[1]
             for _, flat, fresh, stretch in batches_of(codes):
                 d = tree.decisions(leaves[flat], fresh, names[flat])
-                number = numbered(*judged(*before(stretch[d.token] * tree.size + d.node, d.y), INPUTS - 1), INPUTS - 1)
-                number += levels(d.depth, 0, 4).astype(np.int32) * np.int32(GATES // 3 * LEVELS**INPUTS)
-                for part, slot in zip(parts[fold], slots_of(tree, d), strict=True):
-                    number += part[slot]
-                np.add.at(table, number.astype(np.int64) * 2 + d.y, ONE)
+                odds, met = own_context(tree, d, stretch)
+                number = deep.take(d.cell)
+                number += level(odds) * np.int32(LEVELS ** (INPUTS - 1))
+                number += met * np.int32(LEVELS**INPUTS)
+                for (codes_of, parts), slot in zip(found[fold], d.slots(), strict=True):
+                    number += parts.take(codes_of.take(slot))
+                number <<= 1
+                number += d.y
+                np.add.at(table, number, ONE)
 
         return count
 
     out = Mixer(GATES, INPUTS)
-    out.fit(training(docs, sent, gather, GATES * LEVELS**INPUTS * 2))
+    out.fit(training(chunks, sent, gather, GATES * LEVELS**INPUTS * 2))
     others.unpersist()
     return out
 
@@ -636,8 +705,14 @@ def speller_of(words: DataFrame) -> Speller:
     def summed(words: DataFrame, count: Callable[[np.ndarray, list[bytes]], None], size: int) -> np.ndarray:
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.zeros(blocks(size), np.int32)
+            held, waiting = [], 0
             for batch in batches:
-                count(table, batch.column("word").to_pylist())
+                held += batch.column("word").to_pylist()
+                waiting += batch.column("word").nbytes
+                if len(held) >= SPELL_HELD or waiting >= SLICE_BYTES:
+                    count(table, sorted(held, key=len))
+                    held, waiting = [], 0
+            count(table, sorted(held, key=len))
             for planes in planes_of(table):
                 yield pa.record_batch(planes, PLANES)
 
@@ -645,9 +720,9 @@ def speller_of(words: DataFrame) -> Speller:
 
     met = words.where("c > 0")
     out = Speller(shrunk(summed(met, add_spelling, size).reshape(-1, 2).T), Mixer(SPELL_GATES, len(SPELL_SLOTS)))
-    sent = words.sparkSession.sparkContext.broadcast(out)
+    sent = words.sparkSession.sparkContext.broadcast((out, out.parts()))
     once = met.where((F.col("c") == 1) & (F.col("word") != F.lit(END)))
-    out.mixer.fit(summed(once, lambda table, own: sent.value.count(table, own), cells))
+    out.mixer.fit(summed(once, lambda table, own: sent.value[0].count(table, own, sent.value[1]), cells))
     return out
 
 
@@ -704,13 +779,13 @@ class Model:
     coder: Coder | None = None
 
 
-def fitted(docs: DataFrame, words: DataFrame) -> tuple[Model, Broadcast]:
+def fitted(chunks: DataFrame, words: DataFrame) -> tuple[Model, Broadcast]:
     """The model of the training documents and their words and, already sent to the executors, its corpus tables."""
-    context = docs.sparkSession.sparkContext
+    context = chunks.sparkSession.sparkContext
     tree = tree_of(words)
     sent = context.broadcast(tree)
-    corpus, folds = corpora_of(docs, tree, sent)
-    return Model(tree, counted(words, tree), mixer_of(docs, sent, folds), speller_of(words)), context.broadcast(corpus)
+    corpus, folds = corpora_of(chunks, tree, sent)
+    return Model(tree, counted(words, tree), mixer_of(chunks, sent, folds), speller_of(words)), context.broadcast(corpus)
 
 
 def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -720,7 +795,7 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     raw = trained(docs, id, text)
     chunks = coded(raw)
     known = counts_of(chunks)
-    model, corpus = fitted(raw, known.where("word is not null").select("word", "c"))
+    model, corpus = fitted(chunks, known.where("word is not null").select("word", "c"))
     total = model.counts.n
     shared = spark.sparkContext.broadcast(model)
 
@@ -728,10 +803,9 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
         m = shared.value
         tree, counts = m.tree, m.counts
         coder = m.coder = m.coder or Coder(tree, corpus.value, m.mixer)
-        chunk = own[own["words"].notna()].iloc[0]
-        own = own[own["words"].isna()]
+        chunk = own.iloc[0]
         listed = bytes(chunk["words"]).split(b" ")
-        c = np.frombuffer(chunk["codes"], np.int64).copy()
+        c = np.frombuffer(chunk["counts"], np.int64).copy()
         c[known["at"].to_numpy()] = known["c"]
         leaf, name = described(listed, tree)
         leaf = leaf.view(np.int64)
@@ -742,7 +816,7 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
         rest[plain] = counts.bits(leaf[plain] - len(tree.top), c[plain])
         new = plain[c[plain] == 0]
         rest[new] += m.speller.bits([listed[i] for i in new.tolist()])
-        codes = [np.frombuffer(b, np.int32) for b in own["codes"]]
+        codes = texts_of(chunk["codes"], chunk["sizes"])
         sizes = np.array([len(x) for x in codes])
         bits = np.zeros(len(codes))
         for docs, flat, fresh, stretch in batches_of(codes):
@@ -750,8 +824,8 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
             bits += np.bincount(docs, each, len(codes))
         return pd.DataFrame(
             {
-                "id": own["id"].to_numpy(),
-                "held_out": own["held_out"].to_numpy(),
+                "id": pd.Series(pa.ipc.open_stream(chunk["ids"]).read_all().column(0).to_pylist(), dtype=object),
+                "held_out": np.frombuffer(chunk["folds"], np.uint8) == HELD_OUT,
                 "n_tokens": sizes,
                 "n_known": [int((c[x] > 0).sum()) for x in codes],
                 "base_score": [float(base[x].sum()) for x in codes],
