@@ -43,6 +43,8 @@ TOP = 2000
 PARTS = 256
 #: Bytes of text in one indexed shard.
 SHARD_BYTES = 4 << 20
+#: Bytes of a row group of the index, so that a task holds one shard or two at once, however many it has.
+GROUP_BYTES = 8 << 20
 #: Bits of a field for each frequent part at least, and the most bits of a field (64 MiB); a fuller field prunes less.
 BITS = 16
 FIELD = 1 << 29
@@ -362,7 +364,7 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     spark = docs.sparkSession
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    index = written(shards(docs, text, lang), "collocations-index", "zstd")
+    index = written(shards(docs, text, lang), "collocations-index", "zstd", group=GROUP_BYTES)
     unigrams = written(summed(words_of(index), 1), "collocations-words", clean=True)
     share = spark.sparkContext.broadcast
     frequent = unigrams.where(F.col("f") >= least)

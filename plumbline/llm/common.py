@@ -55,12 +55,13 @@ def restored(df: DataFrame, like: DataFrame, *used: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str = "step", compression: str = "snappy", clean: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str = "step", compression: str = "snappy", clean: bool = False, group: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later steps start from files.
 
     The files outlive a lost executor, unlike cached blocks; ``release`` deletes them. For rows of megabytes take ``zstd``:
     snappy's buffers lie outside the heap, are as large as a page, and stay until the next collection of garbage. With
-    ``clean`` the shuffle files of this write go when it has ended.
+    ``clean`` the shuffle files of this write go when it has ended. ``group`` bounds the bytes of a row group (one longer row
+    stands alone); otherwise Parquet looks at sizes every 100 rows only, and writer and readers hold so many rows at once.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -68,7 +69,8 @@ def written(df: DataFrame, name: str = "step", compression: str = "snappy", clea
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, str(clean or before == "true").lower())
     try:
-        df.write.option("compression", compression).parquet(path)
+        sizes = {"parquet.block.size": group, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1} if group else {}
+        df.write.options(compression=compression, **sizes).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

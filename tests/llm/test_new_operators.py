@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import pathlib
 import random
 import re
 from itertools import product
@@ -134,6 +135,21 @@ def test_op13(spark, monkeypatch):
     assert phrases_of(spark, []) == []
 
 
+def test_row_groups_of_the_index_hold_few_shards(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from plumbline.llm import common
+
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 1 << 12)
+    monkeypatch.setattr(collocations, "GROUP_BYTES", 1 << 15, raising=False)
+    r = random.Random(9)
+    docs = spark.createDataFrame([(" ".join(str(r.randrange(500)) for _ in range(200)), "en") for _ in range(300)], "text string, lang string").coalesce(1)
+    collocations.counted(docs)
+    index = [p for p in common.WRITTEN if "collocations-index" in p][-1]
+    groups = [m.row_group(k).num_rows for f in pathlib.Path(index.removeprefix("file://")).glob("*.parquet") for m in [pq.read_metadata(f)] for k in range(m.num_row_groups)]
+    assert sum(groups) > 50 and max(groups) <= 4  # at Parquet's own pace: all in one
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3_000_000_000_001
     one = spark.createDataFrame([("en", "x", big), ("en", "y", big + 7)], "lang string, phrase string, f long")
