@@ -151,13 +151,13 @@ def links(docs: DataFrame, nodes: DataFrame, also: DataFrame, text: str) -> Data
     its set), bands and first; ``also``: candidate pairs (a, b) found elsewhere."""
     points = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = points.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    held = written(points.join(shared, "band"), "near-bands")
+    held = written(points.hint("merge").join(shared, "band"), "near-bands")  # exploded: Spark sizes it too low for a broadcast
     ends = held.select("node").unionByName(also.select(F.col("a").alias("node"))).unionByName(also.select(F.col("b").alias("node")))
     sets = shingle_sets(docs, nodes.join(ends.distinct(), "node", "left_semi"), text)
     left = held.where(F.col("many") <= CROWDED).select("band", F.col("node").alias("a"), F.col("n").alias("na"))
     right = left.select("band", F.col("a").alias("b"), F.col("na").alias("nb"))
     alike = F.least("na", "nb") >= NEAR * F.greatest("na", "nb")
-    sparse = left.join(right, "band").where((F.col("a") > F.col("b")) & alike).select("a", "b")
+    sparse = left.hint("merge").join(right, "band").where((F.col("a") > F.col("b")) & alike).select("a", "b")
     crowded = held.where(F.col("many") > CROWDED)
     to_hub = crowded.join(crowded.groupBy("band").agg(hub()), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     found = verified(sparse.unionByName(to_hub).unionByName(also), sets)

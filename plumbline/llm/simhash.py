@@ -105,17 +105,18 @@ def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints ``fp`` within the distance, directly or through others.
 
     Every verified candidate pair of an uncrowded grid point is an edge. At the finest grid all fingerprints of a point
-    are one flip away from it, hence two from each other: an edge to the smallest one loses no connection.
+    are one flip away from it, hence two from each other: an edge to the smallest one loses no connection. Spark takes
+    exploded tables for as small as they were before, so a hint keeps their joins from collecting them for a broadcast.
     """
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = distinct.repartition(tasks, "fp")  # a small table, but each row becomes thirty
     points = distinct.select("fp", F.explode(grid_points(counts(F.col("fp")))).alias("point"))
     shared = points.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = written(points.join(shared, "point"), "simhash-grid")
+    held = written(points.hint("merge").join(shared, "point"), "simhash-grid")
     left = held.where(F.col("n") <= CROWDED).select("point", F.col("fp").alias("a"))
     right = left.select("point", F.col("a").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    sparse = left.join(right, "point").where((F.col("a") > F.col("b")) & near).select("a", "b").distinct()
+    sparse = left.hint("merge").join(right, "point").where((F.col("a") > F.col("b")) & near).select("a", "b").distinct()
     crowded = held.where(F.col("n") > CROWDED).select("fp").distinct()
     fine = crowded.select(F.col("fp").alias("a"), F.explode(flips(F.col("fp"))).alias("point"))
     fine = fine.withColumn("b", F.min("a").over(Window.partitionBy("point"))).where("a <> b").select("a", "b").distinct()

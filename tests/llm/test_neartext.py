@@ -67,3 +67,24 @@ def test_parity_bits_differ_in_no_more_places_than_the_sets():
         b = np.unique(np.concatenate([a[: n // 2], r.integers(0, 2**63, n // 3, np.uint64)]))
         x, y = (np.array(neartext.parity(z), np.int64).view(np.uint64) for z in (a, b))
         assert len(x) == neartext.PARITY // 64 and int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes them by what was exploded, so a broadcast would hold many times its limit in the driver."""
+    from plumbline.llm import graph
+
+    plans = []
+
+    def noted(df, name, *more, **named):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, name, *more, **named)
+
+    plain = simhash.written
+    for module in (simhash, neartext, graph):
+        monkeypatch.setattr(module, "written", noted)
+    docs = spark.createDataFrame(list(enumerate(near_copies(40))), "doc_id long, text string")
+    assert simhash.op5(docs).count() == 40
+    simhash.dedupe(docs, similar=True)
+    first = next(plan for name, plan in plans if name == "components")
+    own = [plan for name, plan in plans if name in ("simhash-grid", "near-bands")] + [first]
+    assert len(own) == 4 and all("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for plan in own)
