@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ BITS = 16
 FIELD = 1 << 29
 #: Bits of the hash that pairs are summed by first; on a corpus with more pairs than it has values it prunes less.
 HASH = 40
+#: Passes that pairs are summed by hash in, so that only a part's shuffle files are there at once.
+PASSES = 2
 #: Bytes of the index that travel to a Python worker at once.
 BATCH_BYTES = 4 << 20
 #: Rows that a task gives back at once.
@@ -172,6 +175,15 @@ class Intervals:
         return Intervals(self.phrase[some], self.lo[some], self.mirror[some], self.n[some])
 
 
+def planes(symbols: np.ndarray) -> bytes:
+    """The first bytes of all symbols, then the second ones and so on, which compress better than whole symbols."""
+    return symbols.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def symbols(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """The index of each shard: its languages, the first word number of each, its words, their counts, and both transforms."""
 
@@ -196,7 +208,7 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 continue
             whole = np.frombuffer(seq, np.int32)
             index = Index.built(whole)
-            blocks = (b"\n".join(words), np.bincount(whole)[1:].astype(np.int32), index.bwt.astype(np.int32), index.reverse.astype(np.int32))
+            blocks = (b"\n".join(words), np.bincount(whole)[1:].astype(np.int32), planes(index.bwt), planes(index.reverse))
             cols = [pa.array([langs]), pa.array([first], pa.list_(pa.int32()))] + [pa.array([bytes(b)], pa.binary()) for b in blocks]
             yield pa.record_batch(cols, ["langs", "first", "words", "counts", "bwt", "reverse"])
 
@@ -212,7 +224,7 @@ class Shard:
         self.words = row["words"].split(b"\n")
         self.counts = np.frombuffer(row["counts"], np.int32)
         if "bwt" in row:
-            self.index = Index(np.frombuffer(row["bwt"], np.int32), np.frombuffer(row["reverse"], np.int32))
+            self.index = Index(symbols(row["bwt"]), symbols(row["reverse"]))
 
     def lang(self, number: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, number, side="right") - 1
@@ -299,8 +311,8 @@ def pair_intervals(s: Shard, words: Field, passes: Callable[[np.ndarray], np.nda
     return two, h, known
 
 
-def pair_sums(index: DataFrame, words: Broadcast[Field]) -> DataFrame:
-    """Hashes of pairs (h) with their counts (f), summed over some shards of a task."""
+def pair_sums(index: DataFrame, words: Broadcast[Field], part: int) -> DataFrame:
+    """Hashes of pairs (h) with their counts (f), summed over some shards of a task; those of one of the PASSES parts."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -317,7 +329,9 @@ def pair_sums(index: DataFrame, words: Broadcast[Field]) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 two, h, _ = pair_intervals(Shard(batch.slice(k, 1).to_pylist()[0]), words.value)
-                held.append((mixed(h[two.phrase]) & np.uint64((1 << HASH) - 1), two.n))
+                hashes = mixed(h[two.phrase]) & np.uint64((1 << HASH) - 1)
+                own = hashes % np.uint64(PASSES) == part
+                held.append((hashes[own], two.n[own]))
                 if sum(len(n) for _, n in held) > HELD:
                     yield from out()
                     held.clear()
@@ -369,8 +383,8 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     share = spark.sparkContext.broadcast
     frequent = unigrams.where(F.col("f") >= least)
     words = share(field(hashes_of(frequent)))
-    high = pair_sums(index, words).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("h")
-    pairs = share(field(written(high, "collocations-hashes", clean=True)))
+    high = [pair_sums(index, words, k).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("h") for k in range(PASSES)]
+    pairs = share(field(reduce(DataFrame.unionByName, [written(h, "collocations-hashes", clean=True) for h in high])))
     # two passes, so that the shuffle files of one are gone before those of the other come
     two, three = (written(summed(phrases_of(index, words, pairs, n), least), f"collocations-{n}", clean=True) for n in (2, 3))
     ws = F.split("phrase", " ")

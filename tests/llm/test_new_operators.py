@@ -150,6 +150,23 @@ def test_row_groups_of_the_index_hold_few_shards(spark, monkeypatch):
     assert sum(groups) > 50 and max(groups) <= 4  # at Parquet's own pace: all in one
 
 
+def test_pairs_are_summed_in_parts(spark):
+    """Each pass sums another part of the pairs, with about an equal share, and none twice."""
+    r = random.Random(5)
+    docs = spark.createDataFrame([(" ".join(str(r.randrange(90)) for _ in range(300)), "en") for _ in range(40)], "text string, lang string")
+    index = collocations.shards(docs, "text", "lang")
+    every = collocations.Field(8, {0: b"\xff"})
+    parts = [{x.h for x in collocations.pair_sums(index, spark.sparkContext.broadcast(every), k).select("h").distinct().collect()} for k in range(collocations.PASSES)]
+    pairs = {p for d in docs.collect() for p in zip(d.text.split(), d.text.split()[1:], strict=False)}
+    assert sum(map(len, parts)) == len(set().union(*parts)) == len(pairs)
+    assert min(map(len, parts)) > 0.4 * len(pairs)
+
+
+def test_symbols_survive_their_planes():
+    own = np.random.default_rng(1).integers(0, 2**31, 1000).astype(np.int32)
+    assert (collocations.symbols(collocations.planes(own)) == own).all() and len(collocations.symbols(b"")) == 0
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3_000_000_000_001
     one = spark.createDataFrame([("en", "x", big), ("en", "y", big + 7)], "lang string, phrase string, f long")
