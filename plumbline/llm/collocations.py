@@ -112,7 +112,7 @@ def depth_sorted(seq: np.ndarray, depth: int) -> np.ndarray:
 class Index:
     """Both transforms of a shard. Rows of the forward one are ordered by what follows, of the reverse one by what precedes."""
 
-    def __init__(self, bwt: np.ndarray, reverse: np.ndarray):
+    def __init__(self, bwt: np.ndarray, reverse: np.ndarray | None):
         self.bwt, self.reverse = bwt, reverse
         self.before = np.concatenate(([0], np.cumsum(np.bincount(bwt, minlength=1))))
 
@@ -128,8 +128,9 @@ class Index:
         some = some[some > 0]
         return Intervals(some[:, None], lo[some], lo[some], hi[some] - lo[some])
 
-    def extended(self, of: Intervals, left: bool, passes: Callable[[np.ndarray], np.ndarray]) -> Intervals:
-        """All phrases one word longer, by a word before or behind, of those phrases that ``passes`` lets through."""
+    def extended(self, of: Intervals, left: bool, passes: Callable[[np.ndarray], np.ndarray], both: bool = True) -> Intervals:
+        """All phrases one word longer, by a word before or behind, of those phrases that ``passes`` lets through. Without
+        ``both`` their rows are given in the other index only, which is enough to go on in the other direction."""
         symbols, at = (self.bwt, of.lo) if left else (self.reverse, of.mirror)
         base = np.cumsum(of.n) - of.n
         owner = np.repeat(np.arange(len(of.n)), of.n)
@@ -146,7 +147,8 @@ class Index:
         long = np.column_stack((w, of.phrase[own]) if left else (of.phrase[own], w))
         keep = np.flatnonzero(w > 0)
         keep = keep[passes(long[keep])]
-        one, other = self.before[w[keep]] + self.rank(left, w[keep], row[first[keep]]), smaller[keep]
+        one = self.before[w[keep]] + self.rank(left, w[keep], row[first[keep]]) if both else np.full(len(keep), -1)
+        other = smaller[keep]
         if left:
             return Intervals(long[keep], one, of.mirror[own[keep]] + other, n[keep])
         return Intervals(long[keep], of.lo[own[keep]] + other, one, n[keep])
@@ -224,7 +226,7 @@ class Shard:
         self.words = row["words"].split(b"\n")
         self.counts = np.frombuffer(row["counts"], np.int32)
         if "bwt" in row:
-            self.index = Index(symbols(row["bwt"]), symbols(row["reverse"]))
+            self.index = Index(symbols(row["bwt"]), symbols(row["reverse"]) if "reverse" in row else None)
 
     def lang(self, number: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, number, side="right") - 1
@@ -307,7 +309,7 @@ def pair_intervals(s: Shard, words: Field, passes: Callable[[np.ndarray], np.nda
     h = s.hashes()
     known = np.concatenate(([False], words(h[1:, None])))
     one = s.index.words()
-    two = s.index.extended(one.where(known[one.phrase[:, 0]]), True, lambda p: known[p[:, 0]] & (passes(h[p]) if passes else True))
+    two = s.index.extended(one.where(known[one.phrase[:, 0]]), True, lambda p: known[p[:, 0]] & (passes(h[p]) if passes else True), both=False)
     return two, h, known
 
 
@@ -338,7 +340,7 @@ def pair_sums(index: DataFrame, words: Broadcast[Field], part: int) -> DataFrame
         if sum(len(n) for _, n in held):
             yield from out()
 
-    return index.mapInArrow(step, "h long, f long")
+    return index.drop("reverse").mapInArrow(step, "h long, f long")
 
 
 def phrases_of(index: DataFrame, words: Broadcast[Field], pairs: Broadcast[Field], length: int) -> DataFrame:
@@ -352,10 +354,10 @@ def phrases_of(index: DataFrame, words: Broadcast[Field], pairs: Broadcast[Field
                 if length == 2:
                     yield from s.counted(two.phrase, two.n)
                     continue
-                three = s.index.extended(two, False, lambda p, known=known, h=h: known[p[:, 2]] & pairs.value(h[p[:, 1:]]))
+                three = s.index.extended(two, False, lambda p, known=known, h=h: known[p[:, 2]] & pairs.value(h[p[:, 1:]]), both=False)
                 yield from s.counted(three.phrase, three.n)
 
-    return index.mapInArrow(step, "lang string, phrase string, f long")
+    return (index.drop("reverse") if length == 2 else index).mapInArrow(step, "lang string, phrase string, f long")
 
 
 def scored(part: DataFrame, unigrams: DataFrame, pairs: DataFrame, cuts: list[tuple[int, int]], words: int) -> DataFrame:

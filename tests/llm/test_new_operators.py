@@ -117,6 +117,16 @@ def test_index_extension():
         assert set(map(tuple, level.phrase.tolist())) == want and len(level.n) == len(want)
 
 
+def test_extension_for_the_other_direction():
+    seq = np.concatenate(([0], np.random.default_rng(6).integers(0, 5, 600), [0])).astype(np.int32)
+    index, everything = collocations.Index.built(seq), lambda p: np.ones(len(p), bool)
+    whole, part = index.extended(index.words(), True, everything), index.extended(index.words(), True, everything, both=False)
+    assert (whole.phrase == part.phrase).all() and (whole.mirror == part.mirror).all() and (whole.n == part.n).all()
+    assert (index.extended(part, False, everything).n == index.extended(whole, False, everything).n).all()
+    alone = collocations.Index(index.bwt, None)  # what is behind is not read for pairs
+    assert (alone.extended(alone.words(), True, everything, both=False).n == whole.n).all()
+
+
 def phrases_of(spark, rows, **more):
     docs = spark.createDataFrame([(i, *r, "clash") for i, r in enumerate(rows)], "doc_id long, text string, lang string, phrase string").repartition(3)
     return sorted(tuple(r) for r in collocations.op13(docs, **more).collect())
